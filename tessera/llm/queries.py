@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import mixing, piece_counts
+from tessera.llm import decontaminate, mixing, piece_counts, repeated_spans, simhash
 from tessera.llm.common import read_table
 
 
@@ -15,6 +15,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
+    return decontaminate.report(decontaminate.contained_items(docs, items))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(mixing.mix(read_table(spark, sf_dir, "documents")))
 
@@ -24,8 +29,19 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_counts.count_tokens(read_table(spark, sf_dir, "documents"), pieces)
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(simhash.near_duplicates(read_table(spark, sf_dir, "documents")))
+
+
+def op10_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans.report(repeated_spans.repeated_spans(read_table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
+    "op2_decontaminate": op2_decontaminate,
     "op3_mix_sources": op3_mix_sources,
     "op4_token_counts": op4_token_counts,
+    "op7_simhash": op7_simhash,
+    "op10_repeated_spans": op10_repeated_spans,
 }
-ORACLES = {"op3_mix_sources": mixing.ORACLE}
+ORACLES = {"op2_decontaminate": decontaminate.ORACLE, "op3_mix_sources": mixing.ORACLE}
