@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, mixing, piece_counts, repeated_spans, simhash
+from tessera.llm import decontaminate, language_id, mixing, piece_counts, repeated_spans, simhash, token_files
 from tessera.llm.common import read_table
 
 
@@ -29,10 +31,24 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_counts.count_tokens(read_table(spark, sf_dir, "documents"), pieces)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return language_id.report(docs, language_id.train(docs, ~language_id.held_out()))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(simhash.near_duplicates(read_table(spark, sf_dir, "documents")))
 
 
+def tokenizer_json() -> str:
+    """The vocabulary file's text, read on the driver and shipped to the tasks (its size is fixed)."""
+    return Path(tokenizer_path("byte_bpe_50k.json")).read_text()
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.report(token_files.write_tokens(read_table(spark, sf_dir, "documents"), tokenizer_json()))
+
+
 def op10_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans.report(repeated_spans.repeated_spans(read_table(spark, sf_dir, "documents")))
 
@@ -41,7 +57,9 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_mix_sources": op3_mix_sources,
     "op4_token_counts": op4_token_counts,
+    "op5_language_id": op5_language_id,
     "op7_simhash": op7_simhash,
+    "op8_token_files": op8_token_files,
     "op10_repeated_spans": op10_repeated_spans,
 }
 ORACLES = {"op2_decontaminate": decontaminate.ORACLE, "op3_mix_sources": mixing.ORACLE}
