@@ -6,7 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, language_id, mixing, piece_counts, repeated_spans, simhash, token_files
+from tessera.llm import decontaminate, hmm, language_id, mixing, piece_counts, repeated_spans, simhash, token_files
 from tessera.llm.common import read_table
 
 
@@ -17,6 +17,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(read_table(spark, sf_dir, "documents"), hmm.held_out())
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
     return decontaminate.report(decontaminate.contained_items(docs, items))
@@ -54,6 +58,7 @@ def op10_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_hmm_scores": op1_hmm_scores,
     "op2_decontaminate": op2_decontaminate,
     "op3_mix_sources": op3_mix_sources,
     "op4_token_counts": op4_token_counts,
