@@ -1,5 +1,59 @@
-"""placeholder"""
-STAGES = []
+"""The corpus pipeline: from raw documents to token files, stage by stage.
+
+Each stage works on everything that the one before it kept. What a stage returns is
+written as Parquet in the shared folder and read again as the next one's documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tessera.llm import decontaminate, language_id, mixing, simhash, token_files
+from tessera.llm.common import read_table
+from tessera.llm.queries import tokenizer_json
+from tessera.session import write_table
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the character models recognise; the rejected ones go."""
+    return language_id.keep_identified(docs, language_id.train(docs, ~language_id.held_out()))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of SimHash near-duplicates."""
+    return simhash.keep_one(docs)
+
+
+def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    return decontaminate.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated as the sources' target weights ask for."""
+    return mixing.emit_copies(mixing.mix(docs))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of what is left; per document its place in them, its length and checksum."""
+    return token_files.report(token_files.write_tokens(docs, tokenizer_json()))
+
+
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("clean_of_benchmark", clean_of_benchmark),
+    ("mixed", mixed),
+    ("tokens", tokens),
+]
+
+#: Language ID and tokenization can't be expressed in SQL.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table."""
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = write_table(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs

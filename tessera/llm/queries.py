@@ -5,8 +5,9 @@ from __future__ import annotations
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, hmm, language_id, mixing, piece_counts, repeated_spans, simhash, token_files
+from tessera.llm import decontaminate, hmm, language_id, mixing, piece_counts, quality, repeated_spans, simhash, token_files, topk
 from tessera.llm.common import read_table
 
 
@@ -40,6 +41,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.report(docs, language_id.train(docs, ~language_id.held_out()))
 
 
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(simhash.near_duplicates(read_table(spark, sf_dir, "documents")))
 
@@ -53,6 +58,11 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.report(token_files.write_tokens(read_table(spark, sf_dir, "documents"), tokenizer_json()))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return quality.report(docs, quality.train(docs, read_table(spark, sf_dir, "labels"), ~quality.held_out()))
+
+
 def op10_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans.report(repeated_spans.repeated_spans(read_table(spark, sf_dir, "documents")))
 
@@ -63,8 +73,10 @@ QUERIES = {
     "op3_mix_sources": op3_mix_sources,
     "op4_token_counts": op4_token_counts,
     "op5_language_id": op5_language_id,
+    "op6_top_k": op6_top_k,
     "op7_simhash": op7_simhash,
     "op8_token_files": op8_token_files,
+    "op9_quality": op9_quality,
     "op10_repeated_spans": op10_repeated_spans,
 }
-ORACLES = {"op2_decontaminate": decontaminate.ORACLE, "op3_mix_sources": mixing.ORACLE}
+ORACLES = {"op2_decontaminate": decontaminate.ORACLE, "op3_mix_sources": mixing.ORACLE, "op6_top_k": topk.ORACLE}
