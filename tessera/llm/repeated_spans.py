@@ -79,7 +79,7 @@ def sentence_runs(docs: DataFrame, sentences: int = SENTENCES, run_words: int =
                 continue
             row, span = np.concatenate(rows), np.concatenate(spans)
             both = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
-            taken = batch.take(pa.array(row))
+            taken = batch.select(["doc_id", "text_key"]).take(pa.array(row))
             yield pa.RecordBatch.from_arrays(
                 [taken.column("doc_id"), taken.column("text_key"), pa.array(span[:, 0].astype(np.int32)), pa.array(span[:, 1].astype(np.int32)),
                  pa.array(np.concatenate(sizes).astype(np.int32)), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())],
