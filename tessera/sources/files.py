@@ -10,6 +10,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.lexicons import SUFFIXES
 from tessera.functions.text import html_to_text, markdown_to_text
@@ -95,7 +96,7 @@ def xlsx_text(content: bytes) -> str:
 PARSERS = {".json": json_text, ".docx": docx_text, ".csv": csv_text, ".xlsx": xlsx_text}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _parsed(suffix: pd.Series, content: pd.Series) -> pd.Series:
     def one(kind: str, data: bytes) -> str | None:
         try:
