@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import content_hash
-from tessera.session import write_table
+from tessera.session import ship, write_table
 
 
 def first_by_content(chunks: DataFrame, text: str, order: list[str]) -> DataFrame:
@@ -37,6 +37,7 @@ def near_pairs(vectors: DataFrame, threshold: float, block_rows: int = 1024) ->
     Rows are dealt into blocks of about ``block_rows``; each pair of blocks meets once, by an
     equi-join on the block numbers, and is compared as one matrix product. This is exact.
     """
+    ship(vectors.sparkSession)
     n = vectors.count()
     blocks = max(1, -(-n // block_rows))
     dealt = vectors.select("id", normalised(F.col("vector")).alias("v")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import ship
+
 #: Queries in a block: a block is compared with a batch of vectors as one matrix product.
 QUERY_BLOCK = 512
 
@@ -47,6 +49,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, metric: str = "c
     """
     if metric not in ("cosine", "dot", "l2"):
         raise ValueError(metric)
+    ship(vectors.sparkSession)
     packed = queries.filter(F.col("vector").isNotNull()).withColumn("_block", F.floor(F.monotonically_increasing_id() / QUERY_BLOCK))
     blocks = packed.groupBy("_block").agg(F.collect_list(F.struct("query_id", "vector")).alias("q"))
     batches_of = vectors.filter(F.col("vector").isNotNull()).select("id", "vector")

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from tessera.functions.lexicons import SUFFIXES
 from tessera.functions.text import html_to_text, markdown_to_text
+from tessera.session import ship
 
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -122,6 +123,7 @@ def text_of(suffix: Column, content: Column) -> Column:
 
 def read_folder(spark: SparkSession, folder: str) -> DataFrame:
     """``source, text, file_hash, file_modified``; unreadable files have no text and no hash."""
+    ship(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     rows = files.withColumn("suffix", suffix).filter(F.col("suffix").isin(SUFFIXES))
