@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,21 +11,36 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Text bytes handled at once inside a task; a longer batch is worked through in slices.
-SLICE_BYTES = 16 * 1024 * 1024
+from tessera.session import ship
+
+#: Text bytes that go to Python in one batch, and that a task handles at once (one row at least).
+SLICE_BYTES = 8 * 1024 * 1024
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, whose batches to Python are bounded in bytes, so that long texts don't add up in a task.
+
+    The bound is a setting of the session; it is lowered to SLICE_BYTES, never raised.
+    """
+    ship(df.sparkSession)
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)b?", conf.get(key))
+    if not now or not 0 < int(now[1]) <= SLICE_BYTES:
+        conf.set(key, str(SLICE_BYTES))
+    return df
+
+
 def id_crc(doc_id: Column) -> Column:
     """crc32 of the id as text; a null id counts as the empty string."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that ``column`` holds about SLICE_BYTES at most (one row at least)."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that ``column`` holds ``limit`` bytes at most (one row at least)."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -33,9 +49,10 @@ def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Record
         start = 0
         while start < batch.num_rows:
             before = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
+            stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+        pa.default_memory_pool().release_unused()
 
 
 def lower_ascii(texts: pa.Array) -> pa.Array:

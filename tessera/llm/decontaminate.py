@@ -91,17 +91,17 @@ def contained_items(
     candidates = write_table(pruned.join(sketch, "value").select("doc_id", "text_key", "item_id").distinct(), "candidates")
 
     texts = keyed.join(
-        candidates.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(),
-        F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")),
+        candidates.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct(),
+        F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key")),
         "left_semi",
     )
     full = texts.select("doc_id", "text_key", F.array_distinct(shingles_of(F.col("text"), width)).alias("own"))
     pairs = full.join(
-        candidates.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("item_id").alias("_item")),
-        F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")),
+        candidates.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("item_id").alias("__item")),
+        F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key")),
     )
     verified = (
-        pairs.join(sketched.select("item_id", "shingles", "n"), F.col("_item").eqNullSafe(F.col("item_id")))
+        pairs.join(sketched.select("item_id", "shingles", "n"), F.col("__item").eqNullSafe(F.col("item_id")))
         .withColumn("shared", F.size(F.array_intersect("shingles", "own")).cast("long"))
         .filter(F.col("shared") >= F.ceil(containment * F.col("n") - 1e-9))
     )
@@ -114,9 +114,9 @@ def contained_items(
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = WORDS, containment: float = CONTAINMENT) -> DataFrame:
     """``docs`` without those that contain an item, with their own columns and repeats."""
-    bad = contained_items(docs, items, width, containment).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    bad = contained_items(docs, items, width, containment).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
     bad = write_table(bad.distinct(), "contaminated")
-    matched = F.col("doc_id").eqNullSafe(F.col("_id")) & F.xxhash64("text").eqNullSafe(F.col("_key"))
+    matched = F.col("doc_id").eqNullSafe(F.col("__id")) & F.xxhash64("text").eqNullSafe(F.col("__key"))
     return docs.join(bad, matched, "left_anti")
 
 

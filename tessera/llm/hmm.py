@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import coded_words, id_crc, lower_ascii, slices, sums_between
+from tessera.llm.common import bounded, coded_words, id_crc, lower_ascii, slices, sums_between
 from tessera.session import write_table
 
 #: Latent states, word classes (by crc32 of the word; the end of text is class 0), rounds of Baum-Welch.
@@ -137,7 +137,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             codes, words, _ = coded_words(lower_ascii(batch.column("text")))
             yield pa.RecordBatch.from_arrays([words.cast(pa.binary()), pa.array(np.bincount(codes, minlength=len(words)))], names=["word", "count"])
 
-    return docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "word binary, count bigint").groupBy("word").agg(F.sum("count").alias("count"))
+    return docs.select(F.coalesce("text", F.lit("")).alias("text")).transform(bounded).mapInArrow(run, "word binary, count bigint").groupBy("word").agg(F.sum("count").alias("count"))
 
 
 def frequency_cut(table: DataFrame, most: int) -> int:
@@ -173,7 +173,7 @@ def baum_welch(encoded: DataFrame, counts: np.ndarray, states: int = STATES, rou
             yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *(pa.array(rows[used, s]) for s in range(states))], names=["row", *(f"s{s}" for s in range(states))])
 
         columns = [f"s{s}" for s in range(states)]
-        sums = encoded.select("codes").mapInArrow(run, "row int, " + ", ".join(f"{c} double" for c in columns))
+        sums = encoded.select("codes").transform(bounded).mapInArrow(run, "row int, " + ", ".join(f"{c} double" for c in columns))
         found = sums.groupBy("row").agg(*(F.sum(c).alias(c) for c in columns)).toPandas()
         rows = np.zeros((classes + states + 2, states))
         rows[found["row"].to_numpy()] = found[columns].to_numpy()
@@ -242,7 +242,7 @@ def score(docs: DataFrame, held_out: Column, states: int = STATES, classes: int
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, codes binary, n_tokens bigint, known bigint, logs double, room double, tail array<binary>"
-    encoded = write_table(rows.mapInArrow(encode, schema).withColumn("row", F.monotonically_increasing_id()), "encoded", compression="zstd")
+    encoded = write_table(rows.transform(bounded).mapInArrow(encode, schema).withColumn("row", F.monotonically_increasing_id()), "encoded", compression="zstd")
     model = spark.sparkContext.broadcast(baum_welch(encoded.filter("not held_out"), per_class.astype(float), states, rounds))
 
     def forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +250,7 @@ def score(docs: DataFrame, held_out: Column, states: int = STATES, classes: int
             codes, offsets = _sequences(batch)
             yield batch.drop_columns(["codes"]).append_column("hmm", pa.array(forward_log10(model.value, codes, offsets)))
 
-    scored = encoded.select("row", "doc_id", "held_out", "n_tokens", "known", "logs", "room", "codes").mapInArrow(
+    scored = encoded.select("row", "doc_id", "held_out", "n_tokens", "known", "logs", "room", "codes").transform(bounded).mapInArrow(
         forward, f"row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, known bigint, logs double, room double, hmm double"
     )
     tails = (

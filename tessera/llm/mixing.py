@@ -52,9 +52,9 @@ def mix(
     max_rate: float = 2.0,
     seed: int = 20,
 ) -> DataFrame:
-    """``docs`` with ``_size, _source_size, _target, _copies`` added, one row per document.
+    """``docs`` with ``__size, __source_size, __target, __copies`` added, one row per document.
 
-    ``_copies`` is floor(rate) plus one with the probability of the fraction, where
+    ``__copies`` is floor(rate) plus one with the probability of the fraction, where
     rate = target / source size, drawn from a hash of the seed and the id (of the text
     where the id is null). Thus reruns and lost executors give the same copies, and rows
     that repeat an id share the draw.
@@ -63,30 +63,30 @@ def mix(
     size is 0 has target 0 and no copies. Null sources are one source, the last. An empty
     table gives an empty result. Other columns pass through unread.
     """
-    sized = docs.withColumn("_size", word_count(F.col("text")))
-    per_source = sized.groupBy("source").agg(F.sum("_size").alias("source_size"))
+    sized = docs.withColumn("__size", word_count(F.col("text")))
+    per_source = sized.groupBy("source").agg(F.sum("__size").alias("source_size"))
     targets = write_table(source_targets(per_source, weights, budget, max_rate), "mix-targets").select(
-        F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target")
+        F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target")
     )
     key = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.col("text").cast("binary")), F.lit(""))
     digest = F.md5(F.concat(F.lit(f"{seed}:"), key).cast("binary"))
     draw = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(16**13)
-    rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0))
-    copies = F.floor("_rate") + F.when(draw < F.col("_rate") - F.floor("_rate"), 1).otherwise(0)
+    rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(0.0))
+    copies = F.floor("__rate") + F.when(draw < F.col("__rate") - F.floor("__rate"), 1).otherwise(0)
     return (
-        sized.join(targets, F.col("source").eqNullSafe(F.col("_source")))
-        .withColumn("_rate", rate)
-        .withColumn("_copies", copies.cast("long"))
-        .drop("_source", "_rate")
+        sized.join(targets, F.col("source").eqNullSafe(F.col("__source")))
+        .withColumn("__rate", rate)
+        .withColumn("__copies", copies.cast("long"))
+        .drop("__source", "__rate")
     )
 
 
 def emit_copies(mixed: DataFrame) -> DataFrame:
     """Each document of ``mix`` as many times as it has copies, with its own columns."""
     return (
-        mixed.filter("_copies > 0")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-        .drop("_size", "_source_size", "_target", "_copies", "_copy")
+        mixed.filter("__copies > 0")
+        .withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
+        .drop("__size", "__source_size", "__target", "__copies", "__copy")
     )
 
 
@@ -94,10 +94,10 @@ def report(mixed: DataFrame) -> DataFrame:
     """Per document what the mix takes of it."""
     return mixed.select(
         "doc_id",
-        F.col("_size").alias("size"),
-        F.col("_source_size").alias("source_size"),
-        F.col("_target").alias("target"),
-        (F.col("_size") * F.col("_copies")).alias("taken"),
+        F.col("__size").alias("size"),
+        F.col("__source_size").alias("source_size"),
+        F.col("__target").alias("target"),
+        (F.col("__size") * F.col("__copies")).alias("taken"),
     )
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import slices, split_words
+from tessera.llm.common import bounded, slices, split_words
 
 #: Stands before each word, as in the vocabulary's word-initial pieces.
 WORD_START = "▁"
@@ -131,4 +131,4 @@ def count_tokens(docs: DataFrame, pieces: list[str]) -> DataFrame:
             )
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words bigint, n_tokens bigint"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").transform(bounded).mapInArrow(run, schema)

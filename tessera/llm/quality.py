@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import coded_words, id_crc, lower_ascii, slices
+from tessera.llm.common import bounded, coded_words, id_crc, lower_ascii, slices
 from tessera.session import write_table
 
 #: Buckets of hashed words, latent factors, labelled rows to learn from, rounds of averaging.
@@ -164,7 +164,7 @@ def train(
             )
 
     schema = "label double, index array<bigint>, value array<double>, stats array<double>"
-    spread = joined.select("text", "chars", "label").repartition(8).mapInArrow(features, schema)
+    spread = joined.select("text", "chars", "label").repartition(8).transform(bounded).mapInArrow(features, schema)
     table = write_table(spread, "quality-sample")
     moments = table.select("label", *(F.col("stats")[i].alias(f"c{i}") for i in range(stats))).agg(
         F.count("*").alias("n"), *(f(F.col(f"c{i}")).alias(f"{f.__name__}{i}") for i in range(stats) for f in (F.avg, F.stddev_pop))
@@ -199,7 +199,7 @@ def train(
             )
 
         columns = [f"p{f}" for f in range(factors + 1)]
-        passed = table.mapInArrow(learn, "index bigint, rows double, " + ", ".join(f"{c} double" for c in columns))
+        passed = table.transform(bounded).mapInArrow(learn, "index bigint, rows double, " + ", ".join(f"{c} double" for c in columns))
         mean = passed.groupBy("index").agg(*((F.sum(F.col(c) * F.col("rows")) / F.sum("rows")).alias(c) for c in columns)).toPandas()
         both = mean.sort_values("index")[columns].to_numpy()
         model = FactorisationMachine(both[:, 0].copy(), both[:, 1:].copy(), means, spreads)
@@ -221,7 +221,7 @@ def classify(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     given = docs.select("doc_id", "text", F.coalesce("n_chars", F.lit(0)).cast("double").alias("chars"))
-    return given.mapInArrow(run, f"doc_id {kind}, score double, predicted int")
+    return given.transform(bounded).mapInArrow(run, f"doc_id {kind}, score double, predicted int")
 
 
 def held_out() -> Column:

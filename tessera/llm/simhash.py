@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import lower_ascii, slices
+from tessera.llm.common import bounded, lower_ascii, slices
 from tessera.llm.components import connected_components
 from tessera.session import write_table
 
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    return keyed.mapInArrow(run, f"doc_id {kind}, text_key bigint, fp bigint")
+    return keyed.transform(bounded).mapInArrow(run, f"doc_id {kind}, text_key bigint, fp bigint")
 
 
 def block_keys(blocks: int) -> list[tuple[int, ...]]:
@@ -232,11 +232,11 @@ def near_links(nodes: DataFrame, blocks: int, heavy: int = HEAVY) -> DataFrame:
         placed = tiled.select("mask", "key", "pop", "salt", "fp").join(sides, ["mask", "key", "pop", "salt"])
         links = (
             placed.select("pair", "side", "fp", "pop").repartition("pair").sortWithinPartitions("pair", "side", "pop")
-            .mapInArrow(_scan_tile_pairs, "a bigint, b bigint")
+            .transform(bounded).mapInArrow(_scan_tile_pairs, "a bigint, b bigint")
         )
     scanned = (
         light.repartition("mask", "key").sortWithinPartitions("mask", "key", "pop", "fp")
-        .select("mask", "key", "fp").mapInArrow(_scan_runs, "a bigint, b bigint")
+        .select("mask", "key", "fp").transform(bounded).mapInArrow(_scan_runs, "a bigint, b bigint")
     )
     return scanned if links is None else scanned.union(links)
 
@@ -276,12 +276,12 @@ def keep_one(docs: DataFrame, blocks: int | None = None) -> DataFrame:
     # a component without any id has a null component_id: there each fingerprint is its own group
     group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fp")))
     best = documents.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key", "rows")).alias("b"))
-    chosen = write_table(best.select(F.col("b.doc_id").alias("_id"), F.col("b.text_key").alias("_key"), F.col("b.rows").alias("_rows")), "chosen")
-    kept = docs.withColumn("_text_key", F.xxhash64("text")).join(
-        chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key"))
+    chosen = write_table(best.select(F.col("b.doc_id").alias("__id"), F.col("b.text_key").alias("__key"), F.col("b.rows").alias("__rows")), "chosen")
+    kept = docs.withColumn("__text_key", F.xxhash64("text")).join(
+        chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key"))
     )
-    single = kept.filter("_rows = 1").select(*docs.columns)
-    return single.union(kept.filter("_rows > 1").dropDuplicates(["_id", "_key"]).select(*docs.columns))
+    single = kept.filter("__rows = 1").select(*docs.columns)
+    return single.union(kept.filter("__rows > 1").dropDuplicates(["__id", "__key"]).select(*docs.columns))
 
 
 def report(found: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.common import bounded
 from tessera.session import write_table
 
 #: Vectors of a block, queries of a chunk, blocks of a page of summaries, pivots that order the vectors.
@@ -99,9 +100,9 @@ def _grouped(vectors: DataFrame, pivots: np.ndarray, size: int, name: str) -> Da
         if rest is not None and rest.num_rows:
             yield emit(rest)
 
-    placed = vectors.mapInArrow(place, "vec_id bigint, terms array<bigint>, cell bigint, near bigint")
+    placed = vectors.transform(bounded).mapInArrow(place, "vec_id bigint, terms array<bigint>, cell bigint, near bigint")
     ordered = placed.repartitionByRange("cell", "near", "vec_id").sortWithinPartitions("cell", "near", "vec_id")
-    return write_table(ordered.select("vec_id", "terms").mapInArrow(cut, "block bigint, n int, ids binary, terms binary, high binary, low binary"), name)
+    return write_table(ordered.select("vec_id", "terms").transform(bounded).mapInArrow(cut, "block bigint, n int, ids binary, terms binary, high binary, low binary"), name)
 
 
 def _pages(blocks: DataFrame) -> DataFrame:
@@ -116,7 +117,7 @@ def _pages(blocks: DataFrame) -> DataFrame:
                     [pa.array([numbers.tobytes()]), pa.array([part.column("high").to_pylist()]), pa.array([part.column("low").to_pylist()])], names=["numbers", "high", "low"]
                 )
 
-    return blocks.select("block", "high", "low").mapInArrow(run, "numbers binary, high array<binary>, low array<binary>")
+    return blocks.select("block", "high", "low").transform(bounded).mapInArrow(run, "numbers binary, high array<binary>, low array<binary>")
 
 
 def _stacked(blobs: list[bytes]) -> np.ndarray:
@@ -201,14 +202,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, slots: int = 16) ->
     pages = _pages(blocks).withColumn("slot", F.pmod(F.xxhash64("numbers"), F.lit(slots)).cast("int"))
     asked = chunks.select("chunk", "q_n", "q_terms", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
     schema = "chunk bigint, block bigint, bounds binary, best bigint, first binary"
-    pairs = write_table(asked.join(pages, "slot").drop("slot").mapInArrow(bound, schema), "bounds")
+    pairs = write_table(asked.join(pages, "slot").drop("slot").transform(bounded).mapInArrow(bound, schema), "bounds")
 
     def scored(chosen: DataFrame) -> DataFrame:
         """Rows of chunk and block with their terms, in falling order of bound within a chunk."""
         rows = chosen.join(chunks, "chunk").join(blocks.select("block", "ids", "terms"), "block")
         spread = rows.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(slots))).repartition("chunk", "salt")
         ordered = spread.sortWithinPartitions("chunk", "salt", F.col("best").desc()).drop("salt", "best", "q_n", "block")
-        return ordered.mapInArrow(lambda batches: _score(batches, k), "query_id bigint, vec_id bigint, score bigint")
+        return ordered.transform(bounded).mapInArrow(lambda batches: _score(batches, k), "query_id bigint, vec_id bigint, score bigint")
 
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     wanted = F.expr("exists(sequence(1, octet_length(first)), i -> substring(first, i, 1) = X'01')")
@@ -230,9 +231,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, slots: int = 16) ->
                 ids = np.frombuffer(row["q_ids"], np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), row["chunk"])), pa.array(ids)], names=["chunk", "query_id"])
 
-    in_chunk = chunks.select("chunk", "q_ids").mapInArrow(members, "chunk bigint, query_id bigint").join(kth, "query_id")
+    in_chunk = chunks.select("chunk", "q_ids").transform(bounded).mapInArrow(members, "chunk bigint, query_id bigint").join(kth, "query_id")
     known = in_chunk.groupBy("chunk").agg(F.collect_list(F.struct("query_id", "kth")).alias("known"))  # CHUNK entries at most
-    floor = write_table(chunks.select("chunk", "q_ids").join(known, "chunk", "left").mapInArrow(floors, "chunk bigint, floor binary"), "floors")
+    floor = write_table(chunks.select("chunk", "q_ids").join(known, "chunk", "left").transform(bounded).mapInArrow(floors, "chunk bigint, floor binary"), "floors")
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,7 +246,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, slots: int = 16) ->
             part = batch.take(pa.array(keep, pa.int64())).drop_columns(["first"])
             yield part.append_column("wanted", pa.array(masks, pa.binary())).select(["chunk", "block", "bounds", "best", "wanted", "floor"])
 
-    left = pairs.join(floor, "chunk").select("chunk", "block", "bounds", "best", "first", "floor").mapInArrow(
+    left = pairs.join(floor, "chunk").select("chunk", "block", "bounds", "best", "first", "floor").transform(bounded).mapInArrow(
         prune, "chunk bigint, block bigint, bounds binary, best bigint, wanted binary, floor binary"
     )
     every = early.union(scored(left))
