@@ -8,22 +8,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import slices
+from tessera.llm.common import bounded, slices
 from tessera.session import write_table
 
 #: Ends each document.
 END_ID = 0
-#: Pre-tokens of the byte-level vocabulary (fixed values; they must equal the tokenizer's own).
-PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces between spaces that may not be taken alone: empty, or white space at either end.
 UNSAFE = r"^$|^[\s\x0b\x1c-\x1f\x{85}\p{Z}]|[\s\x0b\x1c-\x1f\x{85}\p{Z}]$"
-#: Pre-tokens that a worker remembers at most.
-REMEMBERED = 1_000_000
+#: Pieces that are surely a word and a mark behind it: two pre-tokens of the byte-level vocabulary.
+WORD_AND_MARK = r"^(?P<word>[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}\x{400}-\x{481}]+)(?P<mark>[!-/:-@\[-`{-~]*)$"
+#: Parts that a worker remembers at most, and text bytes that it encodes at once.
+REMEMBERED, ENCODE_BYTES = 500_000, 4 * 1024 * 1024
 #: Row groups, pages and encodings: small pages with a page index let a reader skip to some rows;
 #: ids are dictionary-encoded, and delta-encoded where a dictionary grows too large.
 FILE_OPTIONS = {
@@ -40,9 +39,10 @@ FILE_OPTIONS = {
 class Encoder:
     """Whole texts to ids as the tokenizer gives them.
 
-    The tokenizer never merges across pre-tokens, so it encodes each distinct pre-token once.
-    A text is cut at its single spaces, and the pieces are cut into pre-tokens; a text with
-    white space beside such a cut goes to the tokenizer as a whole.
+    The tokenizer never merges across pre-tokens, so a text is cut at its single spaces, each
+    distinct piece is cut into a word and its mark where that is sure, and the tokenizer
+    encodes each distinct part once. A text with white space beside a cut goes to the
+    tokenizer as a whole.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -53,70 +53,106 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
         self.begins[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
-        self.known: dict[str, np.ndarray] = {}
-        self.cut = regex.compile(PRE_TOKENS).findall
+        self.forget()
+
+    def forget(self) -> None:
+        """Known parts by number; number 0 is the empty part."""
+        self.known: dict[str, int] = {"": 0}
+        self.pool, self.lengths = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, missing: list[str]) -> None:
-        """Encode new pre-tokens; those of a space and letters many at a time, as one text."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        spaced = [m for m in missing if m[0] == " " and m[1:].isalpha()]
-        other = [m for m in missing if not (m[0] == " " and m[1:].isalpha())]
+    def numbers(self, parts: list[str]) -> np.ndarray:
+        """Number of each of these parts; new ones are encoded, spaced ones many at a time as one text."""
+        known = self.known
+        found = np.fromiter((known.get(p, -1) for p in parts), np.int64, len(parts))
+        new = [parts[i] for i in np.flatnonzero(found < 0).tolist()]
+        if not new:
+            return found
+        spaced, other = [p for p in new if p[0] == " "], [p for p in new if p[0] != " "]
+        names, ids, lengths = [], [self.pool], [self.lengths]
         groups = [spaced[i : i + 256] for i in range(0, len(spaced), 256)]
-        for group, ids in zip(groups, self._encode(["".join(g) for g in groups]), strict=True):
-            starts = np.flatnonzero(self.begins[ids])
-            if len(starts) == len(group):
-                self.known.update(zip(group, np.split(ids, starts[1:]), strict=True))
+        for group, own in zip(groups, self._encode(["".join(g) for g in groups]), strict=True):
+            starts = np.flatnonzero(self.begins[own])
+            if len(starts) == len(group):  # the one space of each part begins its first token
+                names += group
+                ids.append(own)
+                lengths.append(np.diff(np.append(starts, len(own))))
             else:
                 other += group
-        self.known.update(zip(other, self._encode(other), strict=True))
+        for name, own in zip(other, self._encode(other), strict=True):
+            names.append(name)
+            ids.append(own)
+            lengths.append(np.array([len(own)]))
+        known.update(zip(names, range(len(self.lengths), len(self.lengths) + len(names)), strict=True))
+        self.pool, self.lengths = np.concatenate(ids), np.concatenate(lengths)
+        return np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row with END_ID after each text, and where each text's ids begin and end."""
+        if len(self.known) > REMEMBERED:
+            self.forget()
         lists = pc.split_pattern(texts, " ")
-        flat = lists.flatten()
         offsets = lists.offsets.to_numpy().astype(np.int64)
         offsets -= offsets[0]
-        coded = flat.dictionary_encode()
-        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        pieces = coded.dictionary.to_pylist()
+        coded = lists.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False)
         unsafe = pc.match_substring_regex(coded.dictionary, UNSAFE).to_numpy(zero_copy_only=False)
         bad = np.concatenate([[0], np.cumsum(unsafe[codes])])
         bad = bad[offsets[1:]] > bad[offsets[:-1]]
 
-        # what is to be encoded: pieces with their space, each text's first piece without, END_ID, whole texts
+        # the distinct pieces that follow a space, as a first part with its space and a mark
+        cut = pc.extract_regex(coded.dictionary, WORD_AND_MARK)
+        sure = cut.is_valid()
+        first = pc.if_else(sure, pc.struct_field(cut, "word"), coded.dictionary).dictionary_encode()
+        mark = pc.if_else(sure, pc.struct_field(cut, "mark"), "").dictionary_encode()
+        needed = np.zeros(len(unsafe), bool)
         at_first = np.zeros(len(codes), bool)
         at_first[offsets[:-1]] = True
-        size = len(pieces)
-        units = codes + size * at_first
-        drop = np.repeat(bad, np.diff(offsets))
-        used, units = np.unique(units[~drop], return_inverse=True)
-        names = [" " + pieces[u] if u < size else pieces[u - size] for u in used.tolist()]
-        cut = [(n,) if n.isalpha() or (n[0] == " " and n[1:].isalpha()) else self.cut(n) for n in names]
-        missing = list({p for c in cut for p in c if p not in self.known})
-        if missing:
-            self._learn(missing)
-        known = self.known
-        ids = [known[c[0]] if len(c) == 1 else np.concatenate([known[p] for p in c]) for c in cut]
-        whole = [t.as_py() for t in texts.filter(pa.array(bad))]
-        ids += [np.array([END_ID], np.uint32), *(self._encode(whole) if whole else [])]
+        inner = ~np.repeat(bad, np.diff(offsets))
+        needed[codes[inner & ~at_first]] = True
+        firsts = first.dictionary.to_pylist()
+        wanted = np.zeros(len(firsts), bool)
+        first_codes = first.indices.to_numpy(zero_copy_only=False)
+        wanted[first_codes[needed]] = True
+        numbers = np.zeros(len(firsts), np.int64)
+        numbers[wanted] = self.numbers([" " + firsts[i] for i in np.flatnonzero(wanted).tolist()])
+        marks = self.numbers(mark.dictionary.to_pylist())
+        # then each text's own first piece, the whole texts, and the end
+        heads = coded.dictionary.take(pa.array(codes[offsets[:-1]][~bad])).to_pylist()
+        head_numbers = self.numbers(heads)
+        whole = self._encode([t.as_py() for t in texts.filter(pa.array(bad))]) if bad.any() else []
+
+        # ids of each kind of piece in one pool: distinct pieces, heads, whole texts, the end
+        parts = np.stack([numbers[first_codes], marks[mark.indices.to_numpy(zero_copy_only=False)]], axis=1)
+        parts[~needed] = 0
+        parts = np.concatenate([parts.ravel(), head_numbers])
+        begins = np.cumsum(self.lengths) - self.lengths
+        piece_ids, edges = _gathered(self.pool, begins, self.lengths, parts)
+        size = len(unsafe)
+        edges = np.concatenate([edges[: 2 * size : 2], edges[2 * size :]])
+        lengths = np.concatenate([np.diff(edges), [len(w) for w in whole], [1]]).astype(np.int64)
+        pool = np.concatenate([piece_ids, *whole, np.array([END_ID], np.uint32)])
 
-        # the order of units: those of each text, or its whole, then the end
         n_units = np.where(bad, 1, np.diff(offsets)) + 1
         ends = np.cumsum(n_units)
         order = np.full(int(ends[-1]) if len(ends) else 0, -1, np.int64)
-        order[ends - 1] = len(names)
-        order[(ends - 2)[bad]] = len(names) + 1 + np.arange(int(bad.sum()))
-        order[order == -1] = units
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        first = np.cumsum(lengths) - lengths
-        pool, own = np.concatenate(ids), lengths[order]
-        stops = np.cumsum(own)
-        out = pool[np.repeat(first[order] - (stops - own), own) + np.arange(int(stops[-1]) if len(stops) else 0)]
-        return out, np.concatenate([[0], stops[ends - 1]])
+        order[ends - 1] = len(lengths) - 1
+        order[(ends - 2)[bad]] = size + len(heads) + np.arange(int(bad.sum()))
+        units = codes.astype(np.int64)
+        units[offsets[:-1][~bad]] = size + np.arange(len(heads))
+        order[order == -1] = units[inner]
+        ids, edges = _gathered(pool, np.cumsum(lengths) - lengths, lengths, order)
+        return ids, np.concatenate([[0], edges[ends]])
+
+
+def _gathered(pool: np.ndarray, begins: np.ndarray, lengths: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs pool[begins[i] : begins[i] + lengths[i]] for i in ``order`` in a row, and their edges."""
+    own = lengths[order]
+    edges = np.concatenate([[0], np.cumsum(own)])
+    shift = np.repeat(begins[order] - edges[:-1], own)
+    return pool[shift + np.arange(int(edges[-1]))], edges
 
 
 _encoders: dict[int, Encoder] = {}
@@ -145,7 +181,7 @@ def write_tokens(docs: DataFrame, tokenizer_json: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, before = encoder_of(shipped.value), TaskContext.get().partitionId(), 0
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", ENCODE_BYTES):
             ids, offsets = encoder.encode(pc.fill_null(batch.column("text"), ""))
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.view(np.int32)))
             n = batch.num_rows
@@ -155,11 +191,12 @@ def write_tokens(docs: DataFrame, tokenizer_json: str) -> DataFrame:
                 names=["doc_id", "part", "before", "n_tokens", "ids"],
             )
             before += int(offsets[-1])
+        encoder.forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("_k"), F.monotonically_increasing_id().alias("_r"))
     ordered = keyed.repartitionByRange("doc_id", "_k", "_r").sortWithinPartitions("doc_id", "_k", "_r").select("doc_id", "text")
-    encoded = ordered.mapInArrow(run, f"doc_id {kind}, part int, before bigint, n_tokens bigint, ids array<int>")
+    encoded = ordered.transform(bounded).mapInArrow(run, f"doc_id {kind}, part int, before bigint, n_tokens bigint, ids array<int>")
     return write_table(encoded, "tokens", **FILE_OPTIONS)
 
 
@@ -184,6 +221,6 @@ def report(tokens: DataFrame) -> DataFrame:
             )
 
     kind = tokens.schema["doc_id"].dataType.simpleString()
-    summed = tokens.mapInArrow(run, f"doc_id {kind}, part int, before bigint, n_tokens bigint, ids_crc32 bigint")
+    summed = tokens.transform(bounded).mapInArrow(run, f"doc_id {kind}, part int, before bigint, n_tokens bigint, ids_crc32 bigint")
     bases = write_table(starts(tokens), "token-starts")
     return summed.join(bases, "part").select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
