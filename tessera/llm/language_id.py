@@ -11,13 +11,18 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import coded_words, id_crc, slices, sums_between
+from tessera.llm.common import bounded, coded_words, id_crc, slices, sums_between
 from tessera.session import write_table
 
 #: Longest n-gram; marks before and after each word.
 ORDER, BEFORE, AFTER = 4, 2, 3
-#: A classifier may learn from a bounded sample: characters a language, and rows for calibration.
-SAMPLE_CHARS, CALIBRATION_ROWS = 6_000_000, 4_000
+#: A classifier may learn from a bounded sample: about so many characters of each language, yet
+#: so many rows where they are few and long; and rows for calibration.
+SAMPLE_CHARS, SAMPLE_ROWS, CALIBRATION_ROWS = 6_000_000, 500, 4_000
+#: Text bytes scored at once.
+SCORE_BYTES = 4 * 1024 * 1024
+#: Bits by which a text of one character may lie off at least; for longer ones over the root of the length.
+SHORT_SLACK = 10.0
 UNKNOWN = "und"
 _NOT_LETTERS = r"[^\p{L}]+"
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -57,12 +62,13 @@ def gram_keys(points: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
 
 @dataclass
 class KneserNey:
-    """Per order the sorted hashes of the n-grams of all languages, and a row per n-gram of
-    probabilities (0 where a language hasn't it) and of back-off weights as a context."""
+    """Per order the sorted hashes of the n-grams of all languages with a row of probabilities
+    each, and the sorted hashes of their contexts with a row of back-off weights each."""
 
     languages: list[str]
     keys: list[np.ndarray]
     probs: list[np.ndarray]
+    contexts: list[np.ndarray]
     weights: list[np.ndarray]
     base: np.ndarray
 
@@ -82,14 +88,13 @@ class KneserNey:
             np.add.at(cont, (np.searchsorted(keys[n - 1], grams["suffix"][rows]), grams["lang"][rows]), 1)
             raw[n - 1] = cont
         base = np.full(count_l, 1.0 / (len(keys[0]) + 1))
-        probs, weights = [], []
+        probs, contexts, weights = [], [], []
         for n in range(1, ORDER + 1):
             rows = grams["n"] == n
             at, lang = np.searchsorted(keys[n - 1], grams["key"][rows]), grams["lang"][rows]
             counts = raw[n - 1][at, lang]
-            contexts = keys[n - 2] if n > 1 else np.zeros(1, np.uint64)
-            context = np.searchsorted(contexts, grams["prefix"][rows]) if n > 1 else np.zeros(len(at), np.int64)
-            total, kinds = np.zeros((len(contexts) + 1, count_l)), np.zeros((len(contexts) + 1, count_l))
+            own_contexts, context = np.unique(grams["prefix"][rows], return_inverse=True)
+            total, kinds = np.zeros((len(own_contexts), count_l)), np.zeros((len(own_contexts), count_l))
             np.add.at(total, (context, lang), counts)
             np.add.at(kinds, (context, lang), counts > 0)
             once = np.bincount(lang[counts == 1], minlength=count_l)
@@ -97,36 +102,50 @@ class KneserNey:
             discount = np.where(once + twice > 0, np.maximum(once / np.maximum(once + 2 * twice, 1), 0.1), 0.75)
             weight = np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0)
             if n == 1:
-                lower = np.broadcast_to(base, (len(at), count_l))[np.arange(len(at)), lang]
+                lower = base[lang]
             else:
                 below = np.searchsorted(keys[n - 2], grams["suffix"][rows])
                 lower = probs[n - 2][below, lang]
-                weights.append(weight[:-1].astype(np.float32))
-            found = np.zeros_like(raw[n - 1])
+            # every n-gram has a row for all languages: those that haven't it back off here, once
+            found = np.tile(base, (len(keys[n - 1]), 1))
+            if n > 1:
+                found[at] = weight[context] * probs[n - 2][below]
             found[at, lang] = np.maximum(counts - discount[lang], 0) / np.maximum(total[context, lang], 1) + weight[context, lang] * lower
             if n == 1:
+                unseen = np.ones(found.shape, bool)
+                unseen[at, lang] = False
                 base = base * weight[0]
+                found = np.where(unseen, base, found)
             probs.append(found)
-        return cls(languages, keys, [p.astype(np.float32) for p in probs], weights, base.astype(np.float32))
-
-    def _find(self, n: int, keys: np.ndarray) -> np.ndarray:
-        """Row of each key, or -1."""
-        at = np.minimum(np.searchsorted(self.keys[n - 1], keys), len(self.keys[n - 1]) - 1)
-        return np.where(self.keys[n - 1][at] == keys, at, -1)
+            contexts.append(own_contexts)
+            weights.append(weight.astype(np.float32))
+        return cls(languages, keys, [p.astype(np.float32) for p in probs], contexts, weights, base.astype(np.float32))
+
+    @staticmethod
+    def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Row of each key in a sorted table, or -1."""
+        at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+        return np.where(table[at] == keys, at, -1)
+
+    def _probs(self, points: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+        """Probability of each place after n - 1 characters; what has no n-gram backs off."""
+        if n == 0:
+            return np.tile(self.base, (len(at), 1))
+        row = self._find(self.keys[n - 1], gram_keys(points, at, n))
+        out = self.probs[n - 1][row]
+        rest = np.flatnonzero(row < 0)
+        if len(rest):
+            lower = self._probs(points, at[rest], n - 1)
+            if n > 1:
+                context = self._find(self.contexts[n - 1], gram_keys(points, at[rest] - 1, n - 1))
+                seen = context >= 0
+                lower[seen] *= self.weights[n - 1][context[seen]]
+            out[rest] = lower
+        return out
 
     def log_probs(self, points: np.ndarray, at: np.ndarray) -> np.ndarray:
         """log2 probability of each place in each language."""
-        now = np.broadcast_to(self.base, (len(at), len(self.languages))).copy()
-        for n in range(1, ORDER + 1):
-            if n > 1:
-                context = self._find(n - 1, gram_keys(points, at - 1, n - 1))
-                seen = context >= 0
-                now[seen] *= self.weights[n - 2][context[seen]]
-            row = self._find(n, gram_keys(points, at, n))
-            seen = np.flatnonzero(row >= 0)
-            own = self.probs[n - 1][row[seen]]
-            now[seen] = np.where(own > 0, own, now[seen])
-        return np.log2(now)
+        return np.log2(self._probs(points, at, ORDER))
 
     def word_scores(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Per word the log2 probability of its letter runs in each language, and the places predicted."""
@@ -176,7 +195,7 @@ def _word_counts(docs: DataFrame) -> DataFrame:
     """``lang, word, count`` with partial counts from each batch, summed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SCORE_BYTES):
             codes, words, offsets = coded_words(pc.fill_null(batch.column("text"), ""))
             langs = batch.column("lang").dictionary_encode()
             lang = np.repeat(langs.indices.to_numpy(zero_copy_only=False), np.diff(offsets))
@@ -186,7 +205,7 @@ def _word_counts(docs: DataFrame) -> DataFrame:
                 [langs.dictionary.take(which[0]), words.take(which[1]), pa.array(counts)], names=["lang", "word", "count"]
             )
 
-    return docs.select("text", "lang").mapInArrow(run, "lang string, word string, count bigint").groupBy("lang", "word").agg(F.sum("count").alias("count"))
+    return docs.select("text", "lang").transform(bounded).mapInArrow(run, "lang string, word string, count bigint").groupBy("lang", "word").agg(F.sum("count").alias("count"))
 
 
 def _gram_counts(words: DataFrame) -> DataFrame:
@@ -216,7 +235,7 @@ def _gram_counts(words: DataFrame) -> DataFrame:
                     names=["lang", "n", "key", "prefix", "suffix", "count"],
                 )
 
-    grams = words.select("lang", "word", "count").mapInArrow(run, "lang string, n int, key bigint, prefix bigint, suffix bigint, count bigint")
+    grams = words.select("lang", "word", "count").transform(bounded).mapInArrow(run, "lang string, n int, key bigint, prefix bigint, suffix bigint, count bigint")
     return grams.groupBy("lang", "n", "key").agg(F.first("prefix").alias("prefix"), F.first("suffix").alias("suffix"), F.sum("count").alias("count"))
 
 
@@ -224,15 +243,16 @@ def train(docs: DataFrame, trains: Column, sample_chars: int = SAMPLE_CHARS, cal
     """Learn from the rows of ``docs`` where ``trains`` holds and text and lang aren't null.
 
     Of each language a sample is taken by id hash at the rate that gives ``sample_chars``
-    characters, whole texts each, so the n-gram tables that come to the driver and go out to
-    the tasks are bounded by ``sample_chars`` a language. Another sample of about
+    characters (SAMPLE_ROWS rows at least), whole texts each, so the n-gram tables that come to
+    the driver and go out to the tasks are bounded a language. Another sample of about
     ``calibration_rows`` rows sets the scale of the scores and the limits for rejection.
     """
     spark = docs.sparkSession
     known = docs.filter(trains & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
     totals = known.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("rows"))
     rates = write_table(
-        totals.select("lang", F.least(F.lit(1.0), sample_chars / F.greatest("chars", F.lit(1))).alias("rate"), "rows"), "language-rates"
+        totals.select("lang", F.least(F.lit(1.0), F.greatest(sample_chars / F.greatest("chars", F.lit(1)), SAMPLE_ROWS / F.col("rows"))).alias("rate"), "rows"),
+        "language-rates",
     )
     draw = F.pmod(F.xxhash64(F.lit(5), "doc_id", F.length("text")), F.lit(1 << 30)) / float(1 << 30)
     held = F.pmod(F.xxhash64(F.lit(6), "doc_id", F.length("text")), F.lit(10)) == 0
@@ -252,11 +272,11 @@ def train(docs: DataFrame, trains: Column, sample_chars: int = SAMPLE_CHARS, cal
     shipped = spark.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SCORE_BYTES):
             bits, n = shipped.value.entropies(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(list(bits)), pa.array(n)], names=["lang", "bits", "n"])
 
-    tried = rows.select("text", "lang").mapInArrow(measure, "lang string, bits array<double>, n double").filter("n > 0").toPandas()
+    tried = rows.select("text", "lang").transform(bounded).mapInArrow(measure, "lang string, bits array<double>, n double").filter("n > 0").toPandas()
     return calibrated(model, tried["lang"].map(place), tried["bits"], tried["n"])
 
 
@@ -276,14 +296,18 @@ def calibrated(model: LanguageModel, truth, bits, n) -> LanguageModel:
     own = bits[np.arange(len(n)), truth]
     right = bits.argmin(axis=1) == truth
     centre = np.array([np.median(own[right & (truth == i)]) if (right & (truth == i)).any() else np.inf for i in range(languages)])
-    over = np.maximum((own - centre[truth]) * np.sqrt(n), 0)[right & np.isfinite(centre[truth])]
-    # texts of a language stay within this of its centre; what is a bit a character beyond is rejected
-    model.slack = float(2 * np.quantile(over, 0.999)) if len(over) else 0.0
-    model.limits = centre + 1.0
+    near = right & np.isfinite(centre[truth])
+    over, n = np.maximum(own - centre[truth], 0)[near], n[near]
+    # how far texts lie from their language's centre: long ones by a constant, short ones by
+    # more with the root of their length; half as much again, and half a bit, is let pass
+    far = lambda values: 1.5 * float(np.quantile(values, 0.999)) if len(values) else 0.0
+    usual = far(over[n >= 300])
+    model.slack = max(SHORT_SLACK, far(np.maximum(over - usual, 0) * np.sqrt(n)))
+    model.limits = centre + usual + 0.5
     return model
 
 
-def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred, score, bits, rejected`` added, in one pass without a shuffle.
 
     Each language predicts every letter run of the text with a mark at its end; the one of
@@ -295,16 +319,15 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_lid_text"):
-            names, score, bits, rejected = shipped.value.predict(batch.column("_lid_text"))
-            rest = batch.drop_columns(["_lid_text"])
+        for batch in slices(batches, text, SCORE_BYTES):
+            names, score, bits, rejected = shipped.value.predict(batch.column(text))
             yield pa.RecordBatch.from_arrays(
-                [*rest.columns, pa.array(names), pa.array(score), pa.array(bits), pa.array(rejected)],
-                names=[*rest.schema.names, "lang_pred", "score", "bits", "rejected"],
+                [*batch.columns, pa.array(names, pa.string()), pa.array(score), pa.array(bits), pa.array(rejected)],
+                names=[*batch.schema.names, "lang_pred", "score", "bits", "rejected"],
             )
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.withColumn("_lid_text", F.col("text")).mapInArrow(run, f"{fields}, lang_pred string, score double, bits double, rejected boolean")
+    return docs.transform(bounded).mapInArrow(run, f"{fields}, lang_pred string, score double, bits double, rejected boolean")
 
 
 def held_out() -> Column:
@@ -316,5 +339,7 @@ def report(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """``docs`` without those that the models reject, with their own columns."""
-    return identify(docs, model).filter("not rejected").select(*docs.columns)
+    """``docs`` without those that the models reject, with their own columns (whatever their names)."""
+    numbered = docs.toDF(*(f"__{i}" for i in range(len(docs.columns))))
+    kept = identify(numbered, model, f"__{docs.columns.index('text')}").filter("not rejected")
+    return kept.select(*numbered.columns).toDF(*docs.columns)
