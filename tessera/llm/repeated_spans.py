@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import slices
+from tessera.llm.common import bounded, slices
 from tessera.session import write_table
 
 #: A run has at least so many sentences and words; one sentence of LONE_WORDS is a run by itself.
@@ -88,7 +88,7 @@ def sentence_runs(docs: DataFrame, sentences: int = SENTENCES, run_words: int =
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    return keyed.mapInArrow(run, f"doc_id {kind}, text_key bigint, first int, end int, words int, h1 bigint, h2 bigint")
+    return keyed.transform(bounded).mapInArrow(run, f"doc_id {kind}, text_key bigint, first int, end int, words int, h1 bigint, h2 bigint")
 
 
 def repeated_spans(docs: DataFrame, sentences: int = SENTENCES, run_words: int = RUN_WORDS, lone_words: int = LONE_WORDS) -> DataFrame:
@@ -103,9 +103,9 @@ def repeated_spans(docs: DataFrame, sentences: int = SENTENCES, run_words: int =
     in a third of all documents is never gathered in one task. Null and empty texts have no
     runs. Rows with the same id and text count as one document; a null id is less than any.
     """
-    runs = write_table(sentence_runs(docs, sentences, run_words, lone_words).distinct(), "runs")
+    runs = write_table(sentence_runs(docs, sentences, run_words, lone_words), "runs")
     place = F.struct("doc_id", "text_key", "first")
-    groups = runs.groupBy("h1", "h2").agg(F.min(place).alias("p"), F.count("*").alias("n")).filter("n > 1")
+    groups = runs.groupBy("h1", "h2").agg(F.min(place).alias("p"), F.max(place).alias("q")).filter(~F.col("p").eqNullSafe(F.col("q")))
     repeated = write_table(groups.select("h1", "h2", "p"), "repeated-runs")
     later = runs.join(repeated, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("p")))
     own = Window.partitionBy("doc_id", "text_key").orderBy("first", "end")
@@ -120,19 +120,21 @@ def repeated_spans(docs: DataFrame, sentences: int = SENTENCES, run_words: int =
 
 def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``docs`` with the sentences of ``spans`` cut out of the text; all else as it was."""
-    per_doc = spans.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("first", "end"))).alias("_cut"))
-    per_doc = per_doc.withColumnRenamed("doc_id", "_id").withColumnRenamed("text_key", "_key")
-    joined = docs.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left")
+    per_doc = spans.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("first", "end"))).alias("__cut"))
+    per_doc = per_doc.withColumnRenamed("doc_id", "__id").withColumnRenamed("text_key", "__key")
+    joined = docs.join(per_doc, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left")
+
+    columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index("text")
             texts = []
-            for text, cut in zip(batch.column("text").to_pylist(), batch.column("_cut").to_pylist(), strict=True):
+            for text, cut in zip(batch.column("text").to_pylist(), batch.column("__cut").to_pylist(), strict=True):
                 texts.append(cut_sentences(text, [(c["first"], c["end"]) for c in cut]) if cut else text)
-            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type)).select(docs.columns)
+            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type)).select(columns)
 
-    return joined.drop("_id", "_key").mapInArrow(run, docs.schema)
+    return joined.drop("__id", "__key").transform(bounded).mapInArrow(run, docs.schema)
 
 
 def cut_sentences(text: str, spans: list[tuple[int, int]]) -> str:
