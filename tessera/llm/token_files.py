@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -46,6 +47,7 @@ class Encoder:
     """
 
     def __init__(self, tokenizer_json: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallel part
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
@@ -73,7 +75,8 @@ class Encoder:
         spaced, other = [p for p in new if p[0] == " "], [p for p in new if p[0] != " "]
         names, ids, lengths = [], [self.pool], [self.lengths]
         groups = [spaced[i : i + 256] for i in range(0, len(spaced), 256)]
-        for group, own in zip(groups, self._encode(["".join(g) for g in groups]), strict=True):
+        encoded = (own for at in range(0, len(groups), 16) for own in self._encode(["".join(g) for g in groups[at : at + 16]]))
+        for group, own in zip(groups, encoded, strict=True):
             starts = np.flatnonzero(self.begins[own])
             if len(starts) == len(group):  # the one space of each part begins its first token
                 names += group
