@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import annotate, chunk, lexicons, rewrite, text
@@ -558,6 +558,45 @@ def boosted_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.boosted_cosine(_boosted(spark, sf_dir), 5).select("query_id", "id", distance, "score", "rank")
 
 
+#: As BOOSTS, with every document as a candidate of every query.
+BOOSTS_OF_ALL = BOOSTS.replace("JOIN documents d ON d.doc_id % 40 = b.item_id % 40", "CROSS JOIN documents d")
+
+
+def _boost_words(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All documents that have a vector, and the queries with two keywords and a type."""
+    docs = table(spark, sf_dir, "documents").join(_vectors(spark, sf_dir), F.col("doc_id") == F.col("id"))
+    words, hint = F.array(F.lit("src1"), F.lit("THE")), F.when(F.col("query_id") % 2 == 0, "meeting").otherwise("en")
+    return docs, _queries(spark, sf_dir).select("query_id", "vector", words.alias("keywords"), hint.alias("hint"))
+
+
+def _by_word(keywords: Column) -> Column:
+    return search.keyword_boost(keywords, F.col("source"), F.col("lang"), F.col("text"))
+
+
+def _by_type(hint: Column) -> Column:
+    return search.type_boost(hint, F.col("source"), F.col("lang"), F.col("text"))
+
+
+@registered(f"WITH {BOOSTS_OF_ALL} SELECT query_id, id, by_word, by_type FROM boosts")
+def keyword_and_type_boost_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, queries = _boost_words(spark, sf_dir)
+    profiles = queries.select("keywords", "hint").distinct()
+    boosts = docs.crossJoin(profiles).select("id", "keywords", "hint", _by_word(F.col("keywords")).alias("by_word"), _by_type(F.col("hint")).alias("by_type"))
+    return boosts.join(queries, ["keywords", "hint"]).select("query_id", "id", "by_word", "by_type")
+
+
+@registered(
+    f"""
+WITH {BOOSTS_OF_ALL}, cos AS (SELECT *, {COSINE} AS c, by_word + by_type AS boost FROM boosts),
+scored AS (SELECT *, round(c + 0.3::DOUBLE * boost / greatest(max(boost) OVER (PARTITION BY query_id), 1.0::DOUBLE), 6) AS score FROM cos),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM scored)
+SELECT query_id, id, round(1 - c, 6) + 0.0::DOUBLE AS distance, score, rank FROM ranked WHERE rank <= 5"""
+)
+def boosted_cosine_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, queries = _boost_words(spark, sf_dir)
+    return search.boosted_nearest(docs, queries, lambda keywords, hint: _by_word(keywords) + _by_type(hint), 5)
+
+
 CITED = """
 cited AS (SELECT query_id, source, min(rank) AS first, count(*) AS n FROM found GROUP BY query_id, source),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first) AS number FROM cited),

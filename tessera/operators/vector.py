@@ -29,7 +29,7 @@ def cosine(one: Column, two: Column) -> Column:
     return dot(one, two) / (norm(one) * norm(two))
 
 
-def _scores(queries: np.ndarray, matrix: np.ndarray, metric: str) -> np.ndarray:
+def scores_of(queries: np.ndarray, matrix: np.ndarray, metric: str) -> np.ndarray:
     if metric == "l2":
         squares = (queries**2).sum(axis=1)[:, None] + (matrix**2).sum(axis=1)[None] - 2 * queries @ matrix.T
         return -np.sqrt(np.maximum(squares, 0))
@@ -39,6 +39,21 @@ def _scores(queries: np.ndarray, matrix: np.ndarray, metric: str) -> np.ndarray:
     return queries @ matrix.T
 
 
+def pairs(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """``q, v``: each block of QUERY_BLOCK queries beside each batch of vectors, as lists of structs of all their columns.
+
+    Rows whose ``vector`` is null take no part.
+    """
+    packed = queries.filter(F.col("vector").isNotNull()).withColumn("_block", F.floor(F.monotonically_increasing_id() / QUERY_BLOCK))
+    blocks = packed.groupBy("_block").agg(F.collect_list(F.struct(*queries.columns)).alias("q"))
+    batches_of = vectors.filter(F.col("vector").isNotNull())
+    rows = batches_of.withColumn("_batch", F.floor(F.monotonically_increasing_id() / 2048)).groupBy("_batch").agg(F.collect_list(F.struct(*vectors.columns)).alias("v"))
+    slots = 8
+    left = blocks.select("q", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
+    right = rows.select("v", F.pmod(F.xxhash64("_batch"), F.lit(slots)).cast("int").alias("slot"))
+    return left.join(right, "slot").select("q", "v")
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, metric: str = "cosine") -> DataFrame:
     """``query_id, id, score, rank`` of the ``k`` best of ``vectors(id, vector)``, ties by id.
 
@@ -50,13 +65,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, metric: str = "c
     if metric not in ("cosine", "dot", "l2"):
         raise ValueError(metric)
     ship(vectors.sparkSession)
-    packed = queries.filter(F.col("vector").isNotNull()).withColumn("_block", F.floor(F.monotonically_increasing_id() / QUERY_BLOCK))
-    blocks = packed.groupBy("_block").agg(F.collect_list(F.struct("query_id", "vector")).alias("q"))
-    batches_of = vectors.filter(F.col("vector").isNotNull()).select("id", "vector")
-    rows = batches_of.withColumn("_batch", F.floor(F.monotonically_increasing_id() / 2048)).groupBy("_batch").agg(F.collect_list(F.struct("id", "vector")).alias("v"))
-    slots = 8
-    left = blocks.select("q", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
-    right = rows.select("v", F.pmod(F.xxhash64("_batch"), F.lit(slots)).cast("int").alias("slot"))
+    paired = pairs(vectors.select("id", "vector"), queries.select("query_id", "vector"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -64,7 +73,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, metric: str = "c
                 q, v = batch.column("q")[i].values, batch.column("v")[i].values
                 names, ids = q.field("query_id").to_numpy(zero_copy_only=False), v.field("id").to_numpy(zero_copy_only=False)
                 matrix = np.array(v.field("vector").to_pylist(), np.float64)
-                scores = np.round(_scores(np.array(q.field("vector").to_pylist(), np.float64), matrix, metric), 6)
+                scores = np.round(scores_of(np.array(q.field("vector").to_pylist(), np.float64), matrix, metric), 6)
                 order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
                 n = order.shape[1]
                 yield pa.RecordBatch.from_arrays(
@@ -72,6 +81,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, metric: str = "c
                     names=["query_id", "id", "score"],
                 )
 
-    found = left.join(right, "slot").select("q", "v").mapInArrow(compare, "query_id bigint, id bigint, score double")
+    found = paired.mapInArrow(compare, "query_id bigint, id bigint, score double")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)

@@ -135,3 +135,21 @@ def test_meta_of_an_empty_index(rows):
     assert meta.total_chunks(meta.documents(empty)).first().total_chunks == 0
     done = meta.throughput(rows([("a", True, 1.0), ("b", False, 3.0)], "source string, ok boolean, seconds double")).first()
     assert (done.files, done.failed, done.per_minute) == (2, 1, 30.0)
+
+
+def test_boosted_nearest_takes_all_documents(rows):
+    draw = np.random.default_rng(3)
+    docs = [(i, [float(x) for x in draw.normal(size=4)], f"s{i % 3} cat" if i % 5 == 0 else "s", "en" if i % 4 else "de", "a dog" if i % 7 == 0 else None) for i in range(90)] + [(99, None, "cat", "en", "dog")]
+    queries = [(i, [float(x) for x in draw.normal(size=4)], ["Cat", "dog"] if i % 2 else None, ["en", "de", None][i % 3]) for i in range(7)]
+    boost = lambda keywords, hint: search.keyword_boost(keywords, F.col("source"), F.col("lang"), F.col("text")) + search.type_boost(hint, F.col("source"), F.col("lang"), F.col("text"))
+    found = search.boosted_nearest(
+        rows(docs, "id bigint, vector array<double>, source string, lang string, text string").repartition(3),
+        rows(queries, "query_id bigint, vector array<double>, keywords array<string>, hint string"), boost, 4,
+    ).collect()
+    for q, a, words, hint in queries:
+        own = {i: sum(1.5 * (w.lower() in source) + 0.5 * (w.lower() in (text or "")) for w in words or []) + 2.0 * (lang == hint) for i, v, source, lang, text in docs if v}
+        cos = {i: np.dot(a, v) / np.linalg.norm(a) / np.linalg.norm(v) for i, v, *_ in docs if v}
+        want = sorted((-round(cos[i] + 0.3 * own[i] / max(max(own.values()), 1), 6), i) for i in own)[:4]
+        got = sorted((r for r in found if r.query_id == q), key=lambda r: r.rank)
+        assert [r.id for r in got] == [i for _, i in want]
+        assert all(abs(r.distance - (1 - cos[r.id])) < 1e-6 for r in got)
