@@ -638,6 +638,25 @@ def two_stage_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.with_fallback(search.within(broad, english).select(*broad.columns), broad, near, 0.5)
 
 
+#: BM25 over the English documents alone.
+BM25_ENGLISH = BM25.replace("FROM documents)", "FROM documents WHERE lang = 'en')")
+
+
+@registered(
+    f"""
+WITH english AS (WITH {BM25_ENGLISH} SELECT * FROM keyword_ranked WHERE rank <= 5), {BM25}, {KNN},
+good AS (SELECT query_id FROM vector_ranked WHERE rank <= 5 GROUP BY query_id HAVING round(avg(score), 6) >= 0.5),
+narrow AS (SELECT query_id, id, score, rank, 'focused' AS stage FROM english JOIN good USING (query_id))
+SELECT query_id, id, score, rank, stage FROM narrow UNION ALL
+SELECT query_id, id, score, rank, 'broad' FROM keyword_ranked WHERE rank <= 5 AND query_id NOT IN (SELECT query_id FROM narrow)"""
+)
+def two_stage_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As two_stage_search, with the filter before the focused search."""
+    queries, texts = _queries(spark, sf_dir), _texts(spark, sf_dir)
+    english = table(spark, sf_dir, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("id"))
+    return search.two_stage(texts, _vectors(spark, sf_dir), queries, english, 5, 0.5)
+
+
 # --- reranking
 
 CANDIDATES = f"""

@@ -133,6 +133,12 @@ def with_fallback(focused: DataFrame, broad: DataFrame, vector_hits: DataFrame,
     return found.withColumn("stage", F.lit("focused")).unionByName(broad.join(served, "query_id", "left_anti").withColumn("stage", F.lit("broad")))
 
 
+def two_stage(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, ids: DataFrame, k: int = 5, threshold: float = 0.3) -> DataFrame:
+    """Keyword search among ``ids(id)``, filtered before it ranks; queries it doesn't serve get the search of all chunks."""
+    focused = bm25.search(within(chunks, ids), queries, k)
+    return with_fallback(focused, bm25.search(chunks, queries, k), nearest(vectors, queries, k), threshold)
+
+
 def by_ids(chunks: DataFrame, hits: DataFrame) -> DataFrame:
     """The chunks of ``hits(query_id, id, rank)``, in rank order within each query; unknown ids drop out."""
     return hits.join(chunks, "id").orderBy("query_id", "rank")

@@ -153,3 +153,15 @@ def test_boosted_nearest_takes_all_documents(rows):
         got = sorted((r for r in found if r.query_id == q), key=lambda r: r.rank)
         assert [r.id for r in got] == [i for _, i in want]
         assert all(abs(r.distance - (1 - cos[r.id])) < 1e-6 for r in got)
+
+
+def test_two_stages_filter_before_the_search(rows):
+    chunks = rows([(i, "cat " * (20 - i) + "word " * i) for i in range(12)] + [(20, "bird")], "id bigint, text string")
+    vectors = rows([(i, [1.0, 0.0]) for i in range(3)], "id bigint, vector array<double>")
+    queries = rows([(1, "cat", [1.0, 0.0]), (2, "bird", [1.0, 0.0]), (3, "cat", [0.0, 1.0])], "query_id bigint, query string, vector array<double>")
+    english = rows([(i,) for i in (1, 6, 8, 9, 10, 11)], "id bigint")
+    found = search.two_stage(chunks, vectors, queries, english, 3, 0.5).orderBy("rank").collect()
+    hits = {q: [(r.id, r.stage) for r in found if r.query_id == q] for q in (1, 2, 3)}
+    assert hits[1] == [(1, "focused"), (6, "focused"), (8, "focused")]
+    assert hits[2] == [(20, "broad")]
+    assert hits[3] == [(0, "broad"), (1, "broad"), (2, "broad")]
