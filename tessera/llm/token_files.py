@@ -43,15 +43,20 @@ class Encoder:
     The tokenizer never merges across pre-tokens, so a text is cut at its single spaces, each
     distinct piece is cut into a word and its mark where that is sure, and the tokenizer
     encodes each distinct part once. A text with white space beside a cut goes to the
-    tokenizer as a whole.
+    tokenizer as a whole, and so does a text that holds an added token such as
+    ``<|endoftext|>``. With ``added`` such a token is its own id, as the tokenizer has it by
+    default; without, it is encoded like other text.
     """
 
-    def __init__(self, tokenizer_json: str):
+    def __init__(self, tokenizer_json: str, added: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallel part
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if any(" " in token for token in self.added):
+            raise ValueError("texts are cut at spaces; no added token may hold one")
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
         self.begins[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
@@ -102,6 +107,8 @@ class Encoder:
         coded = lists.flatten().dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False)
         unsafe = pc.match_substring_regex(coded.dictionary, UNSAFE).to_numpy(zero_copy_only=False)
+        for token in self.added:  # a piece holds it whole
+            unsafe = unsafe | pc.match_substring(coded.dictionary, token).to_numpy(zero_copy_only=False)
         bad = np.concatenate([[0], np.cumsum(unsafe[codes])])
         bad = bad[offsets[1:]] > bad[offsets[:-1]]
 
@@ -166,7 +173,7 @@ def encoder_of(tokenizer_json: str) -> Encoder:
     key = zlib.crc32(tokenizer_json.encode())
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = Encoder(tokenizer_json)
+        _encoders[key] = Encoder(tokenizer_json, added=True)
     return _encoders[key]
 
 
