@@ -44,16 +44,14 @@ class Encoder:
     distinct piece is cut into a word and its mark where that is sure, and the tokenizer
     encodes each distinct part once. A text with white space beside a cut goes to the
     tokenizer as a whole, and so does a text that holds an added token such as
-    ``<|endoftext|>``. With ``added`` such a token is its own id, as the tokenizer has it by
-    default; without, it is encoded like other text.
+    ``<|endoftext|>``, which is its own id as the tokenizer has it by default.
     """
 
-    def __init__(self, tokenizer_json: str, added: bool = False):
+    def __init__(self, tokenizer_json: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallel part
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = not added
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         if any(" " in token for token in self.added):
             raise ValueError("texts are cut at spaces; no added token may hold one")
@@ -173,7 +171,7 @@ def encoder_of(tokenizer_json: str) -> Encoder:
     key = zlib.crc32(tokenizer_json.encode())
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = Encoder(tokenizer_json, added=True)
+        _encoders[key] = Encoder(tokenizer_json)
     return _encoders[key]
 
 
