@@ -34,6 +34,35 @@ def bounded(df: DataFrame) -> DataFrame:
     return df
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns called c0, c1, ..., and the new name of each.
+
+    Operators that hand on a table's own columns work on such names, so none of theirs can
+    clash with the table's; ``toDF(*df.columns)`` gives the names back.
+    """
+    names = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), dict(zip(df.columns, names, strict=True))
+
+
+#: Rows from which on a key counts as hot.
+HOT_ROWS = 1000
+
+
+def join_by_key(rows: DataFrame, per_key: DataFrame, key: list[str], count: str) -> DataFrame:
+    """``rows`` joined with ``per_key`` (one row a key) without gathering a hot key's rows in a task.
+
+    ``count`` of ``per_key`` is the number of a key's rows. Keys above a 4096th of all rows
+    (and HOT_ROWS) are less than 4096 by that, so they are broadcast; the rest are joined as
+    the planner likes.
+    """
+    total = per_key.agg(F.sum(count)).first()[0] or 0
+    hot = per_key.filter(F.col(count) > max(HOT_ROWS, total // 4096))
+    if hot.isEmpty():
+        return rows.join(per_key.drop(count), key)
+    cool = rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(per_key.drop(count), key)
+    return cool.unionByName(rows.join(F.broadcast(hot.drop(count)), key))
+
+
 def id_crc(doc_id: Column) -> Column:
     """crc32 of the id as text; a null id counts as the empty string."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.common import numbered
 from tessera.session import write_table
 
 #: Runs of white space as the size counts them.
@@ -45,60 +47,61 @@ def source_targets(per_source: DataFrame, weights: Sequence[float], budget: floa
     )
 
 
+@dataclass
+class Mix:
+    """The documents, with their columns numbered, and ``size, source_size, target, copies`` of each."""
+
+    rows: DataFrame
+    columns: list[str]
+
+    def emit_copies(self) -> DataFrame:
+        """Each document as many times as it has copies, with its own columns."""
+        many = self.rows.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+        return many.select(*(f"c{i}" for i in range(len(self.columns)))).toDF(*self.columns)
+
+    def report(self) -> DataFrame:
+        """Per document what the mix takes of it."""
+        doc_id = F.col(f"c{self.columns.index('doc_id')}").alias("doc_id")
+        return self.rows.select(doc_id, "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 def mix(
     docs: DataFrame,
     weights: Sequence[float] = (3, 1, 2),
     budget: float = 1.5,
     max_rate: float = 2.0,
     seed: int = 20,
-) -> DataFrame:
-    """``docs`` with ``__size, __source_size, __target, __copies`` added, one row per document.
+) -> Mix:
+    """``size, source_size, target, copies`` of every row of ``docs``.
 
-    ``__copies`` is floor(rate) plus one with the probability of the fraction, where
+    ``copies`` is floor(rate) plus one with the probability of the fraction, where
     rate = target / source size, drawn from a hash of the seed and the id (of the text
     where the id is null). Thus reruns and lost executors give the same copies, and rows
     that repeat an id share the draw.
 
     Null or empty texts have size 0 and count as their source's documents; a source whose
     size is 0 has target 0 and no copies. Null sources are one source, the last. An empty
-    table gives an empty result. Other columns pass through unread.
+    table gives an empty result. Other columns, whatever their names, pass through unread.
+
+    The targets take one row a source through one task, so sources are to be names of
+    collections (a million of them is no trouble), not of documents.
     """
-    sized = docs.withColumn("__size", word_count(F.col("text")))
-    per_source = sized.groupBy("source").agg(F.sum("__size").alias("source_size"))
-    targets = write_table(source_targets(per_source, weights, budget, max_rate), "mix-targets").select(
-        F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target")
-    )
-    key = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.col("text").cast("binary")), F.lit(""))
+    own, name = numbered(docs)
+    sized = own.withColumn("size", word_count(F.col(name["text"])))
+    per_source = sized.groupBy(F.col(name["source"]).alias("source")).agg(F.sum("size").alias("source_size"))
+    targets = write_table(source_targets(per_source, weights, budget, max_rate), "mix-targets")
+    key = F.coalesce(F.col(name["doc_id"]).cast("string"), F.md5(F.col(name["text"]).cast("binary")), F.lit(""))
     digest = F.md5(F.concat(F.lit(f"{seed}:"), key).cast("binary"))
     draw = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(16**13)
-    rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(0.0))
-    copies = F.floor("__rate") + F.when(draw < F.col("__rate") - F.floor("__rate"), 1).otherwise(0)
-    return (
-        sized.join(targets, F.col("source").eqNullSafe(F.col("__source")))
-        .withColumn("__rate", rate)
-        .withColumn("__copies", copies.cast("long"))
-        .drop("__source", "__rate")
-    )
-
-
-def emit_copies(mixed: DataFrame) -> DataFrame:
-    """Each document of ``mix`` as many times as it has copies, with its own columns."""
-    return (
-        mixed.filter("__copies > 0")
-        .withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
-        .drop("__size", "__source_size", "__target", "__copies", "__copy")
-    )
-
-
-def report(mixed: DataFrame) -> DataFrame:
-    """Per document what the mix takes of it."""
-    return mixed.select(
-        "doc_id",
-        F.col("__size").alias("size"),
-        F.col("__source_size").alias("source_size"),
-        F.col("__target").alias("target"),
-        (F.col("__size") * F.col("__copies")).alias("taken"),
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    copies = F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0)
+    rows = (
+        sized.join(targets, F.col(name["source"]).eqNullSafe(F.col("source")))
+        .withColumn("rate", rate)
+        .withColumn("copies", copies.cast("long"))
+        .drop("source", "rate")
     )
+    return Mix(rows, docs.columns)
 
 
 ORACLE = r"""

@@ -28,7 +28,7 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.report(mixing.mix(read_table(spark, sf_dir, "documents")))
+    return mixing.mix(read_table(spark, sf_dir, "documents")).report()
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +64,8 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_spans.report(repeated_spans.repeated_spans(read_table(spark, sf_dir, "documents")))
+    docs = read_table(spark, sf_dir, "documents")
+    return repeated_spans.report(docs, repeated_spans.repeated_spans(docs))
 
 
 QUERIES = {

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,10 +12,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded, slices
+from tessera.llm.common import bounded, join_by_key, numbered, slices
 from tessera.session import write_table
 
-#: A run has at least so many sentences and words; one sentence of LONE_WORDS is a run by itself.
+#: Every run of so many consecutive sentences counts, however short they are.
+SEVERAL = 3
+#: So does the shortest run of at least so many sentences and words, and a sentence of LONE_WORDS by itself.
 SENTENCES, RUN_WORDS, LONE_WORDS = 2, 25, 50
 _BREAK = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
 
@@ -31,12 +34,14 @@ def sentence_bounds(text: str) -> list[tuple[int, int]]:
     return bounds
 
 
-def runs_of(words: np.ndarray, sentences: int, run_words: int, lone_words: int) -> list[tuple[int, int]]:
+def runs_of(words: np.ndarray, several: int, sentences: int, run_words: int, lone_words: int) -> np.ndarray:
     """Runs (first, end) of sentences with these word counts.
 
-    From each sentence on, and up to each sentence, the shortest run that has enough
-    sentences and words. With both, all sentences of a repeated passage lie in runs that
-    lie in the passage, though its last or first sentences alone have too few words.
+    Every run of ``several`` sentences, so any longer repeated run is covered by its own
+    windows. Besides, for passages of fewer but long sentences: from each sentence on, and up
+    to each sentence, the shortest run that has enough ``sentences`` and words. With both, all
+    sentences of a repeated passage lie in runs that lie in the passage, though its last or
+    first sentences alone have too few words.
     """
     n = len(words)
     before = np.concatenate([[0], np.cumsum(words)])
@@ -47,18 +52,23 @@ def runs_of(words: np.ndarray, sentences: int, run_words: int, lone_words: int)
     start = np.minimum(np.searchsorted(before, before[1:] - run_words, side="right") - 1, ends - sentences)
     backward = np.stack([start, ends], axis=1)[start >= 0]
     lone = np.flatnonzero(words >= lone_words)
-    return np.unique(np.concatenate([forward, backward, np.stack([lone, lone + 1], axis=1)]), axis=0)
+    window = np.stack([first, first + several], axis=1)[: max(n - several + 1, 0)]
+    every = np.concatenate([window, forward, backward, np.stack([lone, lone + 1], axis=1)])
+    packed = np.unique(every[:, 0] << 32 | every[:, 1])
+    return np.stack([packed >> 32, packed & 0xFFFFFFFF], axis=1)
 
 
-def sentence_runs(docs: DataFrame, sentences: int = SENTENCES, run_words: int = RUN_WORDS, lone_words: int = LONE_WORDS) -> DataFrame:
-    """``doc_id, text_key, first, end, words, h1, h2`` for every run of every document.
+def sentence_runs(
+    docs: DataFrame, several: int = SEVERAL, sentences: int = SENTENCES, run_words: int = RUN_WORDS, lone_words: int = LONE_WORDS
+) -> DataFrame:
+    """``doc_id, text_key, first, end, h1, h2`` for every run of every document.
 
     h1 and h2 are 128 bits of hash over the sentences, lower-cased with single spaces.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            rows, spans, sizes, hashes = [], [], [], []
+            rows, spans, hashes = [], [], []
             for row, text in enumerate(batch.column("text").to_pylist()):
                 if not text:
                     continue
@@ -66,15 +76,13 @@ def sentence_runs(docs: DataFrame, sentences: int = SENTENCES, run_words: int =
                 if not parts:
                     continue
                 words = np.fromiter(map(len, parts), np.int64, len(parts))
-                found = runs_of(words, sentences, run_words, lone_words)
+                found = runs_of(words, several, sentences, run_words, lone_words)
                 if not len(found):
                     continue
                 digests = b"".join(xxhash.xxh3_128_digest(" ".join(p).encode("utf-8", "surrogatepass")) for p in parts)
                 hashes += [xxhash.xxh3_128_digest(digests[16 * i : 16 * j]) for i, j in found.tolist()]
-                before = np.concatenate([[0], np.cumsum(words)])
                 rows.append(np.full(len(found), row))
                 spans.append(found)
-                sizes.append(before[found[:, 1]] - before[found[:, 0]])
             if not rows:
                 continue
             row, span = np.concatenate(rows), np.concatenate(spans)
@@ -82,16 +90,18 @@ def sentence_runs(docs: DataFrame, sentences: int = SENTENCES, run_words: int =
             taken = batch.select(["doc_id", "text_key"]).take(pa.array(row))
             yield pa.RecordBatch.from_arrays(
                 [taken.column("doc_id"), taken.column("text_key"), pa.array(span[:, 0].astype(np.int32)), pa.array(span[:, 1].astype(np.int32)),
-                 pa.array(np.concatenate(sizes).astype(np.int32)), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())],
-                names=["doc_id", "text_key", "first", "end", "words", "h1", "h2"],
+                 pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())],
+                names=["doc_id", "text_key", "first", "end", "h1", "h2"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    return keyed.transform(bounded).mapInArrow(run, f"doc_id {kind}, text_key bigint, first int, end int, words int, h1 bigint, h2 bigint")
+    return keyed.transform(bounded).mapInArrow(run, f"doc_id {kind}, text_key bigint, first int, end int, h1 bigint, h2 bigint")
 
 
-def repeated_spans(docs: DataFrame, sentences: int = SENTENCES, run_words: int = RUN_WORDS, lone_words: int = LONE_WORDS) -> DataFrame:
+def repeated_spans(
+    docs: DataFrame, several: int = SEVERAL, sentences: int = SENTENCES, run_words: int = RUN_WORDS, lone_words: int = LONE_WORDS
+) -> DataFrame:
     """``doc_id, text_key, first, end, first_doc_id``: what each document repeats.
 
     A run that occurs more than once in the corpus stays where (doc_id, text hash, place) is
@@ -99,42 +109,49 @@ def repeated_spans(docs: DataFrame, sentences: int = SENTENCES, run_words: int =
     into one row of sentences ``first`` to ``end`` (excluded). first_doc_id is the least
     document that holds one of the merged runs.
 
-    The first places are a partial aggregate by hash, joined back to the runs, so a passage
-    in a third of all documents is never gathered in one task. Null and empty texts have no
-    runs. Rows with the same id and text count as one document; a null id is less than any.
+    The first places are a partial aggregate by hash, joined back to the runs with hot hashes
+    broadcast, so a passage in a third of all documents is never gathered in one task. Null
+    and empty texts have no runs, and an empty table gives none; of a very long text only its
+    runs are held at once. Rows with the same id and text count as one document; a null id is
+    less than any. Other columns aren't read.
     """
-    runs = write_table(sentence_runs(docs, sentences, run_words, lone_words), "runs")
+    runs = write_table(sentence_runs(docs, several, sentences, run_words, lone_words), "runs")
     place = F.struct("doc_id", "text_key", "first")
-    groups = runs.groupBy("h1", "h2").agg(F.min(place).alias("p"), F.max(place).alias("q")).filter(~F.col("p").eqNullSafe(F.col("q")))
-    repeated = write_table(groups.select("h1", "h2", "p"), "repeated-runs")
-    later = runs.join(repeated, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("p")))
+    groups = runs.groupBy("h1", "h2").agg(F.min(place).alias("p"), F.max(place).alias("q"), F.count("*").alias("n"))
+    repeated = write_table(groups.filter(~F.col("p").eqNullSafe(F.col("q"))).select("h1", "h2", "p", "n"), "repeated-runs")
+    later = join_by_key(runs, repeated, ["h1", "h2"], "n").filter(~place.eqNullSafe(F.col("p")))
+    # rows of one document that is in the table many times fall together here
+    marked = later.groupBy("doc_id", "text_key", "first", "end").agg(F.min("p.doc_id").alias("holder"))
     own = Window.partitionBy("doc_id", "text_key").orderBy("first", "end")
     reach = F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.when(reach.isNull() | (F.col("first") > reach), 1).otherwise(0)
-    marked = later.select("doc_id", "text_key", "first", "end", F.col("p.doc_id").alias("holder")).withColumn("fresh", fresh)
-    grouped = marked.withColumn("island", F.sum("fresh").over(own))
+    grouped = marked.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(own))
     return grouped.groupBy("doc_id", "text_key", "island").agg(
         F.min("first").alias("first"), F.max("end").alias("end"), F.min("holder").alias("first_doc_id")
     ).drop("island")
 
 
-def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """``docs`` with the sentences of ``spans`` cut out of the text; all else as it was."""
-    per_doc = spans.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("first", "end"))).alias("__cut"))
-    per_doc = per_doc.withColumnRenamed("doc_id", "__id").withColumnRenamed("text_key", "__key")
-    joined = docs.join(per_doc, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left")
+def _cuts(spans: DataFrame) -> DataFrame:
+    """``id, key, cut, holders`` per document: its spans in order and who holds them first."""
+    per_doc = spans.groupBy(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).agg(
+        F.sort_array(F.collect_list(F.struct("first", "end"))).alias("cut"), F.array_sort(F.collect_set("first_doc_id")).alias("holders")
+    )
+    return write_table(per_doc, "cuts")
 
-    columns = docs.columns
+
+def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """``docs`` with the sentences of ``spans`` cut out of the text; all else, and columns of any name, as it was."""
+    own, name = numbered(docs)
+    at = docs.columns.index("text")
+    joined = own.join(_cuts(spans), F.col(name["doc_id"]).eqNullSafe(F.col("id")) & (F.xxhash64(name["text"]) == F.col("key")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index("text")
-            texts = []
-            for text, cut in zip(batch.column("text").to_pylist(), batch.column("__cut").to_pylist(), strict=True):
-                texts.append(cut_sentences(text, [(c["first"], c["end"]) for c in cut]) if cut else text)
-            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type)).select(columns)
+            pairs = zip(batch.column(at).to_pylist(), batch.column("cut").to_pylist(), strict=True)
+            texts = [cut_sentences(text, [(c["first"], c["end"]) for c in cut]) if cut else text for text, cut in pairs]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type)).drop_columns(["cut"])
 
-    return joined.drop("__id", "__key").transform(bounded).mapInArrow(run, docs.schema)
+    return joined.drop("id", "key", "holders").transform(bounded).mapInArrow(run, own.schema).toDF(*docs.columns)
 
 
 def cut_sentences(text: str, spans: list[tuple[int, int]]) -> str:
@@ -147,10 +164,27 @@ def cut_sentences(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*kept, text[at:]])
 
 
-def report(spans: DataFrame) -> DataFrame:
-    """One row per document that loses sentences: how many, which, and who holds them first."""
-    return spans.groupBy("doc_id").agg(
-        F.sum(F.col("end") - F.col("first")).cast("long").alias("sentences_removed"),
-        F.sort_array(F.collect_list(F.struct("first", "end"))).alias("spans"),
-        F.array_sort(F.collect_set("first_doc_id")).alias("first_doc_ids"),
-    )
+def report(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """One row per document that loses sentences: how many, which, who holds them first, and what is left.
+
+    kept_chars and kept_crc32 (of the UTF-8 bytes) are those of the text without the spans.
+    Rows that repeat a document give repeated results.
+    """
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    joined = keyed.join(_cuts(spans), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column("text").to_pylist(), batch.column("cut").to_pylist(), strict=True)
+            left = [cut_sentences(text, [(c["first"], c["end"]) for c in cut]) for text, cut in pairs]
+            crcs = [zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in left]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("cut"), batch.column("holders"), pa.array(map(len, left), pa.int64()), pa.array(crcs, pa.int64())],
+                names=["doc_id", "spans", "first_doc_ids", "kept_chars", "kept_crc32"],
+            )
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, spans array<struct<first:int,end:int>>, first_doc_ids array<{kind}>, kept_chars bigint, kept_crc32 bigint"
+    done = joined.select("doc_id", "text", "cut", "holders").transform(bounded).mapInArrow(run, schema)
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["first"])
+    return done.select("doc_id", gone.alias("sentences_removed"), "spans", "first_doc_ids", "kept_chars", "kept_crc32")

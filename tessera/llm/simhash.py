@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -11,33 +12,55 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded, lower_ascii, slices
+from tessera.llm.common import bounded, join_by_key, lower_ascii, numbered, slices
 from tessera.llm.components import connected_components
 from tessera.session import write_table
 
 #: Fingerprints are linked at this many differing bits or fewer.
 RADIUS = 3
+#: Bytes of a text whose words are listed at once.
+PART_BYTES = 1 << 20
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 #: Rows of a tile, and the rows of a block key above which its tile pairs become tasks of their own.
 TILE, HEAVY = 512, 4096
 
 
-def fingerprint(text: bytes, words_per_shingle: int = 3) -> int:
-    """SimHash of a lower-cased text: a bit is 1 if set in over half of the shingles' XXH64."""
-    words = text.split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(sizes + 1) - 1
-    width = min(words_per_shingle, len(words))
-    starts, stops = (ends - sizes)[: len(words) - width + 1], ends[width - 1 :]
-    digest = xxhash.xxh64_intdigest
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(starts), 8192):  # bounded memory for very long texts
-        spans = zip(starts[at : at + 8192].tolist(), stops[at : at + 8192].tolist(), strict=True)
-        hashes = np.array([digest(joined[i:j], 42) for i, j in spans], dtype=">u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(starts)).tobytes(), "big")
+def _parts(text: bytes, size: int) -> Iterator[bytes]:
+    """The text in parts of about ``size`` bytes, cut at white space."""
+    at = 0
+    while len(text) - at > size:
+        cut = _SPACE.search(text, at + size)
+        if cut is None:
+            break
+        yield text[at : cut.start()]
+        at = cut.end()
+    yield text[at:]
+
+
+def fingerprint(text: bytes, words_per_shingle: int = 3, part_bytes: int = PART_BYTES) -> int:
+    """SimHash of a lower-cased text: a bit is 1 if set in over half of the shingles' XXH64.
+
+    The words are taken from one part of the text after the other, with the last ones of the
+    part before, so memory is bounded for very long texts.
+    """
+    digest, ones, many = xxhash.xxh64_intdigest, np.zeros(64, np.int64), 0
+    words: list[bytes] = []
+    for part in _parts(text, part_bytes):
+        words = words[len(words) - min(len(words), words_per_shingle - 1) :] + part.split()
+        if len(words) < words_per_shingle:
+            continue
+        joined = b" ".join(words)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(sizes + 1) - 1
+        starts, stops = (ends - sizes)[: len(words) - words_per_shingle + 1], ends[words_per_shingle - 1 :]
+        many += len(starts)
+        for at in range(0, len(starts), 8192):
+            spans = zip(starts[at : at + 8192].tolist(), stops[at : at + 8192].tolist(), strict=True)
+            hashes = np.array([digest(joined[i:j], 42) for i, j in spans], dtype=">u8")
+            ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    if not many:  # fewer words than a shingle has: the whole sequence
+        return digest(b" ".join(words), 42) if words else 0
+    return int.from_bytes(np.packbits(2 * ones > many).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -190,8 +213,11 @@ def _scan_tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def near_links(nodes: DataFrame, blocks: int, heavy: int = HEAVY) -> DataFrame:
     """``a, b``: links that connect the distinct fingerprints ``nodes(fp)`` within RADIUS.
 
-    Tiles are formed among fingerprints that agree in some choice of blocks. A key with more
-    than ``heavy`` fingerprints is cut by population count and a salt into tiles of about
+    Method note: which fingerprints meet at all is decided by block keys (pigeonhole, exact),
+    since tiles over the whole corpus would be as many as its square. Within a key they are
+    ordered by population count, cut into tiles of TILE, and tiles are compared as a whole by
+    exclusive-or and bit counts unless their population counts are too far apart. Keys of
+    two fingerprints are one comparison each. A key with more than ``heavy`` fingerprints is cut by population count and a salt into tiles of about
     TILE rows, and each pair of its tiles within RADIUS in population count is compared on
     its own, so no key is gathered in one task.
     """
@@ -255,33 +281,38 @@ def near_duplicates(docs: DataFrame, blocks: int | None = None, heavy: int = HEA
     than doc_id and text are not read.
     """
     rows = write_table(fingerprints(docs), "fingerprints")
-    nodes = write_table(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    nodes = write_table(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")), "nodes")
     if blocks is None:
         n = nodes.count()
         blocks = 4 if n <= 1 << 24 else 5 if n <= 1 << 31 else 6
     roots = connected_components(near_links(nodes.select("fp"), blocks, heavy))
     labelled = nodes.join(roots.withColumnRenamed("a", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = write_table(labelled.join(least, "root").select("fp", "component_id"), "classes")
-    return rows.join(classes, "fp")
+    classes = write_table(labelled.join(least, "root").select("fp", "component_id", "rows"), "classes")
+    return join_by_key(rows, classes, ["fp"], "rows").select("doc_id", "text_key", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, blocks: int | None = None) -> DataFrame:
     """Of each component of near_duplicates the document with the least id (then text hash).
 
-    Rows with the same id and text are one document: one of them stays.
+    Rows with the same id and text are one document; of them the least by all other columns
+    stays (null first), in the order of the columns. Without any id in a component each of
+    its fingerprints is a group of its own. Null and empty texts are near-duplicates of each
+    other; an empty table stays empty. Columns may have any name.
     """
     found = near_duplicates(docs, blocks)
     documents = found.groupBy("doc_id", "text_key", "component_id", "fp").agg(F.count("*").alias("rows"))
     # a component without any id has a null component_id: there each fingerprint is its own group
     group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fp")))
     best = documents.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key", "rows")).alias("b"))
-    chosen = write_table(best.select(F.col("b.doc_id").alias("__id"), F.col("b.text_key").alias("__key"), F.col("b.rows").alias("__rows")), "chosen")
-    kept = docs.withColumn("__text_key", F.xxhash64("text")).join(
-        chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key"))
-    )
-    single = kept.filter("__rows = 1").select(*docs.columns)
-    return single.union(kept.filter("__rows > 1").dropDuplicates(["__id", "__key"]).select(*docs.columns))
+    chosen = write_table(best.select(F.col("b.doc_id").alias("id"), F.col("b.text_key").alias("key"), F.col("b.rows").alias("rows")), "chosen")
+    own, name = numbered(docs)
+    kept = own.withColumn("text_key", F.xxhash64(name["text"])).join(chosen, F.col(name["doc_id"]).eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")))
+    rest = [n for c, n in name.items() if c not in ("doc_id", "text")]
+    least = F.min(F.struct(*rest)) if rest else F.count("*")
+    several = kept.filter("rows > 1").groupBy(name["doc_id"], "key").agg(least.alias("r"), F.min(name["text"]).alias(name["text"]))
+    single = kept.filter("rows = 1").select(*own.columns)
+    return single.union(several.select(*(F.col("r")[n].alias(n) if n in rest else F.col(n) for n in own.columns))).toDF(*docs.columns)
 
 
 def report(found: DataFrame) -> DataFrame:

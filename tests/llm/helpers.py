@@ -36,6 +36,6 @@ def with_clashing_columns(frame):
     """Extra columns under names that operators use inside."""
     from pyspark.sql import functions as F
 
-    for name in ("row", "size", "target", "score", "word", "fp", "hash", "key", "text_key", "rank", "part", "ids", "label", "draw", "rate", "copies", "_size", "block"):
+    for name in ("row", "size", "target", "score", "word", "fp", "hash", "key", "text_key", "rank", "part", "ids", "label", "draw", "rate", "copies", "_size", "block", "__id", "__key", "__size", "__rows", "__text_key", "c0", "c1", "c7", "item_id", "n", "copy"):
         frame = frame.withColumn(name, F.lit("clash"))
     return frame

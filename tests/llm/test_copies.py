@@ -1,5 +1,6 @@
 import random
 import sys
+import zlib
 from pathlib import Path
 
 import duckdb
@@ -90,11 +91,21 @@ def test_star_components(rows):
     assert found == {x: wanted[x] for x in linked}
 
 
-def shingles(text):
+def words_of(text):
     import re
 
-    words = [w for w in re.split(r"[\W_]+", (text or "").lower()) if w]
-    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+    return [w for w in re.split(r"[\W_]+", (text or "").lower()) if w]
+
+
+def shingles(words, width):
+    return {" ".join(words[i : i + width]) for i in range(len(words) - width + 1)} if width else set()
+
+
+def test_short_items_in_long_documents(rows):
+    docs = rows([(1, "The capital of France: Paris."), (2, "Everyone knows that the capital of France, Paris, lies on a river " * 50), (3, "Paris is not the capital of Spain")], "doc_id bigint, text string")
+    items = rows([(7, "capital of France: Paris"), (8, "river"), (9, "one two three four five six")], "item_id bigint, text string")
+    found = sorted((r.doc_id, r.item_id) for r in decontaminate.contained_items(docs, items).collect())
+    assert found == [(1, 7), (2, 7), (2, 8)]
 
 
 def test_containment_by_brute_force(rows):
@@ -112,11 +123,12 @@ def test_containment_by_brute_force(rows):
     found = {(r.doc_id, r.item_id): (r.shared, r.n_shingles) for r in decontaminate.report(decontaminate.contained_items(docs, benchmark)).collect()}
     wanted = {}
     for d in data:
-        own = shingles(d[1])
+        own = {w: shingles(words_of(d[1]), w) for w in range(6)}
         for i, t in items:
-            s = shingles(t)
-            if s and len(s & own) >= 0.8 * len(s) - 1e-9:
-                wanted[d[0], i] = max(wanted.get((d[0], i), (0, 0, 0)), (len(s & own) / len(s), len(s & own), len(s)))
+            width = min(5, len(words_of(t)))
+            s, own_w = shingles(words_of(t), width), own[width]
+            if s and len(s & own_w) >= 0.8 * len(s) - 1e-9:
+                wanted[d[0], i] = max(wanted.get((d[0], i), (0, 0, 0)), (len(s & own_w) / len(s), len(s & own_w), len(s)))
     assert found == {k: v[1:] for k, v in wanted.items()} and len(found) > 80
     clean = decontaminate.drop_contaminated(docs, benchmark)
     bad = {k[0] for k in wanted}
@@ -130,15 +142,15 @@ def test_empty_tables(rows):
     assert decontaminate.drop_contaminated(docs, none).count() == len(odd_documents())
     assert decontaminate.contained_items(rows([], DOCS), rows([(1, "a b c d e f")], "item_id bigint, text string")).count() == 0
     assert repeated_spans.repeated_spans(rows([], DOCS)).count() == 0
-    assert mixing.mix(rows([], DOCS)).count() == 0
+    assert mixing.mix(rows([], DOCS)).report().count() == 0
 
 
 def test_mix_of_odd_documents(rows):
     data = odd_documents()
     docs = with_clashing_columns(rows(data, DOCS))
     mixed = mixing.mix(docs)
-    found = mixing.report(mixed).collect()
-    assert len(found) == len(data) and sorted(map(str, found)) == sorted(map(str, mixing.report(mixing.mix(docs)).collect()))
+    found = mixed.report().collect()
+    assert len(found) == len(data) and sorted(map(str, found)) == sorted(map(str, mixing.mix(docs).report().collect()))
     sizes = {}
     for d in data:
         sizes[d[3]] = sizes.get(d[3], 0) + len((d[1] or "").split())
@@ -156,15 +168,15 @@ def test_mix_of_odd_documents(rows):
     wanted = sorted((str(d[0]), len((d[1] or "").split()), sizes[d[3]], round(target[d[3]], 6)) for d in data)
     assert sorted((str(r.doc_id), r.size, r.source_size, round(r.target, 6)) for r in found) == wanted
     assert all(0 <= r.taken <= 2 * r.size for r in found)
-    copies = mixing.emit_copies(mixed)
+    copies = mixed.emit_copies()
     assert copies.columns == docs.columns
-    taken = mixed.agg(F.sum("__copies")).first()[0]
+    taken = mixed.rows.agg(F.sum("copies")).first()[0]
     assert copies.count() == taken
 
 
 def test_targets_are_met(rows):
     data = [(i, "w " * (1 + i % 7), "en", "abc"[i % 3], 1) for i in range(6000)]
-    found = mixing.report(mixing.mix(rows(data, DOCS))).groupBy("target").agg(F.sum("taken").alias("t")).collect()
+    found = mixing.mix(rows(data, DOCS)).report().groupBy("target").agg(F.sum("taken").alias("t")).collect()
     assert all(abs(r.t / r.target - 1) < 0.05 for r in found)
 
 
@@ -194,6 +206,8 @@ def plain_spans(data):
                     break
             if words[a] >= 50:
                 runs.add((a, a + 1))
+            if a + 3 <= len(parts):
+                runs.add((a, a + 3))
         for a, b in runs:
             places.setdefault(tuple(map(tuple, parts[a:b])), []).append((i, a, b))
     gone = {}
@@ -208,22 +222,30 @@ def test_repeated_spans_by_brute_force(rows):
     data = [(i, " ".join(passage(5, 10 + i))) for i in range(8)]
     data += [(20, " ".join(passage(3, 50) + shared + passage(2, 51))), (21, " ".join(shared)), (22, "\n".join(passage(4, 52) + shared).upper())]
     data += [(30, f"Start here. {lone} End."), (31, f"{lone}  Other words."), (40, " ".join(shared[:3] * 4)), (50, None), (51, ""), (52, "x" * 9000)]
+    data += [(60, "He came. She saw it all. They both went home again."), (61, "Before that. He came. She saw it all. They both went home again. And after.")]
     docs = with_clashing_columns(rows(data, "doc_id bigint, text string"))
     spans = repeated_spans.repeated_spans(docs)
     found = {}
     for r in spans.collect():
         found.setdefault(r.doc_id, set()).update(range(r.first, r.end))
-    assert found == plain_spans(data) and {21, 22, 31, 40} <= set(found) and 0 not in found
+    assert found == plain_spans(data) and {21, 22, 31, 40, 61} <= set(found) and 0 not in found
     cut = {r.doc_id: r.text for r in repeated_spans.remove_spans(docs, spans).collect()}
     assert cut[21] == "" and cut[20] == dict(data)[20] and cut[31] == "Other words." and cut[50] is None
-    assert set(repeated_spans.remove_spans(docs, spans).columns) == set(docs.columns)
+    assert cut[61] == "Before that. And after."
+    assert repeated_spans.remove_spans(docs, spans).columns == docs.columns
+    for r in repeated_spans.report(docs, spans).collect():
+        left = cut.pop(r.doc_id)
+        assert (r.sentences_removed, r.kept_chars, r.kept_crc32) == (len(found[r.doc_id]), len(left), zlib.crc32(left.encode()))
+        assert {x for s in r.spans for x in range(s.first, s.end)} == found.pop(r.doc_id)
+    assert not found and cut == {i: t for i, t in data if i in cut}
 
 
 def test_repeated_rows_are_one_document(rows):
     text = " ".join(passage(5, 3))
     assert repeated_spans.repeated_spans(rows([(1, text), (1, text)], "doc_id bigint, text string")).count() == 0
-    found = repeated_spans.report(repeated_spans.repeated_spans(rows([(None, text), (2, text)], "doc_id bigint, text string"))).collect()
-    assert [r.doc_id for r in found] == [2]
+    docs = rows([(None, text), (2, text), (2, text)], "doc_id bigint, text string")
+    spans = repeated_spans.repeated_spans(docs)
+    assert spans.count() == 1 and [r.doc_id for r in repeated_spans.report(docs, spans).collect()] == [2, 2]
 
 
 def test_runs_cover_a_passage():
@@ -231,7 +253,7 @@ def test_runs_cover_a_passage():
     for _ in range(200):
         words = draw.integers(1, 20, draw.integers(2, 9))
         if words.sum() >= 25:
-            runs = repeated_spans.runs_of(words, 2, 25, 50)
+            runs = repeated_spans.runs_of(words, 99, 2, 25, 50)
             assert set().union(*(range(a, b) for a, b in runs.tolist())) == set(range(len(words)))
 
 
