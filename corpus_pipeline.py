@@ -31,7 +31,7 @@ def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated as the sources' target weights ask for."""
-    return mixing.emit_copies(mixing.mix(docs))
+    return mixing.mix(docs).emit_copies()
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
