@@ -19,8 +19,9 @@ from tessera.session import write_table
 STATES, CLASSES, ROUNDS = 8, 1 << 14, 3
 #: Words whose counts every task holds; the rest are looked up by a join.
 FREQUENT = 100_000
-#: Longest chain in training: longer texts go on in a chain that starts from the states' shares.
-CHAIN = 64
+#: Tokens of a piece: pieces of long texts are worked on side by side, with what goes in and out of
+#: each computed first. Tokens whose steps are held at once. Least relative gain of a further round.
+PIECE, HELD, GAIN = 1024, 1 << 19, 1e-5
 
 
 def word_classes(words: list[bytes], classes: int) -> np.ndarray:
@@ -32,7 +33,6 @@ class Hmm:
     """Start, transition (from, to) and emission (class, state) probabilities."""
 
     start: np.ndarray
-    share: np.ndarray
     moves: np.ndarray
     emits: np.ndarray
 
@@ -43,83 +43,167 @@ class Hmm:
         emits = (counts + 1.0)[:, None] * np.exp(draw.normal(0, 0.5, (len(counts), states)))
         moves = np.full((states, states), 0.3 / max(states - 1, 1))
         np.fill_diagonal(moves, 0.7 if states > 1 else 1.0)
-        even = np.full(states, 1.0 / states)
-        return cls(even, even, moves, emits / emits.sum(axis=0))
+        return cls(np.full(states, 1.0 / states), moves, emits / emits.sum(axis=0))
 
 
-def forward_log10(model: Hmm, codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """log10 likelihood of each whole sequence codes[offsets[i]:offsets[i + 1]].
+@dataclass
+class Pieces:
+    """Texts cut into pieces that follow each other: where each begins, its length, and its number in the text.
+
+    ``entry`` is the state distribution after the piece before (for a first piece unused),
+    ``exit`` what the pieces behind make of the states at its end, both up to a factor.
+    """
+
+    begins: np.ndarray
+    lengths: np.ndarray
+    number: np.ndarray
+    last: np.ndarray
+    entry: np.ndarray
+    exit: np.ndarray
+
+    @classmethod
+    def cut(cls, model: Hmm, codes: np.ndarray, offsets: np.ndarray, longest: int, backward: bool) -> Pieces:
+        """Pieces of at most ``longest`` tokens. The recursions are linear in what goes in, so each
+        piece's transfer matrix is computed first, for all pieces side by side; then entries (and
+        exits, if ``backward``) follow from piece to piece. This is the exact recursion of whole texts."""
+        sizes = np.diff(offsets)
+        many = -(-sizes // longest)
+        number = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+        begins = np.repeat(offsets[:-1], many) + number * longest
+        lengths = np.minimum(np.repeat(offsets[1:], many) - begins, longest)
+        behind = np.repeat(many, many) - 1 - number
+        states = len(model.start)
+        made = cls(begins, lengths, number, behind == 0, np.zeros((len(number), states)), np.ones((len(number), states)))
+        if not behind.any():
+            return made
+        heads = np.flatnonzero((number == 0) & (behind > 0))
+        ends = np.zeros((len(number), states))
+        _, ends[heads] = forward(model, codes, begins[heads], lengths[heads], made.entry[heads], np.ones(len(heads), bool))
+        inner = np.flatnonzero((number > 0) & (backward | (behind > 0)))
+        through = np.zeros((len(number), states, states)) if len(inner) else np.zeros((0, states, states))
+        through[inner] = transfer(model, codes, begins[inner], lengths[inner])
+        for k, at in _levels(number):
+            if k:
+                before = ends[at - 1] if k == 1 else np.einsum("ps,pst->pt", made.entry[at - 1], through[at - 1])
+                made.entry[at] = before / before.sum(axis=1, keepdims=True)
+        if backward:
+            for k, at in _levels(behind):
+                if k:
+                    beyond = np.einsum("pst,pt->ps", through[at + 1], made.exit[at + 1])
+                    made.exit[at] = beyond / beyond.sum(axis=1, keepdims=True)
+        return made
+
+
+def _levels(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each value from 0 on with the places that have it."""
+    order = np.argsort(values, kind="stable")
+    edges = np.searchsorted(values[order], np.arange(int(values.max(initial=0)) + 2))
+    for k in range(len(edges) - 1):
+        yield k, order[edges[k] : edges[k + 1]]
+
+
+def _alive(lengths: np.ndarray) -> list[int]:
+    """How many of the pieces, longest first, have a token at each step."""
+    return [int(np.searchsorted(-lengths, -t)) for t in range(int(lengths[0]) if len(lengths) else 0)]
+
+
+def transfer(model: Hmm, codes: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Each piece's matrix from the states before it to those at its end, up to a factor."""
+    order, states = np.argsort(-lengths, kind="stable"), len(model.start)
+    begins = begins[order]
+    found = np.tile(np.eye(states), (len(order), 1, 1))
+    for t, now in enumerate(_alive(lengths[order])):
+        step = (found[:now].reshape(-1, states) @ model.moves).reshape(now, states, states) * model.emits[codes[begins[:now] + t]][:, None, :]
+        found[:now] = step / step.sum(axis=(1, 2), keepdims=True) if t % 8 == 7 else step
+    out = np.empty_like(found)
+    out[order] = found / found.sum(axis=(1, 2), keepdims=True)
+    return out
+
+
+def forward(model: Hmm, codes: np.ndarray, begins: np.ndarray, lengths: np.ndarray, entry: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log10 likelihood of each piece after its entry (of a fresh one: from the start), and the states at its end.
 
-    The scaled forward recursion, one step for all sequences that are still going on: they
-    are ordered by length, so at each step those are the first so many.
+    The scaled forward recursion, one step for all pieces that are still going on: they are
+    ordered by length, so at each step those are the first so many.
     """
-    lengths = np.diff(offsets)
     order = np.argsort(-lengths, kind="stable")
-    begins, sizes = offsets[:-1][order], lengths[order]
-    total = np.zeros(len(sizes))
-    alive = int(np.searchsorted(-sizes, 0))  # those of one token at least
-    alpha = np.empty((0, 0))
-    for t in range(int(sizes[0]) if len(sizes) else 0):
-        now = int(np.searchsorted(-sizes[:alive], -t))
-        emits = model.emits[codes[begins[:now] + t]]
-        alpha = (model.start * emits) if t == 0 else (alpha[:now] @ model.moves) * emits
+    begins = begins[order]
+    alive = _alive(lengths[order])
+    total, alpha = np.zeros(len(order)), np.where(fresh[:, None], model.start, entry @ model.moves)[order]
+    ends = np.zeros_like(alpha)
+    for t, now in enumerate(alive):
+        alpha = (alpha[:now] if t == 0 else alpha[:now] @ model.moves) * model.emits[codes[begins[:now] + t]]
         scale = alpha.sum(axis=1)
         alpha /= scale[:, None]
         total[:now] += np.log10(scale)
-        alive = now
-    out = np.empty(len(sizes))
-    out[order] = total
+        after = alive[t + 1] if t + 1 < len(alive) else 0
+        ends[after:now] = alpha[after:]
+    likelihood, at_end = np.empty(len(order)), np.empty_like(ends)
+    likelihood[order], at_end[order] = total, ends
+    return likelihood, at_end
+
+
+def forward_log10(model: Hmm, codes: np.ndarray, offsets: np.ndarray, longest: int = PIECE) -> np.ndarray:
+    """log10 likelihood of each whole sequence codes[offsets[i]:offsets[i + 1]]."""
+    pieces = Pieces.cut(model, codes, offsets, longest, backward=False)
+    own, _ = forward(model, codes, pieces.begins, pieces.lengths, pieces.entry, pieces.number == 0)
+    text = np.cumsum(pieces.number == 0) - 1
+    full = np.flatnonzero(np.diff(offsets) > 0)  # a text without tokens has no piece
+    out = np.zeros(len(offsets) - 1)
+    out[full] = np.bincount(text, own, len(full))
     return out
 
 
-def chain_counts(model: Hmm, chains: np.ndarray, lengths: np.ndarray, fresh: np.ndarray, into: dict[str, np.ndarray]) -> None:
-    """Add the expected counts (forward-backward) of chains (time, chain), longest first, to ``into``."""
-    steps, many = chains.shape
-    alive = [int(np.searchsorted(-lengths, -t)) for t in range(steps)]
-    alphas, scales = [], []
-    for t in range(steps):
-        now = alive[t]
-        emits = model.emits[chains[t, :now]]
-        if t == 0:
-            alpha = np.where(fresh[:, None], model.start, model.share) * emits
-        else:
-            alpha = (alphas[-1][:now] @ model.moves) * emits
+def chain_counts(model: Hmm, codes: np.ndarray, pieces: Pieces, chosen: np.ndarray, into: dict[str, np.ndarray]) -> None:
+    """Add the expected counts (forward-backward) of the ``chosen`` pieces, longest first, to ``into``."""
+    begins, entry, fresh = pieces.begins[chosen], pieces.entry[chosen], pieces.number[chosen] == 0
+    alive, states = _alive(pieces.lengths[chosen]), len(model.start)
+    alphas, scales, seen = [], [], []
+    for t, now in enumerate(alive):
+        seen.append(codes[begins[:now] + t])
+        came = np.where(fresh[:, None], model.start, entry @ model.moves) if t == 0 else alphas[-1][:now] @ model.moves
+        alpha = came * model.emits[seen[t]]
         scale = alpha.sum(axis=1, keepdims=True)
         alphas.append(alpha / scale)
         scales.append(scale)
-    states = len(model.start)
-    beta = np.empty((0, states))
-    held = []
-    for t in range(steps - 1, -1, -1):
-        now = alive[t]
-        own = np.ones((now, states))
-        if len(beta):
-            weight = beta * model.emits[chains[t + 1, : len(beta)]] / scales[t + 1]
-            into["moves"] += model.moves * (alphas[t][: len(beta)].T @ weight)
-            own[: len(beta)] = weight @ model.moves.T
-        gamma = alphas[t] * own
-        held.append(gamma)
+        into["likelihood"] += np.log10(scale).sum()
+    beta, held = np.empty((0, states)), []
+    for t in range(len(alive) - 1, -1, -1):
+        now, going = alive[t], len(beta)
+        own = np.empty((now, states))
+        if going:
+            weight = beta * model.emits[seen[t + 1]] / scales[t + 1]
+            into["moves"] += model.moves * (alphas[t][:going].T @ weight)
+            own[:going] = weight @ model.moves.T
+        out = pieces.exit[chosen[going:now]]
+        own[going:] = out / (out * alphas[t][going:]).sum(axis=1, keepdims=True)
+        held.append(alphas[t] * own)
         beta = own
     held.reverse()
-    gammas, codes = np.concatenate(held), np.concatenate([chains[t, : alive[t]] for t in range(steps)])
-    classes = len(into["emits"])
+    # the step into a piece from the one before it
+    inner = np.flatnonzero(~fresh)
+    weight = beta[inner] * model.emits[seen[0][inner]] / scales[0][inner]
+    into["moves"] += model.moves * (entry[inner].T @ weight)
+    gammas, classes = np.concatenate(held), len(into["emits"])
+    seen = np.concatenate(seen)
     for s in range(states):
-        into["emits"][:, s] += np.bincount(codes, gammas[:, s], classes)
+        into["emits"][:, s] += np.bincount(seen, gammas[:, s], classes)
     into["start"] += held[0][fresh].sum(axis=0)
-    into["share"] += gammas.sum(axis=0)
 
 
-def cut_chains(codes: np.ndarray, offsets: np.ndarray, longest: int = CHAIN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sequences as chains of at most ``longest``: (time, chain), lengths in descending order, and which begin a text."""
-    sizes = np.diff(offsets)
-    pieces = -(-sizes // longest)
-    number = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    begins = np.repeat(offsets[:-1], pieces) + number * longest
-    lengths = np.minimum(np.repeat(offsets[1:], pieces) - begins, longest)
-    order = np.argsort(-lengths, kind="stable")
-    begins, lengths, fresh = begins[order], lengths[order], number[order] == 0
-    at = begins[None, :] + np.arange(longest)[:, None]
-    return codes[np.minimum(at, max(len(codes) - 1, 0))], lengths, fresh
+def expected_counts(model: Hmm, codes: np.ndarray, offsets: np.ndarray, into: dict[str, np.ndarray], longest: int = PIECE, held: int = HELD) -> None:
+    """Add the expected counts of whole sequences to ``into``, about ``held`` tokens at once."""
+    pieces = Pieces.cut(model, codes, offsets, longest, backward=True)
+    order = np.argsort(-pieces.lengths, kind="stable")
+    at = 0
+    while at < len(order):
+        stop = at + max(1, held // int(pieces.lengths[order[at]]))
+        chain_counts(model, codes, pieces, order[at:stop], into)
+        at = stop
+
+
+def no_counts(classes: int, states: int) -> dict[str, np.ndarray]:
+    return {"emits": np.zeros((classes, states)), "moves": np.zeros((states, states)), "start": np.zeros(states), "likelihood": np.zeros(1)}
 
 
 def _sequences(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -149,26 +233,24 @@ def frequency_cut(table: DataFrame, most: int) -> int:
     return int(fits["least"].min()) if len(fits) else 1 << 62
 
 
-def baum_welch(encoded: DataFrame, counts: np.ndarray, states: int = STATES, rounds: int = ROUNDS) -> Hmm:
+def baum_welch(encoded: DataFrame, counts: np.ndarray, states: int = STATES, rounds: int = ROUNDS, gain: float = GAIN) -> Hmm:
     """Train on ``codes`` of ``encoded``: each round is a job that sums the tasks' expected counts.
 
     What a task hands on has the size of the model; it is summed by class in a shuffle, and
-    the sums (classes x states) come to the driver for the next round.
+    the sums (classes x states) come to the driver for the next round. ``rounds`` at most; it
+    ends before if the likelihood grew by less than the share ``gain``.
     """
     spark, classes = encoded.sparkSession, len(counts)
-    model = Hmm.seeded(counts, states)
+    model, best = Hmm.seeded(counts, states), None
     for _ in range(rounds):
         shipped = spark.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            into = {"emits": np.zeros((classes, states)), "moves": np.zeros((states, states)), "start": np.zeros(states), "share": np.zeros(states)}
+            into = no_counts(classes, states)
             for batch in slices(batches, "codes"):
-                codes, offsets = _sequences(batch)
-                chains, lengths, fresh = cut_chains(codes, offsets)
-                for i in range(0, len(lengths), 8192):
-                    part = lengths[i : i + 8192]
-                    chain_counts(shipped.value, chains[: part[0], i : i + 8192], part, fresh[i : i + 8192], into)
-            rows = np.concatenate([into["emits"], into["moves"], into["start"][None], into["share"][None]])
+                expected_counts(shipped.value, *_sequences(batch), into)
+            likelihood = np.pad(into["likelihood"], (0, states - 1))
+            rows = np.concatenate([into["emits"], into["moves"], into["start"][None], likelihood[None]])
             used = np.flatnonzero(rows.any(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *(pa.array(rows[used, s]) for s in range(states))], names=["row", *(f"s{s}" for s in range(states))])
 
@@ -179,9 +261,12 @@ def baum_welch(encoded: DataFrame, counts: np.ndarray, states: int = STATES, rou
         rows[found["row"].to_numpy()] = found[columns].to_numpy()
         # every state keeps a little of the overall frequencies, so nothing has probability 0
         emits = rows[:classes] + 1.0 * (counts + 1.0)[:, None] / (counts + 1.0).sum() * classes * 0.05
-        moves = rows[classes : classes + states] + 0.1
-        start, share = rows[-2] + 0.1, rows[-1] + 0.1
-        model = Hmm(start / start.sum(), share / share.sum(), moves / moves.sum(axis=1, keepdims=True), emits / emits.sum(axis=0))
+        moves, start = rows[classes : classes + states] + 0.1, rows[-2] + 0.1
+        model = Hmm(start / start.sum(), moves / moves.sum(axis=1, keepdims=True), emits / emits.sum(axis=0))
+        likelihood = float(rows[-1, 0])
+        if best is not None and likelihood - best <= gain * abs(best):
+            break
+        best = likelihood
     return model
 
 
@@ -198,7 +283,9 @@ def score(docs: DataFrame, held_out: Column, states: int = STATES, classes: int
     Counts of all words cover all training rows. The ``frequent`` most frequent are
     broadcast (that number bounds them); a text's other words are joined with the full table
     by word. Null texts count as empty: the end alone. Rows that repeat an id are scored each
-    on its own; with no training rows every word is unknown. Other columns aren't read.
+    on its own; with no training rows every word is unknown. An empty table gives no rows.
+    Texts are whole chains in training and in scoring, however long. Other columns, whatever
+    their names, aren't read.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), held_out.alias("held_out"))
@@ -245,13 +332,13 @@ def score(docs: DataFrame, held_out: Column, states: int = STATES, classes: int
     encoded = write_table(rows.transform(bounded).mapInArrow(encode, schema).withColumn("row", F.monotonically_increasing_id()), "encoded", compression="zstd")
     model = spark.sparkContext.broadcast(baum_welch(encoded.filter("not held_out"), per_class.astype(float), states, rounds))
 
-    def forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def likelihoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "codes"):
             codes, offsets = _sequences(batch)
             yield batch.drop_columns(["codes"]).append_column("hmm", pa.array(forward_log10(model.value, codes, offsets)))
 
     scored = encoded.select("row", "doc_id", "held_out", "n_tokens", "known", "logs", "room", "codes").transform(bounded).mapInArrow(
-        forward, f"row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, known bigint, logs double, room double, hmm double"
+        likelihoods, f"row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, known bigint, logs double, room double, hmm double"
     )
     tails = (
         encoded.select("row", F.explode("tail").alias("word")).groupBy("row", "word").agg(F.count("*").alias("tf"))
