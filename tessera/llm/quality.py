@@ -17,6 +17,8 @@ from tessera.session import write_table
 
 #: Buckets of hashed words, latent factors, labelled rows to learn from, rounds of averaging.
 BUCKETS, FACTORS, SAMPLE_ROWS, ROUNDS = 1 << 14, 8, 12_000, 5
+#: Shares that examples are dealt to by a hash of their id and text; each makes its own pass of a round.
+SHARES = 8
 #: Structure statistics and metadata, each a feature after the buckets.
 STATISTICS = ("bias", "log_words", "log_chars_given", "mean_word", "distinct", "upper", "digit", "mark", "line", "other", "word_repeat")
 _KINDS = np.zeros((256, 5), np.uint8)  # upper-case, digit, mark, line break, beyond ASCII
@@ -140,17 +142,21 @@ def train(
 ) -> FactorisationMachine:
     """Learn ``labels.quality`` from labelled rows of ``docs`` for which ``trains`` holds.
 
-    A sample of about ``sample_rows`` labelled ids is taken by hash (a bounded sample is all
-    that a model of this size can use). Its features are a table; each round every partition
-    makes a pass from the same weights, and the weights are averaged by index in a shuffle.
+    A sample of about ``sample_rows`` labelled rows is taken by hash of id and text (a bounded
+    sample is all that a model of this size can use); rows with the same id and text are one
+    example, and the mean of an id's labels is its label. The examples are dealt to SHARES by
+    the same hash and ordered by it. Each round every share makes a pass from the same weights,
+    and the weights are averaged share by share, in a shuffle by index. So the model doesn't
+    depend on how the tables are cut into files, partitions or cores.
     """
     spark = docs.sparkSession
     marked = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.avg("quality").alias("label"))
-    marked = marked.filter(trains).withColumn("label", (F.col("label") >= 0.5).cast("double"))
-    rows = marked.count()
-    draw = F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = write_table(marked.filter(draw < min(1.0, sample_rows / max(rows, 1))), "labelled")
-    joined = docs.select("doc_id", "text", F.coalesce("n_chars", F.lit(0)).cast("double").alias("chars")).join(sample, "doc_id")
+    marked = write_table(marked.filter(trains).withColumn("label", (F.col("label") >= 0.5).cast("double")), "labelled")
+    rows = docs.select("doc_id").join(marked, "doc_id").count()
+    keyed = docs.select("doc_id", "text", F.coalesce("n_chars", F.lit(0)).cast("double").alias("chars"), F.xxhash64("text").alias("text_key")).join(marked, "doc_id")
+    placed = keyed.withColumn("place", F.xxhash64(F.lit(9), "doc_id", "text_key"))
+    draw = F.pmod("place", F.lit(1 << 30)) / float(1 << 30)
+    sample = placed.filter(draw < min(1.0, sample_rows / max(rows, 1))).groupBy("place", "doc_id", "text_key", "label").agg(F.max("chars").alias("chars"), F.min("text").alias("text"))
     size, stats = buckets + len(STATISTICS), len(STATISTICS)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,49 +164,53 @@ def train(
             rows, index, values, statistics = text_features(batch.column("text"), batch.column("chars").to_numpy(), buckets)
             cuts = np.searchsorted(rows, np.arange(batch.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("label"), pa.ListArray.from_arrays(pa.array(cuts), pa.array(index)),
-                 pa.ListArray.from_arrays(pa.array(cuts), pa.array(values)), pa.array(list(statistics))],
-                names=["label", "index", "value", "stats"],
+                [batch.column("share"), batch.column("place"), batch.column("doc_id"), batch.column("label"),
+                 pa.ListArray.from_arrays(pa.array(cuts), pa.array(index)), pa.ListArray.from_arrays(pa.array(cuts), pa.array(values)), pa.array(list(statistics))],
+                names=["share", "place", "doc_id", "label", "index", "value", "stats"],
             )
 
-    schema = "label double, index array<bigint>, value array<double>, stats array<double>"
-    spread = joined.select("text", "chars", "label").repartition(8).transform(bounded).mapInArrow(features, schema)
-    table = write_table(spread, "quality-sample")
-    moments = table.select("label", *(F.col("stats")[i].alias(f"c{i}") for i in range(stats))).agg(
-        F.count("*").alias("n"), *(f(F.col(f"c{i}")).alias(f"{f.__name__}{i}") for i in range(stats) for f in (F.avg, F.stddev_pop))
-    ).first()
-    if not moments["n"]:
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"share int, place bigint, doc_id {kind}, label double, index array<bigint>, value array<double>, stats array<double>"
+    dealt = sample.select(F.pmod(F.xxhash64("place"), F.lit(SHARES)).cast("int").alias("share"), "place", "doc_id", "text", "chars", "label")
+    table = write_table(dealt.transform(bounded).mapInArrow(features, schema), "quality-sample")
+
+    def moments(key: tuple[pa.Scalar, ...], share: pa.Table) -> pa.Table:
+        found = np.array(share.sort_by([("place", "ascending"), ("doc_id", "ascending")]).column("stats").to_pylist())
+        return pa.table({"share": pa.array([key[0].as_py()], pa.int32()), "n": [len(found)], "sums": [found.sum(axis=0)], "squares": [(found**2).sum(axis=0)]})
+
+    sums = table.groupBy("share").applyInArrow(moments, "share int, n bigint, sums array<double>, squares array<double>").collect()  # SHARES rows
+    if not sums:
         return FactorisationMachine.seeded(buckets, factors, np.zeros(stats), np.ones(stats))
-    means = np.array([moments[f"avg{i}"] for i in range(stats)])
-    spreads = np.maximum([moments[f"stddev_pop{i}"] for i in range(stats)], 1e-6)
+    sums.sort()
+    n = sum(r["n"] for r in sums)
+    means = sum(np.array(r["sums"]) for r in sums) / n
+    spreads = np.maximum(np.sqrt(np.maximum(sum(np.array(r["squares"]) for r in sums) / n - means**2, 0)), 1e-6)
     means[0], spreads[0] = 0.0, 1.0  # the bias stays 1
     model = FactorisationMachine.seeded(buckets, factors, means, spreads)
+    columns = [f"p{f}" for f in range(factors + 1)]
     for number in range(rounds):
         shipped = spark.sparkContext.broadcast(model)
 
-        def learn(batches: Iterator[pa.RecordBatch], shipped=shipped, number=number) -> Iterator[pa.RecordBatch]:
+        def learn(key: tuple[pa.Scalar, ...], share: pa.Table) -> pa.Table:
+            """A share's passes: about sample_rows / SHARES examples, in the order of their hash."""
             start = shipped.value
             own = FactorisationMachine(start.weights.copy(), start.factors.copy(), start.means, start.spreads)
-            labels, examples = [], []
-            for batch in batches:
-                labels += batch.column("label").to_pylist()
-                statistics = own.scaled(np.array(batch.column("stats").to_pylist()).reshape(batch.num_rows, stats))
-                for i in range(batch.num_rows):
-                    index = np.concatenate([batch.column("index")[i].values.to_numpy(), buckets + np.arange(stats)])
-                    examples.append((index, np.concatenate([batch.column("value")[i].values.to_numpy(), statistics[i]])))
-            if not labels:
-                return
+            share = share.sort_by([("place", "ascending"), ("doc_id", "ascending")]).combine_chunks()
+            statistics = own.scaled(np.array(share.column("stats").to_pylist()))
+            bags, values = share.column("index").to_pylist(), share.column("value").to_pylist()
+            last = buckets + np.arange(stats)
+            examples = [(np.concatenate([np.array(b, np.int64), last]), np.concatenate([v, s])) for b, v, s in zip(bags, values, statistics, strict=True)]
             for again in range(2):
-                descend(own, np.array(labels), examples, seed=10 * number + again)
+                descend(own, share.column("label").to_numpy(), examples, seed=10 * number + again)
             both = np.concatenate([own.weights[:, None], own.factors], axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(size)), pa.array(np.full(size, float(len(labels)))), *(pa.array(both[:, f]) for f in range(factors + 1))],
-                names=["index", "rows", *(f"p{f}" for f in range(factors + 1))],
-            )
-
-        columns = [f"p{f}" for f in range(factors + 1)]
-        passed = table.transform(bounded).mapInArrow(learn, "index bigint, rows double, " + ", ".join(f"{c} double" for c in columns))
-        mean = passed.groupBy("index").agg(*((F.sum(F.col(c) * F.col("rows")) / F.sum("rows")).alias(c) for c in columns)).toPandas()
+            named = {c: both[:, f] for f, c in enumerate(columns)}
+            return pa.table({"share": np.full(size, key[0].as_py(), np.int32), "index": np.arange(size), "rows": np.full(size, float(share.num_rows))} | named)
+
+        passed = table.groupBy("share").applyInArrow(learn, "share int, index bigint, rows double, " + ", ".join(f"{c} double" for c in columns))
+        listed = passed.groupBy("index").agg(F.array_sort(F.collect_list(F.struct("share", "rows", *columns))).alias("l"))  # SHARES entries
+        total = lambda c: F.aggregate("l", F.lit(0.0), lambda t, x: t + x[c] * x["rows"])
+        weight = F.aggregate("l", F.lit(0.0), lambda t, x: t + x["rows"])
+        mean = listed.select("index", *((total(c) / weight).alias(c) for c in columns)).toPandas()
         both = mean.sort_values("index")[columns].to_numpy()
         model = FactorisationMachine(both[:, 0].copy(), both[:, 1:].copy(), means, spreads)
     return model
@@ -210,7 +220,8 @@ def classify(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
     """``doc_id, score, predicted`` per row of ``docs``, in one pass without a shuffle.
 
     Only the text and n_chars (null: 0) are inputs. Null and empty texts have no word and
-    score by their statistics. Repeated rows give repeated results; other columns aren't read.
+    score by their statistics. Repeated rows give repeated results, an empty table none; very
+    long texts are scored whole, one at a time. Other columns, whatever their names, aren't read.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -1,5 +1,6 @@
 import itertools
 import sys
+import zlib
 from collections import Counter
 from math import log10
 from pathlib import Path
@@ -28,36 +29,65 @@ def paths_likelihood(model, codes):
 def small_model(states=3, classes=5, seed=2):
     draw = np.random.default_rng(seed)
     one = lambda *shape: draw.random(shape) + 0.1
-    start, share, moves, emits = one(states), one(states), one(states, states), one(classes, states)
-    return hmm.Hmm(start / start.sum(), share / share.sum(), moves / moves.sum(axis=1, keepdims=True), emits / emits.sum(axis=0))
+    start, moves, emits = one(states), one(states, states), one(classes, states)
+    return hmm.Hmm(start / start.sum(), moves / moves.sum(axis=1, keepdims=True), emits / emits.sum(axis=0))
 
 
 def test_forward_is_the_sum_over_paths():
     model = small_model()
     sequences = [[0], [1, 2], [4, 3, 2, 1, 0], [], [2, 2, 2]]
     offsets = np.concatenate([[0], np.cumsum([len(s) for s in sequences])])
-    found = hmm.forward_log10(model, np.array(sum(sequences, [])), offsets)
-    for got, codes in zip(found, sequences, strict=True):
-        assert abs(got - (log10(paths_likelihood(model, codes)) if codes else 0.0)) < 1e-9
+    for longest in (1, 2, 3, 1024):
+        found = hmm.forward_log10(model, np.array(sum(sequences, [])), offsets, longest)
+        for got, codes in zip(found, sequences, strict=True):
+            assert abs(got - (log10(paths_likelihood(model, codes)) if codes else 0.0)) < 1e-9
 
 
 def test_expected_counts_are_those_of_all_paths():
-    model, codes = small_model(), np.array([0, 3, 1, 4, 2, 2])
-    chains, lengths, fresh = hmm.cut_chains(codes, np.array([0, 4, 6]))
-    into = {"emits": np.zeros((5, 3)), "moves": np.zeros((3, 3)), "start": np.zeros(3), "share": np.zeros(3)}
-    hmm.chain_counts(model, chains, lengths, fresh, into)
-    emits, moves = np.zeros((5, 3)), np.zeros((3, 3))
-    for part in (codes[:4], codes[4:]):
+    model, codes = small_model(), np.array([0, 3, 1, 4, 2, 2, 1, 0, 3])
+    emits, moves, start = np.zeros((5, 3)), np.zeros((3, 3)), np.zeros(3)
+    for part in (codes[:7], codes[7:]):
         whole = paths_likelihood(model, part)
         for path in itertools.product(range(3), repeat=len(part)):
             p = model.start[path[0]] * model.emits[part[0], path[0]]
             for t in range(1, len(part)):
                 p *= model.moves[path[t - 1], path[t]] * model.emits[part[t], path[t]]
+            start[path[0]] += p / whole
             for t, s in enumerate(path):
                 emits[part[t], s] += p / whole
                 if t:
                     moves[path[t - 1], s] += p / whole
-    assert np.allclose(into["emits"], emits) and np.allclose(into["moves"], moves)
+    for longest, held in ((1, 1), (2, 3), (3, 100), (1024, 1024)):  # cut anywhere, the chains stay whole
+        into = hmm.no_counts(5, 3)
+        hmm.expected_counts(model, codes, np.array([0, 7, 7, 9]), into, longest, held)
+        assert np.allclose(into["emits"], emits) and np.allclose(into["moves"], moves) and np.allclose(into["start"], start)
+        assert np.isclose(into["likelihood"][0], log10(paths_likelihood(model, codes[:7]) * paths_likelihood(model, codes[7:])))
+
+
+def test_scores_by_a_plain_loop(rows):
+    """The score of each text, recomputed word by word with the model before any round."""
+    data, states, classes = odd_documents()[:8], 3, 16
+    found = sorted((str(r.doc_id), r.score) for r in hmm.score(rows(data, DOCS), hmm.held_out(), states, classes, rounds=0).collect())
+    texts = [((t or "").encode().lower().split()) for _, t, *_ in data]
+    count = Counter(w for d, ws in zip(data, texts, strict=True) if crc(d[0]) % 7 != 2 for w in ws)
+    ends = sum(crc(d[0]) % 7 != 2 for d in data)
+    place = lambda w: 1 + zlib.crc32(w) % (classes - 1)
+    totals, kinds = np.zeros(classes), np.zeros(classes)
+    for w, n in count.items():
+        totals[place(w)] += n
+        kinds[place(w)] += 1
+    totals[0], kinds[0] = ends, 1
+    model = hmm.Hmm.seeded(totals, states)
+    wanted = []
+    for d, ws in zip(data, texts, strict=True):
+        alpha, score = model.start, 0.0
+        for t, (c, n) in enumerate([(place(w), count[w]) for w in ws] + [(0, ends)]):
+            alpha = (alpha if t == 0 else alpha @ model.moves) * model.emits[c]
+            score += log10(alpha.sum()) + log10((n + 1) / (totals[c] + kinds[c] + 1))
+            alpha = alpha / alpha.sum()
+        wanted.append((str(d[0]), score))
+    assert [i for i, _ in found] == [i for i, _ in sorted(wanted)]
+    assert all(abs(a[1] - b[1]) < 1e-8 * abs(b[1]) for a, b in zip(found, sorted(wanted), strict=True))
 
 
 def test_training_raises_the_likelihood(spark, rows):
@@ -179,6 +209,48 @@ def test_quality_on_held_out_rows(rows):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in found.values()) and len(found) == len(data)
 
 
+def test_quality_does_not_depend_on_partitions(spark):
+    """The same scores from one file as from many small splits, shuffled over more partitions."""
+    read = lambda name: spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+    conf, scores = spark.conf, []
+    before = {k: conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.shuffle.partitions")}
+    try:
+        for size, parts in (("134217728b", "1"), ("20000b", "7")):
+            conf.set("spark.sql.files.maxPartitionBytes", size)
+            conf.set("spark.sql.shuffle.partitions", parts)
+            docs = read("documents").repartition(int(parts))
+            model = quality.train(docs, read("labels"), ~quality.held_out(), buckets=512, rounds=2)
+            scores.append({r.doc_id: r.score for r in quality.report(docs, model).collect()})
+    finally:
+        for key, value in before.items():
+            conf.set(key, value)
+    assert scores[0] == scores[1] and len(set(scores[0].values())) > 20
+
+
+def test_quality_by_a_plain_loop(rows):
+    """Scores recomputed word by word and pair by pair from the learned weights."""
+    data = [(i, ("Plain words 7 here. " if i % 2 else "##x %%y ") * (1 + i % 5), "en", "s", 50) for i in range(40)]
+    docs = rows(data, DOCS)
+    labels = rows([(i, i % 2, 0) for i in range(40)], "doc_id bigint, quality int, toxic int")
+    buckets = 32
+    model = quality.train(docs, labels, ~quality.held_out(), buckets=buckets, factors=2, rounds=2)
+    found = {r.doc_id: r.score for r in quality.report(docs, model).collect()}
+    for i, text, *_ in data[:6]:
+        words = text.encode().lower().split()
+        own = Counter(zlib.crc32(w) % buckets for w in words)
+        size = len(text.encode())
+        share = lambda test, text=text, size=size: (sum(map(test, text)) / size) ** 0.5
+        stats = [
+            1.0, np.log1p(len(words)), np.log1p(50), sum(map(len, words)) / len(words), len(own) / len(words), share(str.isupper), share(str.isdigit),
+            share(lambda c: not c.isalnum() and c not in " .,;:'\"-()?"), share(lambda c: c == "\n"), share(lambda c: ord(c) > 127), max(own.values()) / len(words),
+        ]
+        x = [(b, (n / len(words)) ** 0.5) for b, n in own.items()]
+        x += [(buckets + k, float(np.clip((v - model.means[k]) / model.spreads[k], -4, 4))) for k, v in enumerate(stats)]
+        logit = sum(model.weights[a] * v for a, v in x)
+        logit += sum(model.factors[a] @ model.factors[b] * v * u for n, (a, v) in enumerate(x) for b, u in x[:n])
+        assert abs(found[i] - 1 / (1 + np.exp(-logit))) < 1e-9
+
+
 def test_quality_without_labels(rows):
     docs = rows(odd_documents(), DOCS)
     model = quality.train(docs, rows([], "doc_id bigint, quality int, toxic int"), ~quality.held_out(), buckets=64)
