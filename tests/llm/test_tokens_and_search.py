@@ -4,6 +4,7 @@ import sys
 import zlib
 from pathlib import Path
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -95,35 +96,44 @@ def test_one_endless_word(rows):
 
 
 def plain_top(data, k=5, every=50):
-    vectors = {}
+    vectors = []
     for i, v, _ in data:
         if i is None or v is None or any(x is None or not np.isfinite(x) for x in v):
             continue
-        terms = [int(np.floor(256 * float(x))) for x in v]
-        vectors[i] = min(vectors.get(i, terms), terms)
+        vectors.append((i, [int(np.floor(256 * float(x))) for x in v]))
     dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=False))
     out = []
-    for q in vectors:
+    for row, (q, terms) in enumerate(vectors):
         if q % every == 0:
-            ranked = sorted((-dot(vectors[q], vectors[c]), c) for c in vectors if c != q)[:k]
+            ranked = sorted((-dot(terms, other), c) for n, (c, other) in enumerate(vectors) if n != row)[:k]
             out += [(q, r + 1, c, -s) for r, (s, c) in enumerate(ranked)]
     return sorted(out)
 
 
-@pytest.mark.parametrize("sizes", [(256, 128, 256), (7, 3, 4)])
+@pytest.mark.parametrize("sizes", [(256, 16, 256, 128, 16), (7, 2, 3, 3, 2)])
 def test_top_k_by_brute_force(rows, monkeypatch, sizes):
-    for name, value in zip(("BLOCK", "CHUNK", "PAGE"), sizes, strict=True):
+    for name, value in zip(("BLOCK", "PAGE", "SHEET", "CHUNK", "TOGETHER"), sizes, strict=True):
         monkeypatch.setattr(topk, name, value)
     draw = np.random.default_rng(1)
     centres = draw.normal(size=(5, 8))
     data = [(i, [float(np.float32(x)) for x in centres[i % 5] + 0.2 * draw.normal(size=8)], 0) for i in range(400)]
     data += [(1000 + i, data[0][1], 0) for i in range(9)] + [(1050, None, 0), (1100, [1.0, None], 0), (1150, [float("nan")], 0), (1200, [float("inf")], 0), (None, [1.0], 0)]
-    data += [(1250, [0.5, -0.5], 0), (1300, [], 0), (7, [9.0] * 8, 0)]
+    data += [(1250, [0.5, -0.5], 0), (1300, [], 0), (7, [9.0] * 8, 0), (50, data[3][1], 0), (50, data[3][1], 0), (7, [9.0] * 8, 0)]
     vectors = rows(data, "vec_id bigint, embedding array<float>, label int").withColumn("score", F.lit("clash")).withColumn("block", F.lit("clash"))
     found = sorted(tuple(r) for r in topk.top_k(vectors, F.col("vec_id") % 50 == 0).collect())
     assert found == plain_top(data)
 
 
+def test_repeated_ids_as_the_sql_has_them(rows, tmp_path):
+    """All rows are candidates, and those that share an id too."""
+    data = [(0, [1.0, 2.0], 0), (1, [3.0, 0.5], 0), (1, [1.0, 1.0], 0), (2, [0.25, 4.0], 0), (3, [-1.0, 1.0], 0), (50, [2.0, 2.0], 0), (50, [1.5, 0.0], 0)]
+    rows(data, "vec_id bigint, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    connection = duckdb.connect()
+    connection.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    found = queries.QUERIES["op6_top_k"](rows([], "a int").sparkSession, str(tmp_path)).collect()
+    assert sorted(map(tuple, found)) == sorted(connection.sql(topk.ORACLE).fetchall()) == plain_top(data)
+
+
 def test_few_candidates(rows):
     schema = "vec_id bigint, embedding array<float>, label int"
     few = rows([(0, [1.0], 0), (3, [1.0], 0), (2, [1.0], 0)], schema)
