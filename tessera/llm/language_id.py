@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded, coded_words, id_crc, slices, sums_between
+from tessera.llm.common import bounded, coded_words, id_crc, numbered, slices, sums_between
 from tessera.session import write_table
 
 #: Longest n-gram; marks before and after each word.
@@ -19,6 +19,8 @@ ORDER, BEFORE, AFTER = 4, 2, 3
 #: A classifier may learn from a bounded sample: about so many characters of each language, yet
 #: so many rows where they are few and long; and rows for calibration.
 SAMPLE_CHARS, SAMPLE_ROWS, CALIBRATION_ROWS = 6_000_000, 500, 4_000
+#: Characters of the sample in all: with many languages each has an equal part of it.
+ALL_CHARS = 64_000_000
 #: Text bytes scored at once.
 SCORE_BYTES = 4 * 1024 * 1024
 #: Bits by which a text of one character may lie off at least; for longer ones over the root of the length.
@@ -60,92 +62,90 @@ def gram_keys(points: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return _mix(total)
 
 
+@dataclass
+class Sparse:
+    """Values by hash and language: sorted hashes, where each one's entries begin, their languages and values."""
+
+    hashes: np.ndarray
+    starts: np.ndarray
+    langs: np.ndarray
+    values: np.ndarray
+
+    @classmethod
+    def of(cls, hashes: np.ndarray, row: np.ndarray, langs: np.ndarray, values: np.ndarray) -> Sparse:
+        """From entries in order of ``row``, their place in the sorted ``hashes``."""
+        return cls(hashes, np.searchsorted(row, np.arange(len(hashes) + 1)), langs.astype(np.uint16), values.astype(np.float32))
+
+    def entries(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place in ``keys``, language and value of every entry of these hashes."""
+        at = np.minimum(np.searchsorted(self.hashes, keys), len(self.hashes) - 1)
+        place = np.flatnonzero(self.hashes[at] == keys)
+        begins = self.starts[at[place]]
+        many = self.starts[at[place] + 1] - begins
+        own = np.repeat(begins - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        return np.repeat(place, many), self.langs[own], self.values[own]
+
+
 @dataclass
 class KneserNey:
-    """Per order the sorted hashes of the n-grams of all languages with a row of probabilities
-    each, and the sorted hashes of their contexts with a row of back-off weights each."""
+    """Per order the probabilities of the n-grams, and the back-off weights of their contexts, of the
+    languages that have them. So the model's size is that of the sample, however many languages there are."""
 
     languages: list[str]
-    keys: list[np.ndarray]
-    probs: list[np.ndarray]
-    contexts: list[np.ndarray]
-    weights: list[np.ndarray]
+    probs: list[Sparse]
+    weights: list[Sparse]
     base: np.ndarray
 
     @classmethod
     def fit(cls, languages: list[str], grams: dict[str, np.ndarray]) -> KneserNey:
         """From columns lang, n, key, prefix, suffix, count with one row per language and n-gram."""
-        count_l = len(languages)
-        keys = [np.unique(grams["key"][grams["n"] == n]) for n in range(1, ORDER + 1)]
-        raw = [np.zeros((len(k), count_l)) for k in keys]
-        for n in range(1, ORDER + 1):
-            rows = grams["n"] == n
-            raw[n - 1][np.searchsorted(keys[n - 1], grams["key"][rows]), grams["lang"][rows]] = grams["count"][rows]
-        # below the highest order a count is of the different characters that come before
-        for n in range(1, ORDER):
-            rows = grams["n"] == n + 1
-            cont = np.zeros_like(raw[n - 1])
-            np.add.at(cont, (np.searchsorted(keys[n - 1], grams["suffix"][rows]), grams["lang"][rows]), 1)
-            raw[n - 1] = cont
-        base = np.full(count_l, 1.0 / (len(keys[0]) + 1))
-        probs, contexts, weights = [], [], []
+        many = len(languages)
+        orders = []
         for n in range(1, ORDER + 1):
-            rows = grams["n"] == n
-            at, lang = np.searchsorted(keys[n - 1], grams["key"][rows]), grams["lang"][rows]
-            counts = raw[n - 1][at, lang]
-            own_contexts, context = np.unique(grams["prefix"][rows], return_inverse=True)
-            total, kinds = np.zeros((len(own_contexts), count_l)), np.zeros((len(own_contexts), count_l))
-            np.add.at(total, (context, lang), counts)
-            np.add.at(kinds, (context, lang), counts > 0)
-            once = np.bincount(lang[counts == 1], minlength=count_l)
-            twice = np.bincount(lang[counts == 2], minlength=count_l)
+            rows = np.flatnonzero(grams["n"] == n)
+            rows = rows[np.lexsort((grams["lang"][rows], grams["key"][rows]))]
+            own = {c: grams[c][rows] for c in ("lang", "key", "prefix", "suffix", "count")}
+            own["keys"], own["row"] = np.unique(own["key"], return_inverse=True)
+            own["code"] = own["row"] * many + own["lang"]  # ascending: an entry's n-gram and language
+            orders.append(own)
+        for lower, upper in zip(orders[:-1], orders[1:], strict=True):
+            upper["below"] = np.searchsorted(lower["code"], np.searchsorted(lower["keys"], upper["suffix"]) * many + upper["lang"])
+            # below the highest order a count is of the different characters that come before
+            lower["count"] = np.bincount(upper["below"], minlength=len(lower["code"]))
+        even = 1.0 / (len(orders[0]["keys"]) + 1)
+        probs, weights, base, lower_probs = [], [], np.full(many, even), None
+        for n, own in enumerate(orders, 1):
+            counts, lang = own["count"].astype(np.float64), own["lang"]
+            contexts, row = np.unique(own["prefix"], return_inverse=True)
+            pairs, context = np.unique(row * many + lang, return_inverse=True)
+            total, kinds = np.bincount(context, counts), np.bincount(context, counts > 0)
+            once, twice = (np.bincount(lang[counts == c], minlength=many) for c in (1, 2))
             discount = np.where(once + twice > 0, np.maximum(once / np.maximum(once + 2 * twice, 1), 0.1), 0.75)
-            weight = np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0)
-            if n == 1:
-                lower = base[lang]
-            else:
-                below = np.searchsorted(keys[n - 2], grams["suffix"][rows])
-                lower = probs[n - 2][below, lang]
-            # every n-gram has a row for all languages: those that haven't it back off here, once
-            found = np.tile(base, (len(keys[n - 1]), 1))
-            if n > 1:
-                found[at] = weight[context] * probs[n - 2][below]
-            found[at, lang] = np.maximum(counts - discount[lang], 0) / np.maximum(total[context, lang], 1) + weight[context, lang] * lower
-            if n == 1:
-                unseen = np.ones(found.shape, bool)
-                unseen[at, lang] = False
-                base = base * weight[0]
-                found = np.where(unseen, base, found)
-            probs.append(found)
-            contexts.append(own_contexts)
-            weights.append(weight.astype(np.float32))
-        return cls(languages, keys, [p.astype(np.float32) for p in probs], contexts, weights, base.astype(np.float32))
-
-    @staticmethod
-    def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """Row of each key in a sorted table, or -1."""
-        at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-        return np.where(table[at] == keys, at, -1)
+            weight = discount[pairs % many] * kinds / np.maximum(total, 1)
+            lower = even if n == 1 else lower_probs[own["below"]]
+            lower_probs = np.maximum(counts - discount[lang], 0) / np.maximum(total, 1)[context] + weight[context] * lower
+            if n == 1:  # the empty context: what a language hasn't seen at all
+                base[pairs % many] *= weight
+            probs.append(Sparse.of(own["keys"], own["row"], lang, lower_probs))
+            weights.append(Sparse.of(contexts, pairs // many, pairs % many, weight))
+        return cls(languages, probs, weights, base)
 
     def _probs(self, points: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-        """Probability of each place after n - 1 characters; what has no n-gram backs off."""
+        """Probability of each place after n - 1 characters in each language; what has no n-gram backs off."""
         if n == 0:
             return np.tile(self.base, (len(at), 1))
-        row = self._find(self.keys[n - 1], gram_keys(points, at, n))
-        out = self.probs[n - 1][row]
-        rest = np.flatnonzero(row < 0)
-        if len(rest):
-            lower = self._probs(points, at[rest], n - 1)
-            if n > 1:
-                context = self._find(self.contexts[n - 1], gram_keys(points, at[rest] - 1, n - 1))
-                seen = context >= 0
-                lower[seen] *= self.weights[n - 1][context[seen]]
-            out[rest] = lower
+        out = self._probs(points, at, n - 1)
+        if n > 1:
+            place, lang, weight = self.weights[n - 1].entries(gram_keys(points, at - 1, n - 1))
+            out[place, lang] *= weight
+        place, lang, prob = self.probs[n - 1].entries(gram_keys(points, at, n))
+        out[place, lang] = prob
         return out
 
     def log_probs(self, points: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """log2 probability of each place in each language."""
-        return np.log2(self._probs(points, at, ORDER))
+        """log2 probability of each place in each language; each distinct n-gram is looked up once."""
+        _, first, inverse = np.unique(gram_keys(points, at, ORDER), return_index=True, return_inverse=True)
+        return np.log2(self._probs(points, at[first], ORDER))[inverse]
 
     def word_scores(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Per word the log2 probability of its letter runs in each language, and the places predicted."""
@@ -243,15 +243,17 @@ def train(docs: DataFrame, trains: Column, sample_chars: int = SAMPLE_CHARS, cal
     """Learn from the rows of ``docs`` where ``trains`` holds and text and lang aren't null.
 
     Of each language a sample is taken by id hash at the rate that gives ``sample_chars``
-    characters (SAMPLE_ROWS rows at least), whole texts each, so the n-gram tables that come to
-    the driver and go out to the tasks are bounded a language. Another sample of about
+    characters (SAMPLE_ROWS rows at least) and ALL_CHARS in all, whole texts each; so the n-gram
+    counts that come to the driver and go out to the tasks are bounded, and only those of the
+    languages that have them are kept. Another sample of about
     ``calibration_rows`` rows sets the scale of the scores and the limits for rejection.
     """
     spark = docs.sparkSession
     known = docs.filter(trains & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
     totals = known.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("rows"))
+    chars = F.least(F.lit(float(sample_chars)), ALL_CHARS / F.count("*").over(Window.partitionBy()))  # a row a language
     rates = write_table(
-        totals.select("lang", F.least(F.lit(1.0), F.greatest(sample_chars / F.greatest("chars", F.lit(1)), SAMPLE_ROWS / F.col("rows"))).alias("rate"), "rows"),
+        totals.select("lang", F.least(F.lit(1.0), F.greatest(chars / F.greatest("chars", F.lit(1)), SAMPLE_ROWS / F.col("rows"))).alias("rate"), "rows"),
         "language-rates",
     )
     draw = F.pmod(F.xxhash64(F.lit(5), "doc_id", F.length("text")), F.lit(1 << 30)) / float(1 << 30)
@@ -314,7 +316,9 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
     least cross-entropy a character wins (ties: the first by name). ``score`` is the
     calibrated probability, ``rejected`` says that the text is too unlike every language.
     Null texts and texts without a letter are ``und`` with score 0, and rejected. With no
-    language learned all are. Columns of ``docs`` pass through.
+    language learned all are. Columns of ``docs`` pass through (see ``keep_identified`` for
+    any names). Repeated rows give repeated results, an empty table none; a very long text is
+    scored whole, over its distinct words.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -340,6 +344,6 @@ def report(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """``docs`` without those that the models reject, with their own columns (whatever their names)."""
-    numbered = docs.toDF(*(f"__{i}" for i in range(len(docs.columns))))
-    kept = identify(numbered, model, f"__{docs.columns.index('text')}").filter("not rejected")
-    return kept.select(*numbered.columns).toDF(*docs.columns)
+    own, name = numbered(docs)
+    kept = identify(own, model, name["text"]).filter("not rejected")
+    return kept.select(*own.columns).toDF(*docs.columns)

@@ -169,6 +169,44 @@ def test_character_models_sum_to_one(rows):
         assert np.allclose(total, 1, atol=1e-4)
 
 
+def test_character_probabilities_by_a_plain_loop(rows):
+    """Interpolated Kneser-Ney from the texts, n-gram by n-gram, against the fitted arrays."""
+    order, (before, after) = language_id.ORDER, (chr(language_id.BEFORE), chr(language_id.AFTER))
+    texts = {"en": "the water the then hat that hat", "de": "der das dass hat wasser"}
+    grams = {"lang": [], "n": [], "key": [], "prefix": [], "suffix": [], "count": []}
+    raw = {}
+    for place, lang in enumerate(sorted(texts)):
+        seen = [Counter() for _ in range(order + 1)]
+        for word in texts[lang].split():
+            padded = before * (order - 1) + word + after
+            for i in range(order - 1, len(padded)):
+                for n in range(1, order + 1):
+                    seen[n][padded[i - n + 1 : i + 1]] += 1
+        raw[lang] = seen
+        code = lambda g: language_id.gram_keys(np.array([ord(c) for c in g], np.uint64), np.array([len(g) - 1]), len(g))[0] if g else np.uint64(0)
+        for n in range(1, order + 1):
+            for g, count in seen[n].items():
+                for name, value in zip(grams, (place, n, code(g), code(g[:-1]), code(g[1:]), count), strict=True):
+                    grams[name].append(value)
+    columns = {k: np.array(v, np.uint64 if k in ("key", "prefix", "suffix") else np.int64) for k, v in grams.items()}
+    model = language_id.KneserNey.fit(sorted(texts), columns)
+    letters = {g for seen in raw.values() for g in seen[1]}
+
+    def plain(lang, gram, n):
+        if n == 0:
+            return 1 / (len(letters) + 1)
+        counts = raw[lang][n] if n == order else Counter(g[1:] for g in raw[lang][n + 1])
+        once, twice = (sum(v == c for v in counts.values()) for c in (1, 2))
+        discount = max(once / max(once + 2 * twice, 1), 0.1) if once + twice else 0.75
+        same = [v for g, v in counts.items() if g[:-1] == gram[:-1]]
+        lower = plain(lang, gram[1:], n - 1)
+        return max(counts[gram] - discount, 0) / sum(same) + discount * len(same) / sum(same) * lower if same else lower
+
+    for gram in {g for seen in raw.values() for g in seen[order]} | {"hatx", "xxxx", "asse", "zzta"}:
+        got = model.log_probs(np.array([ord(c) for c in gram], np.uint64), np.array([order - 1]))[0]
+        assert np.allclose(2**got, [plain(lang, gram, order) for lang in sorted(texts)], rtol=1e-5)
+
+
 def _unseen(context):
     points = np.frombuffer((context + "☃").encode("utf-32-le"), np.uint32).astype(np.uint64)
     return points, np.array([len(points) - 1])
