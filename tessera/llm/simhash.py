@@ -268,9 +268,9 @@ def near_links(nodes: DataFrame, blocks: int, heavy: int = HEAVY) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, blocks: int | None = None, heavy: int = HEAVY) -> DataFrame:
-    """``doc_id, text_key, fp, component_id`` per row of ``docs``.
+    """``doc_id, text_key, fp, component_id, root`` per row of ``docs``.
 
-    component_id is the least doc_id reachable over links of RADIUS or fewer differing bits,
+    ``root`` is the least fingerprint of the component, which names it. component_id is the least doc_id reachable over links of RADIUS or fewer differing bits,
     the row's own included. Exact copies share a fingerprint, so only distinct fingerprints
     are compared. ``blocks`` (4 by default, 5 or 6 for above 2**24 and 2**31 distinct
     fingerprints) only sets how the comparison is cut up; every choice is exact.
@@ -288,23 +288,22 @@ def near_duplicates(docs: DataFrame, blocks: int | None = None, heavy: int = HEA
     roots = connected_components(near_links(nodes.select("fp"), blocks, heavy))
     labelled = nodes.join(roots.withColumnRenamed("a", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = write_table(labelled.join(least, "root").select("fp", "component_id", "rows"), "classes")
-    return join_by_key(rows, classes, ["fp"], "rows").select("doc_id", "text_key", "fp", "component_id")
+    classes = write_table(labelled.join(least, "root").select("fp", "component_id", "root", "rows"), "classes")
+    return join_by_key(rows, classes, ["fp"], "rows").select("doc_id", "text_key", "fp", "component_id", "root")
 
 
 def keep_one(docs: DataFrame, blocks: int | None = None) -> DataFrame:
     """Of each component of near_duplicates the document with the least id (then text hash).
 
     Rows with the same id and text are one document; of them the least by all other columns
-    stays (null first), in the order of the columns. Without any id in a component each of
-    its fingerprints is a group of its own. Null and empty texts are near-duplicates of each
-    other; an empty table stays empty. Columns may have any name.
+    stays (null first), in the order of the columns. Rows that share an id, but are of
+    different components, are different documents. Null and empty texts are near-duplicates of
+    each other; a null id is the last choice; an empty table stays empty. Columns may have any
+    name.
     """
     found = near_duplicates(docs, blocks)
-    documents = found.groupBy("doc_id", "text_key", "component_id", "fp").agg(F.count("*").alias("rows"))
-    # a component without any id has a null component_id: there each fingerprint is its own group
-    group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fp")))
-    best = documents.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key", "rows")).alias("b"))
+    documents = found.groupBy("doc_id", "text_key", "root").agg(F.count("*").alias("rows"))
+    best = documents.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key", "rows")).alias("b"))
     chosen = write_table(best.select(F.col("b.doc_id").alias("id"), F.col("b.text_key").alias("key"), F.col("b.rows").alias("rows")), "chosen")
     own, name = numbered(docs)
     kept = own.withColumn("text_key", F.xxhash64(name["text"])).join(chosen, F.col(name["doc_id"]).eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")))

@@ -174,6 +174,17 @@ def test_pipeline_on_odd_documents(spark, rows, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
 
 
+def test_stages_keep_columns_of_any_name(spark, rows, tmp_path):
+    import corpus_pipeline
+
+    rows([(1, "benchmark passage with seven more words in it")], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = with_clashing_columns(rows(odd_documents(), DOCS))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, str(tmp_path))
+        assert kept.columns == docs.columns and kept.filter("__size = 'clash' and __id = 'clash' and c7 = 'clash'").count() == kept.count() > 0, name
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+
+
 def test_added_tokens_are_their_own_ids(spark, rows, tokenizer):
     data = [(1, "a b", "en", "a", 3), (2, "x<|endoftext|> y", "en", "a", 16), (3, "c", "en", "a", 1)]
     found = token_files.report(token_files.write_tokens(rows(data, DOCS), JSON)).orderBy("start").collect()
