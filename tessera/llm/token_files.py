@@ -22,7 +22,7 @@ END_ID = 0
 UNSAFE = r"^$|^[\s\x0b\x1c-\x1f\x{85}\p{Z}]|[\s\x0b\x1c-\x1f\x{85}\p{Z}]$"
 #: Pieces that are surely a word and a mark behind it: two pre-tokens of the byte-level vocabulary.
 WORD_AND_MARK = r"^(?P<word>[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}\x{400}-\x{481}]+)(?P<mark>[!-/:-@\[-`{-~]*)$"
-#: Parts that a worker remembers at most, and text bytes that it encodes at once.
+#: Parts that a worker remembers at most (between its tasks too), and text bytes that it encodes at once.
 REMEMBERED, ENCODE_BYTES = 500_000, 4 * 1024 * 1024
 #: Row groups, pages and encodings: small pages with a page index let a reader skip to some rows;
 #: ids are dictionary-encoded, and delta-encoded where a dictionary grows too large.
@@ -159,8 +159,10 @@ def _gathered(pool: np.ndarray, begins: np.ndarray, lengths: np.ndarray, order:
     """The runs pool[begins[i] : begins[i] + lengths[i]] for i in ``order`` in a row, and their edges."""
     own = lengths[order]
     edges = np.concatenate([[0], np.cumsum(own)])
-    shift = np.repeat(begins[order] - edges[:-1], own)
-    return pool[shift + np.arange(int(edges[-1]))], edges
+    small = np.int32 if max(int(edges[-1]), len(pool)) < 1 << 31 else np.int64
+    at = np.repeat((begins[order] - edges[:-1]).astype(small), own)
+    at += np.arange(int(edges[-1]), dtype=small)
+    return pool[at], edges
 
 
 _encoders: dict[int, Encoder] = {}
@@ -199,7 +201,6 @@ def write_tokens(docs: DataFrame, tokenizer_json: str) -> DataFrame:
                 names=["doc_id", "part", "before", "n_tokens", "ids"],
             )
             before += int(offsets[-1])
-        encoder.forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("_k"), F.monotonically_increasing_id().alias("_r"))
