@@ -15,10 +15,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import bounded, join_by_key, numbered, slices
 from tessera.session import write_table
 
-#: Every run of so many consecutive sentences counts, however short they are.
-SEVERAL = 3
-#: So does the shortest run of at least so many sentences and words, and a sentence of LONE_WORDS by itself.
-SENTENCES, RUN_WORDS, LONE_WORDS = 2, 25, 50
+#: Every run of so many consecutive sentences counts, however short they are; so does a sentence of LONE_WORDS by itself.
+SENTENCES, LONE_WORDS = 2, 50
 _BREAK = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
 
 
@@ -34,33 +32,17 @@ def sentence_bounds(text: str) -> list[tuple[int, int]]:
     return bounds
 
 
-def runs_of(words: np.ndarray, several: int, sentences: int, run_words: int, lone_words: int) -> np.ndarray:
-    """Runs (first, end) of sentences with these word counts.
+def runs_of(words: np.ndarray, sentences: int, lone_words: int) -> np.ndarray:
+    """Runs (first, end) of sentences with these word counts: every run of ``sentences``, and long ones alone.
 
-    Every run of ``several`` sentences, so any longer repeated run is covered by its own
-    windows. Besides, for passages of fewer but long sentences: from each sentence on, and up
-    to each sentence, the shortest run that has enough ``sentences`` and words. With both, all
-    sentences of a repeated passage lie in runs that lie in the passage, though its last or
-    first sentences alone have too few words.
+    A longer repeated run is covered by its own windows.
     """
-    n = len(words)
-    before = np.concatenate([[0], np.cumsum(words)])
-    first = np.arange(n)
-    end = np.maximum(np.searchsorted(before, before[:-1] + run_words, side="left"), first + sentences)
-    forward = np.stack([first, end], axis=1)[end <= n]
-    ends = np.arange(1, n + 1)
-    start = np.minimum(np.searchsorted(before, before[1:] - run_words, side="right") - 1, ends - sentences)
-    backward = np.stack([start, ends], axis=1)[start >= 0]
+    first = np.arange(max(len(words) - sentences + 1, 0))
     lone = np.flatnonzero(words >= lone_words)
-    window = np.stack([first, first + several], axis=1)[: max(n - several + 1, 0)]
-    every = np.concatenate([window, forward, backward, np.stack([lone, lone + 1], axis=1)])
-    packed = np.unique(every[:, 0] << 32 | every[:, 1])
-    return np.stack([packed >> 32, packed & 0xFFFFFFFF], axis=1)
+    return np.concatenate([np.stack([first, first + sentences], axis=1), np.stack([lone, lone + 1], axis=1)])
 
 
-def sentence_runs(
-    docs: DataFrame, several: int = SEVERAL, sentences: int = SENTENCES, run_words: int = RUN_WORDS, lone_words: int = LONE_WORDS
-) -> DataFrame:
+def sentence_runs(docs: DataFrame, sentences: int = SENTENCES, lone_words: int = LONE_WORDS) -> DataFrame:
     """``doc_id, text_key, first, end, h1, h2`` for every run of every document.
 
     h1 and h2 are 128 bits of hash over the sentences, lower-cased with single spaces.
@@ -76,7 +58,7 @@ def sentence_runs(
                 if not parts:
                     continue
                 words = np.fromiter(map(len, parts), np.int64, len(parts))
-                found = runs_of(words, several, sentences, run_words, lone_words)
+                found = runs_of(words, sentences, lone_words)
                 if not len(found):
                     continue
                 digests = b"".join(xxhash.xxh3_128_digest(" ".join(p).encode("utf-8", "surrogatepass")) for p in parts)
@@ -99,9 +81,7 @@ def sentence_runs(
     return keyed.transform(bounded).mapInArrow(run, f"doc_id {kind}, text_key bigint, first int, end int, h1 bigint, h2 bigint")
 
 
-def repeated_spans(
-    docs: DataFrame, several: int = SEVERAL, sentences: int = SENTENCES, run_words: int = RUN_WORDS, lone_words: int = LONE_WORDS
-) -> DataFrame:
+def repeated_spans(docs: DataFrame, sentences: int = SENTENCES, lone_words: int = LONE_WORDS) -> DataFrame:
     """``doc_id, text_key, first, end, first_doc_id``: what each document repeats.
 
     A run that occurs more than once in the corpus stays where (doc_id, text hash, place) is
@@ -115,7 +95,7 @@ def repeated_spans(
     runs are held at once. Rows with the same id and text count as one document; a null id is
     less than any. Other columns aren't read.
     """
-    runs = write_table(sentence_runs(docs, several, sentences, run_words, lone_words), "runs")
+    runs = write_table(sentence_runs(docs, sentences, lone_words), "runs")
     place = F.struct("doc_id", "text_key", "first")
     groups = runs.groupBy("h1", "h2").agg(F.min(place).alias("p"), F.max(place).alias("q"), F.count("*").alias("n"))
     repeated = write_table(groups.filter(~F.col("p").eqNullSafe(F.col("q"))).select("h1", "h2", "p", "n"), "repeated-runs")
