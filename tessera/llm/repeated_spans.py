@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from tessera.llm.common import bounded, join_by_key, numbered, slices
 from tessera.session import write_table
 
-#: Every run of so many consecutive sentences counts, however short they are; so does a sentence of LONE_WORDS by itself.
-SENTENCES, LONE_WORDS = 2, 50
+#: Every run of so many consecutive sentences counts, however short they are. For passages of
+#: fewer but long sentences, so do two sentences of PAIR_WORDS, and one of LONE_WORDS by itself.
+SENTENCES, PAIR_WORDS, LONE_WORDS = 3, 25, 50
 _BREAK = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
 
 
@@ -32,17 +33,18 @@ def sentence_bounds(text: str) -> list[tuple[int, int]]:
     return bounds
 
 
-def runs_of(words: np.ndarray, sentences: int, lone_words: int) -> np.ndarray:
-    """Runs (first, end) of sentences with these word counts: every run of ``sentences``, and long ones alone.
+def runs_of(words: np.ndarray, sentences: int, pair_words: int, lone_words: int) -> np.ndarray:
+    """Runs (first, end) of sentences with these word counts: every run of ``sentences``, and long pairs and long ones.
 
     A longer repeated run is covered by its own windows.
     """
     first = np.arange(max(len(words) - sentences + 1, 0))
+    pair = np.flatnonzero(words[:-1] + words[1:] >= pair_words) if sentences > 2 else first[:0]
     lone = np.flatnonzero(words >= lone_words)
-    return np.concatenate([np.stack([first, first + sentences], axis=1), np.stack([lone, lone + 1], axis=1)])
+    return np.concatenate([np.stack([at, at + size], axis=1) for at, size in ((first, sentences), (pair, 2), (lone, 1))])
 
 
-def sentence_runs(docs: DataFrame, sentences: int = SENTENCES, lone_words: int = LONE_WORDS) -> DataFrame:
+def sentence_runs(docs: DataFrame, sentences: int = SENTENCES, pair_words: int = PAIR_WORDS, lone_words: int = LONE_WORDS) -> DataFrame:
     """``doc_id, text_key, first, end, h1, h2`` for every run of every document.
 
     h1 and h2 are 128 bits of hash over the sentences, lower-cased with single spaces.
@@ -58,7 +60,7 @@ def sentence_runs(docs: DataFrame, sentences: int = SENTENCES, lone_words: int =
                 if not parts:
                     continue
                 words = np.fromiter(map(len, parts), np.int64, len(parts))
-                found = runs_of(words, sentences, lone_words)
+                found = runs_of(words, sentences, pair_words, lone_words)
                 if not len(found):
                     continue
                 digests = b"".join(xxhash.xxh3_128_digest(" ".join(p).encode("utf-8", "surrogatepass")) for p in parts)
@@ -81,7 +83,7 @@ def sentence_runs(docs: DataFrame, sentences: int = SENTENCES, lone_words: int =
     return keyed.transform(bounded).mapInArrow(run, f"doc_id {kind}, text_key bigint, first int, end int, h1 bigint, h2 bigint")
 
 
-def repeated_spans(docs: DataFrame, sentences: int = SENTENCES, lone_words: int = LONE_WORDS) -> DataFrame:
+def repeated_spans(docs: DataFrame, sentences: int = SENTENCES, pair_words: int = PAIR_WORDS, lone_words: int = LONE_WORDS) -> DataFrame:
     """``doc_id, text_key, first, end, first_doc_id``: what each document repeats.
 
     A run that occurs more than once in the corpus stays where (doc_id, text hash, place) is
@@ -95,7 +97,7 @@ def repeated_spans(docs: DataFrame, sentences: int = SENTENCES, lone_words: int
     runs are held at once. Rows with the same id and text count as one document; a null id is
     less than any. Other columns aren't read.
     """
-    runs = write_table(sentence_runs(docs, sentences, lone_words), "runs")
+    runs = write_table(sentence_runs(docs, sentences, pair_words, lone_words), "runs")
     place = F.struct("doc_id", "text_key", "first")
     groups = runs.groupBy("h1", "h2").agg(F.min(place).alias("p"), F.max(place).alias("q"), F.count("*").alias("n"))
     repeated = write_table(groups.filter(~F.col("p").eqNullSafe(F.col("q"))).select("h1", "h2", "p", "n"), "repeated-runs")

@@ -222,7 +222,9 @@ def plain_spans(data):
         words = [len(p) for p in parts]
         runs = set()
         for a in range(len(parts)):
-            if a + 2 <= len(parts):
+            if a + 3 <= len(parts):
+                runs.add((a, a + 3))
+            if a + 2 <= len(parts) and words[a] + words[a + 1] >= 25:
                 runs.add((a, a + 2))
             if words[a] >= 50:
                 runs.add((a, a + 1))
@@ -270,8 +272,11 @@ def test_runs_cover_a_passage():
     draw = np.random.default_rng(1)
     for _ in range(200):
         words = draw.integers(1, 60, draw.integers(0, 9))
-        runs = set(map(tuple, repeated_spans.runs_of(words, 2, 50).tolist()))
-        assert runs == {(i, i + 2) for i in range(len(words) - 1)} | {(i, i + 1) for i in range(len(words)) if words[i] >= 50}
+        runs = set(map(tuple, repeated_spans.runs_of(words, 3, 25, 50).tolist()))
+        pairs = {(i, i + 2) for i in range(len(words) - 1) if words[i] + words[i + 1] >= 25}
+        assert runs == {(i, i + 3) for i in range(len(words) - 2)} | pairs | {(i, i + 1) for i in range(len(words)) if words[i] >= 50}
+        if words.sum() >= 50:  # a passage of 50 words is covered, however it is cut into sentences
+            assert set().union(*(range(a, b) for a, b in runs)) == set(range(len(words)))
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
