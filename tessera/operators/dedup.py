@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import content_hash
+from tessera.operators.components import connected_components
 from tessera.session import ship, write_table
 
+#: Vectors whose angles bound those of blocks, and links that a task walks at once.
+PIVOTS, HELD_LINKS = 16, 2_000_000
+
 
 def first_by_content(chunks: DataFrame, text: str, order: list[str]) -> DataFrame:
     """The first row, by ``order``, of each text, with its ``chunk_hash``.
@@ -31,61 +38,136 @@ def normalised(vector: Column) -> Column:
     return F.transform(vector, lambda x: F.when(length > 0, x.cast("double") / length).otherwise(x.cast("double")))
 
 
-def near_pairs(vectors: DataFrame, threshold: float, block_rows: int = 1024) -> DataFrame:
+def near_pairs(vectors: DataFrame, threshold: float, block_rows: int = 1024, sheet_blocks: int = 512) -> DataFrame:
     """``a, b, similarity``: pairs of ids (a < b) whose cosine is at least ``threshold``.
 
-    Rows are dealt into blocks of about ``block_rows``; each pair of blocks meets once, by an
-    equi-join on the block numbers, and is compared as one matrix product. This is exact.
+    Rows are ordered by their nearest pivot (of PIVOTS, by hash) and the angle to it, and
+    packed into blocks of ``block_rows`` with the least and greatest angle to each pivot. The
+    angle between unit vectors is a metric, so two blocks whose angles to some pivot lie further
+    apart than the threshold's have no pair, and never meet. The bounds of blocks are compared
+    sheet by sheet; the blocks that are left meet in joins by number, each pair once, as one
+    matrix product. This is exact.
     """
-    ship(vectors.sparkSession)
-    n = vectors.count()
-    blocks = max(1, -(-n // block_rows))
-    dealt = vectors.select("id", normalised(F.col("vector")).alias("v")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    sides = dealt.select("id", "v", "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
-    met = sides.select(
-        "id", "v", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") <= F.col("other")).alias("left")
-    )
-
-    def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        low, high = key[0].as_py(), key[1].as_py()
-        ids = table.column("id").to_numpy()
-        matrix = np.array(table.column("v").to_pylist(), dtype=np.float64).reshape(len(ids), -1)
-        left = table.column("left").to_numpy()
-        one, two = (np.flatnonzero(left), np.flatnonzero(~left)) if low != high else (np.arange(len(ids)), np.arange(len(ids)))
-        product = matrix[one] @ matrix[two].T
-        i, j = np.nonzero(product >= threshold)
-        a, b = ids[one[i]], ids[two[j]]
-        keep = a < b if low == high else np.ones(len(a), bool)
-        return pa.table({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "similarity": product[i, j][keep]})
-
-    return met.groupBy("low", "high").applyInArrow(compare, "a bigint, b bigint, similarity double")
-
-
-def greedy_kept(ids: DataFrame, pairs: DataFrame, max_rounds: int = 100) -> DataFrame:
+    spark = vectors.sparkSession
+    ship(spark)
+    unit = write_table(vectors.select("id", normalised(F.col("vector")).alias("v")), "unit-vectors")
+    some = unit.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).select("v").toArrow().column("v").to_pylist()
+    shipped = spark.sparkContext.broadcast(np.array(some, np.float64).reshape(len(some), -1))
+    reach = np.arccos(min(threshold, 1.0)) + 1e-6 if threshold > 0 else np.pi  # a zero vector has no angle, and no pair above 0
+
+    def matrix_of(lists: pa.Array) -> np.ndarray:
+        return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                angles = np.arccos(np.clip(matrix_of(batch.column("v")) @ shipped.value.T, -1, 1))
+                yield batch.append_column("cell", pa.array(angles.argmin(axis=1))).append_column("angle", pa.array(angles.min(axis=1)))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, rest = TaskContext.get().partitionId() << 32, None
+        names = ["block", "ids", "v", "low", "high"]
+
+        def emit(part: pa.Table) -> pa.RecordBatch:
+            nonlocal number
+            matrix = matrix_of(part.column("v").combine_chunks())
+            angles = np.arccos(np.clip(matrix @ shipped.value.T, -1, 1))
+            number += 1
+            ids = part.column("id").to_numpy().astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array([x]) for x in (number - 1, ids.tobytes(), matrix.tobytes(), angles.min(axis=0), angles.max(axis=0))], names=names)
+
+        for batch in batches:
+            rest = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            while rest.num_rows >= block_rows:
+                yield emit(rest.slice(0, block_rows))
+                rest = rest.slice(block_rows)
+        if rest is not None and rest.num_rows:
+            yield emit(rest)
+
+    ordered = unit.mapInArrow(placed, "id bigint, v array<double>, cell bigint, angle double").repartitionByRange("cell", "angle", "id").sortWithinPartitions("cell", "angle", "id")
+    blocks = write_table(ordered.select("id", "v").mapInArrow(packed, "block bigint, ids binary, v binary, low array<double>, high array<double>"), "blocks")
+
+    sheets = max(1, -(-blocks.count() // sheet_blocks))
+    dealt = blocks.select("block", "low", "high", F.pmod(F.xxhash64("block"), F.lit(sheets)).cast("int").alias("sheet"))
+    sides = dealt.select("block", "low", "high", "sheet", F.explode(F.sequence(F.lit(0), F.lit(sheets - 1))).alias("other"))
+    met = sides.select("block", "low", "high", F.least("sheet", "other").alias("one"), F.greatest("sheet", "other").alias("two"), (F.col("sheet") <= F.col("other")).alias("left"))
+
+    def close(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        names, left = table.column("block").to_numpy(), table.column("left").to_numpy(zero_copy_only=False)
+        low, high = (np.array(table.column(c).to_pylist()) for c in ("low", "high"))
+        same = key[0].as_py() == key[1].as_py()
+        one, two = (np.arange(len(names)),) * 2 if same else (np.flatnonzero(left), np.flatnonzero(~left))
+        near = np.ones((len(one), len(two)), bool)
+        for p in range(low.shape[1]):
+            near &= (low[one, p][:, None] - high[two, p] <= reach) & (low[two, p] - high[one, p][:, None] <= reach)
+        i, j = np.nonzero(near)
+        a, b = names[one[i]], names[two[j]]
+        keep = a <= b if same else np.ones(len(a), bool)
+        return pa.table({"one": a[keep], "two": b[keep]})
+
+    pairs = write_table(met.groupBy("one", "two").applyInArrow(close, "one bigint, two bigint"), "block-pairs")
+    left = blocks.select(F.col("block").alias("one"), F.col("ids").alias("ids1"), F.col("v").alias("v1"))
+    right = blocks.select(F.col("block").alias("two"), F.col("ids").alias("ids2"), F.col("v").alias("v2"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids1, ids2 = np.frombuffer(row["ids1"], np.int64), np.frombuffer(row["ids2"], np.int64)
+                product = np.frombuffer(row["v1"]).reshape(len(ids1), -1) @ np.frombuffer(row["v2"]).reshape(len(ids2), -1).T
+                i, j = np.nonzero(product >= threshold)
+                a, b = ids1[i], ids2[j]
+                keep = a < b if row["one"] == row["two"] else np.ones(len(a), bool)
+                columns = [np.minimum(a, b)[keep], np.maximum(a, b)[keep], product[i, j][keep]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["a", "b", "similarity"])
+
+    return pairs.join(left, "one").join(right, "two").mapInArrow(compare, "a bigint, b bigint, similarity double")
+
+
+def _walked(key: tuple[pa.Scalar, ...], edges: pa.Table) -> pa.Table:
+    """Ids that a pass in id order drops, of links (a, b); a link without a drops b from the start."""
+    gone = set(edges.filter(pc.is_null(edges.column("a"))).column("b").to_pylist())
+    links = edges.filter(pc.is_valid(edges.column("a"))).sort_by([("b", "ascending"), ("a", "ascending")])
+    for a, b in zip(links.column("a").to_pylist(), links.column("b").to_pylist(), strict=True):
+        if a not in gone:
+            gone.add(b)
+    return pa.table({"id": pa.array(sorted(gone), pa.int64())})
+
+
+def greedy_kept(ids: DataFrame, pairs: DataFrame, held: int = HELD_LINKS) -> DataFrame:
     """Ids that a pass in id order keeps: those with no kept id before them among their pairs.
 
-    Rounds over what is undecided: keep ids none of whose earlier partners is kept or
-    undecided, drop those with a kept earlier partner. Ids without an earlier partner are
-    decided at once. Each round is a table in the shared folder.
+    Components of the pairs don't bear on each other, so they are walked side by side, many to a
+    task and about ``held`` links in each. A component of more links is walked range by range
+    of ids: what the kept ids of earlier ranges drop is known by then, and a range's own links
+    are few enough for a task. However long its chains are, that ends after links / ``held`` steps.
     """
+    ship(ids.sparkSession)
     edges = write_table(pairs.select("a", "b"), "pairs")
-    involved = edges.select(F.col("b").alias("id")).distinct()
-    dropped: DataFrame | None = None
-    open_ids = write_table(involved, "open")
-    for _ in range(max_rounds):
-        if open_ids.isEmpty():
-            break
-        # earlier partners still undecided hold an id open; dropped ones don't count any more
-        waiting = edges.join(open_ids.withColumnRenamed("id", "a"), "a", "left_semi").join(open_ids.withColumnRenamed("id", "b"), "b", "left_semi").select(F.col("b").alias("id")).distinct()
-        gone = dropped.withColumnRenamed("id", "a") if dropped is not None else None
-        settled = edges if gone is None else edges.join(gone, "a", "left_anti")
-        settled = settled.join(open_ids.withColumnRenamed("id", "a"), "a", "left_anti")  # partners that are kept
-        out = write_table(settled.join(open_ids.withColumnRenamed("id", "b"), "b", "left_semi").select(F.col("b").alias("id")).distinct(), "dropped")
-        dropped = out if dropped is None else write_table(dropped.union(out), "dropped")
-        open_ids = write_table(open_ids.join(out, "id", "left_anti").join(waiting, "id", "left_semi"), "open")
-    else:
-        raise RuntimeError("too many rounds")
-    return ids if dropped is None else ids.join(dropped, "id", "left_anti")
+    total = edges.count()
+    if total == 0:
+        return ids
+    if total <= held:
+        dropped = write_table(edges.groupBy(F.lit(0).alias("g")).applyInArrow(_walked, "id bigint"), "dropped")
+        return ids.join(dropped, "id", "left_anti")
+    rooted = write_table(edges.join(connected_components(edges), "a"), "rooted")
+    large = write_table(rooted.groupBy("root").agg(F.count("*").alias("links")).filter(F.col("links") > held), "large")
+    small = rooted.join(large, "root", "left_anti").withColumn("g", F.pmod(F.xxhash64("root"), F.lit(-(-total // held))))
+    dropped = write_table(small.select("a", "b", "g").groupBy("g").applyInArrow(_walked, "id bigint"), "dropped")
+    if not large.isEmpty():
+        rest = write_table(rooted.join(large, "root", "left_semi").select("a", "b"), "large-links")
+        steps = -(-2 * rest.count() // held)
+        shares = [(i + 1) / steps for i in range(steps)]
+        bounds = sorted(set(rest.agg(F.percentile_approx("b", shares, 10 * steps)).first()[0]))  # a number a step
+        low = None
+        for high in bounds:
+            own = rest.filter(F.col("b") <= high) if low is None else rest.filter((F.col("b") <= high) & (F.col("b") > low))
+            within = own if low is None else own.filter(F.col("a") > low)
+            if low is not None:
+                earlier = own.filter(F.col("a") <= low).join(dropped.withColumnRenamed("id", "a"), "a", "left_anti")
+                within = within.union(earlier.select(F.lit(None).cast("long").alias("a"), "b").distinct())
+            gone = within.groupBy(F.lit(0).alias("g")).applyInArrow(_walked, "id bigint")
+            dropped, low = write_table(dropped.union(gone), "dropped"), high
+    return ids.join(dropped, "id", "left_anti")
 
 
 def first_by_similarity(vectors: DataFrame, threshold: float = 0.95, anchors: DataFrame | None = None) -> DataFrame:

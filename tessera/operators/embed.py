@@ -2,29 +2,45 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import content_hash, terms
+from tessera.session import ship
 
 
 def hashed_embedding(rows: DataFrame, dim: int = 64, text: str = "text") -> DataFrame:
-    """``id, vector`` for ``rows(id, text)``: signed hashed term counts at length one.
+    """``id, vector`` for each row of ``rows(id, text)``: signed hashed term counts at length one.
 
     A term goes to the bucket of the first eight hex digits of its md5, with the sign of the
-    next one. Rows without a term get a zero vector.
+    next one. Rows without a term get a zero vector. Terms are split natively, each distinct
+    one of a batch is hashed once, and a row's counts never leave its task.
     """
-    digest = F.md5(F.col("term").cast("binary"))
-    bucket = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % dim).cast("int")
-    sign = F.when(F.conv(F.substring(digest, 9, 1), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)
-    exploded = rows.select("id", F.explode_outer(terms(F.col(text))).alias("term"))
-    sums = exploded.withColumn("bucket", bucket).groupBy("id", "bucket").agg(F.sum(sign).cast("double").alias("x"))
-    entries = F.map_from_entries(F.filter(F.collect_list(F.struct("bucket", "x")), lambda e: e["bucket"].isNotNull()))
-    per_row = sums.groupBy("id").agg(entries.alias("m"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    cell = lambda i: F.coalesce(F.try_element_at(F.col("m"), i) / F.col("norm"), F.lit(0.0))
-    return per_row.select("id", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), cell).alias("vector"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("t")
+            coded = lists.flatten().dictionary_encode()
+            digests = [hashlib.md5(t.encode("utf-8", "surrogatepass")).digest() for t in coded.dictionary.to_pylist()]
+            bucket = np.fromiter((int.from_bytes(d[:4], "big") % dim for d in digests), np.int64, len(digests))
+            sign = np.fromiter((1 - 2 * (d[4] >> 4 & 1) for d in digests), np.float64, len(digests))
+            codes = coded.indices.to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            cells = np.bincount(row * dim + bucket[codes], sign[codes], batch.num_rows * dim).reshape(-1, dim)
+            length = np.sqrt((cells**2).sum(axis=1, keepdims=True))
+            vectors = cells / np.where(length > 0, length, 1)
+            offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * dim)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(offsets, pa.array(vectors.ravel()))], names=["id", "vector"])
+
+    ship(rows.sparkSession)
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.select("id", terms(F.col(text)).alias("t")).mapInArrow(fold, f"id {kind}, vector array<double>")
 
 
 def split_by_cache(rows: DataFrame, cache: DataFrame, model: str) -> tuple[DataFrame, DataFrame]:

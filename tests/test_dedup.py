@@ -57,3 +57,33 @@ def test_change_status(rows):
     found = {r.source: r.status for r in dedup.change_status(now, old).collect()}
     assert found == {"a": "unchanged", "b": "changed", "c": "new", "d": "unreadable"}
     assert [r.source for r in dedup.without_sources(old, now.filter(F.col("source") != "a")).collect()] == ["a", "e"]
+
+
+def test_long_chains_settle(rows):
+    """A chain of 1,000 ids, each near only the next: every other one stays."""
+    pairs = rows([(i, i + 1) for i in range(999)], "a bigint, b bigint")
+    ids = rows([(i,) for i in range(1000)], "id bigint")
+    assert sorted(r.id for r in dedup.greedy_kept(ids, pairs).collect()) == list(range(0, 1000, 2))
+
+
+def test_walks_in_many_tasks_and_ranges(rows):
+    draw = np.random.default_rng(9)
+    links = {tuple(sorted(p)) for p in draw.integers(0, 60, (70, 2)).tolist() if p[0] != p[1]}
+    links |= {(100 + i, 101 + i) for i in range(25)} | {(200, 201), (202, 203), (203, 204)}
+    dropped = set()
+    for a, b in sorted(links, key=lambda p: (p[1], p[0])):
+        if a not in dropped:
+            dropped.add(b)
+    kept = dedup.greedy_kept(rows([(i,) for i in range(210)], "id bigint"), rows(sorted(links), "a bigint, b bigint"), held=20)
+    assert sorted(r.id for r in kept.collect()) == [i for i in range(210) if i not in dropped]
+
+
+def test_pruned_blocks_lose_no_pair(rows):
+    draw = np.random.default_rng(12)
+    centres = draw.normal(size=(6, 5))
+    data = [(i, [float(x) for x in centres[i % 6] + 0.15 * draw.normal(size=5)]) for i in range(150)] + [(900, [0.0] * 5)]
+    frame = rows(data, "id bigint, vector array<double>")
+    unit = {i: np.array(v) / max(np.linalg.norm(v), 1e-9) for i, v in data}
+    for threshold in (0.97, 0.5, -0.2):
+        found = {(r.a, r.b) for r in dedup.near_pairs(frame, threshold, block_rows=8, sheet_blocks=4).collect()}
+        assert found == {(a, b) for a in unit for b in unit if a < b and unit[a] @ unit[b] >= threshold}

@@ -165,3 +165,28 @@ def test_two_stages_filter_before_the_search(rows):
     assert hits[1] == [(1, "focused"), (6, "focused"), (8, "focused")]
     assert hits[2] == [(20, "broad")]
     assert hits[3] == [(0, "broad"), (1, "broad"), (2, "broad")]
+
+
+def test_both_ways_of_search_agree(rows, monkeypatch):
+    """Query batches that are too large for every task take joins instead; the results are the same."""
+    draw = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(30)]
+    text = lambda n: " ".join(draw.choice(words, n))
+    chunks = rows([(i, text(int(draw.integers(0, 20))), text(3)) for i in range(60)] + [(99, None, None)], "id bigint, text string, title string")
+    queries = rows([(q, text(4) + " unknown") for q in range(7)] + [(8, "unknown"), (9, None)], "query_id bigint, query string")
+    for fields in ("text", ["text", "title"]):
+        packed = sorted(map(tuple, bm25.search(chunks, queries, 5, fields).collect()))
+        with monkeypatch.context() as patch:
+            patch.setattr(bm25, "ASKED", 0)
+            joined = sorted(map(tuple, bm25.search(chunks, queries, 5, fields).collect()))
+        assert [r[:2] + r[3:] for r in packed] == [r[:2] + r[3:] for r in joined] and len(packed) == 35
+        assert np.allclose([r[2] for r in packed], [r[2] for r in joined])
+    assert bm25.search(chunks.limit(0), queries).count() == 0 and bm25.search(chunks, queries.limit(0)).count() == 0
+    points = rows([(i, [float(x) for x in draw.normal(size=4)]) for i in range(50)] + [(77, None)], "id bigint, vector array<float>")
+    asked = points.limit(9).withColumnRenamed("id", "query_id")
+    for metric in ("cosine", "dot", "l2"):
+        one = sorted(map(tuple, vector.nearest(points, asked, 3, metric).collect()))
+        with monkeypatch.context() as patch:
+            patch.setattr(vector, "QUERY_BYTES", 0)
+            assert one == sorted(map(tuple, vector.nearest(points, asked, 3, metric).collect())) and len(one) == 27
+    assert vector.nearest(points, asked.limit(0)).count() == 0 and vector.nearest(points.limit(0), asked).count() == 0
