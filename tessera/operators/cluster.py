@@ -63,14 +63,14 @@ def _features(vectors: DataFrame) -> DataFrame:
     return vectors.withColumn("features", array_to_vector(F.transform("vector", lambda x: x.cast("double"))))
 
 
-def fit(vectors: DataFrame, k: int, restarts: int = 3, seed: int = 42) -> DataFrame:
+def fit(vectors: DataFrame, k: int, restarts: int = 10, seed: int = 42, iterations: int = 300) -> DataFrame:
     """``cluster_id, centroid`` of the best of some K-means runs; k is n - 1 at most, fewer than two rows give none."""
     featured = _features(vectors).select("features").persist()
     try:
         n = featured.count()
         if n < 2:
             return vectors.sparkSession.createDataFrame([], "cluster_id int, centroid array<double>")
-        runs = [KMeans(k=min(k, n - 1), seed=seed + i, maxIter=100).fit(featured) for i in range(restarts)]
+        runs = [KMeans(k=min(k, n - 1), seed=seed + i, maxIter=iterations).fit(featured) for i in range(restarts)]
         best = min(runs, key=lambda m: m.summary.trainingCost)
     finally:
         featured.unpersist()

@@ -71,6 +71,24 @@ def optimise(messages: DataFrame, document_tokens: int = 0, reserve: int = 2_000
     return windowed.withColumn("kept", F.when(F.col("total_tokens") + reserve > max_tokens, F.col("kept")).otherwise(True)).select(*messages.columns, "kept")
 
 
+def build_messages(history: DataFrame, prompts: DataFrame, document_tokens: int = 0, reserve: int = 2_000, max_tokens: int = MAX_TOKENS) -> DataFrame:
+    """``conv_id, position, role, text, kept``: what is sent for each of ``prompts(conv_id, system_prompt, user_prompt)``.
+
+    The system prompt comes first, then what users and assistants said in ``history``, then
+    the user's prompt; ``optimise`` says what is kept of it. A conversation without history has
+    two messages.
+    """
+    first, last = F.lit(-1).cast("long"), F.lit((1 << 62)).cast("long")
+    said = history.filter(F.col("role").isin("user", "assistant")).join(prompts.select("conv_id"), "conv_id", "left_semi")
+    every = (
+        prompts.select("conv_id", first.alias("turn"), F.lit("system").alias("role"), F.col("system_prompt").alias("text"))
+        .union(said.select("conv_id", F.col("turn").cast("long"), "role", "text"))
+        .union(prompts.select("conv_id", last.alias("turn"), F.lit("user").alias("role"), F.col("user_prompt").alias("text")))
+    )
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    return optimise(every, document_tokens, reserve, max_tokens).select("conv_id", place.alias("position"), "role", "text", "kept")
+
+
 def needs_window(share: Column, yellow: float = YELLOW) -> Column:
     return share >= yellow
 

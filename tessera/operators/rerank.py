@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import bound, terms
 from tessera.operators.fuse import min_max
+from tessera.operators.order import numbered
+from tessera.session import write_table
 
 # Presets of scorers by name; an unknown name stands for itself.
 PRESETS = {
@@ -48,10 +50,26 @@ def combined(candidates: DataFrame, weight: float = 0.7, scorer: Callable[[Colum
     return scored.withColumn("rank", F.row_number().over(order))
 
 
-def latency_summary(times: DataFrame, value: str, *groups: str) -> DataFrame:
-    """Mean, deviation, extremes and percentiles (exact, interpolated) of measured times."""
-    v = F.col(value)
-    return times.groupBy(*groups).agg(
+def latency_summary(times: DataFrame, value: str, group: str, shares: dict[str, float] | None = None) -> DataFrame:
+    """Mean, deviation, extremes and percentiles (exact, interpolated) of measured times per group.
+
+    All rows are put in order of group and value over the whole cluster; a group's percentiles
+    are the rows at their places, so no group is gathered in one task.
+    """
+    shares = shares or {"p50": 0.5, "p95": 0.95}
+    placed = write_table(numbered(times.select(F.col(group), F.col(value).alias("_v")).filter("_v is not null"), group, "_v", name="_place"), "latencies")
+    v = F.col("_v")
+    sums = placed.groupBy(group).agg(
         F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_pop(v), 6).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
-        F.round(F.percentile(v, F.lit(0.5)), 6).alias("p50"), F.round(F.percentile(v, F.lit(0.95)), 6).alias("p95"),
+        F.min("_place").alias("_start"), F.count("*").alias("_n"),
     )
+    sums = write_table(sums, "latency-sums")
+    at = {name: F.lit(share) * (F.col("_n") - 1) for name, share in shares.items()}
+    places = F.array_distinct(F.array(*(f(x).cast("long") for x in at.values() for f in (F.floor, F.ceil))))
+    wanted = sums.select(F.col(group).alias("_g"), "_start", F.explode(places).alias("_at")).withColumn("_place", F.col("_start") + F.col("_at"))
+    found = placed.join(wanted, "_place").groupBy("_g").agg(F.map_from_entries(F.collect_list(F.struct("_at", "_v"))).alias("_values"))  # two rows a share
+    value_at = lambda x: F.try_element_at("_values", x.cast("long"))
+    cells = [
+        F.round(value_at(F.floor(x)) + (x - F.floor(x)) * (value_at(F.ceil(x)) - value_at(F.floor(x))), 6).alias(name) for name, x in at.items()
+    ]
+    return sums.join(found, F.col(group).eqNullSafe(F.col("_g"))).select(group, "mean", "std", "min", "max", *cells)

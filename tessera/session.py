@@ -24,7 +24,7 @@ def build_session(app: str = "tessera", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         # long texts: a batch sent to Python is bounded in bytes as well as in rows
-        "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(8 * 1024 * 1024),
         "spark.ui.enabled": "false",
     }
     for key, value in (defaults | conf).items():

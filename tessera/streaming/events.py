@@ -34,3 +34,20 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
 def run_to_table(result: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Run a stream over what is there now into Parquet files, resumable from its checkpoint."""
     return result.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def run_updates(result: DataFrame, path: str, checkpoint: str, keys: list[str]) -> DataFrame:
+    """Run a stream of updated aggregates over what is there now; the last state of each of ``keys``.
+
+    Each batch appends what changed in it to Parquet files under its number, so nothing comes
+    to the driver, and a batch that is repeated after a failure replaces itself.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    result.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    stored = result.sparkSession.read.option("basePath", path).parquet(f"{path}/batch=*")
+    values = [c for c in result.columns if c not in keys]
+    last = stored.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("last"))
+    return last.select(*keys, *(F.col("last")[c].alias(c) for c in values))
