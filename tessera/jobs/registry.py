@@ -885,6 +885,152 @@ def conv_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("conv_id", text.content_hash(F.col("document")).alias("document_hash"))
 
 
+CURRENT = "'Tell me more about conversation ' || conv_id::VARCHAR || '.'"
+EVERY_MESSAGE = f"""every AS (
+  SELECT DISTINCT conv_id, -1::BIGINT AS turn, 'system' AS role, 'Answer from the documents.' AS text FROM conversations UNION ALL
+  SELECT conv_id, turn, role, text FROM conversations WHERE role IN ('user', 'assistant') UNION ALL
+  SELECT DISTINCT conv_id, 1::BIGINT << 62, 'user', {CURRENT} FROM conversations)"""
+
+
+@registered(
+    f"""WITH {EVERY_MESSAGE}, {USAGE.replace("FROM conversations", "FROM every")},
+joined AS (SELECT s.*, f.total_tokens, greatest(500 - 100 - 80 - f.system_tokens - f.current_tokens, 0) + f.current_tokens AS goal FROM sized s JOIN full_used f USING (conv_id)),
+summed AS (SELECT *, total_tokens + 80 <= 500 OR role = 'system' OR is_last OR sum(CASE WHEN role = 'system' THEN 0 ELSE tok END) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) <= goal AS kept FROM joined)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS position, role, md5(text) AS text_hash, kept FROM summed"""
+)
+def build_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each conversation sends with a next question."""
+    said = table(spark, sf_dir, "conversations")
+    asked = F.concat(F.lit("Tell me more about conversation "), F.col("conv_id").cast("string"), F.lit("."))
+    prompts = said.select("conv_id").distinct().select("conv_id", F.lit("Answer from the documents.").alias("system_prompt"), asked.alias("user_prompt"))
+    sent = context.build_messages(said, prompts, 100, 80, 500)
+    return sent.select("conv_id", "position", "role", text.content_hash(F.col("text")).alias("text_hash"), "kept")
+
+
+@registered(
+    f"""WITH {USAGE}, levels AS (SELECT *, round(total_tokens / 500.0::DOUBLE, 6) AS share, CASE WHEN total_tokens / 500.0::DOUBLE >= 0.85 THEN 'red' WHEN total_tokens / 500.0::DOUBLE >= 0.75 THEN 'yellow' ELSE 'green' END AS l FROM full_used)
+SELECT conv_id, share >= 0.75 AS needs_window, least(round(share * 100, 1), 100.0::DOUBLE) AS percent,
+  CASE WHEN total_tokens >= 1000 THEN printf('%.1fk', total_tokens / 1000) ELSE total_tokens::VARCHAR END AS used,
+  CASE l WHEN 'red' THEN 'Context is over 85% full: start a new conversation.|Older messages may be dropped.|Ask more specific questions, so that fewer documents are added.'
+         WHEN 'yellow' THEN 'Context is over 75% full: watch it.|Start a new conversation if this one loses its focus.|Use targeted questions.' ELSE 'Context has room.' END
+  || CASE WHEN documents_tokens > 8000 THEN '|Much of the context is documents: use more specific terms.' ELSE '' END
+  || CASE WHEN history_tokens > 15000 THEN '|The history is long: earlier parts may be dropped.' ELSE '' END AS advice FROM levels"""
+)
+def context_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    used = context.usage(table(spark, sf_dir, "conversations"), 100, 500)
+    shown = context.display_usage(used).select("conv_id", "percent", "used")
+    told = context.recommendations(used).select("conv_id", context.needs_window(F.col("usage_percentage")).alias("needs_window"), F.array_join("recommendations", "|").alias("advice"))
+    return told.join(shown, "conv_id").select("conv_id", "needs_window", "percent", "used", "advice")
+
+
+STORED = """stored AS (SELECT conv_id, 'kept ' || conv_id AS name, DATE '2023-01-01' AS created_at, conv_id % 9 = 0 AS pinned, false AS archived, 0::BIGINT AS messages FROM (SELECT DISTINCT conv_id FROM conversations) WHERE conv_id % 3 <> 0),
+saved AS (SELECT conv_id, name, DATE '2024-03-01' AS created_at, false AS pinned, conv_id % 5 = 0 AS archived, n AS messages FROM named WHERE conv_id % 4 <> 0),
+merged AS (SELECT coalesce(o.conv_id, n.conv_id) AS conv_id, coalesce(o.name, n.name) AS name, coalesce(o.created_at, n.created_at) AS created_at,
+  coalesce(o.pinned, n.pinned) AS pinned, coalesce(o.archived, n.archived) AS archived, coalesce(n.messages, o.messages) AS messages FROM stored o FULL JOIN saved n ON o.conv_id = n.conv_id)"""
+
+
+def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored conversations with newer ones saved over them; each side lacks some of the other's."""
+    said = table(spark, sf_dir, "conversations")
+    flag = lambda n: F.col("conv_id") % n == 0
+    kept = F.concat(F.lit("kept "), F.col("conv_id").cast("string"))
+    stored = said.select("conv_id").distinct().filter(~flag(3)).select(
+        "conv_id", kept.alias("name"), F.lit("2023-01-01").cast("date").alias("created_at"), flag(9).alias("pinned"), F.lit(False).alias("archived"), F.lit(0).cast("long").alias("messages")
+    )
+    named = history.first_user_message(said).filter(~flag(4))
+    saved = named.select("conv_id", history.auto_name(F.col("first_message")).alias("name"), F.lit("2024-03-01").cast("date").alias("created_at"), F.lit(False).alias("pinned"), flag(5).alias("archived"), "messages")
+    return history.upsert(stored, saved)
+
+
+@registered(f"WITH {FIRST}, {STORED} SELECT conv_id, name, created_at::VARCHAR AS created_at, pinned, archived, messages FROM merged")
+def conv_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merged(spark, sf_dir).withColumn("created_at", F.col("created_at").cast("string"))
+
+
+@registered(
+    f"""WITH {FIRST}, {STORED}
+SELECT conv_id, CASE WHEN conv_id % 7 = 0 THEN 'renamed' ELSE name END AS name, pinned OR conv_id % 8 = 0 AS pinned, archived FROM merged WHERE conv_id % 11 <> 0"""
+)
+def conv_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some conversations renamed, some pinned, some deleted."""
+    rows = _merged(spark, sf_dir)
+    chosen = lambda n: rows.filter(F.col("conv_id") % n == 0)
+    marked = history.with_flag(history.with_flag(rows, chosen(7), "name", F.lit("renamed")), chosen(8), "pinned", F.lit(True))
+    return history.delete(marked, chosen(11)).select("conv_id", "name", "pinned", "archived")
+
+
+@registered(
+    """WITH dated AS (SELECT DISTINCT event_id, ts FROM events), aged AS (SELECT *, date_diff('day', ts::DATE, DATE '2024-02-01') AS ago FROM dated)
+SELECT event_id, CASE WHEN ago = 0 THEN strftime(ts, '%H:%M') WHEN ago < 7 THEN strftime(ts, '%a') WHEN ago < 365 THEN strftime(ts, '%b %d') ELSE strftime(ts, '%Y/%m/%d') END AS label FROM aged"""
+)
+def time_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts")).distinct()
+    return rows.select("event_id", history.time_label(F.col("ts"), F.lit("2024-02-01").cast("date")).alias("label"))
+
+
+@registered(
+    """WITH n AS (SELECT *, count(*) FILTER (role = 'assistant') OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS k FROM conversations)
+SELECT conv_id, turn FROM n WHERE role = 'assistant' AND k % 2 = 0"""
+)
+def conv_save_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.save_points(table(spark, sf_dir, "conversations"), 2).select("conv_id", "turn")
+
+
+PROCESSED = ASKED.replace("asked AS", "raw_asked AS") + f""",
+asked AS (SELECT doc_id, query AS original, CASE WHEN regexp_matches(lower(query), '{'|'.join(lexicons.TYPOS)}') THEN {FIXED} ELSE query END AS query FROM raw_asked)"""
+
+
+@registered(
+    f"""WITH {PROCESSED}, {EXPANDED}, {PHRASES}, {VARIED}
+SELECT doc_id, original, query AS processed, array_to_string(every, ',') AS expanded, array_to_string(p, ';') AS phrases, array_to_string(v, ';') AS variations
+FROM expanded JOIN (SELECT doc_id, original FROM asked) USING (doc_id) JOIN (SELECT doc_id, p FROM phrases) USING (doc_id) JOIN (SELECT doc_id, v FROM varied) USING (doc_id)"""
+)
+def processed_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = _asked(spark, sf_dir).select("doc_id", rewrite.process_query(F.col("query")).alias("p"))
+    return done.select(
+        "doc_id", "p.original", "p.processed", F.array_join("p.expansion.expanded_terms", ",").alias("expanded"), F.array_join("p.phrases", ";").alias("phrases"), F.array_join("p.variations", ";").alias("variations")
+    )
+
+
+MODELS = [*lexicons.MODEL_CONTEXTS, "some other model"]
+
+
+@registered(
+    f"""WITH modelled AS (SELECT doc_id, {TOKENS} AS tokens, ([{", ".join(f"'{m}'" for m in MODELS)}])[(doc_id % {len(MODELS)} + 1)::INT] AS model FROM documents),
+limits AS (SELECT *, least(512, (CASE model {" ".join(f"WHEN '{m}' THEN {n}" for m, n in lexicons.MODEL_CONTEXTS.items())} ELSE 4096 END - 2000) // 4)::INT AS best FROM modelled)
+SELECT doc_id, model, best, tokens > best AS oversize FROM limits"""
+)
+def chunk_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents under the models' limits for a chunk, each model for some."""
+    model = F.element_at(F.array(*map(F.lit, MODELS)), (F.col("doc_id") % len(MODELS) + 1).cast("int"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", model.alias("model"), text.count_tokens(F.col("text")).alias("tokens"))
+    return rows.select("doc_id", "model", chunk.optimal_chunk_tokens(F.col("model")).alias("best"), chunk.oversize(F.col("tokens"), F.col("model")).alias("oversize"))
+
+
+@registered(
+    """WITH known AS (SELECT DISTINCT md5(text) AS h FROM documents WHERE doc_id % 3 = 0), looked AS (SELECT md5(text) IN (SELECT h FROM known) AS hit FROM documents)
+SELECT count(*) FILTER (hit)::BIGINT AS hits, count(*) FILTER (NOT hit)::BIGINT AS misses, count(*) FILTER (hit) / count(*)::DOUBLE AS hit_rate FROM looked"""
+)
+def embed_cache_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.cache_stats(embed_cache_split(spark, sf_dir))
+
+
+@registered(
+    """SELECT count(*)::BIGINT AS files, count(*) FILTER (doc_id % 13 = 0)::BIGINT AS failed, round(sum(n_chars / 1000.0::DOUBLE), 6) AS seconds, round(60 * count(*) / sum(n_chars / 1000.0::DOUBLE), 6) AS per_minute FROM documents"""
+)
+def index_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files, with seconds by their length and some failures."""
+    docs = table(spark, sf_dir, "documents")
+    return meta.throughput(docs.select("source", (F.col("doc_id") % 13 != 0).alias("ok"), (F.col("n_chars") / 1000).alias("seconds")))
+
+
+@registered(ORACLES["near_dup_greedy"] + " EXCEPT SELECT item_id FROM benchmark")
+def near_dup_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors that aren't like those kept before, which are the ones of the benchmark's numbers."""
+    vectors, items = _vectors(spark, sf_dir), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"))
+    return dedup.first_by_similarity(vectors.join(items, "id", "left_anti"), 0.4, vectors.join(items, "id", "left_semi")).select("id")
+
+
 # --- streams
 
 
