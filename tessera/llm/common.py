@@ -24,7 +24,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def bounded(df: DataFrame) -> DataFrame:
     """``df``, whose batches to Python are bounded in bytes, so that long texts don't add up in a task.
 
-    The bound is a setting of the session; it is lowered to SLICE_BYTES, never raised.
+    The bound is a setting of the session, which ``build_session`` makes. In a session without
+    it, it is lowered to SLICE_BYTES here (never raised) and stays so, since frames run later.
     """
     ship(df.sparkSession)
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
