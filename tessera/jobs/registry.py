@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import annotate, chunk, lexicons, rewrite, text
 from tessera.jobs import index as indexing
-from tessera.operators import bm25, cluster, context, dedup, embed, fuse, history, meta, order, rerank, search, vector
-from tessera.session import shared_dir, write_table
+from tessera.operators import bm25, cluster, context, dedup, embed, fuse, history, meta, order, rerank, search, smart, vector
+from tessera.session import shared_dir, ship, write_table
 from tessera.sources import files
 from tessera.streaming import events as event_stream
 
@@ -207,6 +207,30 @@ def pdf_table_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- annotation
 
 
+def _two_thousand(content: bytes) -> list[dict]:
+    """Stands for a document parser: pages of 2,000 characters, with the first four words as a table and an image as wide as the page is long."""
+    told = content.decode("utf-8")
+    pages = [told[i : i + 2000] for i in range(0, len(told), 2000)]
+    words = [[w for w in p.split(" ") if w][:4] for p in pages]
+    return [{"text": p, "tables": [[w[:2], w[2:]]] if len(w) == 4 else [], "images": [{"width": len(p), "height": 10}]} for p, w in zip(pages, words, strict=True)]
+
+
+@registered(
+    """
+WITH pages AS (SELECT doc_id, i + 1 AS page, substr(text, i * 2000 + 1, 2000) AS t FROM (SELECT doc_id, text, unnest(range(ceil(length(text) / 2000.0)::BIGINT)) AS i FROM documents)),
+cut AS (SELECT *, list_filter(string_split(t, ' '), lambda w: w <> '')[1:4] AS w FROM pages),
+parts AS (SELECT doc_id, 1 AS kind, 0 AS page, string_agg('[Page ' || page || ']' || chr(10) || t, chr(10) || chr(10) ORDER BY page) AS part FROM cut GROUP BY doc_id
+  UNION ALL SELECT doc_id, 2, page, chr(10) || '[Table on page ' || page || ']' || chr(10) || 'Headers: ' || w[1] || ' | ' || w[2] || chr(10) || w[3] || ' | ' || w[4] FROM cut WHERE len(w) = 4
+  UNION ALL SELECT doc_id, 3, page, chr(10) || '[Image on page ' || page || ': ' || length(t) || 'x10 pixels]' FROM cut)
+SELECT doc_id::VARCHAR AS source, md5(string_agg(part, chr(10) ORDER BY kind, page)) AS text_hash FROM parts GROUP BY doc_id"""
+)
+def paged_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of pages, through a parser handed in."""
+    ship(spark)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source"), F.encode("text", "UTF-8").alias("content"))
+    return files.pages_text(files.pages_of(docs, _two_thousand)).select("source", F.md5("text").alias("text_hash"))
+
+
 @registered(
     """
 WITH named AS (SELECT doc_id, text, lower(CASE doc_id % 5 WHEN 0 THEN 'Team-Minutes-' WHEN 1 THEN 'api_SPEC_' WHEN 2 THEN 'How-To ' WHEN 3 THEN 'retro spec ' ELSE 'notes ' END || source) AS f FROM documents)
@@ -262,14 +286,17 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.trim(F.concat(lead, head)).alias("query"))
 
 
+ANALYSED = """hinted AS (SELECT *, lower(query) AS l, CASE WHEN regexp_matches(lower(query), 'meeting|standup|retro|retrospective|minutes') THEN 'meeting' WHEN regexp_matches(lower(query), 'prd|product requirement|specification|spec') THEN 'prd'
+  WHEN regexp_matches(lower(query), 'technical|architecture|implementation|code|api') THEN 'technical' WHEN regexp_matches(lower(query), 'wiki|documentation|guide|manual') THEN 'wiki' END AS hint FROM asked),
+words AS (SELECT *, list_filter(regexp_split_to_array(query, '\\s+'), lambda w: w <> '') AS w FROM hinted),
+found AS (SELECT *, list_concat(list_transform(list_filter(w, lambda x: length(x) > 3 AND regexp_matches(x, '^\\p{Lu}'))[1:5], lambda x: lower(x)),
+  CASE hint WHEN 'meeting' THEN ['meeting', 'agenda', 'discussion'] WHEN 'prd' THEN ['requirement', 'product', 'feature'] ELSE []::VARCHAR[] END) AS k FROM words)"""
+
+
 @registered(
     f"""
 WITH {ASKED},
-hinted AS (SELECT *, lower(query) AS l, CASE WHEN regexp_matches(lower(query), 'meeting|standup|retro|retrospective|minutes') THEN 'meeting' WHEN regexp_matches(lower(query), 'prd|product requirement|specification|spec') THEN 'prd'
-  WHEN regexp_matches(lower(query), 'technical|architecture|implementation|code|api') THEN 'technical' WHEN regexp_matches(lower(query), 'wiki|documentation|guide|manual') THEN 'wiki' END AS hint FROM asked),
-words AS (SELECT *, list_filter(regexp_split_to_array(query, '\\s+'), lambda w: w <> '') AS w FROM hinted),
-found AS (SELECT *, list_concat(list_transform(list_filter(w, lambda x: length(x) > 3 AND regexp_matches(x, '^\\p{{Lu}}'))[1:5], lambda x: lower(x)),
-  CASE hint WHEN 'meeting' THEN ['meeting', 'agenda', 'discussion'] WHEN 'prd' THEN ['requirement', 'product', 'feature'] ELSE []::VARCHAR[] END) AS k FROM words)
+{ANALYSED}
 SELECT doc_id, array_to_string(list_filter(k, lambda x, i: list_position(k, x) = i)[1:8], ',') AS keywords,
   CASE WHEN len(w) > 5 OR regexp_matches(l, 'specific|exact|particular') THEN 'focused' ELSE 'broad' END AS search_scope, hint AS doc_type_hint,
   CASE WHEN regexp_matches(l, 'last|latest|recent|newest') THEN 'recent' END AS temporal_hint FROM found"""
@@ -749,6 +776,66 @@ def kmeans_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.cluster_stats(cluster.assign(vectors, cluster.fit(vectors, 8)))
 
 
+# --- the composed search
+
+#: The benchmark's items as queries with leads that ask for a type, for recent ones, or for nothing.
+PHRASED = """phrased AS (SELECT item_id, CASE item_id % 4 WHEN 0 THEN 'latest Meeting notes on ' WHEN 1 THEN 'Product specification of ' WHEN 2 THEN 'recent ' ELSE '' END || text AS text FROM benchmark)"""
+SMART = f"""
+{PHRASED}, {CENTROIDS},
+held AS (SELECT doc_id, doc_id AS id, text, source, lang, embedding::DOUBLE[] AS v, cluster_id, DATE '2024-01-01' + (doc_id % 7)::INT AS modified,
+  CASE doc_id % 4 WHEN 0 THEN 'meeting' WHEN 1 THEN 'prd' ELSE 'general' END AS doc_type FROM documents JOIN embeddings ON vec_id = doc_id JOIN near n ON n.id = doc_id AND n.rank = 1),
+analysed AS (WITH asked AS (SELECT item_id AS doc_id, text AS query FROM phrased), {ANALYSED}
+  SELECT doc_id AS query_id, list_filter(k, lambda x, i: list_position(k, x) = i)[1:8] AS words, hint, regexp_matches(l, 'last|latest|recent|newest') AS recent FROM found),
+boosts AS (SELECT query_id, h.id, v, e.embedding::DOUBLE[] AS q, recent, modified,
+  coalesce(list_sum(list_transform(words, lambda w: CASE WHEN contains(lower(source), w) THEN 1.5 ELSE 0 END + CASE WHEN contains(lower(lang), w) THEN 1.0 ELSE 0 END
+    + CASE WHEN contains(substr(lower(text), 1, 500), w) THEN 0.5 ELSE 0 END)), 0)::DOUBLE
+  + CASE WHEN hint = 'meeting' THEN CASE WHEN contains(lower(source), 'meeting') THEN 5 WHEN doc_type = 'meeting' THEN 3 WHEN contains(substr(lower(text), 1, 200), 'meeting') THEN 1 ELSE 0 END
+    WHEN doc_type = hint THEN 2 ELSE 0 END::DOUBLE AS boost
+  FROM analysed JOIN embeddings e ON e.vec_id = query_id JOIN near r ON r.id = query_id AND r.rank <= 2 JOIN held h ON h.cluster_id = r.cluster_id
+  WHERE hint IS NOT NULL OR recent OR len(words) > 0),
+likened AS (SELECT *, {COSINE} AS c FROM boosts),
+weighed AS (SELECT *, round(c + 0.3::DOUBLE * boost / greatest(max(boost) OVER (PARTITION BY query_id), 1.0::DOUBLE), 6) AS score FROM likened),
+focused AS (SELECT query_id, id, round(1 - c, 6) + 0.0::DOUBLE AS distance, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CASE WHEN recent THEN modified END DESC NULLS LAST, id)::INT AS rank FROM weighed)"""
+
+
+def _smart_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents that have a vector as chunks with types and times, centroids, and the benchmark's items as queries."""
+    centroids = _centroids(spark, sf_dir)
+    number = F.col("doc_id")
+    kind = F.when(number % 4 == 0, "meeting").when(number % 4 == 1, "prd").otherwise("general")
+    modified = F.date_add(F.lit("2024-01-01").cast("date"), (number % 7).cast("int"))
+    docs = table(spark, sf_dir, "documents").select(number.alias("id"), "text", "source", kind.alias("doc_type"), F.col("lang").alias("doc_keywords"), modified.alias("file_modified"))
+    chunks = docs.join(cluster.assign(_vectors(spark, sf_dir), centroids).select("id", "vector", "cluster_id"), "id")
+    item = F.col("query_id") % 4
+    lead = F.when(item == 0, "latest Meeting notes on ").when(item == 1, "Product specification of ").when(item == 2, "recent ").otherwise("")
+    return chunks, centroids, _queries(spark, sf_dir).withColumn("query", F.concat(lead, "query"))
+
+
+@registered(f"WITH {SMART} SELECT query_id, id, distance, score, rank FROM focused WHERE rank <= 5")
+def focused_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks, centroids, queries = _smart_tables(spark, sf_dir)
+    asked = queries.withColumn("a", annotate.analyze_query(F.col("query"))).select("query_id", "vector", "a.*")
+    guided = asked.filter("doc_type_hint IS NOT NULL OR temporal_hint IS NOT NULL OR size(keywords) > 0")
+    return smart.focused_search(chunks, centroids, guided, 5)
+
+
+@registered(
+    f"""WITH {SMART}, good AS (SELECT query_id FROM focused WHERE rank <= 5 GROUP BY query_id HAVING round(avg(1 - distance), 6) >= 0.3),
+wide AS (WITH {BM25.replace("FROM benchmark", "FROM phrased").replace("FROM documents)", "FROM held)").replace("keyword_ranked AS", "k0 AS")},
+  {KNN.replace("FROM benchmark", "FROM phrased").replace("FROM embeddings)", "FROM embeddings WHERE vec_id IN (SELECT id FROM held))")}, {IN_BOTH}, {FUSED.replace("rank <= 10", "rank <= 30")}
+  SELECT query_id, id, rank FROM ranked WHERE rank <= 15),
+hits AS (SELECT query_id, id, rank AS before, 'focused' AS stage FROM focused JOIN good USING (query_id) WHERE rank <= 5
+  UNION ALL SELECT query_id, id, rank, 'broad' FROM wide WHERE query_id NOT IN (FROM good)),
+told AS (SELECT query_id, h.id, before, stage, p.text AS query, d.text FROM hits h JOIN phrased p ON item_id = query_id JOIN held d ON d.id = h.id),
+scored AS (SELECT *, round(len(list_intersect(list_distinct({TERMS.replace("text", "query")}), list_distinct({TERMS}))) / len(list_distinct({TERMS.replace("text", "query")}))::DOUBLE, 6) AS rerank_score FROM told),
+final AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, before, id)::INT AS rank FROM scored)
+SELECT query_id, id, stage, rerank_score, rank FROM final WHERE rank <= 5"""
+)
+def smart_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Analysis, clusters, boosts, fallback and reranking in one call."""
+    return smart.smart_search(*_smart_tables(spark, sf_dir), 5, 0.3)
+
+
 # --- what the index holds
 
 TYPED = f"""WITH {CHUNKS}, typed AS (

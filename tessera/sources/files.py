@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import json
 import zipfile
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -108,6 +109,49 @@ def _parsed(suffix: pd.Series, content: pd.Series) -> pd.Series:
     return pd.Series([one(k, d) for k, d in zip(suffix, content, strict=True)], dtype=object)
 
 
+#: What a parser gives for each page of a document: its text, its tables' rows of cells, and the sizes of its images.
+PAGE = "page int, text string, tables array<array<array<string>>>, images array<struct<width: int, height: int>>"
+Parser = Callable[[bytes], list[dict]]
+
+
+def pages_of(files: DataFrame, parse: Parser) -> DataFrame:
+    """``source, page, text, tables, images`` of ``files(source, content)`` by a parser such as one for PDF.
+
+    ``parse`` takes a file's bytes and returns its pages in order as dicts of ``text``,
+    ``tables`` and ``images``, each of which may be lacking; pages are numbered from 1. A file
+    that it can't read has no pages.
+    """
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for source, content in zip(frame["source"], frame["content"], strict=True):
+                try:
+                    found = parse(bytes(content))
+                except Exception:  # a broken file is left out, whatever is wrong with it
+                    continue
+                rows = [(source, i, p.get("text") or "", p.get("tables") or [], p.get("images") or []) for i, p in enumerate(found, 1)]
+                yield pd.DataFrame(rows, columns=["source", "page", "text", "tables", "images"])
+
+    return files.select("source", "content").mapInPandas(read, f"source string, {PAGE}")
+
+
+def pages_text(pages: DataFrame, plain: bool = False) -> DataFrame:
+    """``source, text`` of ``pages_of``: the pages that have text, then all tables, then all images, each by its page.
+
+    ``plain`` takes the pages' texts alone, a line between them.
+    """
+    own = F.struct("page", "text", "tables", "images")
+    held = pages.groupBy("source").agg(F.sort_array(F.collect_list(own)).alias("p"))  # the pages of one file
+    if plain:
+        return held.select("source", F.array_join(F.transform("p", lambda x: x["text"]), "\n").alias("text"))
+    told = F.transform(F.filter("p", lambda x: x["text"] != ""), lambda x: F.concat(F.lit("[Page "), x["page"].cast("string"), F.lit("]\n"), x["text"]))
+    body = F.array_join(told, "\n\n")
+    tables = F.flatten(F.transform("p", lambda x: F.transform(F.filter(x["tables"], lambda t: F.size(t) > 0), lambda t: table_text(x["page"], t))))
+    images = F.flatten(F.transform("p", lambda x: F.transform(x["images"], lambda i: image_text(x["page"], i["width"], i["height"]))))
+    first = F.when(body != "", F.array(body)).otherwise(F.array().cast("array<string>"))
+    return held.select("source", F.array_join(F.concat(first, tables, images), "\n").alias("text"))
+
+
 def text_of(suffix: Column, content: Column) -> Column:
     """Text of a file; null if it can't be read (.doc and .pdf without a parser, broken archives)."""
     plain = F.try_validate_utf8(content.cast("string")) if hasattr(F, "try_validate_utf8") else content.cast("string")
@@ -121,14 +165,21 @@ def text_of(suffix: Column, content: Column) -> Column:
     )
 
 
-def read_folder(spark: SparkSession, folder: str) -> DataFrame:
-    """``source, text, file_hash, file_modified``; unreadable files have no text and no hash."""
+def read_folder(spark: SparkSession, folder: str, parsers: dict[str, Parser] | None = None) -> DataFrame:
+    """``source, text, file_hash, file_modified``; unreadable files have no text and no hash.
+
+    ``parsers`` by suffix (``.pdf``, ``.doc``, ``.xls``) give the pages of formats that have no reader here.
+    """
     ship(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
-    rows = files.withColumn("suffix", suffix).filter(F.col("suffix").isin(SUFFIXES))
+    rows = files.withColumn("suffix", suffix).filter(F.col("suffix").isin(SUFFIXES)).withColumn("source", relative(F.col("path"), folder))
     text = text_of(F.col("suffix"), F.col("content"))
-    read = rows.select(relative(F.col("path"), folder).alias("source"), text.alias("text"), F.md5("content").alias("h"), F.col("modificationTime").alias("file_modified"))
+    read = rows.select("source", "suffix", text.alias("text"), F.md5("content").alias("h"), F.col("modificationTime").alias("file_modified"))
+    for kind, parse in (parsers or {}).items():
+        paged = pages_text(pages_of(rows.filter(F.col("suffix") == kind), parse)).withColumnRenamed("text", "_paged")
+        text = F.when(F.col("suffix") == kind, F.col("_paged")).otherwise(F.col("text"))
+        read = read.join(paged, "source", "left").withColumn("text", text).drop("_paged")
     return read.select("source", "text", F.when(F.col("text").isNotNull(), F.col("h")).alias("file_hash"), "file_modified")
 
 

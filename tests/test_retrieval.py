@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import bm25, cluster, context, embed, fuse, history, meta, rerank, search, vector
+from tessera.operators import bm25, cluster, context, embed, fuse, history, meta, rerank, search, smart, vector
 from tessera.operators.embed import embed_with_cache, hashed_embedding
 
 
@@ -155,6 +155,44 @@ def test_boosted_nearest_takes_all_documents(rows):
         assert all(abs(r.distance - (1 - cos[r.id])) < 1e-6 for r in got)
 
 
+def test_focused_search_by_hand(rows, monkeypatch):
+    draw = np.random.default_rng(5)
+    point = lambda: [float(x) for x in draw.normal(size=3)]
+    middles = {c: point() for c in range(5)}
+    near = lambda v: sorted(middles, key=lambda c: (round(float(np.linalg.norm(np.subtract(v, middles[c]))), 6), c))
+    twin = point()
+    docs = []
+    for i in range(80):
+        v = twin if i % 10 == 0 else point()
+        docs.append((i, None if i == 7 else "a cat" if i % 3 else "Dog " * 200, f"s{i} plan" if i % 9 == 0 else None, "prd" if i % 4 == 0 else None, "dog" if i % 6 == 0 else None, v, near(v)[0], f"2024-01-{1 + i % 28:02d}"))
+    docs.append((99, "dog", "dog", "prd", "dog", None, 0, None))
+    queries = [(0, twin, None, None, "recent"), (1, twin, [], None, None), (2, point(), ["Dog", "plan"], "prd", None), (3, point(), ["cat"], "meeting", "recent"), (4, None, ["cat"], None, None)]
+    chunks = rows(docs, "id bigint, text string, source string, doc_type string, doc_keywords string, vector array<double>, cluster_id int, file_modified string").repartition(3)
+    asked = rows(queries, "query_id bigint, vector array<double>, keywords array<string>, doc_type_hint string, temporal_hint string")
+    centroids = rows(list(middles.items()), "cluster_id int, centroid array<double>")
+
+    def wanted(pruned):
+        for q, a, words, hint, recent in queries[:4]:
+            held = [d for d in docs if d[5] and (not pruned or d[6] in near(a)[:2])]
+            boost = {}
+            for i, body, source, kind, tags, *_ in held:
+                low = (body or "").lower()[:500]
+                boost[i] = sum(1.5 * (w.lower() in (source or "")) + 1.0 * (w.lower() in (tags or "")) + 0.5 * (w.lower() in low) for w in words or []) + 2.0 * (hint is not None and kind == hint)
+            top = max(1.0, *boost.values())
+            score = {d[0]: round(float(np.dot(a, d[5]) / np.linalg.norm(a) / np.linalg.norm(d[5])) + 0.3 * boost[d[0]] / top, 6) for d in held}
+            order = sorted(held, key=lambda d: (-score[d[0]], -int(d[7][-2:]) if recent else 0, d[0]))[:6]
+            yield from ((q, d[0], n) for n, d in enumerate(order, 1))
+
+    run = lambda model: sorted((r.query_id, r.id, r.rank) for r in smart.focused_search(chunks, model, asked, 6).collect())
+    assert run(centroids) == sorted(wanted(True))
+    monkeypatch.setattr(smart, "QUERY_BYTES", 100)  # several parts
+    monkeypatch.setattr(smart, "_ROWS", 4)
+    monkeypatch.setattr(smart, "QUERY_BLOCK", 1)
+    assert run(centroids) == sorted(wanted(True))
+    assert run(centroids.limit(0)) == sorted(wanted(False))
+    assert smart.focused_search(chunks.limit(0), centroids, asked).count() == 0 and smart.focused_search(chunks, centroids, asked.limit(0)).count() == 0
+
+
 def test_two_stages_filter_before_the_search(rows):
     chunks = rows([(i, "cat " * (20 - i) + "word " * i) for i in range(12)] + [(20, "bird")], "id bigint, text string")
     vectors = rows([(i, [1.0, 0.0]) for i in range(3)], "id bigint, vector array<double>")

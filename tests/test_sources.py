@@ -35,6 +35,29 @@ def test_folder(spark, tmp_path):
     assert read["f.json"] is None and read["g.docx"] is None and read["i.doc"] is None
 
 
+def test_parsers_for_paged_formats(spark, tmp_path):
+    def fake_pages(content):
+        """Pages at form feeds; a line with bars is a table's row."""
+        if content.startswith(b"bad"):
+            raise ValueError("no such format")
+        pages = []
+        for page in content.decode().split("\f"):
+            lines = page.split("\n")
+            cells = [[c or None for c in x.split("|")] for x in lines if "|" in x]
+            pages.append({"text": "\n".join(x for x in lines if "|" not in x), "tables": [cells, []] if cells else None, "images": [{"width": 3, "height": 4}] if "pic" in page else []})
+        return pages
+
+    (tmp_path / "a.pdf").write_text("one pic\f\fthree\nh1|h2\n1|\n|2\n3|3\n4|4")
+    (tmp_path / "b.pdf").write_text("bad")
+    (tmp_path / "c.txt").write_text("plain")
+    read = {r.source: (r.text, r.file_hash) for r in files.read_folder(spark, str(tmp_path), {".pdf": fake_pages}).collect()}
+    assert read["a.pdf"][0] == "[Page 1]\none pic\n\n[Page 3]\nthree\n\n[Table on page 3]\nHeaders: h1 | h2\n1\n2\n3 | 3\n\n[Image on page 1: 3x4 pixels]"
+    assert read["b.pdf"] == (None, None) and read["c.txt"][0] == "plain" and read["a.pdf"][1]
+    assert {r.source: r.text for r in files.read_folder(spark, str(tmp_path)).collect()}["a.pdf"] is None
+    content = spark.createDataFrame([("x", b"one\f\ftwo"), ("none", None)], "source string, content binary")
+    assert [tuple(r) for r in files.pages_text(files.pages_of(content, fake_pages), plain=True).collect()] == [("x", "one\n\ntwo")]
+
+
 def test_workbook(tmp_path):
     sheet = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
     link = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
