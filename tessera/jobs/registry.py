@@ -820,7 +820,7 @@ def focused_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered(
-    f"""WITH {SMART}, good AS (SELECT query_id FROM focused WHERE rank <= 5 GROUP BY query_id HAVING round(avg(1 - distance), 6) >= 0.3),
+    f"""WITH {SMART}, good AS (SELECT query_id FROM focused WHERE rank <= 5 GROUP BY query_id HAVING round(avg(1 - distance), 6) >= 0.4),
 wide AS (WITH {BM25.replace("FROM benchmark", "FROM phrased").replace("FROM documents)", "FROM held)").replace("keyword_ranked AS", "k0 AS")},
   {KNN.replace("FROM benchmark", "FROM phrased").replace("FROM embeddings)", "FROM embeddings WHERE vec_id IN (SELECT id FROM held))")}, {IN_BOTH}, {FUSED.replace("rank <= 10", "rank <= 30")}
   SELECT query_id, id, rank FROM ranked WHERE rank <= 15),
@@ -833,7 +833,7 @@ SELECT query_id, id, stage, rerank_score, rank FROM final WHERE rank <= 5"""
 )
 def smart_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Analysis, clusters, boosts, fallback and reranking in one call."""
-    return smart.smart_search(*_smart_tables(spark, sf_dir), 5, 0.3)
+    return smart.smart_search(*_smart_tables(spark, sf_dir), 5, 0.4)
 
 
 # --- what the index holds
