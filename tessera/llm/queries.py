@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, hmm, language_id, mixing, piece_counts, quality, repeated_spans, simhash, token_files, topk
+from tessera.llm import decontaminate, forced_bpe, hmm, language_id, mixing, piece_counts, quality, repeated_spans, simhash, token_files, topk
 from tessera.llm.common import read_table
 
 
@@ -68,6 +68,11 @@ def op10_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans.report(docs, repeated_spans.repeated_spans(docs))
 
 
+def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    json = tokenizer_json()
+    return forced_bpe.report(forced_bpe.encode(read_table(spark, sf_dir, "documents"), json), json)
+
+
 QUERIES = {
     "op1_hmm_scores": op1_hmm_scores,
     "op2_decontaminate": op2_decontaminate,
@@ -79,5 +84,6 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_quality": op9_quality,
     "op10_repeated_spans": op10_repeated_spans,
+    "op12_bpe_round_trip": op12_bpe_round_trip,
 }
 ORACLES = {"op2_decontaminate": decontaminate.ORACLE, "op3_mix_sources": mixing.ORACLE, "op6_top_k": topk.ORACLE}
