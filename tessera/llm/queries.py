@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, forced_bpe, hmm, language_id, mixing, piece_counts, quality, repeated_spans, simhash, token_files, topk
+from tessera.llm import decontaminate, forced_bpe, hmm, language_id, mixing, piece_counts, prefix_trie, quality, repeated_spans, simhash, token_files, topk
 from tessera.llm.common import read_table
 
 
@@ -73,6 +73,10 @@ def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forced_bpe.report(forced_bpe.encode(read_table(spark, sf_dir, "documents"), json), json)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_hmm_scores": op1_hmm_scores,
     "op2_decontaminate": op2_decontaminate,
@@ -85,5 +89,6 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_repeated_spans": op10_repeated_spans,
     "op12_bpe_round_trip": op12_bpe_round_trip,
+    "op13_prefix_trie": op13_prefix_trie,
 }
-ORACLES = {"op2_decontaminate": decontaminate.ORACLE, "op3_mix_sources": mixing.ORACLE, "op6_top_k": topk.ORACLE}
+ORACLES = {"op2_decontaminate": decontaminate.ORACLE, "op3_mix_sources": mixing.ORACLE, "op6_top_k": topk.ORACLE, "op13_prefix_trie": prefix_trie.ORACLE}
