@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, forced_bpe, hmm, language_id, mixing, piece_counts, prefix_trie, quality, repeated_spans, simhash, token_files, topk
+from tessera.llm import decontaminate, forced_bpe, hard_negatives, hmm, language_id, mixing, piece_counts, prefix_trie, quality, repeated_spans, simhash, token_files, topk
 from tessera.llm.common import read_table
 
 
@@ -68,6 +68,12 @@ def op10_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans.report(docs, repeated_spans.repeated_spans(docs))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.select("vec_id", "embedding", label.alias("label")), F.col("vec_id") % 50 == 0)
+
+
 def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     json = tokenizer_json()
     return forced_bpe.report(forced_bpe.encode(read_table(spark, sf_dir, "documents"), json), json)
@@ -88,7 +94,8 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_quality": op9_quality,
     "op10_repeated_spans": op10_repeated_spans,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_bpe_round_trip": op12_bpe_round_trip,
     "op13_prefix_trie": op13_prefix_trie,
 }
-ORACLES = {"op2_decontaminate": decontaminate.ORACLE, "op3_mix_sources": mixing.ORACLE, "op6_top_k": topk.ORACLE, "op13_prefix_trie": prefix_trie.ORACLE}
+ORACLES = {"op2_decontaminate": decontaminate.ORACLE, "op3_mix_sources": mixing.ORACLE, "op6_top_k": topk.ORACLE, "op11_hard_negatives": hard_negatives.ORACLE, "op13_prefix_trie": prefix_trie.ORACLE}
