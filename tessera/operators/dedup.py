@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import content_hash
+from tessera.operators import nearness
 from tessera.operators.components import connected_components
+from tessera.operators.nearness import Blocks, near_pairs, normalised
 from tessera.session import ship, write_table
 
-#: Vectors whose angles bound those of blocks, and links that a task walks at once.
-PIVOTS, HELD_LINKS = 16, 2_000_000
+__all__ = ["near_pairs", "normalised"]
+
+#: Links that a task walks at once, that a pair of blocks may write, and rounds that settle crowds without links.
+HELD_LINKS, BLOCK_LINKS, ROUNDS = 2_000_000, 16_384, 8
 
 
 def first_by_content(chunks: DataFrame, text: str, order: list[str]) -> DataFrame:
@@ -32,97 +33,6 @@ def first_by_content(chunks: DataFrame, text: str, order: list[str]) -> DataFram
     return kept.select(*(F.col("row")[c].alias(c) for c in [*order, *rest]), "chunk_hash")
 
 
-def normalised(vector: Column) -> Column:
-    """The vector at length one; a zero vector as it is."""
-    length = F.sqrt(F.aggregate(F.transform(vector, lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, x: a + x))
-    return F.transform(vector, lambda x: F.when(length > 0, x.cast("double") / length).otherwise(x.cast("double")))
-
-
-def near_pairs(vectors: DataFrame, threshold: float, block_rows: int = 1024, sheet_blocks: int = 512) -> DataFrame:
-    """``a, b, similarity``: pairs of ids (a < b) whose cosine is at least ``threshold``.
-
-    Rows are ordered by their nearest pivot (of PIVOTS, by hash) and the angle to it, and
-    packed into blocks of ``block_rows`` with the least and greatest angle to each pivot. The
-    angle between unit vectors is a metric, so two blocks whose angles to some pivot lie further
-    apart than the threshold's have no pair, and never meet. The bounds of blocks are compared
-    sheet by sheet; the blocks that are left meet in joins by number, each pair once, as one
-    matrix product. This is exact.
-    """
-    spark = vectors.sparkSession
-    ship(spark)
-    unit = write_table(vectors.select("id", normalised(F.col("vector")).alias("v")), "unit-vectors")
-    some = unit.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).select("v").toArrow().column("v").to_pylist()
-    shipped = spark.sparkContext.broadcast(np.array(some, np.float64).reshape(len(some), -1))
-    reach = np.arccos(min(threshold, 1.0)) + 1e-6 if threshold > 0 else np.pi  # a zero vector has no angle, and no pair above 0
-
-    def matrix_of(lists: pa.Array) -> np.ndarray:
-        return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
-
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                angles = np.arccos(np.clip(matrix_of(batch.column("v")) @ shipped.value.T, -1, 1))
-                yield batch.append_column("cell", pa.array(angles.argmin(axis=1))).append_column("angle", pa.array(angles.min(axis=1)))
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, rest = TaskContext.get().partitionId() << 32, None
-        names = ["block", "ids", "v", "low", "high"]
-
-        def emit(part: pa.Table) -> pa.RecordBatch:
-            nonlocal number
-            matrix = matrix_of(part.column("v").combine_chunks())
-            angles = np.arccos(np.clip(matrix @ shipped.value.T, -1, 1))
-            number += 1
-            ids = part.column("id").to_numpy().astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array([x]) for x in (number - 1, ids.tobytes(), matrix.tobytes(), angles.min(axis=0), angles.max(axis=0))], names=names)
-
-        for batch in batches:
-            rest = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-            while rest.num_rows >= block_rows:
-                yield emit(rest.slice(0, block_rows))
-                rest = rest.slice(block_rows)
-        if rest is not None and rest.num_rows:
-            yield emit(rest)
-
-    ordered = unit.mapInArrow(placed, "id bigint, v array<double>, cell bigint, angle double").repartitionByRange("cell", "angle", "id").sortWithinPartitions("cell", "angle", "id")
-    blocks = write_table(ordered.select("id", "v").mapInArrow(packed, "block bigint, ids binary, v binary, low array<double>, high array<double>"), "blocks")
-
-    sheets = max(1, -(-blocks.count() // sheet_blocks))
-    dealt = blocks.select("block", "low", "high", F.pmod(F.xxhash64("block"), F.lit(sheets)).cast("int").alias("sheet"))
-    sides = dealt.select("block", "low", "high", "sheet", F.explode(F.sequence(F.lit(0), F.lit(sheets - 1))).alias("other"))
-    met = sides.select("block", "low", "high", F.least("sheet", "other").alias("one"), F.greatest("sheet", "other").alias("two"), (F.col("sheet") <= F.col("other")).alias("left"))
-
-    def close(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        names, left = table.column("block").to_numpy(), table.column("left").to_numpy(zero_copy_only=False)
-        low, high = (np.array(table.column(c).to_pylist()) for c in ("low", "high"))
-        same = key[0].as_py() == key[1].as_py()
-        one, two = (np.arange(len(names)),) * 2 if same else (np.flatnonzero(left), np.flatnonzero(~left))
-        near = np.ones((len(one), len(two)), bool)
-        for p in range(low.shape[1]):
-            near &= (low[one, p][:, None] - high[two, p] <= reach) & (low[two, p] - high[one, p][:, None] <= reach)
-        i, j = np.nonzero(near)
-        a, b = names[one[i]], names[two[j]]
-        keep = a <= b if same else np.ones(len(a), bool)
-        return pa.table({"one": a[keep], "two": b[keep]})
-
-    pairs = write_table(met.groupBy("one", "two").applyInArrow(close, "one bigint, two bigint"), "block-pairs")
-    left = blocks.select(F.col("block").alias("one"), F.col("ids").alias("ids1"), F.col("v").alias("v1"))
-    right = blocks.select(F.col("block").alias("two"), F.col("ids").alias("ids2"), F.col("v").alias("v2"))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids1, ids2 = np.frombuffer(row["ids1"], np.int64), np.frombuffer(row["ids2"], np.int64)
-                product = np.frombuffer(row["v1"]).reshape(len(ids1), -1) @ np.frombuffer(row["v2"]).reshape(len(ids2), -1).T
-                i, j = np.nonzero(product >= threshold)
-                a, b = ids1[i], ids2[j]
-                keep = a < b if row["one"] == row["two"] else np.ones(len(a), bool)
-                columns = [np.minimum(a, b)[keep], np.maximum(a, b)[keep], product[i, j][keep]]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["a", "b", "similarity"])
-
-    return pairs.join(left, "one").join(right, "two").mapInArrow(compare, "a bigint, b bigint, similarity double")
-
-
 def _walked(key: tuple[pa.Scalar, ...], edges: pa.Table) -> pa.Table:
     """Ids that a pass in id order drops, of links (a, b); a link without a drops b from the start."""
     gone = set(edges.filter(pc.is_null(edges.column("a"))).column("b").to_pylist())
@@ -170,17 +80,51 @@ def greedy_kept(ids: DataFrame, pairs: DataFrame, held: int = HELD_LINKS) -> Dat
     return ids.join(dropped, "id", "left_anti")
 
 
-def first_by_similarity(vectors: DataFrame, threshold: float = 0.95, anchors: DataFrame | None = None) -> DataFrame:
+def _settled(unit: DataFrame, pivots: np.ndarray, threshold: float, most: int, rounds: int) -> DataFrame:
+    """Ids of ``unit(id, v)`` that a pass in id order keeps.
+
+    Links are written for the pairs of blocks that have ``most`` of them at most. Where others have
+    more, a round settles what is sure without links: rows that are near no earlier one stay,
+    and what is near those goes, which takes a crowd of copies away at once. After
+    ``rounds`` of that all links are written.
+    """
+    kept = None
+    for left in range(rounds, -1, -1):
+        found = write_table(nearness.links(nearness.blocks_of(unit, pivots), threshold, most if left else None), "links")
+        if found.filter("a is null").isEmpty():
+            break
+        firsts = write_table(unit.join(found.select(F.col("b").alias("id")).distinct(), "id", "left_anti"), "firsts")
+        kept = firsts.select("id") if kept is None else kept.union(firsts.select("id"))
+        near = nearness.near_any(nearness.blocks_of(unit, pivots), nearness.blocks_of(firsts, pivots), threshold)
+        unit = write_table(unit.join(near.union(firsts.select("id")).distinct(), "id", "left_anti"), "unsettled")
+    own = greedy_kept(unit.select("id"), found.select("a", "b"))
+    return own if kept is None else own.union(kept)
+
+
+def first_by_similarity(
+    vectors: DataFrame, threshold: float = 0.95, anchors: DataFrame | Blocks | None = None, most: int = BLOCK_LINKS, rounds: int = ROUNDS
+) -> DataFrame:
     """Rows of ``vectors(id, vector)`` that a greedy pass in id order keeps, at length one.
 
-    A row goes if an already kept one is at least ``threshold`` similar; a row similar only
-    to dropped rows stays. ``anchors`` are vectors kept before (ids below all others).
+    A row goes if one that is kept is at least ``threshold`` similar; a row similar only
+    to dropped rows stays. ``anchors``, rows or stored blocks of them, were kept before: they come first, whatever
+    their ids, and aren't compared with each other. Vectors that are null, or hold a null,
+    NaN or infinite component, are like nothing and stay, as does a zero vector with a threshold above
+    0. Vectors of different length raise ValueError.
     """
-    every = vectors if anchors is None else anchors.select("id", "vector").union(vectors.select("id", "vector"))
     # copies of a vector share its fate but for the first, so only that one is compared
-    unlike = write_table(every.select("id", "vector").groupBy("vector").agg(F.min("id").alias("id")), "vectors")
-    kept = greedy_kept(unlike.select("id"), near_pairs(unlike, threshold))
-    return vectors.join(kept, "id", "left_semi").withColumn("vector", normalised(F.col("vector")))
+    unlike = vectors.filter(nearness.whole(F.col("vector"))).groupBy("vector").agg(F.min("id").alias("id"))
+    unit = nearness.unit_vectors(unlike)
+    if isinstance(anchors, DataFrame):
+        before = nearness.unit_vectors(anchors.select("id", "vector"))
+        anchors = nearness.blocks_of(before, nearness.pivots_of(before))
+    if anchors is not None:
+        near = nearness.near_any(nearness.blocks_of(unit, anchors.pivots), anchors, threshold)
+        unit = write_table(unit.join(near.distinct(), "id", "left_anti"), "unlike-anchors")
+    pivots = nearness.pivots_of(unit) if anchors is None or not len(anchors.pivots) else anchors.pivots
+    kept = _settled(unit, pivots, threshold, most, rounds)
+    odd = vectors.filter(~nearness.whole(F.col("vector"))).withColumn("vector", F.col("vector").cast("array<double>"))
+    return vectors.join(kept, "id", "left_semi").withColumn("vector", normalised(F.col("vector"))).unionByName(odd)
 
 
 def indexed_sources(index: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -9,6 +10,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes that go to Python in one batch (one row at least).
+BATCH_BYTES = 8 * 1024 * 1024
+
 _local_dirs: dict[str, str] = {}
 _shipped: set[str] = set()
 
@@ -24,7 +28,7 @@ def build_session(app: str = "tessera", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         # long texts: a batch sent to Python is bounded in bytes as well as in rows
-        "spark.sql.execution.arrow.maxBytesPerBatch": str(8 * 1024 * 1024),
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES),
         "spark.ui.enabled": "false",
     }
     for key, value in (defaults | conf).items():
@@ -46,6 +50,20 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(str(archive))
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, whose batches to Python are bounded in bytes, so that long rows don't add up in a task.
+
+    The bound is a setting of the session, which ``build_session`` makes. In a session without
+    it, it is lowered to BATCH_BYTES here (never raised) and stays so, since frames run later.
+    """
+    ship(df.sparkSession)
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)b?", conf.get(key))
+    if not now or not 0 < int(now[1]) <= BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 

@@ -1,16 +1,24 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import dedup
+from tessera.operators import dedup, nearness
 
 
-def walked(vectors, threshold):
-    kept = []
-    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in vectors}
-    for i, _ in sorted(vectors):
-        if all(unit[i] @ unit[k] < threshold for k in kept):
+def walked(vectors, threshold, anchors=()):
+    """Ids that a pass in id order keeps; what can't be compared stays."""
+    kept, odd = [], []
+    length = lambda v: max(np.linalg.norm(v), 1e-300)
+    before = [np.array(v) / length(v) for _, v in anchors if v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    for i, v in sorted(vectors, key=lambda row: row[0]):
+        if v is None or any(x is None or not np.isfinite(x) for x in v):
+            odd.append(i)
+            continue
+        unit = np.array(v) / length(v)
+        if all(unit @ other < threshold for other in before):
             kept.append(i)
-    return kept
+            before.append(unit)
+    return sorted(kept + odd)
 
 
 def test_chain_keeps_both_ends(rows):
@@ -87,3 +95,58 @@ def test_pruned_blocks_lose_no_pair(rows):
     for threshold in (0.97, 0.5, -0.2):
         found = {(r.a, r.b) for r in dedup.near_pairs(frame, threshold, block_rows=8, sheet_blocks=4).collect()}
         assert found == {(a, b) for a in unit for b in unit if a < b and unit[a] @ unit[b] >= threshold}
+
+
+SCHEMA = "id bigint, vector array<double>"
+
+
+def odd_vectors(seed, n, width=3):
+    draw = np.random.default_rng(seed)
+    data = [(i, [float(x) for x in draw.normal(size=width)]) for i in range(n)]
+    data += [(300 + i, data[i][1]) for i in range(5)]
+    return data + [(401, None), (402, [None, 1.0, 0.0]), (403, [float("nan"), 1.0, 0.0]), (404, [float("inf"), 0.0, 0.0]), (405, [0.0] * width), (406, [0.0] * width), (407, [])]
+
+
+def test_vectors_that_cannot_be_compared_stay(rows):
+    data = [(1, [1.0, 0.0]), (2, [None, 1.0]), (3, [1.0, 0.01]), (4, None), (5, [float("nan"), 1.0]), (6, [0.0, 0.0])]
+    kept = dedup.first_by_similarity(rows(data, SCHEMA), 0.95)
+    assert sorted(r.id for r in kept.collect()) == [1, 2, 4, 5, 6]
+    assert [(r.a, r.b) for r in dedup.near_pairs(rows(data, SCHEMA), 0.95).collect()] == [(1, 3)]
+    assert dedup.first_by_similarity(rows([], SCHEMA), 0.95).count() == 0
+    assert [r.id for r in dedup.first_by_similarity(rows([(7, None)], SCHEMA), 0.95).collect()] == [7]
+
+
+def test_lengths_have_to_agree(rows):
+    with pytest.raises(ValueError, match="1 to 2 components"):
+        dedup.near_pairs(rows([(1, [1.0]), (2, [1.0, 0.0])], SCHEMA), 0.5)
+
+
+def test_anchors_of_any_id_come_first(rows):
+    data = [d for d in odd_vectors(3, 80) if d[0] != 407]
+    anchors = [(i, v) for i, v in data if i % 3 == 1 or i in (401, 402)] + [(900, data[0][1]), (901, data[0][1])]
+    new = [d for d in data if d not in anchors]
+    found = dedup.first_by_similarity(rows(new, SCHEMA), 0.9, rows(anchors, SCHEMA))
+    assert sorted(r.id for r in found.collect()) == walked(new, 0.9, anchors)
+    assert sorted(r.id for r in dedup.first_by_similarity(rows(new, SCHEMA), 0.9, rows([], SCHEMA)).collect()) == walked(new, 0.9)
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 8])
+def test_crowds_settle_without_their_links(rows, rounds):
+    draw = np.random.default_rng(8)
+    centres = draw.normal(size=(4, 4))
+    data = [(int(i), [float(x) for x in centres[i % 4] + (0.02 if i % 3 else 0.4) * draw.normal(size=4)]) for i in draw.permutation(400)]
+    found = dedup.first_by_similarity(rows(data, SCHEMA), 0.97, most=50, rounds=rounds)
+    assert sorted(r.id for r in found.collect()) == walked(data, 0.97)
+
+
+def test_blocks_of_keys_and_stored_anchors(rows):
+    data = [d for d in odd_vectors(4, 100) if d[0] < 400]
+    frame = rows([(i, v, i % 3) for i, v in data], SCHEMA + ", part bigint")
+    unit = nearness.unit_vectors(frame, "part")
+    blocks = nearness.blocks_of(unit, nearness.pivots_of(unit), 7, ("part",))
+    held = [(r.part, np.frombuffer(r.ids, np.int64).tolist()) for r in blocks.table.collect()]
+    assert sorted(i for _, ids in held for i in ids) == sorted(i for i, _ in data)
+    assert all(i % 3 == part for part, ids in held for i in ids) and all(len(ids) <= 7 for _, ids in held)
+    draw = np.random.default_rng(5)
+    new = [(1000 + i, [float(x) for x in draw.normal(size=3)]) for i in range(50)]
+    assert sorted(r.id for r in dedup.first_by_similarity(rows(new, SCHEMA), 0.9, blocks).collect()) == walked(new, 0.9, data)
