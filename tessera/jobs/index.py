@@ -11,17 +11,17 @@ from tessera.operators import cluster, dedup, embed
 from tessera.schema import INDEX
 
 
-def chunk_documents(documents: DataFrame, timestamp: str = "2024-01-31 00:00:00") -> DataFrame:
+def chunk_documents(documents: DataFrame, timestamp: str = "2024-01-31 00:00:00", window: tuple[int, int] | None = None) -> DataFrame:
     """Index rows of ``documents(source, text, file_hash, file_modified)``, exact copies of a chunk left out.
 
-    Types come from names and texts, window sizes from types and languages. Ids are hashes of
+    Types come from names and texts, window sizes (unless ``window``, a size and an overlap, is given) from types and languages. Ids are hashes of
     source and place, so a rerun gives the same.
     """
     typed = (
         documents.filter(F.col("text").isNotNull())
         .withColumn("doc_type", annotate.document_type(F.col("text"), F.col("source"))).withColumn("language", annotate.document_language(F.col("text")))
     )
-    size, overlap = chunk.chunk_params(F.col("doc_type"), F.col("language"))
+    size, overlap = window or chunk.chunk_params(F.col("doc_type"), F.col("language"))
     cut = typed.withColumn("pieces", chunk.windows(F.col("text"), size, overlap)).withColumn("doc_keywords", annotate.keywords(F.substring("text", 1, 3000)))
     rows = cut.select(
         "source", "doc_type", "language", "file_hash", "file_modified", "doc_keywords", F.size("pieces").alias("total_chunks"), F.posexplode("pieces").alias("chunk_index", "chunk")

@@ -13,8 +13,9 @@ from tessera.functions import annotate, chunk, lexicons, rewrite, text
 from tessera.jobs import index as indexing
 from tessera.operators import bm25, cluster, context, dedup, embed, fuse, history, meta, order, rerank, search, smart, vector
 from tessera.session import shared_dir, ship, write_table
-from tessera.sources import files
+from tessera.sources import files, tables
 from tessera.streaming import events as event_stream
+from tessera.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -490,6 +491,49 @@ def reindex_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return meta.status_counts(_statuses(spark, sf_dir))
 
 
+CHANGES = f"""
+files AS (
+  SELECT doc_id, 0 AS batch, text FROM documents WHERE doc_id % 2 = 0 UNION ALL
+  SELECT doc_id, 1, CASE WHEN doc_id % 10 = 0 THEN text || ' changed' ELSE text END FROM documents WHERE doc_id % 2 = 1 OR doc_id % 10 = 0),
+cleaned AS (SELECT doc_id, batch, 'doc' || doc_id::VARCHAR AS source, md5(text) AS file_hash, {CLEAN} AS t FROM files WHERE text IS NOT NULL),
+sized AS (SELECT *, CASE WHEN length(t) = 0 THEN 0 WHEN length(t) <= 1200 THEN 1 ELSE ceil((length(t) - 1200) / 1000.0)::INT + 1 END AS k FROM cleaned),
+cut AS (SELECT doc_id, batch, source, i::INT AS chunk_index, md5(substr(t, i * 1000 + 1, 1200)) AS chunk_hash FROM (SELECT *, unnest(range(k)) AS i FROM sized)),
+first AS (SELECT *, row_number() OVER (PARTITION BY chunk_hash ORDER BY source, chunk_index) AS place FROM cut WHERE batch = 0),
+stayed AS (SELECT * EXCLUDE (place) FROM first WHERE place = 1 AND doc_id % 10 <> 0),
+second AS (
+  SELECT *, row_number() OVER (PARTITION BY chunk_hash ORDER BY source, chunk_index) AS place FROM cut
+  WHERE batch = 1 AND chunk_hash NOT IN (SELECT chunk_hash FROM stayed)),
+indexed AS (SELECT * FROM stayed UNION ALL SELECT * EXCLUDE (place) FROM second WHERE place = 1)"""
+
+
+def _changed_index(spark: SparkSession, sf_dir: str) -> tables.Snapshot:
+    """An index of the documents after two batches, each indexed twice, and the removal of some sources."""
+    docs = table(spark, sf_dir, "documents").filter("text is not null")
+    edited = F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit(" changed"))).otherwise(F.col("text"))
+    as_files = lambda rows: rows.join(indexing.manifest(rows), F.concat(F.lit("doc"), F.col("doc_id").cast("string")) == F.col("source")).select("source", "text", "file_hash", "file_modified")
+    texts = docs.select("doc_id", "text")
+    batches = [as_files(texts.filter("doc_id % 2 = 0")), as_files(texts.withColumn("text", edited))]
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    for number in (0, 0, 1, 0, 1):
+        ingest.index_batch(spark, batches[number], path, number, threshold=None, window=(1200, 200))
+    return tables.remove_sources(spark, path, indexing.manifest(docs.filter("doc_id % 7 = 0")))
+
+
+@registered(f"WITH {CHANGES} SELECT source, chunk_index, chunk_hash FROM indexed WHERE doc_id % 7 <> 0")
+def index_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _changed_index(spark, sf_dir).table(spark, "chunks").select("source", "chunk_index", "chunk_hash")
+
+
+@registered(
+    f"""WITH {CHANGES}
+SELECT f.source, f.file_hash, (SELECT count(*) FROM indexed i WHERE i.source = f.source)::BIGINT AS chunks FROM cleaned f
+WHERE f.doc_id % 7 <> 0 AND f.batch = CASE WHEN f.doc_id % 2 = 1 OR f.doc_id % 10 = 0 THEN 1 ELSE 0 END"""
+)
+def index_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger: sources whose chunks are all copies are in it too."""
+    return _changed_index(spark, sf_dir).table(spark, "sources").select("source", "file_hash", "chunks")
+
+
 # --- retrieval
 
 
@@ -612,11 +656,6 @@ def boosted_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.boosted_nearest(docs, queries, lambda keywords, hint: _by_word(keywords) + _by_type(hint), 5)
 
 
-# the same jobs under the names they had beside earlier ones over parts of the table
-for _name in ("keyword_and_type_boost", "boosted_cosine"):
-    QUERIES[f"{_name}_all"], ORACLES[f"{_name}_all"] = QUERIES[_name], ORACLES[_name]
-
-
 CITED = """
 cited AS (SELECT query_id, source, min(rank) AS first, count(*) AS n FROM found GROUP BY query_id, source),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first) AS number FROM cited),
@@ -662,9 +701,6 @@ def two_stage_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.two_stage(texts, _vectors(spark, sf_dir), queries, english, 5, 0.5)
 
 
-QUERIES["two_stage_filtered"], ORACLES["two_stage_filtered"] = QUERIES["two_stage_search"], ORACLES["two_stage_search"]  # an earlier name
-
-
 # --- reranking
 
 CANDIDATES = f"""

@@ -1,4 +1,4 @@
-"""Schema of the index table."""
+"""Schemas of the index's tables."""
 
 from pyspark.sql import types as T
 
@@ -23,3 +23,24 @@ INDEX = T.StructType(
         T.StructField("cluster_distance", T.FloatType()),
     ]
 )
+
+#: What is known of each source, though all its chunks may be copies of others'.
+LEDGER = T.StructType(
+    [
+        T.StructField("source", T.StringType()),
+        T.StructField("file_hash", T.StringType()),
+        T.StructField("file_modified", T.TimestampType()),
+        T.StructField("chunks", T.LongType()),
+    ]
+)
+
+#: Blocks of the vectors of the chunks.
+ANCHORS = T.StructType(
+    [
+        T.StructField("block", T.LongType()),
+        T.StructField("ids", T.BinaryType()),
+        T.StructField("v", T.BinaryType()),
+        T.StructField("low", T.ArrayType(T.DoubleType())),
+        T.StructField("high", T.ArrayType(T.DoubleType())),
+    ]
+)

@@ -1,40 +1,185 @@
-"""The index table: made, appended to, cut down and cleared."""
+"""The index: chunks, sources and anchors in buckets of sources, changed by swapping a manifest.
+
+``manifests/<n>.json`` lists, for each table and bucket, the folders of Parquet files that hold
+it. Files are never changed: a change writes the buckets that it touches into a new folder, and then
+the next manifest, which is the only step that readers see. What a change leaves behind
+that breaks off before that is in no manifest, and ``vacuum`` removes it.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+import uuid
+from dataclasses import dataclass, field, replace
+from functools import reduce
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tessera.operators import nearness
+from tessera.schema import ANCHORS, INDEX, LEDGER
+
+#: Buckets of a new index, and folders from which on a bucket is written anew by the next change.
+BUCKETS, MOST_FOLDERS = 64, 8
+SCHEMAS = {"chunks": INDEX, "sources": LEDGER, "anchors": ANCHORS}
+
+
+@dataclass(frozen=True)
+class Snapshot:
+    """One state of the index."""
+
+    path: str
+    version: int = 0
+    buckets: int = BUCKETS
+    folders: dict[str, dict[str, list[str]]] = field(default_factory=lambda: {name: {} for name in SCHEMAS})
+    #: The last batch of each stream that the index has.
+    batches: dict[str, int] = field(default_factory=dict)
+    #: The vectors that the anchors' angles are to.
+    pivots: list[list[float]] = field(default_factory=list)
+
+    def bucket(self, source: Column | str = "source") -> Column:
+        return F.pmod(F.xxhash64(source), F.lit(self.buckets)).cast("long")
+
+    def table(self, spark: SparkSession, name: str, buckets: set[int] | None = None) -> DataFrame:
+        """The rows of a table, or of some of its buckets; only their files are read."""
+        paths = [f"{self.path}/{f}" for b, folders in self.folders[name].items() for f in folders if buckets is None or int(b) in buckets]
+        return spark.read.schema(SCHEMAS[name]).parquet(*paths) if paths else spark.createDataFrame([], SCHEMAS[name])
+
+    def anchors(self, spark: SparkSession, buckets: set[int] | None = None) -> nearness.Blocks:
+        """The stored blocks of vectors; blocks of several folders get numbers of their own."""
+        held = self.table(spark, "anchors", buckets).withColumn("block", F.xxhash64("block", F.input_file_name()))
+        return nearness.Blocks(held.select("block", "ids", "v", "low", "high"), np.array(self.pivots, np.float64) if self.pivots else np.zeros((0, 0)))
+
+
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and what makes paths of it."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark._jsc.hadoopConfiguration()), make
+
+
+def _names(spark: SparkSession, folder: str) -> list[str]:
+    files, make = _files(spark, folder)
+    return sorted(s.getPath().getName() for s in files.listStatus(make(folder))) if files.exists(make(folder)) else []
 
-from tessera.schema import INDEX
-from tessera.session import write_table
 
+def snapshot(spark: SparkSession, path: str, version: int | None = None) -> Snapshot | None:
+    """The last state of the index at ``path``, or that of a version; none if there is no index."""
+    found = [n for n in _names(spark, f"{path}/manifests") if n.endswith(".json") and (version is None or int(n.split(".")[0]) == version)]
+    if not found:
+        return None
+    return Snapshot(path, **json.loads(spark.read.text(f"{path}/manifests/{found[-1]}", wholetext=True).first()[0]))
 
-def create(spark: SparkSession, path: str) -> DataFrame:
-    """The table at ``path``, made empty if there is none."""
+
+def _swap(spark: SparkSession, after: Snapshot) -> None:
+    """Make ``after`` the index's state; it has to be the first of its version."""
+    files, make = _files(spark, after.path)
+    text = json.dumps({k: getattr(after, k) for k in ("version", "buckets", "folders", "batches", "pivots")})
+    target, aside = make(f"{after.path}/manifests/{after.version:010d}.json"), make(f"{after.path}/manifests/.{uuid.uuid4().hex}")
+    out = files.create(aside, True)
     try:
-        return spark.read.schema(INDEX).parquet(path)
-    except Exception as error:  # the reader says which way the path is missing
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        spark.createDataFrame([], INDEX).write.parquet(path)
-        return spark.read.schema(INDEX).parquet(path)
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    context = spark.sparkContext
+    options = getattr(context._jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = context._gateway.new_array(options, 1)
+    how[0] = options.NONE  # fails if there is one
+    context._jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration()).rename(aside, target, how)
+
+
+def create(spark: SparkSession, path: str, buckets: int = BUCKETS) -> Snapshot:
+    """The index at ``path``, made empty if there is none."""
+    found = snapshot(spark, path)
+    if found is None:
+        _swap(spark, found := Snapshot(path, 0, buckets))
+    return found
+
+
+def chunks(spark: SparkSession, path: str) -> DataFrame:
+    """The chunks of the index as it is now; later changes don't bear on the frame."""
+    return create(spark, path).table(spark, "chunks")
+
+
+def _write(rows: DataFrame, schema: T.StructType, path: str, folder: str) -> list[int]:
+    """Write rows with their ``bucket`` into a folder; the buckets that it has."""
+    typed = rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema), "bucket")
+    # buckets are gathered, and large ones split, by size
+    typed.hint("rebalance", F.col("bucket")).write.partitionBy("bucket").parquet(f"{path}/{folder}")
+    return [int(n.removeprefix("bucket=")) for n in _names(rows.sparkSession, f"{path}/{folder}") if n.startswith("bucket=")]
+
+
+def change(
+    spark: SparkSession, before: Snapshot, added: dict[str, DataFrame] | None = None, gone: DataFrame | None = None, batch: tuple[str, int] | None = None
+) -> Snapshot:
+    """Add rows of ``chunks`` and ``sources``, and take away all rows of the sources ``gone(source)`` that were there before.
+
+    The buckets of those sources are written anew without them, as are those of MOST_FOLDERS folders;
+    rows for other buckets go into a folder beside theirs. ``batch`` is the stream and number of the
+    batch that this change is. The anchors are blocks of the chunks' vectors, made from what is
+    written. Raises if somebody else has changed the index since ``before``.
+    """
+    named = None if gone is None else gone.select("source").distinct()
+    touched = set() if named is None else {r[0] for r in named.select(before.bucket().alias("b")).distinct().collect()}  # BUCKETS at most
+    touched |= {int(b) for held in before.folders.values() for b, folders in held.items() if len(folders) >= MOST_FOLDERS}
+    folder, folders = f"data/{before.version + 1:010d}-{uuid.uuid4().hex}", {name: dict(held) for name, held in before.folders.items()}
+
+    def put(name: str, rows: DataFrame) -> list[int]:
+        own = _write(rows, SCHEMAS[name], before.path, f"{folder}/{name}")
+        folders[name] = {b: f for b, f in folders[name].items() if int(b) not in touched}
+        for b in own:
+            folders[name][str(b)] = [*folders[name].get(str(b), []), f"{folder}/{name}/bucket={b}"]
+        return own
+
+    for name in ("chunks", "sources"):
+        parts = [] if added is None or name not in added else [added[name]]
+        if touched:
+            held = before.table(spark, name, touched)
+            parts.append(held if named is None else held.join(named, "source", "left_anti"))
+        if parts:
+            put(name, reduce(DataFrame.unionByName, [p.select(*SCHEMAS[name].names) for p in parts]).withColumn("bucket", before.bucket()))
+    pivots = before.pivots
+    if _names(spark, f"{before.path}/{folder}/chunks"):
+        written = spark.read.schema(T.StructType([*INDEX.fields, T.StructField("bucket", T.LongType())])).parquet(f"{before.path}/{folder}/chunks")
+        unit = nearness.unit_vectors(written, "bucket")
+        pivots = pivots or nearness.pivots_of(unit).tolist()
+        own = nearness.blocks_of(unit, np.array(pivots, np.float64) if pivots else np.zeros((0, 0)), keys=("bucket",))
+        put("anchors", own.table)
+    after = replace(before, version=before.version + 1, folders=folders, pivots=pivots, batches=before.batches | (dict([batch]) if batch else {}))
+    _swap(spark, after)
+    return after
+
 
+def append(spark: SparkSession, path: str, rows: DataFrame) -> Snapshot:
+    """Add chunks."""
+    return change(spark, create(spark, path), {"chunks": rows})
 
-def append(rows: DataFrame, path: str) -> None:
-    """Add rows, in the table's columns and types."""
-    typed = rows.select(*(rows[f.name].cast(f.dataType).alias(f.name) for f in INDEX))
-    typed.write.mode("append").parquet(path)
 
+def remove_sources(spark: SparkSession, path: str, sources: DataFrame) -> Snapshot:
+    """Delete the chunks of ``sources(source)``, and what is known of them; only their buckets are written anew."""
+    return change(spark, create(spark, path), gone=sources)
 
-def rewrite(rows: DataFrame, path: str) -> None:
-    """Replace the table by rows that may be read from it: they are written aside first."""
-    write_table(rows, "rewrite").write.mode("overwrite").parquet(path)
 
+def clear(spark: SparkSession, path: str) -> Snapshot:
+    """Leave an empty index, without its batches' numbers."""
+    before = create(spark, path)
+    _swap(spark, after := Snapshot(path, before.version + 1, before.buckets))
+    return after
 
-def remove_sources(spark: SparkSession, path: str, sources: DataFrame) -> None:
-    """Delete the chunks of these sources."""
-    rewrite(create(spark, path).join(sources.select("source").distinct(), "source", "left_anti").select(*INDEX.names), path)
 
+def vacuum(spark: SparkSession, path: str, keep: int = 2) -> int:
+    """Delete the manifests but the last ``keep``, and the folders that are in none of those; how many folders went.
 
-def clear(spark: SparkSession, path: str) -> None:
-    """Leave an empty table."""
-    spark.createDataFrame([], INDEX).write.mode("overwrite").parquet(path)
+    No change may be under way, and no reader of an older state.
+    """
+    numbers = [n for n in _names(spark, f"{path}/manifests") if n.endswith(".json")]
+    files, make = _files(spark, path)
+    kept = [snapshot(spark, path, int(n.split(".")[0])) for n in numbers[-keep:]]
+    used = {f.split("/")[1] for s in kept for held in s.folders.values() for folders in held.values() for f in folders}
+    for n in numbers[:-keep]:
+        files.delete(make(f"{path}/manifests/{n}"), False)
+    unused = [n for n in _names(spark, f"{path}/data") if n not in used]
+    for n in unused:
+        files.delete(make(f"{path}/data/{n}"), True)
+    return len(unused)

@@ -2,33 +2,92 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tessera.jobs.index import chunk_documents
-from tessera.operators import dedup
+from tessera.operators import cluster, dedup, embed, nearness
+from tessera.schema import INDEX, LEDGER
+from tessera.session import write_table
 from tessera.sources import tables
 
 
-def index_batch(spark: SparkSession, batch: DataFrame, path: str) -> None:
-    """Index what is new or changed of a batch ``(source, text, file_hash, file_modified)``.
+def last_of_each(batch: DataFrame) -> DataFrame:
+    """One row for each source of ``batch(source, text, file_hash, file_modified)``: the newest, then the one of the largest hash.
+
+    Rows without a hash (unreadable files) are left out, as are those without a source.
+    """
+    seen = batch.filter(F.col("source").isNotNull() & F.col("file_hash").isNotNull()).select("source", "text", "file_hash", "file_modified")
+    newest = F.struct(F.col("file_modified").isNotNull(), "file_modified", "file_hash", "text")
+    return seen.groupBy("source").agg(F.max(newest).alias("r")).select("source", "r.text", "r.file_hash", "r.file_modified")
+
+
+def index_batch(
+    spark: SparkSession, batch: DataFrame, path: str, number: int | None = None, stream: str = "batches", threshold: float | None = 0.95, dim: int = 64,
+    centroids: DataFrame | None = None, window: tuple[int, int] | None = None,
+) -> tables.Snapshot:
+    """Index what is new or changed of a batch ``(source, text, file_hash, file_modified)``, in one change of the index.
+
+    The ledger of sources says what is new: a source whose chunks were all copies is in it too. Changed
+    sources lose their old chunks. Of the new chunks those go whose text another chunk of the batch
+    or of the index has, or whose vector is ``threshold`` like an earlier one's (none: all stay):
+    first come the vectors of the index, then the batch's in order of id. Vectors are placed in
+    the nearest of ``centroids``, if given. ``window`` as in ``chunk_documents``.
 
-    Changed sources lose their old chunks first. Indexing a batch again changes nothing, so
-    a batch that is repeated after a failure does no harm.
+    A batch with a ``number`` that the index already has of its ``stream``, or an earlier one,
+    changes nothing; one without a number finds nothing new the second time. So every batch can
+    be repeated, and one that breaks off leaves the index as it was. A chunk that was left out as a copy
+    comes back, should its like go, when its source is next indexed.
     """
-    index = tables.create(spark, path)
-    status = dedup.change_status(batch, dedup.indexed_sources(index)).filter("status in ('new', 'changed')")
-    todo = batch.join(status, "source")
-    rows = dedup.write_table(chunk_documents(todo.drop("status")), "ingest")
-    changed = todo.filter("status = 'changed'")
-    if not changed.isEmpty():
-        tables.remove_sources(spark, path, changed)
-    tables.append(rows, path)
-
-
-def stream_into(documents: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Index a stream of documents batch by batch."""
-    work: Callable[[DataFrame, int], None] = lambda batch, _: index_batch(batch.sparkSession, batch, path)
+    before = tables.create(spark, path)
+    if number is not None and before.batches.get(stream, -1) >= number:
+        return before
+    mark = None if number is None else (stream, number)
+    ledger = before.table(spark, "sources")
+    newest = write_table(last_of_each(batch), "batch")
+    status = dedup.change_status(newest, ledger).filter("status in ('new', 'changed')")
+    todo = write_table(newest.join(status, "source"), "to-index")
+    if todo.isEmpty():
+        return before if mark is None else tables.change(spark, before, batch=mark)
+    changed = todo.filter("status = 'changed'").select("source")
+    touched = {r[0] for r in changed.select(before.bucket().alias("b")).distinct().collect()}  # a number a bucket
+
+    rows = write_table(chunk_documents(todo.drop("status"), window=window), "new-chunks")
+    there = before.table(spark, "chunks").select("source", "chunk_hash").join(rows.select("chunk_hash").distinct(), "chunk_hash", "left_semi")
+    copies = there.join(changed, "source", "left_anti").select("chunk_hash").distinct()
+    unlike = write_table(rows.join(copies, "chunk_hash", "left_anti"), "unlike-chunks")
+    embedded = embed.hashed_embedding(unlike.select("id", F.col("chunk").alias("text")), dim)
+    vectors = write_table(embedded.withColumn("vector", F.col("vector").cast("array<float>")), "new-vectors")
+    if threshold is not None:
+        vectors = dedup.first_by_similarity(vectors, threshold, _anchors(spark, before, changed, touched))
+    placed = vectors.withColumn("cluster_id", F.lit(0)).withColumn("cluster_distance", F.lit(0.0)) if centroids is None else cluster.assign(vectors, centroids)
+    kept = write_table(unlike.drop("vector", "cluster_id", "cluster_distance").join(placed, "id").select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in INDEX)), "kept-chunks")
+    counts = kept.groupBy("source").agg(F.count("*").alias("chunks"))
+    known = todo.join(counts, "source", "left").select("source", "file_hash", "file_modified", F.coalesce("chunks", F.lit(0)).alias("chunks"))
+    return tables.change(spark, before, {"chunks": kept, "sources": known.select(*LEDGER.names)}, changed, mark)
+
+
+def _anchors(spark: SparkSession, before: tables.Snapshot, changed: DataFrame, touched: set[int]) -> nearness.Blocks:
+    """Blocks of the vectors of all chunks but those of changed sources; only their buckets are blocked anew."""
+    others = {b for b in range(before.buckets) if b not in touched}
+    stored = before.anchors(spark, others)
+    if not touched or not before.pivots:
+        return stored
+    left = nearness.unit_vectors(before.table(spark, "chunks", touched).join(changed, "source", "left_anti"))
+    fresh = nearness.blocks_of(left, np.array(before.pivots))
+    return nearness.Blocks(stored.table.unionByName(fresh.table), stored.pivots)
+
+
+def stream_into(documents: DataFrame, path: str, checkpoint: str, stream: str = "documents", **how) -> StreamingQuery:
+    """Index a stream of documents batch by batch, each exactly once; ``how`` as in ``index_batch``.
+
+    The number of the last batch is part of the index's state, so a batch that is repeated
+    after a failure is known, whatever the documents were.
+    """
+
+    def work(batch: DataFrame, number: int) -> None:
+        index_batch(batch.sparkSession, batch, path, number, stream, **how)
+
     return documents.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

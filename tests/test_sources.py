@@ -83,28 +83,13 @@ def documents(rows, *entries):
     return rows(data, "source string, text string, file_hash string").withColumn("file_modified", F.lit("2024-01-01").cast("timestamp"))
 
 
-def test_incremental_index(spark, rows, tmp_path):
-    path = str(tmp_path / "index")
-    first = documents(rows, ("doc1", "one text", "1"), ("doc2", "two text", "2"), ("doc3", "three text", "3"))
-    ingest.index_batch(spark, first, path)
-    assert tables.create(spark, path).count() == 3
-    ingest.index_batch(spark, first, path)
-    assert tables.create(spark, path).count() == 3
-    second = documents(rows, ("doc1", "one changed", "9"), ("doc2", "two text", "2"), ("doc3", "three text", "3"), ("doc4", "four", "4"))
-    ingest.index_batch(spark, second, path)
-    found = {r.source: r.chunk for r in tables.create(spark, path).collect()}
-    assert found == {"doc1": "one changed", "doc2": "two text", "doc3": "three text", "doc4": "four"}
-    tables.clear(spark, path)
-    assert tables.create(spark, path).count() == 0
-
-
 def test_stream_of_documents(spark, rows, tmp_path):
     inbox, path = str(tmp_path / "in"), str(tmp_path / "index")
     schema = "source string, text string, file_hash string, file_modified timestamp"
     for entry in (("a", "first", "1"), ("b", "second", "2")):
         documents(rows, entry).coalesce(1).write.mode("append").parquet(inbox)
         ingest.stream_into(spark.readStream.schema(schema).parquet(inbox), path, str(tmp_path / "state")).awaitTermination()
-    assert {r.source for r in tables.create(spark, path).collect()} == {"a", "b"}
+    assert {r.source for r in tables.chunks(spark, path).collect()} == {"a", "b"}
 
 
 def test_late_events_are_left_out(spark, rows, tmp_path):
