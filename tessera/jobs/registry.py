@@ -613,7 +613,7 @@ def hybrid_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 BOOSTS = """
 joined AS (SELECT b.item_id AS query_id, d.doc_id AS id, b.text AS query, d.source, d.text, d.lang, e.embedding::DOUBLE[] AS v, q.embedding::DOUBLE[] AS q
-  FROM benchmark b JOIN embeddings q ON q.vec_id = b.item_id CROSS JOIN documents d JOIN embeddings e ON e.vec_id = d.doc_id),
+  FROM benchmark b LEFT JOIN embeddings q ON q.vec_id = b.item_id CROSS JOIN documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id),
 boosts AS (SELECT query_id, id, source, text, v, q,
   CASE WHEN contains(lower(source), 'src1') THEN 1.5 ELSE 0.0 END::DOUBLE + CASE WHEN contains(lower(lang), 'src1') THEN 1.0 ELSE 0.0 END::DOUBLE + CASE WHEN contains(substr(lower(text), 1, 500), 'src1') THEN 0.5 ELSE 0.0 END::DOUBLE
   + CASE WHEN contains(lower(source), 'the') THEN 1.5 ELSE 0.0 END::DOUBLE + CASE WHEN contains(lower(lang), 'the') THEN 1.0 ELSE 0.0 END::DOUBLE + CASE WHEN contains(substr(lower(text), 1, 500), 'the') THEN 0.5 ELSE 0.0 END::DOUBLE AS by_word,
@@ -622,38 +622,32 @@ boosts AS (SELECT query_id, id, source, text, v, q,
 
 
 def _boost_words(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """All documents that have a vector, and the queries with two keywords and a type."""
-    docs = table(spark, sf_dir, "documents").join(_vectors(spark, sf_dir), F.col("doc_id") == F.col("id"))
+    """All documents, with the vectors that there are, and all items as queries with two keywords and a type."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "source", F.col("lang").alias("doc_type"), F.col("lang").alias("doc_keywords"))
     words, hint = F.array(F.lit("src1"), F.lit("THE")), F.when(F.col("query_id") % 2 == 0, "meeting").otherwise("en")
-    return docs, _queries(spark, sf_dir).select("query_id", "vector", words.alias("keywords"), hint.alias("hint"))
-
-
-def _by_word(keywords: Column) -> Column:
-    return search.keyword_boost(keywords, F.col("source"), F.col("lang"), F.col("text"))
-
-
-def _by_type(hint: Column) -> Column:
-    return search.type_boost(hint, F.col("source"), F.col("lang"), F.col("text"))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("keywords"))
+    vectors = _vectors(spark, sf_dir)
+    return docs.join(vectors, "id", "left"), items.withColumn("hint", hint).join(vectors.withColumnRenamed("id", "query_id"), "query_id", "left")
 
 
-@registered(f"WITH {BOOSTS} SELECT query_id, id, by_word, by_type FROM boosts")
+@registered(
+    f"""
+WITH {BOOSTS}, ranked AS (SELECT query_id, id, by_word + by_type AS boost, row_number() OVER (PARTITION BY query_id ORDER BY by_word + by_type DESC, id)::INT AS rank FROM boosts)
+SELECT query_id, id, boost, rank FROM ranked WHERE rank <= 10"""
+)
 def keyword_and_type_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, queries = _boost_words(spark, sf_dir)
-    profiles = queries.select("keywords", "hint").distinct()
-    boosts = docs.crossJoin(profiles).select("id", "keywords", "hint", _by_word(F.col("keywords")).alias("by_word"), _by_type(F.col("hint")).alias("by_type"))
-    return boosts.join(queries, ["keywords", "hint"]).select("query_id", "id", "by_word", "by_type")
+    return search.most_boosted(*_boost_words(spark, sf_dir), 10)
 
 
 @registered(
     f"""
-WITH {BOOSTS}, cos AS (SELECT *, {COSINE} AS c, by_word + by_type AS boost FROM boosts),
+WITH {BOOSTS}, cos AS (SELECT *, {COSINE} AS c, by_word + by_type AS boost FROM boosts WHERE v IS NOT NULL AND q IS NOT NULL),
 scored AS (SELECT *, round(c + 0.3::DOUBLE * boost / greatest(max(boost) OVER (PARTITION BY query_id), 1.0::DOUBLE), 6) AS score FROM cos),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM scored)
 SELECT query_id, id, round(1 - c, 6) + 0.0::DOUBLE AS distance, score, rank FROM ranked WHERE rank <= 5"""
 )
 def boosted_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, queries = _boost_words(spark, sf_dir)
-    return search.boosted_nearest(docs, queries, lambda keywords, hint: _by_word(keywords) + _by_type(hint), 5)
+    return search.boosted_nearest(*_boost_words(spark, sf_dir), 5)
 
 
 CITED = """
@@ -835,13 +829,13 @@ focused AS (SELECT query_id, id, round(1 - c, 6) + 0.0::DOUBLE AS distance, scor
 
 
 def _smart_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Documents that have a vector as chunks with types and times, centroids, and the benchmark's items as queries."""
+    """All documents as chunks with types and times, with the vectors and clusters that there are, centroids, and the benchmark's items as queries."""
     centroids = _centroids(spark, sf_dir)
     number = F.col("doc_id")
     kind = F.when(number % 4 == 0, "meeting").when(number % 4 == 1, "prd").otherwise("general")
     modified = F.date_add(F.lit("2024-01-01").cast("date"), (number % 7).cast("int"))
     docs = table(spark, sf_dir, "documents").select(number.alias("id"), "text", "source", kind.alias("doc_type"), F.col("lang").alias("doc_keywords"), modified.alias("file_modified"))
-    chunks = docs.join(cluster.assign(_vectors(spark, sf_dir), centroids).select("id", "vector", "cluster_id"), "id")
+    chunks = docs.join(cluster.assign(_vectors(spark, sf_dir), centroids).select("id", "vector", "cluster_id"), "id", "left")
     item = F.col("query_id") % 4
     lead = F.when(item == 0, "latest Meeting notes on ").when(item == 1, "Product specification of ").when(item == 2, "recent ").otherwise("")
     return chunks, centroids, _queries(spark, sf_dir).withColumn("query", F.concat(lead, "query"))
@@ -857,12 +851,12 @@ def focused_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(
     f"""WITH {SMART}, good AS (SELECT query_id FROM focused WHERE rank <= 5 GROUP BY query_id HAVING round(avg(1 - distance), 6) >= 0.4),
-wide AS (WITH {BM25.replace("FROM benchmark", "FROM phrased").replace("FROM documents)", "FROM held)").replace("keyword_ranked AS", "k0 AS")},
+wide AS (WITH {BM25.replace("FROM benchmark", "FROM phrased").replace("keyword_ranked AS", "k0 AS")},
   {KNN.replace("FROM benchmark", "FROM phrased").replace("FROM embeddings)", "FROM embeddings WHERE vec_id IN (SELECT id FROM held))")}, {IN_BOTH}, {FUSED.replace("rank <= 10", "rank <= 30")}
   SELECT query_id, id, rank FROM ranked WHERE rank <= 15),
 hits AS (SELECT query_id, id, rank AS before, 'focused' AS stage FROM focused JOIN good USING (query_id) WHERE rank <= 5
   UNION ALL SELECT query_id, id, rank, 'broad' FROM wide WHERE query_id NOT IN (FROM good)),
-told AS (SELECT query_id, h.id, before, stage, p.text AS query, d.text FROM hits h JOIN phrased p ON item_id = query_id JOIN held d ON d.id = h.id),
+told AS (SELECT query_id, h.id, before, stage, p.text AS query, d.text FROM hits h JOIN phrased p ON item_id = query_id JOIN documents d ON d.doc_id = h.id),
 scored AS (SELECT *, round(len(list_intersect(list_distinct({TERMS.replace("text", "query")}), list_distinct({TERMS}))) / len(list_distinct({TERMS.replace("text", "query")}))::DOUBLE, 6) AS rerank_score FROM told),
 final AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, before, id)::INT AS rank FROM scored)
 SELECT query_id, id, stage, rerank_score, rank FROM final WHERE rank <= 5"""

@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.annotate import should_expand
-from tessera.operators import bm25, fuse
-from tessera.operators.vector import dot, nearest, pairs, scores_of
-from tessera.session import ship, write_table
+from tessera.operators import bm25, boosts, fuse
+from tessera.operators.vector import dot, nearest
 
 
 def keyword_boost(keywords: Column, source: Column, doc_keywords: Column, chunk: Column) -> Column:
@@ -50,46 +45,22 @@ def boosted_cosine(candidates: DataFrame, k: int = 5, share: float = 0.3) -> Dat
     return ranked.filter(F.col("rank") <= k).drop("_s")
 
 
-def boosted_nearest(docs: DataFrame, queries: DataFrame, boost: Callable[[Column, Column], Column], k: int = 5, share: float = 0.3) -> DataFrame:
-    """``query_id, id, distance, score, rank``: as ``boosted_cosine``, of every query against all of ``docs(id, vector, ...)``.
+def boosted_nearest(docs: DataFrame, queries: DataFrame, k: int = 5, share: float = 0.3) -> DataFrame:
+    """``query_id, id, distance, score, rank``: as ``boosted_cosine``, of every query against all of ``docs``.
 
-    ``boost(keywords, hint)`` is an expression over the columns of ``docs``; it is worked out
-    once for each document and distinct ``keywords, hint`` of ``queries(query_id, vector,
-    keywords, hint)``. Then blocks of queries meet batches of documents as in ``nearest``,
-    and only k rows per query and batch are handed on. Null vectors take no part.
+    ``docs(id, text, source, doc_type, doc_keywords, vector)`` stay in place, see ``boosts.best_boosted``. A
+    tie goes to the newer ``file_modified``, if there is such a column, then to the id. Null
+    vectors of docs and of ``queries(query_id, vector, keywords, hint)`` take no part.
     """
-    ship(docs.sparkSession)
-    queries = queries.filter(F.col("vector").isNotNull())
-    asked = F.struct("keywords", "hint")
-    profiles = queries.agg(F.sort_array(F.collect_set(asked)).alias("_profiles"))  # one row
-    age = -F.unix_micros(F.col("file_modified").cast("timestamp")) if "file_modified" in docs.columns else F.lit(0)
-    boosts = F.transform("_profiles", lambda p: boost(p["keywords"], p["hint"]).cast("double"))
-    oldest = F.lit((1 << 63) - 1)
-    with_boosts = docs.filter(F.col("vector").isNotNull()).join(F.broadcast(profiles), how="cross")
-    boosted = write_table(with_boosts.select("id", "vector", F.coalesce(age, oldest).cast("long").alias("age"), boosts.alias("boosts")), "boosts")
-    most = boosted.select(F.posexplode("boosts").alias("profile", "boost")).groupBy("profile").agg(F.greatest(F.max("boost"), F.lit(1.0)).alias("most"))
-    numbered = queries.join(F.broadcast(profiles), how="cross").select("query_id", "vector", (F.array_position("_profiles", asked) - 1).cast("int").alias("profile"))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                q, v = batch.column("q")[i].values, batch.column("v")[i].values
-                names, ids = q.field("query_id").to_numpy(zero_copy_only=False), v.field("id").to_numpy(zero_copy_only=False)
-                near = scores_of(np.array(q.field("vector").to_pylist(), np.float64), np.array(v.field("vector").to_pylist(), np.float64), "cosine")
-                own = np.array(v.field("boosts").to_pylist(), np.float64)[:, q.field("profile").to_numpy(zero_copy_only=False)].T
-                scores = np.round(near + share * own / q.field("most").to_numpy(zero_copy_only=False)[:, None], 6)
-                ages = v.field("age").to_numpy(zero_copy_only=False)
-                order = np.lexsort((np.broadcast_to(ids, scores.shape), np.broadcast_to(ages, scores.shape), -scores), axis=1)[:, :k]
-                distance = np.round(1 - np.take_along_axis(near, order, 1), 6) + 0.0  # no negative zero
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(names, order.shape[1])), pa.array(ids[order].ravel()), pa.array(ages[order].ravel()),
-                     pa.array(distance.ravel()), pa.array(np.take_along_axis(scores, order, 1).ravel())],
-                    names=["query_id", "id", "age", "distance", "score"],
-                )
-
-    found = pairs(boosted, numbered.join(most, "profile")).mapInArrow(compare, "query_id bigint, id bigint, age bigint, distance double, score double")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "age", "id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("age")
+    routes = queries.select(F.lit(0).alias("cluster_id"), "query_id", "vector", "keywords", F.col("hint").alias("doc_type_hint"), F.lit(True).alias("recent"))
+    return boosts.best_boosted(docs.withColumn("cluster_id", F.lit(0)), routes, k, share)
+
+
+def most_boosted(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+    """``query_id, id, boost, rank``: the ``k`` documents of the highest boost for each query, ties to the smaller id; all documents count."""
+    routes = queries.select(F.lit(0).alias("cluster_id"), "query_id", "keywords", F.col("hint").alias("doc_type_hint"), F.lit(False).alias("recent"))
+    found = boosts.best_boosted(docs.withColumn("cluster_id", F.lit(0)), routes, k, None)
+    return found.select("query_id", "id", F.col("score").alias("boost"), "rank")
 
 
 def within(rows: DataFrame, ids: DataFrame | None) -> DataFrame:

@@ -2,114 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from functools import reduce
+from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.annotate import analyze_query, should_expand
-from tessera.functions.text import bound
-from tessera.operators import cluster, rerank, search
-from tessera.operators.vector import QUERY_BLOCK, QUERY_BYTES, scores_of
-from tessera.session import ship, write_table
-
-#: Batches of vectors meet blocks of queries; so many rows at once.
-_ROWS = 2048
-_HITS = "query_id bigint, id bigint, age bigint, distance double, score double"
-
-
-def _best(parts: list[tuple[np.ndarray, ...]], k: int) -> tuple[np.ndarray, ...]:
-    """Of parts (query, id, age, distance, score) the ``k`` best of each query; ties to the smaller age, then id."""
-    query, ids, age, distance, score = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((ids, age, -score, query))
-    query = query[order]
-    keep = order[np.arange(len(query)) - np.searchsorted(query, query) < k]
-    return tuple(np.concatenate(x)[keep] for x in zip(*parts, strict=True))
-
-
-def _focused_part(held: DataFrame, routes: DataFrame, k: int, share: float) -> DataFrame:
-    """Hits of the queries of ``routes``, whose size is bounded, in the clusters that they go to."""
-    entry = F.struct("query_id", "keywords", "doc_type_hint")
-    asked = F.broadcast(routes.groupBy("cluster_id").agg(F.sort_array(F.collect_list(entry)).alias("_asked")))
-
-    def boost(head: Column) -> Column:
-        by_word = lambda q: search.keyword_boost(q["keywords"], F.col("source"), F.col("doc_keywords"), head)
-        by_type = lambda q: search.type_boost(q["doc_type_hint"], F.col("source"), F.col("doc_type"), head)
-        return F.transform("_asked", lambda q: by_word(q) + by_type(q))
-
-    boosts = bound(F.substring(F.lower(F.coalesce("text", F.lit(""))), 1, 500), boost)
-    met = held.join(asked, "cluster_id")
-    tops = met.select("cluster_id", F.posexplode(boosts).alias("place", "boost")).groupBy("cluster_id", "place").agg(F.max("boost").alias("boost"))
-    named = tops.join(asked, "cluster_id").select(F.col("_asked")[F.col("place")]["query_id"].alias("query_id"), "boost")
-    most = named.groupBy("query_id").agg(F.greatest(F.max("boost"), F.lit(1.0)).alias("most"))
-    own = routes.join(most, "query_id").select("cluster_id", "query_id", "vector", "most", (F.col("temporal_hint") == "recent").alias("recent")).toArrow()
-    number, name = own.column("cluster_id").to_numpy(), own.column("query_id").to_numpy()
-    matrix = np.array(own.column("vector").to_pylist(), np.float64)
-    top, recent = own.column("most").to_numpy(), own.column("recent").fill_null(False).to_numpy(zero_copy_only=False)
-    models = {}
-    for c in np.unique(number):
-        at = np.flatnonzero(number == c)
-        at = at[np.argsort(name[at])]  # the order of the boosts
-        models[int(c)] = (name[at], matrix[at], top[at], recent[at])
-    shipped = held.sparkSession.sparkContext.broadcast(models)
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = []
-        for batch in batches:
-            clusters = batch.column("cluster_id").to_numpy(zero_copy_only=False)
-            for c in np.unique(clusters):
-                names, queries, most, recent = shipped.value[int(c)]
-                rows = np.flatnonzero(clusters == c)
-                for at in range(0, len(rows), _ROWS):
-                    part = batch.take(pa.array(rows[at : at + _ROWS]))
-                    ids, ages = (part.column(x).to_numpy(zero_copy_only=False) for x in ("id", "age"))
-                    vectors, boosts = (part.column(x).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1) for x in ("vector", "boosts"))
-                    for q in range(0, len(names), QUERY_BLOCK):
-                        own = slice(q, q + QUERY_BLOCK)
-                        near = scores_of(queries[own], vectors, "cosine")
-                        score = np.round(near + share * boosts[:, own].T / most[own, None], 6)
-                        age = np.where(recent[own, None], ages, 0)
-                        order = np.lexsort((np.broadcast_to(ids, score.shape), age, -score), axis=1)[:, :k]
-                        pick = lambda x: np.take_along_axis(x, order, 1).ravel()  # noqa: B023, E731
-                        best.append((np.repeat(names[own], order.shape[1]), ids[order].ravel(), pick(age), np.round(1 - pick(near), 6) + 0.0, pick(score)))
-                    best = [_best(best, k)]
-        if best:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in best[0]], names=["query_id", "id", "age", "distance", "score"])
-
-    return met.select("id", "vector", F.col("cluster_id").cast("int"), "age", boosts.alias("boosts")).mapInArrow(compare, _HITS)
-
+from tessera.operators import boosts, cluster, rerank, search
+from tessera.session import write_table
 
 def focused_search(chunks: DataFrame, centroids: DataFrame, queries: DataFrame, k: int = 5, share: float = 0.3) -> DataFrame:
     """``query_id, id, distance, score, rank``: boosted cosine of each query in its two nearest clusters.
 
-    ``chunks(id, text, source, doc_type, doc_keywords, vector, cluster_id)`` stay where they are:
-    the queries of a cluster go to its chunks, in parts of QUERY_BYTES, and a task hands on only
-    the ``k`` best of each query. The boost of keywords and type is divided by the query's
-    largest (1 at least). A tie goes to the newer ``file_modified``, if the query asks for
+    ``chunks(id, text, source, doc_type, doc_keywords, vector, cluster_id)`` stay where they are, see
+    ``boosts.best_boosted``. A tie goes to the newer ``file_modified``, if the query asks for
     recent ones and there is such a column, then to the id. Without centroids there is one
     cluster. Null vectors take no part; ``queries(query_id, vector, keywords, doc_type_hint,
     temporal_hint)`` have ids of their own.
     """
-    ship(chunks.sparkSession)
-    asked = queries.filter(F.col("vector").isNotNull()).select("query_id", "vector", "keywords", "doc_type_hint", "temporal_hint")
+    asked = queries.filter(F.col("vector").isNotNull()).select("query_id", "vector", "keywords", "doc_type_hint", (F.col("temporal_hint") == "recent").alias("recent"))
     if centroids.isEmpty():
         chunks, near = chunks.withColumn("cluster_id", F.lit(0)), asked.select("query_id", F.lit(0).alias("cluster_id"))
     else:
         near = cluster.nearest_clusters(asked, centroids, 2).select("query_id", "cluster_id")
-    routes = write_table(near.join(asked, "query_id"), "routes")
-    modified = F.unix_micros(F.col("file_modified").cast("timestamp")) if "file_modified" in chunks.columns else F.lit(0)
-    age = F.coalesce(-modified, F.lit((1 << 63) - 1)).cast("long")
-    held = chunks.filter(F.col("vector").isNotNull()).select("id", "text", "source", "doc_type", "doc_keywords", "vector", "cluster_id", age.alias("age"))
-    words = F.coalesce(F.length(F.array_join("keywords", ",")), F.lit(0))
-    size = routes.agg(F.sum(F.size("vector").cast("long") * 8 + words + 64)).first()[0] or 0
-    parts = max(1, -(-size // QUERY_BYTES))
-    found = [_focused_part(held, routes.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i), k, share) for i in range(parts)]
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "age", "id")
-    ranked = reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(order))
-    return ranked.filter(F.col("rank") <= k).drop("age")
+    return boosts.best_boosted(chunks, near.join(asked, "query_id"), k, share)
 
 
 def smart_search(

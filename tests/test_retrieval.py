@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import bm25, cluster, context, embed, fuse, history, meta, rerank, search, smart, vector
+from tessera.operators import bm25, boosts, cluster, context, embed, fuse, history, meta, rerank, search, smart, vector
 from tessera.operators.embed import embed_with_cache, hashed_embedding
 
 
@@ -141,11 +141,9 @@ def test_boosted_nearest_takes_all_documents(rows):
     draw = np.random.default_rng(3)
     docs = [(i, [float(x) for x in draw.normal(size=4)], f"s{i % 3} cat" if i % 5 == 0 else "s", "en" if i % 4 else "de", "a dog" if i % 7 == 0 else None) for i in range(90)] + [(99, None, "cat", "en", "dog")]
     queries = [(i, [float(x) for x in draw.normal(size=4)], ["Cat", "dog"] if i % 2 else None, ["en", "de", None][i % 3]) for i in range(7)]
-    boost = lambda keywords, hint: search.keyword_boost(keywords, F.col("source"), F.col("lang"), F.col("text")) + search.type_boost(hint, F.col("source"), F.col("lang"), F.col("text"))
-    found = search.boosted_nearest(
-        rows(docs, "id bigint, vector array<double>, source string, lang string, text string").repartition(3),
-        rows(queries, "query_id bigint, vector array<double>, keywords array<string>, hint string"), boost, 4,
-    ).collect()
+    docs_frame = rows(docs, "id bigint, vector array<double>, source string, doc_type string, text string").withColumn("doc_keywords", F.lit(None).cast("string")).repartition(3)
+    asked = rows(queries, "query_id bigint, vector array<double>, keywords array<string>, hint string")
+    found = search.boosted_nearest(docs_frame, asked, 4).collect()
     for q, a, words, hint in queries:
         own = {i: sum(1.5 * (w.lower() in source) + 0.5 * (w.lower() in (text or "")) for w in words or []) + 2.0 * (lang == hint) for i, v, source, lang, text in docs if v}
         cos = {i: np.dot(a, v) / np.linalg.norm(a) / np.linalg.norm(v) for i, v, *_ in docs if v}
@@ -155,6 +153,33 @@ def test_boosted_nearest_takes_all_documents(rows):
         assert all(abs(r.distance - (1 - cos[r.id])) < 1e-6 for r in got)
 
 
+def test_boosts_equal_the_expressions(rows):
+    """The automaton finds what looking for each keyword finds: parts of words, repeats, empty and null keywords."""
+    draw = np.random.default_rng(4)
+    letters = list("aAbB ÄäéİßΣ")
+    word = lambda n: "".join(draw.choice(letters, n))
+    docs = [(i, word(900) if i % 4 else None, word(6) if i % 3 else None, ["prd", "meeting", None][i % 3], word(5) if i % 5 else None) for i in range(60)] + [(90, "a meeting", "Meeting", "prd", "")]
+    queries = [(q, [word(int(draw.integers(1, 4))) for _ in range(q % 5)] + ([""] if q % 7 == 0 else []) + ([None, "a", "a"] if q % 6 == 0 else []), ["prd", "meeting", None][q % 3]) for q in range(40)] + [(50, None, "meeting")]
+    frame = rows(docs, "id bigint, text string, source string, doc_type string, doc_keywords string").repartition(3)
+    asked = rows(queries, "query_id bigint, keywords array<string>, hint string")
+    found = sorted(map(tuple, search.most_boosted(frame, asked, 5).collect()))
+    own = search.keyword_boost(F.col("keywords"), F.col("source"), F.col("doc_keywords"), F.col("text")) + search.type_boost(F.col("hint"), F.col("source"), F.col("doc_type"), F.col("text"))
+    every = {}
+    for r in frame.crossJoin(asked).select("query_id", "id", own.alias("boost")).collect():
+        every.setdefault(r.query_id, []).append((-r.boost, r.id))
+    assert found == sorted((q, i, -b, n) for q, hits in every.items() for n, (b, i) in enumerate(sorted(hits)[:5], 1))
+
+
+def test_many_keyword_profiles(rows):
+    """3,000 profiles of their own: no rows of chunks times queries anywhere in the plan."""
+    docs = rows([(i, f"text {i} about t{i % 50}", f"s{i % 7}", "prd", "k") for i in range(500)], "id bigint, text string, source string, doc_type string, doc_keywords string")
+    asked = rows([(q, [f"t{q % 50}", f"word{q}", f"s{q % 7}"], None) for q in range(3000)], "query_id bigint, keywords array<string>, hint string")
+    found = search.most_boosted(docs, asked, 1)
+    assert "Cartesian" not in (plan := found._jdf.queryExecution().executedPlan().toString()) and "NestedLoop" not in plan
+    got = {r.query_id: r.boost for r in found.collect()}
+    assert len(got) == 3000 and min(got.values()) >= 1.5
+
+
 def test_focused_search_by_hand(rows, monkeypatch):
     draw = np.random.default_rng(5)
     point = lambda: [float(x) for x in draw.normal(size=3)]
@@ -185,9 +210,9 @@ def test_focused_search_by_hand(rows, monkeypatch):
 
     run = lambda model: sorted((r.query_id, r.id, r.rank) for r in smart.focused_search(chunks, model, asked, 6).collect())
     assert run(centroids) == sorted(wanted(True))
-    monkeypatch.setattr(smart, "QUERY_BYTES", 100)  # several parts
-    monkeypatch.setattr(smart, "_ROWS", 4)
-    monkeypatch.setattr(smart, "QUERY_BLOCK", 1)
+    monkeypatch.setattr(boosts, "QUERY_BYTES", 200)  # several parts
+    monkeypatch.setattr(boosts, "ROWS", 4)
+    monkeypatch.setattr(boosts, "QUERY_BLOCK", 1)
     assert run(centroids) == sorted(wanted(True))
     assert run(centroids.limit(0)) == sorted(wanted(False))
     assert smart.focused_search(chunks.limit(0), centroids, asked).count() == 0 and smart.focused_search(chunks, centroids, asked.limit(0)).count() == 0
