@@ -835,7 +835,7 @@ def _smart_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     kind = F.when(number % 4 == 0, "meeting").when(number % 4 == 1, "prd").otherwise("general")
     modified = F.date_add(F.lit("2024-01-01").cast("date"), (number % 7).cast("int"))
     docs = table(spark, sf_dir, "documents").select(number.alias("id"), "text", "source", kind.alias("doc_type"), F.col("lang").alias("doc_keywords"), modified.alias("file_modified"))
-    chunks = docs.join(cluster.assign(_vectors(spark, sf_dir), centroids).select("id", "vector", "cluster_id"), "id", "left")
+    chunks = write_table(docs.join(cluster.assign(_vectors(spark, sf_dir), centroids).select("id", "vector", "cluster_id"), "id", "left"), "chunks")  # an index is stored
     item = F.col("query_id") % 4
     lead = F.when(item == 0, "latest Meeting notes on ").when(item == 1, "Product specification of ").when(item == 2, "recent ").otherwise("")
     return chunks, centroids, _queries(spark, sf_dir).withColumn("query", F.concat(lead, "query"))

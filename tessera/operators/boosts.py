@@ -69,7 +69,7 @@ class Asked:
         sizes = self.edges[words + 1] - self.edges[words]
         at = np.repeat(self.edges[words] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
         cells = np.repeat(rows, sizes) * many + self.query[at]
-        out = np.bincount(cells, np.repeat(points, sizes), n * many).reshape(n, many)
+        out = np.bincount(cells, np.repeat(points, sizes), n * many).astype(float).reshape(n, many)  # whole numbers if there are none
         for hint in {h for h in self.hints if h is not None}:
             own = meeting if hint == "meeting" else OF_TYPE * np.array([t == hint for t in types], float)
             out[:, [h == hint for h in self.hints]] += own[:, None]
