@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.session import ship
 
@@ -45,6 +46,19 @@ def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return df.toDF(*names), dict(zip(df.columns, names, strict=True))
 
 
+def orderable(field: T.StructField) -> Column:
+    """The column of ``field``, or its JSON where Spark has no order for it (maps, and what holds them)."""
+
+    def ordered(kind: T.DataType) -> bool:
+        if isinstance(kind, T.ArrayType):
+            return ordered(kind.elementType)
+        if isinstance(kind, T.StructType):
+            return all(ordered(f.dataType) for f in kind.fields)
+        return not isinstance(kind, (T.MapType, T.VariantType, T.CalendarIntervalType))
+
+    return F.col(field.name) if ordered(field.dataType) else F.to_json(F.struct(field.name))
+
+
 #: Rows from which on a key counts as hot.
 HOT_ROWS = 1000
 

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.common import bounded, coded_words, id_crc, numbered, slices, sums_between
 from tessera.session import write_table
@@ -330,8 +331,8 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
                 names=[*batch.schema.names, "lang_pred", "score", "bits", "rejected"],
             )
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.transform(bounded).mapInArrow(run, f"{fields}, lang_pred string, score double, bits double, rejected boolean")
+    added = {"lang_pred": T.StringType(), "score": T.DoubleType(), "bits": T.DoubleType(), "rejected": T.BooleanType()}
+    return docs.transform(bounded).mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in added.items())]))
 
 
 def held_out() -> Column:

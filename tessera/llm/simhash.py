@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded, join_by_key, lower_ascii, numbered, slices
+from tessera.llm.common import bounded, join_by_key, lower_ascii, numbered, orderable, slices
 from tessera.llm.components import connected_components
 from tessera.session import write_table
 
@@ -296,7 +296,8 @@ def keep_one(docs: DataFrame, blocks: int | None = None) -> DataFrame:
     """Of each component of near_duplicates the document with the least id (then text hash).
 
     Rows with the same id and text are one document; of them the least by all other columns
-    stays (null first), in the order of the columns. Rows that share an id, but are of
+    stays (null first), in the order of the columns; those that Spark can't order, such as maps, go by their
+    JSON. Rows that share an id, but are of
     different components, are different documents. Null and empty texts are near-duplicates of
     each other; a null id is the last choice; an empty table stays empty. Columns may have any
     name.
@@ -308,7 +309,7 @@ def keep_one(docs: DataFrame, blocks: int | None = None) -> DataFrame:
     own, name = numbered(docs)
     kept = own.withColumn("text_key", F.xxhash64(name["text"])).join(chosen, F.col(name["doc_id"]).eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")))
     rest = [n for c, n in name.items() if c not in ("doc_id", "text")]
-    least = F.min(F.struct(*rest)) if rest else F.count("*")
+    least = F.min_by(F.struct(*rest), F.struct(*(orderable(own.schema[n]) for n in rest))) if rest else F.count("*")
     several = kept.filter("rows > 1").groupBy(name["doc_id"], "key").agg(least.alias("r"), F.min(name["text"]).alias(name["text"]))
     single = kept.filter("rows = 1").select(*own.columns)
     return single.union(several.select(*(F.col("r")[n].alias(n) if n in rest else F.col(n) for n in own.columns))).toDF(*docs.columns)

@@ -38,4 +38,5 @@ def with_clashing_columns(frame):
 
     for name in ("row", "size", "target", "score", "word", "fp", "hash", "key", "text_key", "rank", "part", "ids", "label", "draw", "rate", "copies", "_size", "block", "__id", "__key", "__size", "__rows", "__text_key", "c0", "c1", "c7", "item_id", "n", "copy"):
         frame = frame.withColumn(name, F.lit("clash"))
-    return frame
+    odd = F.struct(F.lit(1).alias("my-key"), F.create_map(F.lit("k"), F.array(F.struct(F.lit("x").alias("a b")))).alias("`map`"))
+    return frame.withColumn("meta data", odd).withColumn("a.map", F.create_map(F.lit("k"), F.col("doc_id"))).withColumn("list", F.array(F.lit(1.5), F.lit(None)))
