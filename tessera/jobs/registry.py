@@ -41,6 +41,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 CLEAN = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
 TERMS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')"
 TOKENS = "CASE WHEN coalesce(length(text), 0) = 0 THEN 0 ELSE greatest(1, length(text) // 4) END::BIGINT"
+SENTENCES = "list_filter(string_split(regexp_replace(trim(coalesce(text, '')), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: s <> '')"
+LINES = "CASE WHEN length(text) > 0 THEN string_split(text, chr(10)) ELSE []::VARCHAR[] END"
+
+
+def packed_sql(pieces: str) -> str:
+    """SQL of greedy packing, of a table ``pieces(doc_id, s, line, most, overlap)``: ``packed(doc_id, chunk_index, first, "end", tokens, piece)``."""
+    cost = TOKENS.replace("text", "x || CASE WHEN line THEN chr(10) ELSE '' END")
+    return f"""
+given AS ({pieces}),
+priced AS (SELECT *, list_transform(s, lambda x: {cost}) AS cost FROM given WHERE len(s) > 0),
+summed AS (SELECT *, list_transform(range(len(s) + 1), lambda i: coalesce(list_sum(cost[1:i]), 0)::BIGINT) AS upto FROM priced),
+walk AS (
+  SELECT doc_id, 0 AS i, 0 AS first, 0::BIGINT AS tokens, NULL::INT AS closed, NULL::BIGINT AS closed_tokens FROM summed
+  UNION ALL
+  SELECT doc_id, i + 1, CASE WHEN shut THEN back ELSE first END, CASE WHEN shut THEN upto[i + 1] - upto[back + 1] + own ELSE tokens + own END,
+    CASE WHEN shut THEN first END, CASE WHEN shut THEN tokens END
+  FROM (SELECT w.*, s.upto, s.cost[i + 1] AS own, tokens + s.cost[i + 1] > s.most AND i > first AS shut,
+          list_filter(range(first, i + 1), lambda j: s.upto[i + 1] - s.upto[j + 1] <= s.overlap)[1]::INT AS back
+        FROM walk w JOIN summed s USING (doc_id) WHERE i < len(s.s))),
+ends AS (
+  SELECT doc_id, closed AS first, i - 1 AS "end", closed_tokens AS tokens FROM walk WHERE closed IS NOT NULL
+  UNION ALL SELECT w.doc_id, first, i, tokens FROM walk w JOIN summed s ON s.doc_id = w.doc_id AND i = len(s.s)),
+packed AS (
+  SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY e."end") - 1)::INT AS chunk_index, first, e."end", tokens,
+    CASE WHEN line THEN array_to_string(s[first + 1:e."end"], chr(10)) ELSE array_to_string(s[first + 1:e."end"], ' ') END AS piece FROM ends e JOIN summed USING (doc_id))"""
+
+
 CHUNKS = f"""
 cleaned AS (SELECT doc_id, source, {CLEAN} AS t FROM documents),
 sized AS (SELECT *, CASE WHEN length(t) = 0 THEN 0 WHEN length(t) <= 1200 THEN 1 ELSE ceil((length(t) - 1200) / 1000.0)::INT + 1 END AS k FROM cleaned),
@@ -136,18 +163,50 @@ def chunk_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "c.start", "c.end", text.content_hash(F.col("c.text")).alias("chunk_hash"))
 
 
-@registered()
+@registered(
+    f"""WITH RECURSIVE {packed_sql(f"SELECT doc_id, {SENTENCES} AS s, false AS line, 256 AS most, 40 AS overlap FROM documents")}
+SELECT doc_id, chunk_index, first, "end", tokens, md5(piece) AS chunk_hash FROM packed"""
+)
 def chunk_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunk.sentence_chunks(F.col("text"), 256, 40)).alias("chunk_index", "c"))
     return docs.select("doc_id", "chunk_index", "c.first", "c.end", "c.tokens", text.content_hash(F.col("c.text")).alias("chunk_hash"))
 
 
-@registered()
+@registered(
+    f"""WITH RECURSIVE {packed_sql(f"SELECT doc_id, {LINES} AS s, true AS line, 256 AS most, 60 AS overlap FROM documents")}
+SELECT doc_id, chunk_index, first AS start_line, "end" AS end_line, tokens, md5(piece) AS chunk_hash FROM packed"""
+)
 def chunk_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunk.code_chunks(F.col("text"), 256, 60)).alias("chunk_index", "c"))
     return docs.select("doc_id", "chunk_index", F.col("c.first").alias("start_line"), F.col("c.end").alias("end_line"), "c.tokens", text.content_hash(F.col("c.text")).alias("chunk_hash"))
 
 
+TYPED_PIECES = f"""
+SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN {LINES} ELSE {SENTENCES} END AS s, doc_id % 4 = 0 AS line, 512 AS most,
+  CASE doc_id % 4 WHEN 0 THEN 100 WHEN 1 THEN 100 WHEN 2 THEN 75 ELSE 50 END AS overlap FROM documents"""
+
+
+@registered(f"""WITH RECURSIVE {packed_sql(TYPED_PIECES)} SELECT doc_id, chunk_index, first, "end", tokens, md5(piece) AS chunk_hash FROM packed""")
+def chunk_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code by lines, all else by sentences, with the overlap of the type."""
+    kind = F.when(F.col("doc_id") % 4 == 0, "code").when(F.col("doc_id") % 4 == 1, "meeting").when(F.col("doc_id") % 4 == 2, "technical").otherwise("wiki")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunk.adaptive_chunks(F.col("text"), kind)).alias("chunk_index", "c"))
+    return docs.select("doc_id", "chunk_index", "c.first", "c.end", "c.tokens", text.content_hash(F.col("c.text")).alias("chunk_hash"))
+
+
+@registered(
+    """
+WITH heads AS (SELECT doc_id, substr(coalesce(text, ''), 1, 500) AS h FROM documents),
+counted AS (
+  SELECT doc_id, length(regexp_replace(h, '[^\\p{Han}]', '', 'g')) AS han, length(regexp_replace(h, '[^\\p{Hiragana}\\p{Katakana}]', '', 'g')) AS kana,
+    length(regexp_replace(h, '[^\\p{Hangul}]', '', 'g')) AS hangul, length(regexp_replace(h, '[^\\p{Latin}]', '', 'g')) AS latin FROM heads)
+SELECT doc_id, CASE WHEN han + kana + hangul + latin = 0 THEN 'unknown' WHEN (han + kana + hangul) * 5 > latin AND latin * 5 > han + kana + hangul THEN 'mixed'
+  WHEN han + kana + hangul <= latin THEN 'english' WHEN kana > 0 THEN 'japanese' WHEN hangul > han THEN 'korean' ELSE 'chinese' END AS language FROM counted"""
+)
+def document_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", annotate.document_language(F.col("text")).alias("language"))
+
+
 @registered(
     """
 WITH parts AS (
@@ -571,12 +630,25 @@ def knn_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered(
     f"""
 WITH {QUERY_VECTORS}, vecs AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
-far AS (SELECT query_id, id, round(-sqrt(greatest(list_dot_product(q, q) + list_dot_product(v, v) - 2 * list_dot_product(q, v), 0)), 4) + 0.0 AS score FROM qv, vecs WHERE query_id <> id)
-SELECT query_id, count(*)::BIGINT AS hits, max(score) AS best FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM far) WHERE rank <= 5 GROUP BY query_id"""
+far AS (SELECT query_id, id, round(-sqrt(greatest(list_dot_product(q, q) + list_dot_product(v, v) - 2 * list_dot_product(q, v), 0)), 6) + 0.0 AS score FROM qv, vecs WHERE query_id <> id)
+SELECT query_id, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM far) WHERE rank <= 5"""
 )
 def knn_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = vector.nearest(_vectors(spark, sf_dir), _queries(spark, sf_dir), 6, "l2").filter("query_id <> id").filter("rank <= 6")
-    return hits.groupBy("query_id").agg(F.count("*").alias("hits"), F.round(F.max("score"), 4).alias("best"))
+    """The nearest of each query but itself, which is at distance 0."""
+    return vector.nearest(_vectors(spark, sf_dir), _queries(spark, sf_dir), 6, "l2").filter("query_id <> id").select("query_id", "id", F.col("score"))
+
+
+@registered(
+    """
+SELECT doc_id % 50 AS query_id, (doc_id * 7) % 1009 AS id, (doc_id // 50 + 1)::INT AS rank, d.source, md5(d.text) AS text_hash
+FROM documents JOIN (SELECT doc_id AS other, source, text FROM documents) d ON d.other = (doc_id * 7) % 1009"""
+)
+def chunks_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of lists of ids, some of which aren't there."""
+    docs = table(spark, sf_dir, "documents")
+    hits = docs.select((F.col("doc_id") % 50).alias("query_id"), (F.col("doc_id") * 7 % 1009).alias("id"), (F.floor(F.col("doc_id") / 50) + 1).cast("int").alias("rank"))
+    chunks = docs.select(F.col("doc_id").alias("id"), "source", text.content_hash(F.col("text")).alias("text_hash"))
+    return search.by_ids(chunks, hits).select("query_id", "id", "rank", "source", "text_hash")
 
 
 FUSED = """
@@ -1159,6 +1231,16 @@ def near_dup_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.first_by_similarity(vectors.join(items, "id", "left_anti"), 0.4, vectors.join(items, "id", "left_semi")).select("id")
 
 
+@registered(
+    """
+WITH counted AS (SELECT conv_id, turn, len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda w: w <> ''))::INT AS tokens FROM conversations)
+SELECT conv_id, turn, tokens, CASE WHEN turn > 0 THEN tokens / turn::DOUBLE ELSE 0.0 END AS tokens_per_second FROM counted"""
+)
+def answer_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each message, and words a second with the turn's number as seconds."""
+    return context.stream_stats(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.col("turn").cast("double").alias("seconds")))
+
+
 # --- streams
 
 
