@@ -573,6 +573,7 @@ def _changed_index(spark: SparkSession, sf_dir: str) -> tables.Snapshot:
     texts = docs.select("doc_id", "text")
     batches = [as_files(texts.filter("doc_id % 2 = 0")), as_files(texts.withColumn("text", edited))]
     path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    tables.create(spark, path, buckets=16)
     for number in (0, 0, 1, 0, 1):
         ingest.index_batch(spark, batches[number], path, number, threshold=None, window=(1200, 200))
     return tables.remove_sources(spark, path, indexing.manifest(docs.filter("doc_id % 7 = 0")))
