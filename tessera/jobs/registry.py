@@ -594,6 +594,19 @@ def index_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _changed_index(spark, sf_dir).table(spark, "sources").select("source", "file_hash", "chunks")
 
 
+@registered(
+    f"""WITH {CHANGES}
+SELECT 1::BIGINT AS version, (SELECT count(*) FROM cleaned WHERE batch = 0) AS files, (SELECT count(*) FROM cleaned WHERE batch = 0) AS sources,
+  (SELECT count(DISTINCT chunk_hash) FROM cut WHERE batch = 0) AS chunks, (SELECT count(*) FROM first WHERE place = 1) AS kept
+UNION ALL
+SELECT 2, (SELECT count(*) FROM documents WHERE text IS NOT NULL), (SELECT count(*) FROM cleaned WHERE batch = 1),
+  (SELECT count(DISTINCT chunk_hash) FROM cut WHERE batch = 1), (SELECT count(*) FROM second WHERE place = 1)"""
+)
+def index_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the batches counted while they ran."""
+    return tables.runs(spark, _changed_index(spark, sf_dir).path).drop("unreadable", "seconds")
+
+
 # --- retrieval
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -38,6 +39,8 @@ class Snapshot:
     batches: dict[str, int] = field(default_factory=dict)
     #: The vectors that the anchors' angles are to.
     pivots: list[list[float]] = field(default_factory=list)
+    #: What the change to this state counted and took, as it ran.
+    measured: dict[str, float] = field(default_factory=dict)
 
     def bucket(self, source: Column | str = "source") -> Column:
         return F.pmod(F.xxhash64(source), F.lit(self.buckets)).cast("long")
@@ -75,7 +78,7 @@ def snapshot(spark: SparkSession, path: str, version: int | None = None) -> Snap
 def _swap(spark: SparkSession, after: Snapshot) -> None:
     """Make ``after`` the index's state; it has to be the first of its version."""
     files, make = _files(spark, after.path)
-    text = json.dumps({k: getattr(after, k) for k in ("version", "buckets", "folders", "batches", "pivots")})
+    text = json.dumps({k: getattr(after, k) for k in ("version", "buckets", "folders", "batches", "pivots", "measured")})
     target, aside = make(f"{after.path}/manifests/{after.version:010d}.json"), make(f"{after.path}/manifests/.{uuid.uuid4().hex}")
     out = files.create(aside, True)
     try:
@@ -89,6 +92,13 @@ def _swap(spark: SparkSession, after: Snapshot) -> None:
     context._jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration()).rename(aside, target, how)
 
 
+def runs(spark: SparkSession, path: str) -> DataFrame:
+    """``version, files, unreadable, sources, chunks, kept, seconds`` of each batch that the index has, as they were measured in it."""
+    kinds = "version bigint, files bigint, unreadable bigint, sources bigint, chunks bigint, kept bigint, seconds double"
+    states = spark.read.schema(f"version bigint, measured struct<{kinds.split(', ', 1)[1]}>").json(f"{path}/manifests/*.json")
+    return states.filter("measured.files is not null").select("version", "measured.*")
+
+
 def create(spark: SparkSession, path: str, buckets: int = BUCKETS) -> Snapshot:
     """The index at ``path``, made empty if there is none."""
     found = snapshot(spark, path)
@@ -111,13 +121,14 @@ def _write(rows: DataFrame, schema: T.StructType, path: str, folder: str) -> lis
 
 
 def change(
-    spark: SparkSession, before: Snapshot, added: dict[str, DataFrame] | None = None, gone: DataFrame | None = None, batch: tuple[str, int] | None = None
-) -> Snapshot:
+    spark: SparkSession, before: Snapshot, added: dict[str, DataFrame] | None = None, gone: DataFrame | None = None, batch: tuple[str, int] | None = None,
+    measured: Callable[[], dict[str, float]] | None = None,
+) -> Snapshot:
     """Add rows of ``chunks`` and ``sources``, and take away all rows of the sources ``gone(source)`` that were there before.
 
     The buckets of those sources are written anew without them, as are those of MOST_FOLDERS folders;
     rows for other buckets go into a folder beside theirs. ``batch`` is the stream and number of the
-    batch that this change is. The anchors are blocks of the chunks' vectors, made from what is
+    batch that this change is, ``measured`` is called when all is written. The anchors are blocks of the chunks' vectors, made from what is
     written. Raises if somebody else has changed the index since ``before``.
     """
     named = None if gone is None else gone.select("source").distinct()
@@ -146,7 +157,7 @@ def change(
         pivots = pivots or nearness.pivots_of(unit).tolist()
         own = nearness.blocks_of(unit, np.array(pivots, np.float64) if pivots else np.zeros((0, 0)), keys=("bucket",))
         put("anchors", own.table)
-    after = replace(before, version=before.version + 1, folders=folders, pivots=pivots, batches=before.batches | (dict([batch]) if batch else {}))
+    after = replace(before, version=before.version + 1, folders=folders, pivots=pivots, batches=before.batches | (dict([batch]) if batch else {}), measured=measured() if measured else {})
     _swap(spark, after)
     return after
 

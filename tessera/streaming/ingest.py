@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -38,7 +40,8 @@ def index_batch(
 
     A batch with a ``number`` that the index already has of its ``stream``, or an earlier one,
     changes nothing; one without a number finds nothing new the second time. So every batch can
-    be repeated, and one that breaks off leaves the index as it was. A chunk that was left out as a copy
+    be repeated, and one that breaks off leaves the index as it was. What it counts on the way is kept
+    with the state that it makes (``tables.runs``). A chunk that was left out as a copy
     comes back, should its like go, when its source is next indexed.
     """
     before = tables.create(spark, path)
@@ -46,7 +49,9 @@ def index_batch(
         return before
     mark = None if number is None else (stream, number)
     ledger = before.table(spark, "sources")
-    newest = write_table(last_of_each(batch), "batch")
+    began, seen, cut, stayed = time.monotonic(), Observation(), Observation(), Observation()
+    count = F.count(F.lit(1))
+    newest = write_table(last_of_each(batch.observe(seen, count.alias("files"), F.count_if(F.col("file_hash").isNull()).alias("unreadable"))), "batch")
     status = dedup.change_status(newest, ledger).filter("status in ('new', 'changed')")
     todo = write_table(newest.join(status, "source"), "to-index")
     if todo.isEmpty():
@@ -54,7 +59,7 @@ def index_batch(
     changed = todo.filter("status = 'changed'").select("source")
     touched = {r[0] for r in changed.select(before.bucket().alias("b")).distinct().collect()}  # a number a bucket
 
-    rows = write_table(chunk_documents(todo.drop("status"), window=window), "new-chunks")
+    rows = write_table(chunk_documents(todo.drop("status"), window=window).observe(cut, count.alias("chunks")), "new-chunks")
     there = before.table(spark, "chunks").select("source", "chunk_hash").join(rows.select("chunk_hash").distinct(), "chunk_hash", "left_semi")
     copies = there.join(changed, "source", "left_anti").select("chunk_hash").distinct()
     unlike = write_table(rows.join(copies, "chunk_hash", "left_anti"), "unlike-chunks")
@@ -63,10 +68,11 @@ def index_batch(
     if threshold is not None:
         vectors = dedup.first_by_similarity(vectors, threshold, _anchors(spark, before, changed, touched))
     placed = vectors.withColumn("cluster_id", F.lit(0)).withColumn("cluster_distance", F.lit(0.0)) if centroids is None else cluster.assign(vectors, centroids)
-    kept = write_table(unlike.drop("vector", "cluster_id", "cluster_distance").join(placed, "id").select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in INDEX)), "kept-chunks")
+    kept = write_table(unlike.drop("vector", "cluster_id", "cluster_distance").join(placed, "id").select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in INDEX)).observe(stayed, count.alias("kept")), "kept-chunks")
     counts = kept.groupBy("source").agg(F.count("*").alias("chunks"))
     known = todo.join(counts, "source", "left").select("source", "file_hash", "file_modified", F.coalesce("chunks", F.lit(0)).alias("chunks"))
-    return tables.change(spark, before, {"chunks": kept, "sources": known.select(*LEDGER.names)}, changed, mark)
+    measured = lambda: seen.get | {"sources": todo.count()} | cut.get | stayed.get | {"seconds": round(time.monotonic() - began, 3)}
+    return tables.change(spark, before, {"chunks": kept, "sources": known.select(*LEDGER.names)}, changed, mark, measured)
 
 
 def _anchors(spark: SparkSession, before: tables.Snapshot, changed: DataFrame, touched: set[int]) -> nearness.Blocks:

@@ -52,6 +52,8 @@ def test_replayed_batches_leave_the_index_as_it_is(spark, rows, tmp_path):
         ingest.index_batch(spark, batches[number or 0] if number is not None else batches[1], path, number)
     assert state(spark, path) == first
     assert all(r.vector is not None for r in tables.chunks(spark, path).collect())
+    measured = [(r.version, r.files, r.unreadable, r.sources, r.chunks, r.kept) for r in tables.runs(spark, path).orderBy("version").collect()]
+    assert measured == [(1, 4, 1, 3, 2, 2), (2, 4, 0, 3, 2, 1)]
 
 
 def test_a_change_writes_the_buckets_of_its_sources(spark, rows, tmp_path):
