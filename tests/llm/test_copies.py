@@ -282,9 +282,9 @@ def test_runs_cover_a_passage():
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_agrees_with_sql(spark, name):
     connection = duckdb.connect()
-    for table in ("documents", "benchmark", "embeddings"):
+    for table in ("documents", "benchmark", "embeddings", "conversations"):
         connection.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
-    found, wanted = queries.QUERIES[name](spark, SF).toPandas(), connection.sql(queries.ORACLES[name]).df()
+    found, wanted = queries.QUERIES[name](spark, SF), connection.sql(queries.ORACLES[name])
     columns = sorted(found.columns)
     assert columns == sorted(wanted.columns)
-    assert sorted(map(str, found[columns].values.tolist())) == sorted(map(str, wanted[columns].values.tolist()))
+    assert sorted(map(str, map(tuple, found.select(*columns).collect()))) == sorted(map(str, wanted.project(", ".join(columns)).fetchall()))
