@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import annotate, chunk, lexicons, rewrite, text
 from tessera.jobs import index as indexing
-from tessera.operators import bm25, cluster, context, dedup, embed, fuse, history, meta, order, rerank, search, smart, vector
+from tessera.operators import bm25, cluster, context, dedup, embed, fuse, history, meta, order, postings, rerank, search, smart, vector
 from tessera.session import shared_dir, ship, write_table
 from tessera.sources import files, tables
 from tessera.streaming import events as event_stream
@@ -615,6 +615,21 @@ def bm25_multi_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.search(_texts(spark, sf_dir), _queries(spark, sf_dir), 10)
 
 
+def _postings(spark: SparkSession, sf_dir: str, columns: list[str]) -> str:
+    """Stored postings of all documents, which came in two batches, the second of them twice."""
+    path = f"{shared_dir(spark)}/postings-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), *columns)
+    for batch in (0, 1, 1):
+        postings.append(docs.filter(F.pmod(F.xxhash64("id"), F.lit(2)) == batch), path, columns, ("documents", batch))
+    return path
+
+
+@registered(f"WITH {BM25} SELECT query_id, id, score, rank FROM keyword_ranked WHERE rank <= 10")
+def bm25_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item with a vector over stored postings of two segments."""
+    return postings.search(spark, _postings(spark, sf_dir, ["text"]), _queries(spark, sf_dir), 10)
+
+
 SOURCE_FIELD = BM25.replace("SELECT doc_id AS id, " + TERMS, "SELECT doc_id AS id, " + TERMS.replace("text", "source"))
 for _cte in ("doc_terms", "totals", "tfs", "dfs", "asked", "hits", "keyword_ranked"):
     SOURCE_FIELD = re.sub(rf"\b{_cte}\b", f"source_{_cte}", SOURCE_FIELD)
@@ -636,6 +651,19 @@ def bm25_two_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.search(docs, queries, 10, ["text", "source"])
 
 
+@registered(
+    f"""
+SELECT field, term, count(DISTINCT id)::BIGINT AS df, count(*)::BIGINT AS total FROM (
+  SELECT 0::INT AS field, doc_id AS id, unnest({TERMS}) AS term FROM documents
+  UNION ALL SELECT 1::INT, doc_id, unnest({TERMS.replace("text", "source")}) FROM documents) GROUP BY field, term"""
+)
+def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document frequencies and counts of all terms, from stored postings after their segments were made one."""
+    path = _postings(spark, sf_dir, ["text", "source"])
+    postings.compact(spark, path)
+    return postings.term_statistics(spark, path)
+
+
 @registered(f"WITH {KNN} SELECT query_id, id, score, rank FROM vector_ranked WHERE rank <= 5")
 def knn_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.nearest(_vectors(spark, sf_dir), _queries(spark, sf_dir), 5)

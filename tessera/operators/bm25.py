@@ -29,9 +29,9 @@ def postings(chunks: DataFrame, text: str = "text") -> DataFrame:
     return exploded.groupBy("id", "dl", "term").agg(F.count("*").alias("tf")).select("id", "term", "tf", "dl")
 
 
-def _best(hits: DataFrame, limit: int) -> DataFrame:
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= limit)
+def best(hits: DataFrame, limit: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
+    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
 
 
 def search(chunks: DataFrame, queries: DataFrame, limit: int = 10, text: str | list[str] = "text", k1: float = K1, b: float = B) -> DataFrame:
@@ -47,11 +47,29 @@ def search(chunks: DataFrame, queries: DataFrame, limit: int = 10, text: str | l
     with more than ASKED of them the terms meet the chunks in a join instead.
     """
     fields = [text] if isinstance(text, str) else text
-    asked = queries.select("query_id", F.explode(terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    asked = write_table(asked, "asked")
+    asked = write_table(asked_terms(queries), "asked")
     if asked.count() > ASKED:
-        return _best(_joined_scores(chunks, asked, fields, k1, b), limit)
-    return _best(_packed_scores(chunks, asked, fields, limit, k1, b), limit)
+        return best(_joined_scores(chunks, asked, fields, k1, b), limit)
+    return best(_packed_scores(chunks, asked, fields, limit, k1, b), limit)
+
+
+def asked_terms(queries: DataFrame) -> DataFrame:
+    """``query_id, term, qtf`` of ``queries(query_id, query)``."""
+    return queries.select("query_id", F.explode(terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+
+
+def asked_model(own: pa.Table) -> tuple[pa.Array, tuple[np.ndarray, ...], pa.Array]:
+    """The distinct terms of asked entries, who asks for each and how often (edges, queries, counts), and the queries' ids."""
+    coded = own.column("term").combine_chunks().dictionary_encode()
+    if isinstance(coded, pa.ChunkedArray):
+        coded = coded.combine_chunks()
+    vocabulary, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    names = own.column("query_id").combine_chunks()
+    ids = pc.unique(names)
+    which = pc.index_in(names, value_set=ids).to_numpy(zero_copy_only=False).astype(np.int64)
+    order = np.lexsort((which, codes))
+    by_term = (np.searchsorted(codes[order], np.arange(len(vocabulary) + 1)), which[order], own.column("qtf").to_numpy()[order].astype(np.float64))
+    return vocabulary, by_term, ids
 
 
 def _joined_scores(chunks: DataFrame, asked: DataFrame, fields: list[str], k1: float, b: float) -> DataFrame:
@@ -75,16 +93,7 @@ def _packed_scores(chunks: DataFrame, asked: DataFrame, fields: list[str], limit
     """The best ``limit`` of each query in each task's chunks, by the queries' terms in every task."""
     spark = chunks.sparkSession
     ship(spark)
-    own = asked.toArrow()  # ASKED entries at most
-    coded = own.column("term").combine_chunks().dictionary_encode()
-    if isinstance(coded, pa.ChunkedArray):
-        coded = coded.combine_chunks()
-    vocabulary, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    names = own.column("query_id").combine_chunks()
-    ids = pc.unique(names)
-    which = pc.index_in(names, value_set=ids).to_numpy(zero_copy_only=False).astype(np.int64)
-    order = np.lexsort((which, codes))
-    by_term = (np.searchsorted(codes[order], np.arange(len(vocabulary) + 1)), which[order], own.column("qtf").to_numpy()[order].astype(np.float64))
+    vocabulary, by_term, ids = asked_model(asked.toArrow())  # ASKED entries at most
     words = spark.sparkContext.broadcast(vocabulary)
     size = len(vocabulary)
 

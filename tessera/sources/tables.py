@@ -62,14 +62,14 @@ def _files(spark: SparkSession, path: str):
     return make(path).getFileSystem(spark._jsc.hadoopConfiguration()), make
 
 
-def _names(spark: SparkSession, folder: str) -> list[str]:
+def names(spark: SparkSession, folder: str) -> list[str]:
     files, make = _files(spark, folder)
     return sorted(s.getPath().getName() for s in files.listStatus(make(folder))) if files.exists(make(folder)) else []
 
 
 def snapshot(spark: SparkSession, path: str, version: int | None = None) -> Snapshot | None:
     """The last state of the index at ``path``, or that of a version; none if there is no index."""
-    found = [n for n in _names(spark, f"{path}/manifests") if n.endswith(".json") and (version is None or int(n.split(".")[0]) == version)]
+    found = [n for n in names(spark, f"{path}/manifests") if n.endswith(".json") and (version is None or int(n.split(".")[0]) == version)]
     if not found:
         return None
     return Snapshot(path, **json.loads(spark.read.text(f"{path}/manifests/{found[-1]}", wholetext=True).first()[0]))
@@ -77,9 +77,13 @@ def snapshot(spark: SparkSession, path: str, version: int | None = None) -> Snap
 
 def _swap(spark: SparkSession, after: Snapshot) -> None:
     """Make ``after`` the index's state; it has to be the first of its version."""
-    files, make = _files(spark, after.path)
-    text = json.dumps({k: getattr(after, k) for k in ("version", "buckets", "folders", "batches", "pivots", "measured")})
-    target, aside = make(f"{after.path}/manifests/{after.version:010d}.json"), make(f"{after.path}/manifests/.{uuid.uuid4().hex}")
+    publish(spark, after.path, after.version, json.dumps({k: getattr(after, k) for k in ("version", "buckets", "folders", "batches", "pivots", "measured")}))
+
+
+def publish(spark: SparkSession, path: str, version: int, text: str) -> None:
+    """Rename a manifest into place; fails if there is one of its version."""
+    files, make = _files(spark, path)
+    target, aside = make(f"{path}/manifests/{version:010d}.json"), make(f"{path}/manifests/.{uuid.uuid4().hex}")
     out = files.create(aside, True)
     try:
         out.write(bytearray(text.encode()))
@@ -117,7 +121,7 @@ def _write(rows: DataFrame, schema: T.StructType, path: str, folder: str) -> lis
     typed = rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema), "bucket")
     # buckets are gathered, and large ones split, by size
     typed.hint("rebalance", F.col("bucket")).write.partitionBy("bucket").parquet(f"{path}/{folder}")
-    return [int(n.removeprefix("bucket=")) for n in _names(rows.sparkSession, f"{path}/{folder}") if n.startswith("bucket=")]
+    return [int(n.removeprefix("bucket=")) for n in names(rows.sparkSession, f"{path}/{folder}") if n.startswith("bucket=")]
 
 
 def change(
@@ -151,7 +155,7 @@ def change(
         if parts:
             put(name, reduce(DataFrame.unionByName, [p.select(*SCHEMAS[name].names) for p in parts]).withColumn("bucket", before.bucket()))
     pivots = before.pivots
-    if _names(spark, f"{before.path}/{folder}/chunks"):
+    if names(spark, f"{before.path}/{folder}/chunks"):
         written = spark.read.schema(T.StructType([*INDEX.fields, T.StructField("bucket", T.LongType())])).parquet(f"{before.path}/{folder}/chunks")
         unit = nearness.unit_vectors(written, "bucket")
         pivots = pivots or nearness.pivots_of(unit).tolist()
@@ -184,13 +188,13 @@ def vacuum(spark: SparkSession, path: str, keep: int = 2) -> int:
 
     No change may be under way, and no reader of an older state.
     """
-    numbers = [n for n in _names(spark, f"{path}/manifests") if n.endswith(".json")]
+    numbers = [n for n in names(spark, f"{path}/manifests") if n.endswith(".json")]
     files, make = _files(spark, path)
     kept = [snapshot(spark, path, int(n.split(".")[0])) for n in numbers[-keep:]]
     used = {f.split("/")[1] for s in kept for held in s.folders.values() for folders in held.values() for f in folders}
     for n in numbers[:-keep]:
         files.delete(make(f"{path}/manifests/{n}"), False)
-    unused = [n for n in _names(spark, f"{path}/data") if n not in used]
+    unused = [n for n in names(spark, f"{path}/data") if n not in used]
     for n in unused:
         files.delete(make(f"{path}/data/{n}"), True)
     return len(unused)
