@@ -909,6 +909,35 @@ def cluster_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.prune(assigned, _queries(spark, sf_dir), centroids, 2).groupBy("query_id").agg(F.count("*").alias("candidates"))
 
 
+PRUNED = f"""{CENTROIDS}, {KNN.strip()},
+pruned_ranked AS (
+  SELECT v.query_id, v.id, v.score, row_number() OVER (PARTITION BY v.query_id ORDER BY v.score DESC, v.id)::INT AS rank
+  FROM vector_ranked v JOIN near q ON q.id = v.query_id AND q.rank <= 2 JOIN near a ON a.id = v.id AND a.rank = 1 AND a.cluster_id = q.cluster_id)"""
+
+
+def _near_in_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    centroids = _centroids(spark, sf_dir)
+    stored = cluster.store(cluster.assign(_vectors(spark, sf_dir), centroids), f"{shared_dir(spark)}/by-cluster-{uuid.uuid4().hex}")
+    return cluster.nearest_in_clusters(stored, _queries(spark, sf_dir), centroids, 5)
+
+
+@registered(f"WITH {PRUNED} SELECT query_id, id, score, rank FROM pruned_ranked WHERE rank <= 5")
+def nearest_in_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best five of each query in its two nearest clusters, of vectors stored by cluster."""
+    return _near_in_clusters(spark, sf_dir)
+
+
+@registered(
+    f"""WITH {PRUNED} SELECT count(*)::BIGINT AS wanted, count(p.id)::BIGINT AS found
+FROM vector_ranked v LEFT JOIN pruned_ranked p ON p.query_id = v.query_id AND p.id = v.id AND p.rank <= 5 WHERE v.rank <= 5"""
+)
+def cluster_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the exact best five the search in two clusters finds."""
+    exact = vector.nearest(_vectors(spark, sf_dir), _queries(spark, sf_dir), 5).select("query_id", "id")
+    own = _near_in_clusters(spark, sf_dir).select("query_id", "id", F.lit(1).alias("own"))
+    return exact.join(own, ["query_id", "id"], "left").agg(F.count("*").alias("wanted"), F.count("own").alias("found"))
+
+
 @registered(f"WITH {CENTROIDS} SELECT cluster_id, count(*)::BIGINT AS size, round(sum(distance * distance), 4) AS inertia FROM near WHERE rank = 1 GROUP BY cluster_id")
 def cluster_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.cluster_stats(cluster.assign(_vectors(spark, sf_dir), _centroids(spark, sf_dir)))

@@ -66,6 +66,14 @@ def best_of(held: list[tuple[np.ndarray, ...]], k: int) -> tuple[np.ndarray, ...
     return query[keep], ids[keep], scores[keep]
 
 
+def compared(queries: np.ndarray, v: pa.Array, ids: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the query, id and score of the ``k`` best of some vectors for each query."""
+    matrix = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
+    scores = np.round(scores_of(queries, matrix, metric), 6)
+    order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
+    return np.repeat(np.arange(len(queries)), order.shape[1]), ids[order].ravel(), np.take_along_axis(scores, order, 1).ravel()
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, metric: str = "cosine") -> DataFrame:
     """``query_id, id, score, rank`` of the ``k`` best of ``vectors(id, vector)``, ties by id.
 
@@ -82,12 +90,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, metric: str = "c
     size = asked.agg(F.sum(F.size("vector").cast("long") * 8 + 16)).first()[0] or 0
     vectors = vectors.filter(F.col("vector").isNotNull()).select("id", "vector")
 
-    def compared(queries: np.ndarray, v: pa.Array, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        matrix = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
-        scores = np.round(scores_of(queries, matrix, metric), 6)
-        order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
-        return np.repeat(np.arange(len(queries)), order.shape[1]), ids[order].ravel(), np.take_along_axis(scores, order, 1).ravel()
-
     def in_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, matrix = shipped.value
         if not len(matrix):
@@ -97,7 +99,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, metric: str = "c
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
                 for q in range(0, len(matrix), QUERY_BLOCK):
-                    query, ids, scores = compared(matrix[q : q + QUERY_BLOCK], part.column("vector"), part.column("id").to_numpy(zero_copy_only=False))
+                    query, ids, scores = compared(matrix[q : q + QUERY_BLOCK], part.column("vector"), part.column("id").to_numpy(zero_copy_only=False), k, metric)
                     held.append((query + q, ids, scores))
                 held = [best_of(held, k)]
         if held:
@@ -110,7 +112,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, metric: str = "c
                 q, v = batch.column("q")[i].values, batch.column("v")[i].values
                 names = q.field("query_id").to_numpy(zero_copy_only=False)
                 matrix = q.field("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(names), -1)
-                query, ids, scores = compared(matrix, v.field("vector"), v.field("id").to_numpy(zero_copy_only=False))
+                query, ids, scores = compared(matrix, v.field("vector"), v.field("id").to_numpy(zero_copy_only=False), k, metric)
                 yield pa.RecordBatch.from_arrays([pa.array(names[query]), pa.array(ids), pa.array(scores)], names=["query_id", "id", "score"])
 
     schema = "query_id bigint, id bigint, score double"
