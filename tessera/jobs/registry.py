@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import annotate, chunk, lexicons, rewrite, text
 from tessera.jobs import index as indexing
-from tessera.operators import bm25, cluster, context, dedup, embed, fuse, history, meta, order, postings, rerank, search, smart, vector
+from tessera.operators import bm25, cluster, context, dedup, embed, fuse, history, meta, models, order, postings, rerank, search, smart, vector
 from tessera.session import shared_dir, ship, write_table
 from tessera.sources import files, tables
 from tessera.streaming import events as event_stream
@@ -830,6 +830,23 @@ def lexical_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rerank.rerank(_candidates(spark, sf_dir), 5).select("query_id", "id", F.round("rerank_score", 6).alias("rerank_score"), "rank")
 
 
+def _load_coverage() -> models.Model:
+    """Stands in for a cross-encoder: the share of the query's terms that the text has."""
+    import regex
+
+    cut = regex.compile(r"[^\p{L}\p{N}]+")
+    parted = lambda text: {t for t in cut.split(text.lower()) if t}
+    return lambda queries, texts: [len(q & parted(t)) / len(q) if (q := parted(query)) else 0.0 for query, t in zip(queries, texts, strict=True)]
+
+
+@registered(ORACLES["lexical_rerank"])
+def model_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reranking by a model that each worker loads once."""
+    candidates = _candidates(spark, sf_dir)
+    found = rerank.rerank(candidates, 5, models.scorer(candidates, _load_coverage))
+    return found.select("query_id", "id", F.round("rerank_score", 6).alias("rerank_score"), "rank")
+
+
 MINMAX = "CASE WHEN max({0}) OVER w = min({0}) OVER w THEN 0.5 ELSE ({0} - min({0}) OVER w) / (max({0}) OVER w - min({0}) OVER w) END"
 
 
@@ -865,6 +882,27 @@ def embed_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.filter("x <> 0").withColumn("x", F.round("x", 6))
 
 
+def _load_counts() -> models.Model:
+    """Stands in for an embedding model: counts of two letters; it can't embed a text with a URL."""
+
+    def model(texts: list[str]) -> list[list[float]]:
+        if any("http" in t for t in texts):
+            raise ValueError("URL")
+        return [[float(t.count("e")), float(t.count("a"))] for t in texts]
+
+    return model
+
+
+@registered(
+    """
+SELECT doc_id AS id, CASE WHEN NOT contains(text, 'http') THEN length(text) - length(replace(text, 'e', '')) END::DOUBLE AS e,
+  CASE WHEN NOT contains(text, 'http') THEN length(text) - length(replace(text, 'a', '')) END::DOUBLE AS a, CASE WHEN contains(text, 'http') THEN 'ValueError: URL' END AS error FROM documents"""
+)
+def model_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embedding by a model that each worker loads once; texts that it can't embed have an error."""
+    return models.embed(_texts(spark, sf_dir), _load_counts).select("id", F.col("vector")[0].alias("e"), F.col("vector")[1].alias("a"), "error")
+
+
 @registered(
     """
 WITH known AS (SELECT DISTINCT md5(text) AS h FROM documents WHERE doc_id % 3 = 0)
