@@ -883,11 +883,11 @@ def embed_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _load_counts() -> models.Model:
-    """Stands in for an embedding model: counts of two letters; it can't embed a text with a URL."""
+    """Stands in for an embedding model: counts of two letters; it can't embed a text with an address."""
 
     def model(texts: list[str]) -> list[list[float]]:
-        if any("http" in t for t in texts):
-            raise ValueError("URL")
+        if any("@" in t for t in texts):
+            raise ValueError("address")
         return [[float(t.count("e")), float(t.count("a"))] for t in texts]
 
     return model
@@ -895,8 +895,8 @@ def _load_counts() -> models.Model:
 
 @registered(
     """
-SELECT doc_id AS id, CASE WHEN NOT contains(text, 'http') THEN length(text) - length(replace(text, 'e', '')) END::DOUBLE AS e,
-  CASE WHEN NOT contains(text, 'http') THEN length(text) - length(replace(text, 'a', '')) END::DOUBLE AS a, CASE WHEN contains(text, 'http') THEN 'ValueError: URL' END AS error FROM documents"""
+SELECT doc_id AS id, CASE WHEN NOT contains(text, '@') THEN length(text) - length(replace(text, 'e', '')) END::DOUBLE AS e,
+  CASE WHEN NOT contains(text, '@') THEN length(text) - length(replace(text, 'a', '')) END::DOUBLE AS a, CASE WHEN contains(text, '@') THEN 'ValueError: address' END AS error FROM documents"""
 )
 def model_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embedding by a model that each worker loads once; texts that it can't embed have an error."""
