@@ -16,6 +16,7 @@ from tessera.session import shared_dir, ship, write_table
 from tessera.sources import files, tables
 from tessera.streaming import events as event_stream
 from tessera.streaming import ingest
+from tessera.streaming import messages as message_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1365,6 +1366,25 @@ def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
+@registered(
+    f"""WITH {USAGE},
+ended AS (SELECT conv_id, turn, tok, sum(CASE WHEN role = 'system' THEN 0 ELSE tok END) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS upto, role FROM sized),
+begun AS (SELECT conv_id, min(turn) AS kept_from, sum(tok)::BIGINT AS kept_tokens FROM ended WHERE upto <= 150 AND role <> 'system' GROUP BY conv_id)
+SELECT f.conv_id, (SELECT count(*) FROM conversations c WHERE c.conv_id = f.conv_id)::BIGINT AS messages, f.total_tokens, coalesce(kept_from, -1)::BIGINT AS kept_from, coalesce(kept_tokens, 0)::BIGINT AS kept_tokens,
+  CASE WHEN total_tokens / 500.0::DOUBLE >= 0.85 THEN 'red' WHEN total_tokens / 500.0::DOUBLE >= 0.75 THEN 'yellow' ELSE 'green' END AS warning_level
+FROM full_used f LEFT JOIN begun USING (conv_id)"""
+)
+def stream_context_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usage and windows of all conversations, whose messages come in three batches, out of order."""
+    folder = f"{shared_dir(spark)}/messages-{uuid.uuid4().hex}"
+    for part in (1, 0, 2):
+        table(spark, sf_dir, "conversations").filter(F.pmod(F.xxhash64("conv_id", "turn"), F.lit(3)) == part).coalesce(1).write.mode("append").parquet(f"{folder}/said")
+    running = message_stream.running_usage(message_stream.read_messages(spark, f"{folder}/said"), 100, 500, 150)
+    last = event_stream.run_updates(running, f"{folder}/table", f"{folder}/checkpoint", ["conv_id"])
+    begins = F.coalesce("kept_from", F.lit(-1).cast("long")).alias("kept_from")  # -1: nothing is kept
+    return last.select("conv_id", "messages", "total_tokens", begins, "kept_tokens", "warning_level")
+
+
 @registered(
     """
 WITH gaps AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOURS THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),

@@ -24,6 +24,11 @@ def usage(messages: DataFrame, document_tokens: int = 0, max_tokens: int = MAX_T
     sums = sized.groupBy("conv_id").agg(
         part(system).alias("system_tokens"), part(~system & F.col("is_last")).alias("current_tokens"), part(~system & ~F.col("is_last")).alias("history_tokens")
     )
+    return filled(sums, document_tokens, max_tokens, yellow, red)
+
+
+def filled(sums: DataFrame, document_tokens: int = 0, max_tokens: int = MAX_TOKENS, yellow: float = YELLOW, red: float = RED) -> DataFrame:
+    """Sums of a conversation's parts with the total, what is left, and how full that is."""
     total = F.col("system_tokens") + F.col("current_tokens") + F.col("history_tokens") + document_tokens
     full = sums.withColumn("documents_tokens", F.lit(document_tokens).cast("long")).withColumn("total_tokens", total.cast("long"))
     share = F.col("total_tokens") / F.lit(float(max_tokens))
