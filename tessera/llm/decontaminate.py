@@ -15,6 +15,8 @@ from tessera.session import write_table
 WORDS, CONTAINMENT = 5, 0.8
 #: Binary logarithm of the most bits of the map of sketch values (4 MB).
 MAP_BITS = 25
+#: Lists that a document's candidates are dealt into: so many copies of its shingles are made at most.
+LISTS = 64
 
 
 def words_of(text: Column) -> Column:
@@ -87,7 +89,8 @@ def contained_items(
     so what is exploded is little more than what a sketch has. It meets the sketches in an
     equi-join (broadcast by the planner only where the written sketch table is small). Each
     candidate is then verified on the shingles themselves: at least ``containment`` of the
-    item's distinct shingles are in the document.
+    item's distinct shingles are in the document. A document's candidates are dealt into LISTS
+    lists by hash, so one that holds very many items isn't copied for each of them.
 
     An item of fewer than ``width`` words is one shingle of all its words, found wherever a
     document has just those words in a row. Null or wordless texts contain nothing and are
@@ -116,12 +119,20 @@ def contained_items(
     same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key"))
     texts = keyed.join(wanted.select("id", "key").distinct(), same, "left_semi")
     full = texts.select("doc_id", "text_key", F.array_distinct(shingles_of(F.col("text"), widths)).alias("own"))
-    pairs = full.join(wanted, same)
+    listed = (
+        wanted.join(sketched.select("item_id", "shingles", "n"), F.col("item").eqNullSafe(F.col("item_id")))
+        .groupBy("id", "key", F.pmod(F.xxhash64("item"), F.lit(LISTS)).alias("list"))
+        .agg(F.collect_list(F.struct("item_id", "shingles", "n")).alias("items"))
+    )
+    # a document's shingles are searched once a list; each of its items then meets what was found
+    hits = F.array_intersect(F.flatten("items.shingles"), "own")
+    shared = lambda hit: F.transform(
+        "items", lambda i: F.struct(i["item_id"].alias("item_id"), i["n"].alias("n"), F.size(F.array_intersect(i["shingles"], hit)).cast("long").alias("shared"))
+    )
     verified = (
-        pairs.join(sketched.select("item_id", "shingles", "n"), F.col("item").eqNullSafe(F.col("item_id")))
-        .withColumn("shared", F.size(F.array_intersect("shingles", "own")).cast("long"))
+        full.join(listed, same).select("doc_id", "text_key", F.inline(bound(hits, shared)))
         .filter(F.col("shared") >= F.ceil(containment * F.col("n") - 1e-9))
-    )
+    )
     best = F.max(F.struct(F.col("shared") / F.col("n"), F.col("shared").alias("s"), F.col("n").cast("long").alias("n")))
     return (
         verified.groupBy("doc_id", "text_key", "item_id").agg(best.alias("best"))

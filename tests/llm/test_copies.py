@@ -134,6 +134,24 @@ def test_short_items_in_long_documents(rows):
     assert found == [(1, 7), (2, 7), (2, 8)]
 
 
+def test_a_document_that_holds_very_many_items(rows):
+    draw = random.Random(5)
+    texts = [" ".join("".join(draw.choice("abcdefgh") for _ in range(4)) for _ in range(draw.choice([1, 4, 7, 12]))) for _ in range(400)]
+    hub = " and ".join(texts[:300])
+    docs = rows([(1, hub), (1, hub), (2, " ".join(texts[300:310])), *((10 + i, f"it says {t} here") for i, t in enumerate(texts))], "doc_id bigint, text string")
+    items = rows([*enumerate(texts), (None, texts[0]), (7, texts[8])], "item_id bigint, text string")
+    found = {(r.doc_id, r.item_id): (r.shared, r.n_shingles) for r in decontaminate.report(decontaminate.contained_items(docs, items)).collect()}
+    wanted = {}
+    for d, text in docs.distinct().collect():
+        for i, t in items.collect():
+            width = min(5, len(t.split()))
+            s = shingles(t.split(), width)
+            n = len(s & shingles(words_of(text), width))
+            if n >= 0.8 * len(s) - 1e-9:
+                wanted[d, i] = max(wanted.get((d, i), (0, 0, 0)), (n / len(s), n, len(s)))
+    assert found == {k: v[1:] for k, v in wanted.items()} and {i for d, i in found if d == 1} >= {*range(300), None}
+
+
 def test_containment_by_brute_force(rows):
     draw = random.Random(2)
     word = lambda: "".join(draw.choice("abcdef") for _ in range(3))
