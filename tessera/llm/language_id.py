@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import bounded, coded_words, id_crc, numbered, slices, sums_between
+from tessera.llm.common import bounded, coded_words, id_crc, numbered, slices
 from tessera.session import write_table
 
 #: Longest n-gram; marks before and after each word.
@@ -20,10 +20,12 @@ ORDER, BEFORE, AFTER = 4, 2, 3
 #: A classifier may learn from a bounded sample: about so many characters of each language, yet
 #: so many rows where they are few and long; and rows for calibration.
 SAMPLE_CHARS, SAMPLE_ROWS, CALIBRATION_ROWS = 6_000_000, 500, 4_000
-#: Characters of the sample in all: with many languages each has an equal part of it.
+#: Characters of the sample in all: each language has an equal part of it at most, its rows be few or not.
 ALL_CHARS = 64_000_000
 #: Text bytes scored at once.
 SCORE_BYTES = 4 * 1024 * 1024
+#: Cells of places and languages (or words and languages) held at once.
+CELLS = 4_000_000
 #: Bits by which a text of one character may lie off at least; for longer ones over the root of the length.
 SHORT_SLACK = 10.0
 UNKNOWN = "und"
@@ -149,14 +151,22 @@ class KneserNey:
         return np.log2(self._probs(points, at[first], ORDER))[inverse]
 
     def word_scores(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Per word the log2 probability of its letter runs in each language, and the places predicted."""
+        """Per word the log2 probability of its letter runs in each language, and the places predicted.
+
+        CELLS places and languages are scored at once, so a long word or many languages take no more memory."""
         runs, offsets = letter_runs(words)
+        scores = np.zeros((len(words), len(self.languages)))
         if not runs:
-            return np.zeros((len(words), len(self.languages))), np.zeros(len(words))
+            return scores, np.zeros(len(words))
         points, at = code_points(runs)
-        ends = np.concatenate([[0], np.flatnonzero(points[at] == AFTER) + 1])
-        per_run = sums_between(self.log_probs(points, at), ends)
-        return sums_between(per_run, offsets), sums_between(np.diff(ends).astype(float), offsets)
+        size = np.diff(np.concatenate([[0], np.flatnonzero(points[at] == AFTER) + 1]))
+        word = np.repeat(np.repeat(np.arange(len(words)), np.diff(offsets)), size)
+        step = max(1, CELLS // len(self.languages))
+        for start in range(0, len(at), step):
+            own = word[start : start + step]
+            first = np.flatnonzero(np.diff(own, prepend=-1))
+            scores[own[first]] += np.add.reduceat(self.log_probs(points, at[start : start + step]), first, axis=0)
+        return scores, np.bincount(word, minlength=len(words)).astype(float)
 
 
 @dataclass
@@ -172,8 +182,19 @@ class LanguageModel:
     def entropies(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Bits a character in each language, and the characters, of each text."""
         codes, words, offsets = coded_words(pc.fill_null(texts, ""))
-        scores, places = self.models.word_scores(words)
-        total, n = sums_between(scores[codes], offsets), sums_between(places[codes], offsets)
+        text = np.repeat(np.arange(len(texts)), np.diff(offsets))
+        total, n = np.zeros((len(texts), len(self.models.languages))), np.zeros(len(texts))
+        step = max(1, CELLS // len(self.models.languages))
+        if len(words) > step:
+            order = np.argsort(codes, kind="stable")
+            codes, text = codes[order], text[order]
+        for start in range(0, len(words), step):
+            own = slice(*np.searchsorted(codes, [start, start + step])) if len(words) > step else slice(None)
+            scores, places = self.models.word_scores(words.slice(start, step))
+            word, of = codes[own] - start, text[own]
+            n += np.bincount(of, places[word], len(texts))
+            for lang, column in enumerate(scores.T.copy()):
+                total[:, lang] += np.bincount(of, column[word], len(texts))
         return -total / np.maximum(n, 1)[:, None], n
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
@@ -244,17 +265,22 @@ def train(docs: DataFrame, trains: Column, sample_chars: int = SAMPLE_CHARS, cal
     """Learn from the rows of ``docs`` where ``trains`` holds and text and lang aren't null.
 
     Of each language a sample is taken by id hash at the rate that gives ``sample_chars``
-    characters (SAMPLE_ROWS rows at least) and ALL_CHARS in all, whole texts each; so the n-gram
-    counts that come to the driver and go out to the tasks are bounded, and only those of the
-    languages that have them are kept. Another sample of about
-    ``calibration_rows`` rows sets the scale of the scores and the limits for rejection.
+    characters, or SAMPLE_ROWS rows where that is more, and ALL_CHARS in all, whole texts each; so the n-gram counts that come to the driver and go out
+    to the tasks are bounded, also where ``lang`` has thousands of rare values, and only those of
+    the languages that have them are kept. A rare value is a language like any other; one whose
+    rows fall outside the sample isn't learned. Another sample of about ``calibration_rows`` rows
+    sets the scale of the scores and the limits for rejection. Null and empty texts teach
+    nothing, repeated rows count repeatedly, very long texts whole; an empty table gives a model
+    that knows no language. Other columns aren't read.
     """
     spark = docs.sparkSession
     known = docs.filter(trains & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
     totals = known.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("rows"))
-    chars = F.least(F.lit(float(sample_chars)), ALL_CHARS / F.count("*").over(Window.partitionBy()))  # a row a language
+    part = ALL_CHARS / F.count("*").over(Window.partitionBy())  # a row a language
+    least = SAMPLE_ROWS / F.col("rows") * F.col("chars")
+    chars = F.least(part, F.greatest(F.lit(float(sample_chars)), least))
     rates = write_table(
-        totals.select("lang", F.least(F.lit(1.0), F.greatest(chars / F.greatest("chars", F.lit(1)), SAMPLE_ROWS / F.col("rows"))).alias("rate"), "rows"),
+        totals.select("lang", F.least(F.lit(1.0), chars / F.greatest("chars", F.lit(1))).alias("rate"), "rows"),
         "language-rates",
     )
     draw = F.pmod(F.xxhash64(F.lit(5), "doc_id", F.length("text")), F.lit(1 << 30)) / float(1 << 30)

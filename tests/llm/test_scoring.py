@@ -151,6 +151,34 @@ def test_languages(rows):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {*range(120), 904}
 
 
+def test_many_languages_in_few_cells(rows, monkeypatch):
+    draw = np.random.default_rng(12)
+    words = {f"l{i:02d}": ["".join(chr(0x4E00 + 20 * i + c) for c in draw.integers(0, 20, draw.integers(2, 6))) for _ in range(8)] for i in range(60)}
+    data = [(i, " ".join(draw.choice(words[lang], 6)), lang, "s", 1) for i, lang in enumerate(sorted(words) * 8)]
+    data += [(1000 + i, f"odd{i} text", f"junk{i}", "s", 1) for i in range(40)]
+    docs = rows(data, DOCS)
+    model = language_id.train(docs, ~language_id.held_out())
+    assert len(model.models.languages) > 80
+    found = {r.doc_id: r.lang_pred for r in language_id.report(docs, model).collect()}
+    assert all(found[d[0]] == d[2] for d in data[:480])
+    texts = pa.array([d[1] for d in data] + [None, "", "".join(words["l03"]) * 50, " ".join(words["l07"] * 30)])
+    whole = model.entropies(texts)
+    for cells in (1, 300, 7000):
+        monkeypatch.setattr(language_id, "CELLS", cells)
+        parts = model.entropies(texts)
+        assert np.allclose(whole[0], parts[0], rtol=1e-9) and (whole[1] == parts[1]).all()
+
+
+def test_the_sample_is_bounded_with_thousands_of_languages(rows, monkeypatch):
+    monkeypatch.setattr(language_id, "ALL_CHARS", 20_000)
+    data = [(i, "".join(chr(97 + (i * 7 + k * k) % 26) for k in range(50)), f"j{i % 500}", "s", 1) for i in range(2000)]
+    counted = []
+    count = language_id._word_counts
+    monkeypatch.setattr(language_id, "_word_counts", lambda sample: counted.append(sum(len(r.text) for r in sample.collect())) or count(sample))
+    model = language_id.train(rows(data, DOCS), ~language_id.held_out())
+    assert 0 < counted[0] < 25_000 and 0 < len(model.models.languages) < 500
+
+
 def test_no_language_to_learn(rows):
     docs = rows([(1, "some text", None, "s", 1)], DOCS)
     model = language_id.train(docs, ~language_id.held_out())
