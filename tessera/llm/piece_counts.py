@@ -113,8 +113,9 @@ def count_tokens(docs: DataFrame, pieces: list[str]) -> DataFrame:
     broadcast: its size is that of the vocabulary, which is given. Each distinct word of a
     batch goes through it once.
 
-    Null and empty texts have no tokens; repeated rows give repeated results; columns other
-    than doc_id and text are not read.
+    Null and empty texts have no tokens; repeated rows give repeated results; an empty table
+    gives none; a very long text is counted whole, in a batch of its own; columns other than
+    doc_id and text are not read.
     """
     automaton = docs.sparkSession.sparkContext.broadcast(PieceAutomaton(pieces))
 

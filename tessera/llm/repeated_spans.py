@@ -122,7 +122,11 @@ def _cuts(spans: DataFrame) -> DataFrame:
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """``docs`` with the sentences of ``spans`` cut out of the text; all else, and columns of any name, as it was."""
+    """``docs`` with the sentences of ``spans`` cut out of the text; all else, and columns of any name, as it was.
+
+    Null and empty texts have no spans and stay; rows that repeat a document lose the same
+    sentences each; a very long text is cut whole; an empty table stays empty.
+    """
     own, name = numbered(docs)
     at = docs.columns.index("text")
     joined = own.join(_cuts(spans), F.col(name["doc_id"]).eqNullSafe(F.col("id")) & (F.xxhash64(name["text"]) == F.col("key")), "left")
@@ -150,7 +154,8 @@ def report(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """One row per document that loses sentences: how many, which, who holds them first, and what is left.
 
     kept_chars and kept_crc32 (of the UTF-8 bytes) are those of the text without the spans.
-    Rows that repeat a document give repeated results.
+    Rows that repeat a document give repeated results; documents without spans, so null and
+    empty texts too, give no row, and an empty table none.
     """
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     joined = keyed.join(_cuts(spans), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")))

@@ -185,7 +185,8 @@ def write_tokens(docs: DataFrame, tokenizer_json: str) -> DataFrame:
     they are encoded; ties go by text hash and place, so a repeated id can span files.
 
     Null and empty texts are END_ID alone; null ids come first; repeated rows are documents
-    of their own; other columns are left out. An empty table gives empty files.
+    of their own; other columns are left out. An empty table gives empty files. A very long
+    text is encoded whole, in a batch of its own, and is one row of its file.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
 

@@ -26,7 +26,9 @@ def quantised(vectors: DataFrame, scale: float = 256.0) -> DataFrame:
     """``row, vec_id, terms``: a number and each component x as floor(scale * x), per row.
 
     Vectors that are null, or hold a null, NaN or infinite component, and null ids take no
-    part. Rows that repeat an id are rows of their own.
+    part. Rows that repeat an id are rows of their own. A component times ``scale`` beyond 64
+    bits is held at their end, and products of components above 2**31 can wrap: such vectors
+    aren't meant to be scored here.
     """
     odd = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     fit = vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).filter(~odd)
