@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.annotate import should_expand
 from tessera.operators import bm25, boosts, fuse
 from tessera.operators.vector import dot, nearest
+from tessera.session import write_table
 
 
 def keyword_boost(keywords: Column, source: Column, doc_keywords: Column, chunk: Column) -> Column:
@@ -63,6 +64,22 @@ def most_boosted(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     return found.select("query_id", "id", F.col("score").alias("boost"), "rank")
 
 
+def pair_boosts(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """``query_id, id, by_word, by_type``: both boosts of every document of ``docs(id, text, source, doc_type, doc_keywords)`` for every query.
+
+    A document meets each distinct pair of keywords and hint of ``queries(query_id, keywords, hint)``
+    once, by its head alone; what comes of that goes to the queries that ask so.
+    """
+    asked = write_table(queries.select("query_id", F.col("keywords").alias("_words"), F.col("hint").alias("_hint")), "asked")
+    profiles = write_table(asked.select(F.col("_words").alias("keywords"), F.col("_hint").alias("hint")).distinct(), "profiles")
+    heads = docs.select("id", "source", "doc_type", "doc_keywords", F.substring(F.lower("text"), 1, 500).alias("head"))
+    by_word = keyword_boost(F.col("keywords"), F.col("source"), F.col("doc_keywords"), F.col("head"))
+    by_type = type_boost(F.col("hint"), F.col("source"), F.col("doc_type"), F.col("head"))
+    boosts = heads.crossJoin(profiles).select("id", "keywords", "hint", by_word.alias("by_word"), by_type.alias("by_type"))
+    same = F.col("keywords").eqNullSafe(F.col("_words")) & F.col("hint").eqNullSafe(F.col("_hint"))
+    return boosts.join(asked, same).select("query_id", "id", "by_word", "by_type")
+
+
 def within(rows: DataFrame, ids: DataFrame | None) -> DataFrame:
     """``rows`` restricted to ``ids(id)``, before any ranking; all rows without ids."""
     return rows if ids is None else rows.join(ids.select("id").distinct(), "id", "left_semi")

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.jobs import registry
 from tessera.operators import bm25, boosts, cluster, context, embed, fuse, history, meta, rerank, search, smart, vector
 from tessera.operators.embed import embed_with_cache, hashed_embedding
 
@@ -253,3 +254,20 @@ def test_both_ways_of_search_agree(rows, monkeypatch):
             patch.setattr(vector, "QUERY_BYTES", 0)
             assert one == sorted(map(tuple, vector.nearest(points, asked, 3, metric).collect())) and len(one) == 27
     assert vector.nearest(points, asked.limit(0)).count() == 0 and vector.nearest(points.limit(0), asked).count() == 0
+
+
+def test_pair_boosts_has_every_document_for_every_query(rows):
+    docs = rows([(i, "the Meeting" if i % 2 else None, f"src{i}", "en" if i % 3 else None, "x") for i in range(30)], "id bigint, text string, source string, doc_type string, doc_keywords string")
+    asked = rows([(1, ["SRC1", "the"], "meeting"), (2, ["SRC1", "the"], "meeting"), (3, None, "en"), (4, ["X", "x"], None)], "query_id bigint, keywords array<string>, hint string")
+    found = {(r.query_id, r.id): (r.by_word, r.by_type) for r in search.pair_boosts(docs, asked).collect()}
+    assert len(found) == 4 * 30
+    for i in range(30):
+        assert found[1, i] == found[2, i] == (1.5 * (str(i)[0] == "1") + 0.5 * (i % 2), 1.0 * (i % 2))
+        assert found[3, i] == (0.0, 2.0 if i % 3 else 0.0)
+        assert found[4, i] == (2.0, 0.0)
+
+
+def test_boost_query_has_every_pair(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    pairs = spark.read.parquet(f"{sf_dir}/documents.parquet").count() * spark.read.parquet(f"{sf_dir}/benchmark.parquet").count()
+    assert registry.QUERIES["keyword_and_type_boost"](spark, sf_dir).count() == pairs
