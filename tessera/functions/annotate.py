@@ -31,10 +31,10 @@ def validated_type(answer: Column, text: Column) -> Column:
 def document_language(text: Column) -> Column:
     """A deterministic stand-in for a language model, by the share of scripts in the first 500 characters."""
     head = F.substring(F.coalesce(text, F.lit("")), 1, 500)
-    han = F.length(F.regexp_replace(head, r"[^\p{IsHan}]", ""))
-    kana = F.length(F.regexp_replace(head, r"[^\p{IsHiragana}\p{IsKatakana}]", ""))
-    hangul = F.length(F.regexp_replace(head, r"[^\p{IsHangul}]", ""))
-    latin = F.length(F.regexp_replace(head, r"[^\p{IsLatin}]", ""))
+    han = F.length(F.regexp_replace(head, r"[^\p{IsHan}]+", ""))
+    kana = F.length(F.regexp_replace(head, r"[^\p{IsHiragana}\p{IsKatakana}]+", ""))
+    hangul = F.length(F.regexp_replace(head, r"[^\p{IsHangul}]+", ""))
+    latin = F.length(F.regexp_replace(head, r"[^\p{IsLatin}]+", ""))
     cjk = han + kana + hangul
     return (
         F.when(cjk + latin == 0, "unknown")

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -150,3 +152,17 @@ def test_blocks_of_keys_and_stored_anchors(rows):
     draw = np.random.default_rng(5)
     new = [(1000 + i, [float(x) for x in draw.normal(size=3)]) for i in range(50)]
     assert sorted(r.id for r in dedup.first_by_similarity(rows(new, SCHEMA), 0.9, blocks).collect()) == walked(new, 0.9, data)
+
+
+def test_normalised_sums_a_vector_once(spark, rows):
+    """Unit vectors of 2,000 components: the length is bound once a vector, so the time doesn't grow with the square of the components."""
+    import time
+
+    frame = rows([(i,) for i in range(40)], "id bigint").select("id", F.transform(F.sequence(F.lit(1), F.lit(2000)), lambda x: (x + F.col("id")).cast("double")).alias("vector")).repartition(1).cache()
+    frame.count()
+    began = time.monotonic()
+    first = frame.select(dedup.normalised(F.col("vector")).alias("v"), "vector").collect()[0]
+    assert time.monotonic() - began < 4
+    length = math.fsum(x * x for x in first.vector) ** 0.5
+    assert all(abs(a - b / length) < 1e-12 for a, b in zip(first.v, first.vector, strict=True))
+    assert rows([([0.0, 0.0],), (None,)], "v array<double>").select(dedup.normalised(F.col("v")).alias("v")).collect()[0].v == [0.0, 0.0]
