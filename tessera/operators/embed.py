@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import content_hash, terms
-from tessera.session import ship
+from tessera.session import bounded
 
 
 def hashed_embedding(rows: DataFrame, dim: int = 64, text: str = "text") -> DataFrame:
@@ -38,9 +38,8 @@ def hashed_embedding(rows: DataFrame, dim: int = 64, text: str = "text") -> Data
             offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * dim)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(offsets, pa.array(vectors.ravel()))], names=["id", "vector"])
 
-    ship(rows.sparkSession)
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.select("id", terms(F.col(text)).alias("t")).mapInArrow(fold, f"id {kind}, vector array<double>")
+    return bounded(rows.select("id", terms(F.col(text)).alias("t"))).mapInArrow(fold, f"id {kind}, vector array<double>")
 
 
 def split_by_cache(rows: DataFrame, cache: DataFrame, model: str) -> tuple[DataFrame, DataFrame]:
