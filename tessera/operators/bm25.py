@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import terms
 from tessera.operators.vector import best_of
-from tessera.session import ship, write_table
+from tessera.session import bounded, ship, write_table
 
 #: The usual constants.
 K1, B = 1.2, 0.75
 #: Entries (query and term) of a batch of queries that are broadcast at most; above, terms meet in a join.
 ASKED = 2_000_000
-#: Cells (chunk and query) that a task scores at once.
-CELLS = 4_000_000
+#: Cells (chunk and query) that a task scores at once: some ten arrays of so many numbers are alive then.
+CELLS = 500_000
 
 
 def postings(chunks: DataFrame, text: str = "text") -> DataFrame:
@@ -116,7 +116,7 @@ def _packed_scores(chunks: DataFrame, asked: DataFrame, fields: list[str], limit
 
     kind, asker = chunks.schema["id"].dataType.simpleString(), asked.schema["query_id"].dataType.simpleString()
     listed = chunks.select("id", *(terms(F.col(c)).alias(f"t{f}") for f, c in enumerate(fields)))
-    table = write_table(listed.mapInArrow(cut, f"id {kind}, dl array<bigint>, codes array<int>, tf array<int>"), "postings")
+    table = write_table(bounded(listed).mapInArrow(cut, f"id {kind}, dl array<bigint>, codes array<int>, tf array<int>"), "postings")
     totals = table.agg(F.count("*").alias("n"), *(F.avg(F.col("dl")[f]).alias(f"avg{f}") for f in range(len(fields)))).first()
     frequencies = table.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count("*").alias("df")).toPandas()  # a row an asked term and field
     df = np.zeros(size * len(fields))
@@ -161,7 +161,7 @@ def _packed_scores(chunks: DataFrame, asked: DataFrame, fields: list[str], limit
             q, own, values = best_of(held, limit)
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), pa.array(own), pa.array(values)], names=["query_id", "id", "score"])
 
-    return table.mapInArrow(score, f"query_id {asker}, id {kind}, score double")
+    return bounded(table).mapInArrow(score, f"query_id {asker}, id {kind}, score double")
 
 
 def search_fields(chunks: DataFrame, queries: DataFrame, fields: list[str], limit: int = 10) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import ship, write_table
+from tessera.session import bounded, ship, write_table
 
 #: Queries in a block: a block is compared with a batch of vectors as one matrix product.
 QUERY_BLOCK = 512
@@ -122,8 +122,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, metric: str = "c
         lists = own.column("vector").combine_chunks()
         matrix = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(names), -1) if len(names) else np.zeros((0, 1))
         shipped = vectors.sparkSession.sparkContext.broadcast((names, matrix))
-        found = vectors.mapInArrow(in_place, schema)
+        found = bounded(vectors).mapInArrow(in_place, schema)
     else:
-        found = pairs(vectors, asked).mapInArrow(met, schema)
+        found = bounded(pairs(vectors, asked)).mapInArrow(met, schema)
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)

@@ -271,3 +271,17 @@ def test_boost_query_has_every_pair(spark):
     sf_dir = "/root/testdata/sf0.001"
     pairs = spark.read.parquet(f"{sf_dir}/documents.parquet").count() * spark.read.parquet(f"{sf_dir}/benchmark.parquet").count()
     assert registry.QUERIES["keyword_and_type_boost"](spark, sf_dir).count() == pairs
+
+
+@pytest.mark.parametrize("job", ["embed", "bm25", "nearest"])
+def test_python_batches_are_bounded_in_any_session(spark, rows, job):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(256 * 1024 * 1024))
+    try:
+        chunks, queries = rows([(1, "a cat"), (2, "dog")], "id bigint, text string"), rows([(7, "cat")], "query_id bigint, query string")
+        vectors, asked = rows([(1, [1.0, 0.0])], "id bigint, vector array<double>"), rows([(7, [1.0, 0.5])], "query_id bigint, vector array<double>")
+        {"embed": lambda: hashed_embedding(chunks), "bm25": lambda: bm25.search(chunks, queries, 3), "nearest": lambda: vector.nearest(vectors, asked, 3)}[job]().collect()
+        assert int(spark.conf.get(key).rstrip("b")) <= 8 * 1024 * 1024
+    finally:
+        spark.conf.set(key, before)
