@@ -166,3 +166,17 @@ def test_normalised_sums_a_vector_once(spark, rows):
     length = math.fsum(x * x for x in first.vector) ** 0.5
     assert all(abs(a - b / length) < 1e-12 for a, b in zip(first.v, first.vector, strict=True))
     assert rows([([0.0, 0.0],), (None,)], "v array<double>").select(dedup.normalised(F.col("v")).alias("v")).collect()[0].v == [0.0, 0.0]
+
+
+def test_blocks_go_to_tiles_not_to_pairs(spark, rows, monkeypatch):
+    """64 blocks that all meet are 2,080 pairs; in tiles of 16 by 16 blocks each goes to its few tiles once."""
+    monkeypatch.setattr(nearness, "SIDES", 4, raising=False)
+    draw = np.random.default_rng(8)
+    frame = rows([(i, draw.normal(size=6).tolist()) for i in range(512)], "id bigint, vector array<double>").repartition(1)
+    unit = nearness.unit_vectors(frame)
+    blocks = nearness.blocks_of(unit, nearness.pivots_of(unit), block_rows=8)
+    assert blocks.table.count() >= 64
+    assert nearness._met(blocks, None, 0.0, 512).count() < 600
+    found = {(r.a, r.b) for r in nearness.links(blocks, 0.3).collect()}
+    v = np.array([r.v for r in unit.orderBy("id").collect()])
+    assert found == {(i, j) for i, j in zip(*np.nonzero(np.triu(v @ v.T >= 0.3, 1)), strict=True)}
