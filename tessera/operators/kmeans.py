@@ -83,13 +83,12 @@ def _summed(table: DataFrame, runs: list[Run], extra: Callable | None = None) ->
             d = _distances(x, centroids)
             for lo, hi in zip(edges, edges[1:], strict=False):
                 own = d[:, lo:hi].argmin(axis=1) + lo
-                order = np.argsort(own, kind="stable")
-                starts = np.flatnonzero(np.diff(own[order], prepend=-1))
-                which = own[order][starts]
-                n[which] += np.add.reduceat(w[order], starts)
-                total[which] += np.add.reduceat((w[:, None] * x)[order], starts, axis=0)
                 added = d[np.arange(len(x)), own] if extra is None else extra(x, own, lo, hi)
-                cost[which] += np.add.reduceat((w * added)[order], starts)
+                n += np.bincount(own, w, len(n))
+                cost += np.bincount(own, w * added, len(n))
+                mine = np.zeros((hi - lo, len(x)))
+                mine[own - lo, np.arange(len(x))] = w
+                total[lo:hi] += mine @ x  # the sums as a product: no row is sorted or copied
         keep = np.flatnonzero(n)
         sums = pa.FixedSizeListArray.from_arrays(pa.array(total[keep].ravel()), width).cast(pa.list_(pa.float64()))
         yield pa.RecordBatch.from_arrays([pa.array(keep), pa.array(n[keep]), sums, pa.array(cost[keep])], names=["cell", "n", "total", "cost"])
