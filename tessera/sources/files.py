@@ -9,13 +9,14 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.lexicons import SUFFIXES
 from tessera.functions.text import html_to_text, markdown_to_text
-from tessera.session import ship
+from tessera.session import bounded, ship
 
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -112,6 +113,8 @@ def _parsed(suffix: pd.Series, content: pd.Series) -> pd.Series:
 #: What a parser gives for each page of a document: its text, its tables' rows of cells, and the sizes of its images.
 PAGE = "page int, text string, tables array<array<array<string>>>, images array<struct<width: int, height: int>>"
 Parser = Callable[[bytes], list[dict]]
+#: Bytes of files, and pages, that leave a task in one batch, about.
+PAGES_BYTES, PAGES_ROWS = 4 * 1024 * 1024, 10_000
 
 
 def pages_of(files: DataFrame, parse: Parser) -> DataFrame:
@@ -122,17 +125,28 @@ def pages_of(files: DataFrame, parse: Parser) -> DataFrame:
     that it can't read has no pages.
     """
 
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for source, content in zip(frame["source"], frame["content"], strict=True):
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for source, content in zip(batch.column("source").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 try:
                     found = parse(bytes(content))
                 except Exception:  # a broken file is left out, whatever is wrong with it
                     continue
-                rows = [(source, i, p.get("text") or "", p.get("tables") or [], p.get("images") or []) for i, p in enumerate(found, 1)]
-                yield pd.DataFrame(rows, columns=["source", "page", "text", "tables", "images"])
+                held += [(source, i, p.get("text") or "", p.get("tables") or [], p.get("images") or []) for i, p in enumerate(found, 1)]
+                size += len(content)
+                if size > PAGES_BYTES or len(held) > PAGES_ROWS:
+                    yield _page_batch(held)
+                    held, size = [], 0
+        if held:
+            yield _page_batch(held)
 
-    return files.select("source", "content").mapInPandas(read, f"source string, {PAGE}")
+    return bounded(files.select("source", "content")).mapInArrow(read, f"source string, {PAGE}")
+
+
+def _page_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.int32(), pa.string(), pa.list_(pa.list_(pa.list_(pa.string()))), pa.list_(pa.struct([("width", pa.int32()), ("height", pa.int32())]))]
+    return pa.RecordBatch.from_arrays([pa.array(x, k, from_pandas=True) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["source", "page", "text", "tables", "images"])
 
 
 def pages_text(pages: DataFrame, plain: bool = False) -> DataFrame:

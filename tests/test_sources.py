@@ -113,3 +113,20 @@ def test_whole_index(rows):
     found = built.collect()
     assert len({r.chunk_hash for r in found}) == len(found) and centroids.count() >= 1
     assert all(len(r.vector) == 16 for r in found)
+
+
+def test_pages_of_many_files_share_batches(spark, rows, monkeypatch):
+    """No frame a file: pages of files of all kinds leave in Arrow batches, broken and empty files among them."""
+    monkeypatch.setattr(files, "PAGES_ROWS", 7, raising=False)
+
+    def parse(content):
+        n = len(content)
+        if n % 5 == 0:
+            raise ValueError("broken")
+        return [{"text": f"p{i}", "tables": [[["a", None], [str(n)]]], "images": [{"width": n, "height": None}]} if i % 2 else {} for i in range(n % 4)]
+
+    frame = rows([(f"f{n}", bytes(n)) for n in range(60)] + [("none", None)], "source string, content binary").repartition(2)
+    found = files.pages_of(frame, parse)
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r.source, r.page): (r.text, r.tables, [tuple(i) for i in r.images]) for r in found.collect()}
+    assert got == {(f"f{n}", i + 1): (f"p{i}", [[["a", None], [str(n)]]], [(n, None)]) if i % 2 else ("", [], []) for n in range(60) if n % 5 for i in range(n % 4)}
