@@ -126,3 +126,13 @@ def sums_between(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sum of values[offsets[i]:offsets[i + 1]] for each i, along the first axis."""
     total = np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype=np.float64)])
     return total[offsets[1:]] - total[offsets[:-1]]
+
+
+def gathered(pool: np.ndarray, begins: np.ndarray, lengths: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs pool[begins[i] : begins[i] + lengths[i]] for i in ``order`` in a row, and their edges."""
+    own = lengths[order]
+    edges = np.concatenate([[0], np.cumsum(own)])
+    small = np.int32 if max(int(edges[-1]), len(pool)) < 1 << 31 else np.int64
+    at = np.repeat((begins[order] - edges[:-1]).astype(small), own)
+    at += np.arange(int(edges[-1]), dtype=small)
+    return pool[at], edges

@@ -8,14 +8,14 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import bounded, slices
-from tessera.llm.token_files import _gathered
+from tessera.llm.common import bounded, gathered, slices
 
 #: Fragments that a worker remembers at most, text bytes that it encodes at once, fragments joined for one call.
 REMEMBERED, ENCODE_BYTES, JOINED = 500_000, 4 * 1024 * 1024, 512
@@ -56,11 +56,17 @@ def _classes() -> np.ndarray:
     from tokenizers import Regex
     from tokenizers.pre_tokenizers import Split
 
-    points = np.array([*range(0xD800), *range(0xE000, 0x110000)])
-    every, table = "".join(map(chr, points.tolist())), np.zeros(0x110000, np.uint8)
+    def marked(pattern: str, points: np.ndarray) -> np.ndarray:
+        split, found = Split(Regex(pattern), "removed", invert=True), np.zeros(len(points), bool)
+        for at in range(0, len(points), 4096):  # short strings, or each place in them costs more
+            for _, (start, stop) in split.pre_tokenize_str("".join(map(chr, points[at : at + 4096].tolist()))):
+                found[at + start : at + stop] = True
+        return found
+
+    points, table = np.concatenate([np.arange(0xD800), np.arange(0xE000, 0x110000)]), np.zeros(0x110000, np.uint8)
+    points = points[marked(r"[\p{L}\p{N}\s]+", points)]  # the few that any class has
     for number, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
-        for _, (start, stop) in Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(every):
-            table[points[start:stop]] = number
+        table[points[marked(pattern, points)]] = number
     return table
 
 
@@ -154,9 +160,11 @@ class ForcedBoundaryEncoder:
         return np.flatnonzero(cut), {start: i for start, (_, i) in special.items()}
 
     def numbers(self, fragments: list[bytes]) -> np.ndarray:
-        """The number of each fragment among the known ones; new ones are encoded."""
+        """The number of each of these distinct fragments among the known ones; new ones are encoded."""
         known = self.known
-        new = [f for f in fragments if f not in known]
+        found = np.fromiter(map(known.get, fragments, repeat(-1)), np.int64, len(fragments))
+        fresh = np.flatnonzero(found < 0)
+        new = [fragments[i] for i in fresh.tolist()]
         ids, lengths = [self.pool], [self.lengths]
         for at in range(0, len(new), JOINED * 16):
             groups = [new[i : i + JOINED] for i in range(at, min(at + JOINED * 16, len(new)), JOINED)]
@@ -169,9 +177,10 @@ class ForcedBoundaryEncoder:
                     raise AssertionError("a fragment was merged with its neighbour")
                 ids.append(own[own != self.parting_id])
                 lengths.append(sizes)
-        known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+        found[fresh] = np.arange(len(known), len(known) + len(new))
+        known.update(zip(new, found[fresh].tolist(), strict=True))
         self.pool, self.lengths = np.concatenate(ids), np.concatenate(lengths)
-        return np.fromiter(map(known.__getitem__, fragments), np.int64, len(fragments))
+        return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where each text's ids begin and end."""
@@ -194,7 +203,7 @@ class ForcedBoundaryEncoder:
             own = np.unique([*special.values()])
             order[np.searchsorted(edges, [*special])] = len(lengths) + np.searchsorted(own, [*special.values()])
             pool, lengths = np.concatenate([pool, own.astype(np.uint32)]), np.concatenate([lengths, np.ones(len(own), np.int64)])
-        ids, ends = _gathered(pool, np.cumsum(lengths) - lengths, lengths, order)
+        ids, ends = gathered(pool, np.cumsum(lengths) - lengths, lengths, order)
         return ids, ends[np.searchsorted(edges, offsets)]
 
 
@@ -220,7 +229,7 @@ class Decoder:
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
         """One text for each ``ids[offsets[i]:offsets[i + 1]]``; bytes that aren't UTF-8 become U+FFFD."""
         none = len(self.lengths) - 1
-        data, edges = _gathered(self.pool, self.begins, self.lengths, np.where((ids >= 0) & (ids < none), ids, none))
+        data, edges = gathered(self.pool, self.begins, self.lengths, np.where((ids >= 0) & (ids < none), ids, none))
         own = edges[offsets]
         texts = pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(own), pa.py_buffer(data)])
         try:
@@ -233,7 +242,7 @@ class Decoder:
 _kept: dict[tuple[str, int], ForcedBoundaryEncoder | Decoder] = {}
 
 
-def _worker(kind: type, tokenizer_json: str):
+def worker(kind: type, tokenizer_json: str) -> ForcedBoundaryEncoder | Decoder:
     """The worker's encoder or decoder, kept between tasks; one of each kind at most."""
     key = (kind.__name__, zlib.crc32(tokenizer_json.encode()))
     if key not in _kept:
@@ -254,7 +263,7 @@ def encode(docs: DataFrame, tokenizer_json: str) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _worker(ForcedBoundaryEncoder, shipped.value)
+        encoder = worker(ForcedBoundaryEncoder, shipped.value)
         for batch in slices(batches, "text", ENCODE_BYTES):
             ids, offsets = encoder.encode(batch.column("text"))
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.view(np.int32)))
@@ -274,7 +283,7 @@ def decode(tokens: DataFrame, tokenizer_json: str) -> DataFrame:
     shipped = tokens.sparkSession.sparkContext.broadcast(tokenizer_json)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = _worker(Decoder, shipped.value)
+        decoder = worker(Decoder, shipped.value)
         for batch in batches:
             column = batch.column("ids")
             texts = decoder.decode(*_lists(pc.fill_null(column, pa.scalar([], column.type)) if column.null_count else column))
@@ -290,7 +299,7 @@ def report(tokens: DataFrame, tokenizer_json: str) -> DataFrame:
     shipped = tokens.sparkSession.sparkContext.broadcast(tokenizer_json)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = _worker(Decoder, shipped.value)
+        decoder = worker(Decoder, shipped.value)
         for batch in batches:
             ids, offsets = _lists(batch.column("ids"))
             texts, little = decoder.decode(ids, offsets), ids.astype("<u4")

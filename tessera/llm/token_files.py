@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Iterator
 
@@ -14,16 +13,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import bounded, slices
+from tessera.llm.forced_bpe import ForcedBoundaryEncoder, worker
 from tessera.session import write_table
 
 #: Ends each document.
 END_ID = 0
-#: Pieces between spaces that may not be taken alone: empty, or white space at either end.
-UNSAFE = r"^$|^[\s\x0b\x1c-\x1f\x{85}\p{Z}]|[\s\x0b\x1c-\x1f\x{85}\p{Z}]$"
-#: Pieces that are surely a word and a mark behind it: two pre-tokens of the byte-level vocabulary.
-WORD_AND_MARK = r"^(?P<word>[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}\x{400}-\x{481}]+)(?P<mark>[!-/:-@\[-`{-~]*)$"
-#: Parts that a worker remembers at most (between its tasks too), and text bytes that it encodes at once.
-REMEMBERED, ENCODE_BYTES = 500_000, 4 * 1024 * 1024
+#: Text bytes that are encoded at once.
+ENCODE_BYTES = 4 * 1024 * 1024
 #: Row groups, pages and encodings: small pages with a page index let a reader skip to some rows;
 #: ids are dictionary-encoded, and delta-encoded where a dictionary grows too large.
 FILE_OPTIONS = {
@@ -37,144 +33,18 @@ FILE_OPTIONS = {
 }
 
 
-class Encoder:
-    """Whole texts to ids as the tokenizer gives them.
-
-    The tokenizer never merges across pre-tokens, so a text is cut at its single spaces, each
-    distinct piece is cut into a word and its mark where that is sure, and the tokenizer
-    encodes each distinct part once. A text with white space beside a cut goes to the
-    tokenizer as a whole, and so does a text that holds an added token such as
-    ``<|endoftext|>``, which is its own id as the tokenizer has it by default.
-    """
-
-    def __init__(self, tokenizer_json: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallel part
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        if any(" " in token for token in self.added):
-            raise ValueError("texts are cut at spaces; no added token may hold one")
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.begins[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
-        self.forget()
-
-    def forget(self) -> None:
-        """Known parts by number; number 0 is the empty part."""
-        self.known: dict[str, int] = {"": 0}
-        self.pool, self.lengths = np.empty(0, np.uint32), np.zeros(1, np.int64)
-
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def numbers(self, parts: list[str]) -> np.ndarray:
-        """Number of each of these parts; new ones are encoded, spaced ones many at a time as one text."""
-        known = self.known
-        found = np.fromiter((known.get(p, -1) for p in parts), np.int64, len(parts))
-        new = [parts[i] for i in np.flatnonzero(found < 0).tolist()]
-        if not new:
-            return found
-        spaced, other = [p for p in new if p[0] == " "], [p for p in new if p[0] != " "]
-        names, ids, lengths = [], [self.pool], [self.lengths]
-        groups = [spaced[i : i + 256] for i in range(0, len(spaced), 256)]
-        encoded = (own for at in range(0, len(groups), 16) for own in self._encode(["".join(g) for g in groups[at : at + 16]]))
-        for group, own in zip(groups, encoded, strict=True):
-            starts = np.flatnonzero(self.begins[own])
-            if len(starts) == len(group):  # the one space of each part begins its first token
-                names += group
-                ids.append(own)
-                lengths.append(np.diff(np.append(starts, len(own))))
-            else:
-                other += group
-        for name, own in zip(other, self._encode(other), strict=True):
-            names.append(name)
-            ids.append(own)
-            lengths.append(np.array([len(own)]))
-        known.update(zip(names, range(len(self.lengths), len(self.lengths) + len(names)), strict=True))
-        self.pool, self.lengths = np.concatenate(ids), np.concatenate(lengths)
-        return np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
+class Encoder(ForcedBoundaryEncoder):
+    """Whole texts to ids as the tokenizer gives them, with END_ID after each."""
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in a row with END_ID after each text, and where each text's ids begin and end."""
-        if len(self.known) > REMEMBERED:
-            self.forget()
-        lists = pc.split_pattern(texts, " ")
-        offsets = lists.offsets.to_numpy().astype(np.int64)
-        offsets -= offsets[0]
-        coded = lists.flatten().dictionary_encode()
-        codes = coded.indices.to_numpy(zero_copy_only=False)
-        unsafe = pc.match_substring_regex(coded.dictionary, UNSAFE).to_numpy(zero_copy_only=False)
-        for token in self.added:  # a piece holds it whole
-            unsafe = unsafe | pc.match_substring(coded.dictionary, token).to_numpy(zero_copy_only=False)
-        bad = np.concatenate([[0], np.cumsum(unsafe[codes])])
-        bad = bad[offsets[1:]] > bad[offsets[:-1]]
-
-        # the distinct pieces that follow a space, as a first part with its space and a mark
-        cut = pc.extract_regex(coded.dictionary, WORD_AND_MARK)
-        sure = cut.is_valid()
-        first = pc.if_else(sure, pc.struct_field(cut, "word"), coded.dictionary).dictionary_encode()
-        mark = pc.if_else(sure, pc.struct_field(cut, "mark"), "").dictionary_encode()
-        needed = np.zeros(len(unsafe), bool)
-        at_first = np.zeros(len(codes), bool)
-        at_first[offsets[:-1]] = True
-        inner = ~np.repeat(bad, np.diff(offsets))
-        needed[codes[inner & ~at_first]] = True
-        firsts = first.dictionary.to_pylist()
-        wanted = np.zeros(len(firsts), bool)
-        first_codes = first.indices.to_numpy(zero_copy_only=False)
-        wanted[first_codes[needed]] = True
-        numbers = np.zeros(len(firsts), np.int64)
-        numbers[wanted] = self.numbers([" " + firsts[i] for i in np.flatnonzero(wanted).tolist()])
-        marks = self.numbers(mark.dictionary.to_pylist())
-        # then each text's own first piece, the whole texts, and the end
-        heads = coded.dictionary.take(pa.array(codes[offsets[:-1]][~bad])).to_pylist()
-        head_numbers = self.numbers(heads)
-        whole = self._encode([t.as_py() for t in texts.filter(pa.array(bad))]) if bad.any() else []
-
-        # ids of each kind of piece in one pool: distinct pieces, heads, whole texts, the end
-        parts = np.stack([numbers[first_codes], marks[mark.indices.to_numpy(zero_copy_only=False)]], axis=1)
-        parts[~needed] = 0
-        parts = np.concatenate([parts.ravel(), head_numbers])
-        begins = np.cumsum(self.lengths) - self.lengths
-        piece_ids, edges = _gathered(self.pool, begins, self.lengths, parts)
-        size = len(unsafe)
-        edges = np.concatenate([edges[: 2 * size : 2], edges[2 * size :]])
-        lengths = np.concatenate([np.diff(edges), [len(w) for w in whole], [1]]).astype(np.int64)
-        pool = np.concatenate([piece_ids, *whole, np.array([END_ID], np.uint32)])
-
-        n_units = np.where(bad, 1, np.diff(offsets)) + 1
-        ends = np.cumsum(n_units)
-        order = np.full(int(ends[-1]) if len(ends) else 0, -1, np.int64)
-        order[ends - 1] = len(lengths) - 1
-        order[(ends - 2)[bad]] = size + len(heads) + np.arange(int(bad.sum()))
-        units = codes.astype(np.int64)
-        units[offsets[:-1][~bad]] = size + np.arange(len(heads))
-        order[order == -1] = units[inner]
-        ids, edges = _gathered(pool, np.cumsum(lengths) - lengths, lengths, order)
-        return ids, np.concatenate([[0], edges[ends]])
-
-
-def _gathered(pool: np.ndarray, begins: np.ndarray, lengths: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The runs pool[begins[i] : begins[i] + lengths[i]] for i in ``order`` in a row, and their edges."""
-    own = lengths[order]
-    edges = np.concatenate([[0], np.cumsum(own)])
-    small = np.int32 if max(int(edges[-1]), len(pool)) < 1 << 31 else np.int64
-    at = np.repeat((begins[order] - edges[:-1]).astype(small), own)
-    at += np.arange(int(edges[-1]), dtype=small)
-    return pool[at], edges
-
-
-_encoders: dict[int, Encoder] = {}
-
-
-def encoder_of(tokenizer_json: str) -> Encoder:
-    """The worker's encoder, kept between tasks."""
-    key = zlib.crc32(tokenizer_json.encode())
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(tokenizer_json)
-    return _encoders[key]
+        """All ids in a row, and where each text's ids begin and end, END_ID among them."""
+        ids, offsets = super().encode(texts)
+        offsets = offsets + np.arange(len(offsets))
+        kept = np.ones(int(offsets[-1]), bool)
+        kept[offsets[1:] - 1] = False
+        out = np.full(len(kept), END_ID, np.uint32)
+        out[kept] = ids
+        return out, offsets
 
 
 def write_tokens(docs: DataFrame, tokenizer_json: str) -> DataFrame:
@@ -191,9 +61,9 @@ def write_tokens(docs: DataFrame, tokenizer_json: str) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, before = encoder_of(shipped.value), TaskContext.get().partitionId(), 0
+        encoder, part, before = worker(Encoder, shipped.value), TaskContext.get().partitionId(), 0
         for batch in slices(batches, "text", ENCODE_BYTES):
-            ids, offsets = encoder.encode(pc.fill_null(batch.column("text"), ""))
+            ids, offsets = encoder.encode(batch.column("text"))
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.view(np.int32)))
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays(

@@ -41,6 +41,16 @@ def test_ids_equal_the_tokenizer(tokenizer):
             assert ids[offsets[i] : offsets[i + 1]].tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
 
 
+def test_words_that_meet_at_marks_and_line_breaks_are_encoded_once(tokenizer):
+    words = [f"{a}{b}" for a in "bcdfghklmn" for b in ("ar", "ot", "ing", "est")]
+    text = " ".join(f"{v}.\n{w}***" for v in words for w in words)
+    encoder = token_files.Encoder(JSON)
+    ids, offsets = encoder.encode(pa.array([text, None, text]))
+    wanted = [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
+    assert ids.tolist() == [*wanted, 0, *wanted] and offsets.tolist() == [0, len(wanted), len(wanted) + 1, 2 * len(wanted) + 1]
+    assert len(encoder.known) < 5 * len(words)  # not one for each of the 1,600 pairs
+
+
 def test_files_round_trip(spark, rows, tokenizer):
     data = odd_documents()
     tokens = token_files.write_tokens(with_clashing_columns(rows(data, DOCS)).repartition(3), JSON)
