@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera.functions.text import terms
 from tessera.operators import bm25
@@ -27,6 +28,8 @@ from tessera.sources import tables
 
 #: Documents of a block at most (fewer where texts are long: a batch to Python is bounded in bytes), and buckets of terms.
 BLOCK, BUCKETS = 1024, 64
+#: Bytes of rows that a task packs at once for the shuffle by bucket.
+PACKED_BYTES = 32 * 1024 * 1024
 #: The term of the rows that count a block's documents; texts have no such term.
 ALL = ""
 #: Scores are rounded to six digits, so a bound within this of a score may tie with it.
@@ -62,10 +65,57 @@ def _rows(spark: SparkSession, path: str, state: dict) -> DataFrame:
 def _write(rows: DataFrame, path: str) -> str:
     name = f"segment={uuid.uuid4().hex}"
     # a bucket's rows lie together by term, so that a few terms are a few pages; large buckets are split by size
-    rows.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{path}/segments/{name}")
+    dealt = _unpacked(_packed(rows).hint("rebalance", F.col("bucket")), rows)
+    dealt.sortWithinPartitions("bucket", "term", "block").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/segments/{name}")
     return name
 
 
+def _packed(rows: DataFrame) -> DataFrame:
+    """``bucket, rows``: rows of a bucket as compressed columns; most lists are short, and as rows of a shuffle each would take several times its own bytes."""
+    columns = [c for c in rows.columns if c != "bucket"]
+
+    def pack(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        together = pa.Table.from_batches(held)
+        own = together.column("bucket").to_numpy()
+        order = np.argsort(own, kind="stable")
+        together, own = together.select(columns).take(pa.array(order)).combine_chunks(), own[order]
+        edges = np.flatnonzero(np.diff(own, prepend=-1))
+        bodies = []
+        for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(own)], strict=True):
+            body = pa.BufferOutputStream()
+            with pa.ipc.new_stream(body, together.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as into:
+                into.write_table(together.slice(lo, hi - lo))
+            bodies.append(body.getvalue().to_pybytes())
+        return pa.RecordBatch.from_arrays([pa.array(own[edges], pa.int32()), pa.array(bodies, pa.binary())], names=["bucket", "rows"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.nbytes
+            if size >= PACKED_BYTES:
+                yield pack(held)
+                held, size = [], 0
+        if held:
+            yield pack(held)
+
+    return bounded(rows).mapInArrow(run, "bucket int, rows binary")
+
+
+def _unpacked(packed: DataFrame, like: DataFrame) -> DataFrame:
+    """The rows of ``_packed``, which were rows of ``like``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, body in zip(batch.column("bucket").to_pylist(), batch.column("rows"), strict=True):
+                for part in pa.ipc.open_stream(body.as_buffer()):
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(part.num_rows, bucket, np.int32))], names=[*part.schema.names, "bucket"])
+
+    fields = [f for f in like.schema if f.name != "bucket"]
+    return bounded(packed).mapInArrow(run, StructType([*fields, like.schema["bucket"]]))
+
+
 def _blocked(chunks: DataFrame, fields: list[str]) -> DataFrame:
     """The rows of ``chunks(id, *fields)``: each slice of a batch is a block, so nothing is shuffled to make them."""
     kind = chunks.schema["id"].dataType.simpleString()

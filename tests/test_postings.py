@@ -96,3 +96,23 @@ def test_ids_that_are_words(spark, rows, tmp_path):
     postings.append(docs, path)
     queries = rows([("q", "cat dog")], "query_id string, query string")
     assert [r.id for r in postings.search(spark, path, queries).orderBy("rank").collect()] == ["c", "a", "b"]
+
+
+def test_rows_go_through_the_shuffle_packed(spark, rows, monkeypatch):
+    docs = rows(made(600), SCHEMA).repartition(2).persist()
+    plain = postings._blocked(docs, ["text", "source"]).persist()
+    few = []
+    for size in (postings.PACKED_BYTES, 1):
+        monkeypatch.setattr(postings, "PACKED_BYTES", size)
+        packed = postings._packed(plain).persist()
+        back = postings._unpacked(packed, plain)
+        assert back.schema.simpleString() == plain.schema.simpleString()
+        assert sorted(map(repr, back.collect())) == sorted(map(repr, plain.collect()))
+        few.append(packed.count())
+    # a row of the shuffle is a task's rows of a bucket, in fewer bytes than its ids alone
+    assert few[0] <= 2 * postings.BUCKETS
+    monkeypatch.setattr(postings, "PACKED_BYTES", 1 << 20)
+    long = postings._blocked(rows([(i, " ".join(f"w{i * j % 5003}" for j in range(1, 400)), None) for i in range(2000)], SCHEMA).coalesce(1), ["text"])
+    postings_bytes = sum(8 * r.n for r in long.select("n").collect())
+    assert sum(len(r["rows"]) for r in postings._packed(long).collect()) < postings_bytes
+    assert postings._unpacked(postings._packed(plain.limit(0)), plain).count() == 0
