@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.text import content_hash, terms
 from tessera.session import bounded
@@ -22,10 +23,22 @@ def hashed_embedding(rows: DataFrame, dim: int = 64, text: str = "text") -> Data
     next one. Rows without a term get a zero vector. Terms are split natively, each distinct
     one of a batch is hashed once, and a row's counts never leave its task.
     """
+    return _embedded(rows.select("id", terms(F.col(text)).alias("_terms")), dim)
+
+
+def with_embedding(rows: DataFrame, dim: int = 64, text: str = "text") -> DataFrame:
+    """``rows`` with the ``vector`` of ``hashed_embedding``, in the same pass: nothing has to be joined by id."""
+    return _embedded(rows.withColumn("_terms", terms(F.col(text))), dim)
+
+
+def _embedded(rows: DataFrame, dim: int) -> DataFrame:
+    """``rows`` with a ``vector`` in place of ``_terms``."""
+    kept = [f for f in rows.schema if f.name != "_terms"]
+    names = [f.name for f in kept]
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("t")
+            lists = batch.column("_terms")
             coded = lists.flatten().dictionary_encode()
             digests = [hashlib.md5(t.encode("utf-8", "surrogatepass")).digest() for t in coded.dictionary.to_pylist()]
             bucket = np.fromiter((int.from_bytes(d[:4], "big") % dim for d in digests), np.int64, len(digests))
@@ -36,10 +49,9 @@ def hashed_embedding(rows: DataFrame, dim: int = 64, text: str = "text") -> Data
             length = np.sqrt((cells**2).sum(axis=1, keepdims=True))
             vectors = cells / np.where(length > 0, length, 1)
             offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * dim)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(offsets, pa.array(vectors.ravel()))], names=["id", "vector"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.ListArray.from_arrays(offsets, pa.array(vectors.ravel()))], names=[*names, "vector"])
 
-    kind = rows.schema["id"].dataType.simpleString()
-    return bounded(rows.select("id", terms(F.col(text)).alias("t"))).mapInArrow(fold, f"id {kind}, vector array<double>")
+    return bounded(rows).mapInArrow(fold, T.StructType([*kept, T.StructField("vector", T.ArrayType(T.DoubleType()))]))
 
 
 def split_by_cache(rows: DataFrame, cache: DataFrame, model: str) -> tuple[DataFrame, DataFrame]:

@@ -12,7 +12,6 @@ import json
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,9 +20,12 @@ from pyspark.sql import types as T
 
 from tessera.operators import nearness
 from tessera.schema import ANCHORS, INDEX, LEDGER
+from tessera.session import write_table
 
 #: Buckets of a new index, and folders from which on a bucket is written anew by the next change.
 BUCKETS, MOST_FOLDERS = 64, 8
+#: Bytes of a file that is small, and sources that are taken away at once.
+SMALL_FILE, GONE_SOURCES = 8 * 1024 * 1024, 250_000
 SCHEMAS = {"chunks": INDEX, "sources": LEDGER, "anchors": ANCHORS}
 
 
@@ -116,51 +118,80 @@ def chunks(spark: SparkSession, path: str) -> DataFrame:
     return create(spark, path).table(spark, "chunks")
 
 
-def _write(rows: DataFrame, schema: T.StructType, path: str, folder: str) -> list[int]:
-    """Write rows with their ``bucket`` into a folder; the buckets that it has."""
+def _write(rows: DataFrame, schema: T.StructType, path: str, folder: str, gathered: bool = False) -> None:
+    """Write rows with their ``bucket`` into a folder, beside what it has; ``gathered`` ones lie by bucket already."""
     typed = rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema), "bucket")
-    # buckets are gathered, and large ones split, by size
-    typed.hint("rebalance", F.col("bucket")).write.partitionBy("bucket").parquet(f"{path}/{folder}")
-    return [int(n.removeprefix("bucket=")) for n in names(rows.sparkSession, f"{path}/{folder}") if n.startswith("bucket=")]
+    # else buckets are gathered, and large ones split, by size
+    laid = typed if gathered else typed.hint("rebalance", F.col("bucket"))
+    laid.write.mode("append").option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/{folder}")
+
+
+def _scattered(spark: SparkSession, before: Snapshot, name: str, buckets: set[int]) -> bool:
+    """Whether these buckets of a table are many small files."""
+    paths = [f"{before.path}/{f}" for b in buckets for f in before.folders[name].get(str(b), [])]
+    files, make = _files(spark, before.path)
+    held = [files.getContentSummary(make(p)) for p in paths]  # BUCKETS times MOST_FOLDERS at most
+    many = sum(h.getFileCount() for h in held)
+    return many >= MOST_FOLDERS * len(buckets) and sum(h.getLength() for h in held) < many * SMALL_FILE
+
+
+def _without(spark: SparkSession, before: Snapshot, name: str, buckets: set[int], gone: DataFrame | None, many: int):
+    """The rows of these buckets but those of the ``many`` sources ``gone(source, b)``, in frames of so few buckets that theirs go to the tasks."""
+    if gone is None or not many:
+        yield before.table(spark, name, buckets)
+        return
+    share = max(1, len(buckets) * GONE_SOURCES // many)
+    for own in (sorted(buckets)[i : i + share] for i in range(0, len(buckets), share)):
+        ours = gone.filter(F.col("b").isin(own)).select("source")
+        # rows stay where they are, unless a bucket alone has too many
+        yield before.table(spark, name, set(own)).join(F.broadcast(ours) if many <= len(buckets) * GONE_SOURCES else ours, "source", "left_anti")
 
 
 def change(
     spark: SparkSession, before: Snapshot, added: dict[str, DataFrame] | None = None, gone: DataFrame | None = None, batch: tuple[str, int] | None = None,
-    measured: Callable[[], dict[str, float]] | None = None,
+    measured: Callable[[], dict[str, float]] | None = None, gathered: bool = False,
 ) -> Snapshot:
     """Add rows of ``chunks`` and ``sources``, and take away all rows of the sources ``gone(source)`` that were there before.
 
     The buckets of those sources are written anew without them, as are those of MOST_FOLDERS folders;
-    rows for other buckets go into a folder beside theirs. ``batch`` is the stream and number of the
+    rows for other buckets go into a folder beside theirs. Old rows are written by the tasks that read them, but go through a
+    shuffle where they have come to be many small files; new chunks go through one unless they are ``gathered`` by bucket. ``batch`` is the stream and number of the
     batch that this change is, ``measured`` is called when all is written. The anchors are blocks of the chunks' vectors, made from what is
     written. Raises if somebody else has changed the index since ``before``.
     """
-    named = None if gone is None else gone.select("source").distinct()
-    touched = set() if named is None else {r[0] for r in named.select(before.bucket().alias("b")).distinct().collect()}  # BUCKETS at most
+    named = None if gone is None else write_table(gone.select("source").distinct().withColumn("b", before.bucket()), "gone", compression="zstd")
+    held_by = {} if named is None else dict(named.groupBy("b").count().collect())  # BUCKETS at most
+    touched = set(held_by)
     touched |= {int(b) for held in before.folders.values() for b, folders in held.items() if len(folders) >= MOST_FOLDERS}
     folder, folders = f"data/{before.version + 1:010d}-{uuid.uuid4().hex}", {name: dict(held) for name, held in before.folders.items()}
 
-    def put(name: str, rows: DataFrame) -> list[int]:
-        own = _write(rows, SCHEMAS[name], before.path, f"{folder}/{name}")
+    def put(name: str, rows: DataFrame, gathered: bool) -> None:
+        _write(rows, SCHEMAS[name], before.path, f"{folder}/{name}", gathered)
+
+    def register(name: str) -> None:
         folders[name] = {b: f for b, f in folders[name].items() if int(b) not in touched}
-        for b in own:
-            folders[name][str(b)] = [*folders[name].get(str(b), []), f"{folder}/{name}/bucket={b}"]
-        return own
+        for own in names(spark, f"{before.path}/{folder}/{name}"):
+            if own.startswith("bucket="):
+                b = own.removeprefix("bucket=")
+                folders[name][b] = [*folders[name].get(b, []), f"{folder}/{name}/{own}"]
 
     for name in ("chunks", "sources"):
-        parts = [] if added is None or name not in added else [added[name]]
+        parts = [] if added is None or name not in added else [(added[name], gathered and name == "chunks")]
         if touched:
-            held = before.table(spark, name, touched)
-            parts.append(held if named is None else held.join(named, "source", "left_anti"))
+            laid = not _scattered(spark, before, name, touched)
+            parts += [(rows, laid) for rows in _without(spark, before, name, touched, named, sum(held_by.values()))]
+        for rows, by_bucket in parts:
+            put(name, rows.select(*SCHEMAS[name].names).withColumn("bucket", before.bucket()), by_bucket)
         if parts:
-            put(name, reduce(DataFrame.unionByName, [p.select(*SCHEMAS[name].names) for p in parts]).withColumn("bucket", before.bucket()))
+            register(name)
     pivots = before.pivots
     if names(spark, f"{before.path}/{folder}/chunks"):
         written = spark.read.schema(T.StructType([*INDEX.fields, T.StructField("bucket", T.LongType())])).parquet(f"{before.path}/{folder}/chunks")
-        unit = nearness.unit_vectors(written, "bucket")
+        unit = nearness.comparable(written, "bucket")
+        nearness.same_length(written.filter(nearness.whole(F.col("vector"))).select(F.size("vector").alias("size")))
         pivots = pivots or nearness.pivots_of(unit).tolist()
-        own = nearness.blocks_of(unit, np.array(pivots, np.float64) if pivots else np.zeros((0, 0)), keys=("bucket",))
-        put("anchors", own.table)
+        put("anchors", nearness.laid(unit, np.array(pivots, np.float64) if pivots else np.zeros((0, 0)), keys=("bucket",)), True)
+        register("anchors")
     after = replace(before, version=before.version + 1, folders=folders, pivots=pivots, batches=before.batches | (dict([batch]) if batch else {}), measured=measured() if measured else {})
     _swap(spark, after)
     return after

@@ -150,3 +150,64 @@ def test_the_newest_of_a_source_counts(spark, rows, tmp_path):
     assert [(r.source, r.chunk) for r in tables.chunks(spark, path).collect()] == [("a", "new")]
     ingest.index_batch(spark, both.limit(0), path, 5)
     assert tables.snapshot(spark, path).batches == {"batches": 5}
+
+
+def moved(spark):
+    """Bytes that the stages so far have written to shuffles, and to files."""
+    gateway, context = spark.sparkContext._gateway, spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty()
+    empty = gateway.jvm.java.util.ArrayList()
+    stages = context.statusStore().stageList(empty, False, False, gateway.new_array(gateway.jvm.double, 0), empty)
+    found = [stages.apply(i) for i in range(stages.size())]
+    return np.array([sum(s.shuffleWriteBytes() for s in found), sum(s.outputBytes() for s in found)])
+
+
+def test_texts_are_written_and_gathered_once(spark, rows, tmp_path, monkeypatch):
+    """What a batch and a removal move is bounded by the texts, and the parts of a bucket give the same index."""
+    monkeypatch.setattr(ingest, "GATHERED_BYTES", 1000, raising=False)
+    draw = np.random.default_rng(5)
+    texts = [" ".join(f"{x:x}" for x in draw.integers(0, 2**62, 6000)) for _ in range(20)]
+    size = sum(map(len, texts))
+    path = small(spark, tmp_path)
+    batch = batch_of(rows, *((f"s{i}", t, str(i)) for i, t in enumerate(texts)), ("again", texts[3], "3"), ("none", None, "x"))
+    start = moved(spark)
+    ingest.index_batch(spark, batch, path, 0, threshold=None, window=(1200, 200))
+    indexed = moved(spark)
+    assert indexed[0] - start[0] < 1.5 * size and indexed[1] - start[1] < 2.5 * size
+    stored = sorted((r.source, r.chunk_index, r.total_chunks, r.chunk) for r in tables.chunks(spark, path).collect())
+    count = lambda t: -(-(len(t) - 1200) // 1000) + 1
+    name = lambda i: "again" if i == 3 else f"s{i}"
+    assert stored == sorted((name(i), k, count(t), t[k * 1000 : k * 1000 + 1200]) for i, t in enumerate(texts) for k in range(count(t)))
+    made = embed.hashed_embedding(tables.chunks(spark, path).select("id", F.col("chunk").alias("text"))).withColumn("made", F.col("vector").cast("array<float>"))
+    assert tables.chunks(spark, path).join(made.select("id", "made"), "id").filter("vector = made").count() == len(stored)
+    indexed = moved(spark)
+    tables.remove_sources(spark, path, rows([("s1",), ("s2",)], "source string"))
+    assert moved(spark)[0] - indexed[0] < 0.5 * size  # chunks that stay are written by the tasks that read them
+    assert sorted((r.source, r.chunk_index, r.total_chunks, r.chunk) for r in tables.chunks(spark, path).collect()) == [r for r in stored if r[0] not in ("s1", "s2")]
+
+
+def test_rows_by_bitmap(spark, rows):
+    batch = batch_of(rows, *((f"s{i % 700}", f"t{i}", f"{i:04d}") for i in range(1000)), ("bad", "t", None), (None, "t", "1")).repartition(3)
+    numbered = ingest.numbered_rows(batch)
+    last = ingest.last_of_each(numbered)
+    assert {r.source: r.file_hash for r in last.collect()} == {f"s{i % 700}": f"{i:04d}" for i in range(1000)}
+    for asked in (last, last.filter("file_hash % 3 = 0"), last.limit(0), numbered):
+        wanted = sorted(r.text for r in numbered.join(asked.select("row"), "row", "left_semi").collect())
+        assert sorted(r.text for r in ingest.rows_of(numbered, asked).collect()) == wanted
+
+
+def test_sources_go_in_parts_and_small_files_are_gathered(spark, rows, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "GONE_SOURCES", 2, raising=False)
+    monkeypatch.setattr(tables, "MOST_FOLDERS", 2)
+    path = small(spark, tmp_path)
+    ingest.index_batch(spark, batch_of(rows, *((f"s{i}", text_of(i), "1") for i in range(40))), path, threshold=None)
+    for some in (range(5), range(5, 30)):  # fewer and more than two a bucket
+        tables.remove_sources(spark, path, rows([(f"s{i}",) for i in some], "source string"))
+    now = tables.snapshot(spark, path)
+    assert {r.source for r in now.table(spark, "chunks").collect()} == {r.source for r in now.table(spark, "sources").collect()} == {f"s{i}" for i in range(30, 40)}
+    for i in range(3):
+        tables.append(spark, path, now.table(spark, "chunks").filter("source = 's30'"))
+        tables.remove_sources(spark, path, rows([(f"s{31 + i}",)], "source string"))
+    now = tables.snapshot(spark, path)
+    assert now.table(spark, "chunks").filter("source = 's30'").count() == 4 and now.table(spark, "chunks").count() == 10
+    assert len(now.table(spark, "chunks").inputFiles()) <= 3 * now.buckets
