@@ -36,8 +36,11 @@ def document_language(text: Column) -> Column:
     hangul = F.length(F.regexp_replace(head, r"[^\p{IsHangul}]+", ""))
     latin = F.length(F.regexp_replace(head, r"[^\p{IsLatin}]+", ""))
     cjk = han + kana + hangul
+    # ASCII has no letters but Latin ones
+    ascii_only = F.octet_length(head) == F.length(head)
     return (
-        F.when(cjk + latin == 0, "unknown")
+        F.when(ascii_only, F.when(head.rlike("[A-Za-z]"), "english").otherwise("unknown"))
+        .when(cjk + latin == 0, "unknown")
         .when((cjk * 5 > latin) & (latin * 5 > cjk), "mixed")
         .when(cjk <= latin, "english")
         .when(kana > 0, "japanese")

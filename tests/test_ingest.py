@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.jobs import registry
 from tessera.operators import dedup, embed
 from tessera.sources import tables
 from tessera.streaming import ingest
@@ -211,3 +212,11 @@ def test_sources_go_in_parts_and_small_files_are_gathered(spark, rows, tmp_path,
     now = tables.snapshot(spark, path)
     assert now.table(spark, "chunks").filter("source = 's30'").count() == 4 and now.table(spark, "chunks").count() == 10
     assert len(now.table(spark, "chunks").inputFiles()) <= 3 * now.buckets
+
+
+def test_files_of_the_changed_index_are_made_in_place(spark, monkeypatch):
+    """The documents aren't joined with themselves, so their texts go through no shuffle on the way to the index."""
+    plans = []
+    monkeypatch.setattr(ingest, "index_batch", lambda spark, batch, *args, **how: plans.append(batch._jdf.queryExecution().optimizedPlan().toString()))
+    registry._changed_index(spark, "/root/testdata/sf0.001")
+    assert len(plans) == 5 and not any("Join" in p for p in plans)

@@ -84,3 +84,9 @@ def test_follow_ups(rows):
 def test_presets():
     assert rerank.model_name(None) == rerank.PRESETS["balanced"]
     assert rerank.model_name("own") == "own"
+
+
+def test_languages_of_letters_in_and_out_of_ascii(rows):
+    """What ASCII alone decides is what the scripts decide."""
+    wanted = {"Abc 12": "english", "12 - ?": "unknown", "\u00e9": "english", "\u00aa": "english", "12 \u2013": "unknown", "\u03a9": "unknown", "a" * 500 + "\u4f1a" * 9: "english", "1" * 499 + "\u4f1a": "chinese"}
+    assert {t: one(rows, annotate.document_language, t) for t in wanted} == wanted
