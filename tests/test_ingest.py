@@ -220,3 +220,18 @@ def test_files_of_the_changed_index_are_made_in_place(spark, monkeypatch):
     monkeypatch.setattr(ingest, "index_batch", lambda spark, batch, *args, **how: plans.append(batch._jdf.queryExecution().optimizedPlan().toString()))
     registry._changed_index(spark, "/root/testdata/sf0.001")
     assert len(plans) == 5 and not any("Join" in p for p in plans)
+
+
+def test_runs_count_a_batch_without_its_texts(spark, rows, tmp_path, monkeypatch):
+    """What a batch counted is known from hashes and places; an unchanged, a repeated and an unreadable file count as files only."""
+    path = small(spark, tmp_path)
+    texts = [" ".join(f"{x:x}" for x in np.random.default_rng(i).integers(0, 2**62, 300)) for i in range(6)]
+    ingest.index_batch(spark, batch_of(rows, *((f"s{i}", t, str(i)) for i, t in enumerate(texts))), path, 0, threshold=None, window=(1200, 200))
+    start = moved(spark)
+    later = batch_of(rows, *((f"s{i}", t, str(i)) for i, t in enumerate(texts)), ("s0", texts[1], "9"), ("new", texts[2], "n"), ("bad", None, None))
+    ingest.index_batch(spark, later, path, 1, threshold=None, window=(1200, 200))
+    measured = [(r.version, r.files, r.unreadable, r.sources, r.chunks, r.kept) for r in tables.runs(spark, path).orderBy("version").collect()]
+    k = lambda *which: sum(-(-(len(texts[i]) - 1200) // 1000) + 1 for i in which)
+    assert measured == [(1, 6, 0, 6, k(*range(6)), k(*range(6))), (2, 9, 1, 2, k(1, 2), 0)]
+    assert moved(spark)[0] - start[0] < sum(map(len, texts))  # the texts of unchanged files stay where they are
+    assert "size" not in tables.snapshot(spark, path).measured
